@@ -168,3 +168,21 @@ def text_batches(batch: pa.RecordBatch, text: str, limit: int = 8 << 20):
         end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, side="right")))
         yield batch.slice(at, end - at)
         at = end
+
+
+#: Rows of ids up to which a table of them is broadcast (some 50 bytes each); a larger one is joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def counted(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """small, computed once into a reliable checkpoint and counted, with a broadcast hint if it has few rows."""
+    shared_dir(small.sparkSession)
+    small = small.checkpoint()
+    return F.broadcast(small) if small.count() <= limit else small
+
+
+def drop_ids(docs: DataFrame, doc_id: str, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in ids, a table of one column of distinct ids; a null there drops
+    rows with a null id."""
+    ids = counted(ids.select(F.col(ids.columns[0]).alias("__drop_id")))
+    return docs.join(ids, docs[quoted(doc_id)].eqNullSafe(ids["__drop_id"]), "left_anti")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, col, selected_hashes, text_batches, word_hashes
+from .common import U64, col, drop_ids, selected_hashes, text_batches, word_hashes
 
 #: Offsets that a seed looks at; all others up to the last are ignored.
 MASKS = ((0, 1, 3, 6, 8, 9), (0, 2, 3, 7, 8, 10), (0, 1, 4, 5, 9, 11), (0, 3, 5, 6, 7, 11))
@@ -154,12 +154,7 @@ def contamination(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", **kw) -> DataFrame:
     """docs without the contaminated documents; all columns stay. A row whose id is null stays, unless a
     row with a null id is contaminated, as such rows can't be told apart."""
-    bad = contamination(docs, benchmark, doc_id=doc_id, **kw).select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, docs[quoted_name(doc_id)].eqNullSafe(bad["__bad_id"]), "left_anti")
-
-
-def quoted_name(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    return drop_ids(docs, doc_id, contamination(docs, benchmark, doc_id=doc_id, **kw).select("doc_id").distinct())
 
 
 def brute_force(docs: list[tuple], items: list[tuple], masks=MASKS, window=WINDOW_WORDS, min_matches=MIN_MATCHES) -> set[tuple]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, col, mix, selected_hashes, shared_dir, shared_path, text_batches, word_hashes
+from .common import U64, col, counted, drop_ids, mix, selected_hashes, shared_dir, shared_path, text_batches, word_hashes
 
 NGRAM, THRESHOLD, ORDERS, SHARED = 3, 0.5, 3, 6
 SKETCH_BITS = 20
@@ -284,7 +284,7 @@ def _verify(threshold: float):
     return run
 
 
-def similar_sets(docs: DataFrame, *, n: int, threshold: float, orders: int, shared: int, small: int = 4_000_000) -> tuple[DataFrame, DataFrame, list[str]]:
+def similar_sets(docs: DataFrame, *, n: int, threshold: float, orders: int, shared: int) -> tuple[DataFrame, DataFrame, list[str]]:
     """(sets, pairs, folders to drop): (doc_id, set_hash) of all documents with words, and verified (a, b, jaccard)."""
     spark = docs.sparkSession
     made = [shared_path(spark, x) for x in ("sets", "candidates", "similar")]
@@ -294,10 +294,7 @@ def similar_sets(docs: DataFrame, *, n: int, threshold: float, orders: int, shar
     pairs = spark.read.parquet(made[1])
     nodes = components(pairs).withColumnRenamed("node", "set_hash")
     first = sets.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id")).join(nodes, "set_hash")
-    first = first.select("doc_id", "component").checkpoint()
-    if first.count() <= small:  # 16 bytes a row; beyond it the join shuffles
-        first = F.broadcast(first)
-    wanted = docs.join(first, "doc_id")
+    wanted = docs.join(counted(first.select("doc_id", "component")), "doc_id")
 
     def grams(batches):
         for whole in batches:
@@ -342,8 +339,8 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     nodes = components(pairs).withColumnRenamed("node", "set_hash")
     member = sets.join(nodes, "set_hash", "left").withColumn("g", F.coalesce("component", "set_hash"))
     # least of component and own hash: a component's name is one of its hashes, so names don't mix
-    gone = member.join(member.groupBy("g").agg(F.min("doc_id").alias("keep")), "g").where("doc_id <> keep").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, col(doc_id) == F.col("__gone"), "left_anti")
+    gone = member.join(member.groupBy("g").agg(F.min("doc_id").alias("keep")), "g").where("doc_id <> keep").select("doc_id").distinct()
+    return drop_ids(docs, doc_id, gone)
 
 
 def brute_force(docs: list[tuple], n: int = NGRAM, threshold: float = THRESHOLD) -> set[tuple]:

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard
+import corpus_pipeline
+
+from . import arrowseq, decontaminate, jaccard, langid, mixing, sharding
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +61,50 @@ UNION ALL SELECT rep, doc_id, 1.0::DOUBLE FROM s JOIN r USING (grams) WHERE doc_
 """)
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(load(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+@query(f"""
+WITH RECURSIVE n AS (SELECT unnest([{sharding.SHARDS}, {sharding.MORE}]) AS n),
+k AS (SELECT doc_id, n, ('0x' || substr(md5(doc_id::VARCHAR), 1, 16))::UBIGINT::UHUGEINT AS key, 0::DOUBLE AS pos FROM documents, n
+      UNION ALL SELECT * FROM (SELECT doc_id, n, (key * 2862933555777941757 + 1) % 18446744073709551616 AS next,
+          floor((pos + 1) * (2147483648.0::DOUBLE / ((((key * 2862933555777941757 + 1) % 18446744073709551616) // 8589934592 + 1)::DOUBLE))) AS a FROM k) WHERE a < n),
+s AS (SELECT doc_id, max(pos) FILTER (n = {sharding.SHARDS})::INTEGER AS shard, max(pos) FILTER (n = {sharding.MORE})::INTEGER AS new_shard FROM k GROUP BY doc_id)
+SELECT d.*, s.shard, s.new_shard, s.shard <> s.new_shard AS moved FROM documents d JOIN s USING (doc_id)
+""")
+def op7_jump_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.reshard(load(spark, sf_dir, "documents"), "doc_id")
+
+
+@query()
+def op8_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arrowseq.sequences(load(spark, sf_dir, "documents"))
+
+
+@query(f"""
+WITH t AS (SELECT coalesce(source, '') AS source, doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')) AS n,
+      ('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 15))::BIGINT AS key FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+laid AS (SELECT *, (sum(n) OVER (PARTITION BY source ORDER BY key, doc_id, n ROWS UNBOUNDED PRECEDING))::BIGINT - n AS start FROM t WHERE n > 0),
+cut AS (SELECT *, unnest(range(start // {mixing.BLOCK_TOKENS}, (start + n - 1) // {mixing.BLOCK_TOKENS} + 1)) AS block FROM laid),
+src AS (SELECT source, sum(n)::BIGINT AS tokens, ceil(sum(n) / {mixing.BLOCK_TOKENS})::BIGINT AS blocks, greatest(1, floor(sqrt(sum(n)::DOUBLE) * sqrt(sqrt(sum(n)::DOUBLE))))::HUGEINT AS w FROM laid GROUP BY source),
+cum AS (SELECT *, sum(w) OVER (ORDER BY source ROWS UNBOUNDED PRECEDING)::HUGEINT AS c, sum(w) OVER ()::HUGEINT AS total FROM src),
+share AS (SELECT *, c * {mixing.ONE} // total AS hi, (c - w) * {mixing.ONE} // total AS lo FROM cum),
+slots AS (SELECT unnest(range((SELECT ceil(max(blocks * total / w) * 1.1)::BIGINT + 1000 FROM share))) AS slot),
+ranked AS (SELECT slot, source, blocks, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM slots JOIN share ON slot * {mixing.GOLDEN} % {mixing.ONE} >= lo AND slot * {mixing.GOLDEN} % {mixing.ONE} < hi),
+plan AS (SELECT * FROM ranked WHERE slot <= (SELECT max(slot) FROM ranked WHERE rank = blocks - 1))
+SELECT slot, source, rank // blocks AS epoch, block, start + greatest(0, block * {mixing.BLOCK_TOKENS} - start) - block * {mixing.BLOCK_TOKENS} AS "offset",
+       doc_id, greatest(0, block * {mixing.BLOCK_TOKENS} - start) AS token_from, least(n, (block + 1) * {mixing.BLOCK_TOKENS} - start) AS token_to
+FROM plan JOIN cut USING (source) WHERE rank % blocks = block
+""")
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents"))
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
