@@ -11,12 +11,14 @@ corpus, of fixed size) and differ in how they order those of a level, so that a
 documents share doesn't make all of them candidates of each other, and unrelated documents that meet under one
 order part under another.
 
-Plan. Texts are shingled in numpy where they are read, thrice, which is cheaper than to store the sets:
-1. counts for the sketch; set hashes, by which equal sets become one.
-2. prefix entries, 7 bytes each, packed by hash range (``bucket``): one shuffle. In each bucket pairs are counted
-   and summed up over the buckets: the intersection of the filters.
-3. only sets in candidate pairs are shingled again and sent, once each, to the connected component of the
-   candidate graph that they belong to; pairs are verified there.
+Plan. Texts are shingled in numpy where they are read, as often as needed, which is cheaper than to store the sets:
+1. counts for the sketch; set hashes, by which equal sets become one; and min-hash bands, whose collisions give
+   first groups. All pairs within a group are verified, so the filters have to find pairs across groups only:
+   a thousand near copies don't meet again at each of the n-grams that they share.
+2. prefix entries, 7 bytes each, packed by hash range (``bucket``): one shuffle. In each bucket pairs of sets of
+   different groups are counted, and summed up over the buckets: the intersection of the filters.
+3. only sets in groups or candidate pairs are shingled again and sent, once each, to the connected component that
+   they belong to; pairs are verified there.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ from .common import U64, col, counted, drop_ids, mix, selected_hashes, shared_di
 
 NGRAM, THRESHOLD, ORDERS, SHARED = 3, 0.5, 3, 6
 SKETCH_BITS = 20
-PACK = "bucket int, tokens binary, docs binary, flags binary, sets binary, sizes binary"
+PACK = "bucket int, tokens binary, docs binary, flags binary, sets binary, sizes binary, groups binary"
+BANDS, BAND_ROWS = 6, 2
 
 
 def shingles(words: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,42 +123,55 @@ def prefix_flags(g: np.ndarray, at: np.ndarray, level: np.ndarray, threshold: fl
     return flags
 
 
-def _pairs_of(tokens: np.ndarray, doc: np.ndarray, flags: np.ndarray, orders: int, chunk: int = 1 << 22):
-    """Pairs (a < b) of entries with equal tokens: for each pair how many tokens lie in both prefixes, by order.
-    Entries come sorted by (token, doc). Yields keys (a << 32 | b) and counts, partial sums by chunk."""
-    new = np.ones(len(tokens), bool)
+def _pairs_of(tokens: np.ndarray, group: np.ndarray, doc: np.ndarray, flags: np.ndarray, orders: int, chunk: int = 1 << 20):
+    """Pairs of entries with equal tokens and unequal groups: how many tokens lie in both prefixes, by order.
+    Entries come sorted by (token, group, doc). Yields keys (a << 32 | b, a < b) and counts: partial sums."""
+    n = len(tokens)
+    new = np.ones(n, bool)
     new[1:] = tokens[1:] != tokens[:-1]
-    first = np.flatnonzero(new)
-    end = np.append(first[1:], len(tokens))
-    group = np.cumsum(new) - 1
-    left = end[group] - np.arange(len(tokens)) - 1  # partners after each entry
+    other = new.copy()
+    other[1:] |= group[1:] != group[:-1]
+
+    def ends(first):
+        at = np.flatnonzero(first)
+        return np.repeat(np.append(at[1:], n), np.diff(np.append(at, n)))
+
+    begin = ends(other)
+    left = ends(new) - begin  # partners of each entry: those of its token in later groups
     keep = np.flatnonzero(left)
     total = np.cumsum(left[keep])
-    at = 0
-    keys, counts = np.empty(0, np.int64), np.empty((0, orders), np.int32)
+    at, keys, counts = 0, [], []
+    held = 0
     while at < len(keep):
         stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + chunk, side="right")))
         i = keep[at:stop]
         m = left[i]
         x = np.repeat(i, m)
-        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
+        y = np.repeat(begin[i], m) + np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
         both = flags[x] & flags[y]
         some = both > 0
-        x, y, both = x[some], y[some], both[some]
-        key = (doc[x].astype(np.int64) << 32) | doc[y]
-        key = np.concatenate([keys, key])
-        u, inv = np.unique(key, return_inverse=True)
-        counts = np.stack([np.bincount(inv, weights=np.concatenate([counts[:, k], (both >> k) & 1]), minlength=len(u)) for k in range(orders)], axis=1).astype(np.int32)
-        keys = u
+        x, y, both = doc[x[some]], doc[y[some]], both[some]
+        key, inv = np.unique((np.minimum(x, y) << 32) | np.maximum(x, y), return_inverse=True)
+        keys.append(key)
+        counts.append(np.stack([np.bincount(inv, weights=(both >> k) & 1, minlength=len(key)) for k in range(orders)], axis=1).astype(np.int32))
+        held += len(key)
         at = stop
-    return keys, counts
+        if held > 2 << 20 or at >= len(keep):
+            key, inv = np.unique(np.concatenate(keys), return_inverse=True)
+            sums = np.zeros((len(key), orders), np.int32)
+            np.add.at(sums, inv, np.concatenate(counts))
+            keys, counts, held = [key], [sums], len(key)
+            if held > 1 << 20 or at >= len(keep):
+                yield key, sums
+                keys, counts, held = [], [], 0
 
 
 def candidates(docs: DataFrame, *, n: int, threshold: float, orders: int, shared: int) -> DataFrame:
-    """(a, b): set hashes (as long) of pairs that pass the filters of all orders. docs: (doc_id, text)."""
+    """(a, b): set hashes (as long) of pairs across groups that pass the filters of all orders.
+    docs: (text, component), the group or null of a set that has none."""
     spark = docs.sparkSession
     counts = _sketch(docs, n)
-    buckets = max(4, math.ceil(counts.sum() / 5_000_000))
+    buckets = max(4, math.ceil(counts.sum() / 4_000_000))
     level = spark.sparkContext.broadcast(_levels(counts))
 
     def pack(batches):
@@ -163,11 +179,13 @@ def candidates(docs: DataFrame, *, n: int, threshold: float, orders: int, shared
             for b in text_batches(whole, "text"):
                 g, at = shingles(*word_hashes(b.column("text")), n)
                 s = set_hashes(g, at)
+                c = b.column("component")
+                c = np.where(c.is_valid().to_numpy(zero_copy_only=False), c.fill_null(0).to_numpy(zero_copy_only=False), s.view(np.int64))
                 _, one = np.unique(s, return_index=True)  # equal sets of a batch: once
                 one = np.zeros(len(s), bool) | np.isin(np.arange(len(s)), one)
                 size = np.diff(at)
                 pick = np.repeat(one, size)
-                g, size, s = g[pick], size[one], s[one]
+                g, size, s, c = g[pick], size[one], s[one], c[one]
                 at = np.concatenate([[0], np.cumsum(size)])
                 f = prefix_flags(g, at, level.value, threshold, orders, shared)
                 row = np.repeat(np.arange(len(size)), size)
@@ -180,40 +198,53 @@ def candidates(docs: DataFrame, *, n: int, threshold: float, orders: int, shared
                 for k in np.flatnonzero(np.diff(cut)):
                     part = slice(cut[k], cut[k + 1])
                     have, local = np.unique(row[part], return_inverse=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (g[part], local.astype(np.uint32 if len(have) > 65535 else np.uint16), f[part], s[have], size[have].astype(np.int32)))], names=["bucket", "tokens", "docs", "flags", "sets", "sizes"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (g[part], local.astype(np.uint32 if len(have) > 65535 else np.uint16), f[part], s[have], size[have].astype(np.int32), c[have]))], names=["bucket", "tokens", "docs", "flags", "sets", "sizes", "groups"])
 
     def count(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sets, flags, known, sizes = [], [], [], [], []
+        tokens, sets, flags, known, sizes, groups_of = [], [], [], [], [], []
         for t in groups:
-            for r in t.to_pylist():
-                h = np.frombuffer(r["sets"], U64)
-                tokens.append(np.frombuffer(r["tokens"], np.uint32))
-                sets.append(h[np.frombuffer(r["docs"], np.uint16 if len(h) <= 65535 else np.uint32)])
-                flags.append(np.frombuffer(r["flags"], np.uint8))
-                known.append(h)
-                sizes.append(np.frombuffer(r["sizes"], np.int32))
-        u, first = np.unique(np.concatenate(known), return_index=True)
+            for r in range(t.num_rows):
+                part = {k: np.frombuffer(t.column(k)[r].as_buffer(), d) for k, d in (("tokens", np.uint32), ("flags", np.uint8), ("sets", U64), ("sizes", np.int32), ("groups", np.int64))}
+                tokens.append(part["tokens"])
+                flags.append(part["flags"])
+                sets.append(np.frombuffer(t.column("docs")[r].as_buffer(), np.uint16 if len(part["sets"]) <= 65535 else np.uint32).astype(np.int32) + sum(map(len, known)))
+                known.append(part["sets"])
+                sizes.append(part["sizes"])
+                groups_of.append(part["groups"])
+        u, first, place = np.unique(np.concatenate(known), return_index=True, return_inverse=True)
         size = np.concatenate(sizes)[first]
-        doc = np.searchsorted(u, np.concatenate(sets)).astype(np.int64)
-        t, f = np.concatenate(tokens), np.concatenate(flags)
-        del sets, tokens, flags
-        order = np.argsort((t.astype(np.uint64) << U64(32)) | doc.astype(np.uint64), kind="stable")
-        t, doc, f = t[order], doc[order], f[order]
-        keep = np.ones(len(t), bool)
-        keep[1:] = (t[1:] != t[:-1]) | (doc[1:] != doc[:-1])
-        t, doc, f = t[keep], doc[keep], f[keep]
-        keys, counts = _pairs_of(t, doc, f, orders)
-        a, b = keys >> 32, keys & 0xFFFFFFFF
-        small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-        fits = small >= np.ceil(threshold * large - 1e-9)  # else even one within the other is too small
-        a, b, counts, small, large = a[fits], b[fits], counts[fits], small[fits], large[fits]
-        need = np.minimum(np.ceil(threshold * small - 1e-9), shared).astype(np.int32)
-        for i in range(0, len(a), 500_000):
-            s = slice(i, i + 500_000)
-            yield pa.RecordBatch.from_arrays([pa.array(u[a[s]].view(np.int64)), pa.array(u[b[s]].view(np.int64)), pa.array(need[s], pa.int32()), *(pa.array(counts[s, k], pa.int32()) for k in range(orders))], names=["a", "b", "need", *(f"c{k}" for k in range(orders))])
+        _, label = np.unique(np.concatenate(groups_of)[first], return_inverse=True)
+        # documents numbered by (group, set), so that one sort brings both together
+        rank = np.empty(len(u), np.int64)
+        rank[np.lexsort((u, label))] = np.arange(len(u))
+        u, size, label = u[np.argsort(rank)], size[np.argsort(rank)], label[np.argsort(rank)]
+        doc = rank[place][np.concatenate(sets)]
+        order = (np.concatenate(tokens).astype(np.uint64) << U64(32)) | doc.astype(np.uint64)
+        f = np.concatenate(flags)
+        del sets, tokens, flags, doc
+        by = np.argsort(order, kind="stable")
+        order, f = order[by], f[by]
+        del by
+        keep = np.ones(len(order), bool)
+        keep[1:] = order[1:] != order[:-1]
+        order, f = order[keep], f[keep]
+        t, doc = (order >> U64(32)).astype(np.uint32), (order & U64(0xFFFFFFFF)).astype(np.int64)
+        del order
+        for keys, counts in _pairs_of(t, label[doc], doc, f, orders):
+            a, b = keys >> 32, keys & 0xFFFFFFFF
+            small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+            fits = small >= np.ceil(threshold * large - 1e-9)  # else even one within the other is too small
+            a, b, counts, small = a[fits], b[fits], counts[fits], small[fits]
+            # need is of the pair, so that partial rows of all buckets agree
+            need = np.minimum(np.ceil(threshold * small - 1e-9), shared).astype(np.int32)
+            x, y = u[a].view(np.int64), u[b].view(np.int64)
+            x, y = np.minimum(x, y), np.maximum(x, y)
+            for i in range(0, len(a), 200_000):
+                s = slice(i, i + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(x[s]), pa.array(y[s]), pa.array(need[s], pa.int32()), *(pa.array(counts[s, k], pa.int32()) for k in range(orders))], names=["a", "b", "need", *(f"c{k}" for k in range(orders))])
 
     schema = "a long, b long, need int" + "".join(f", c{k} int" for k in range(orders))
-    partial = docs.select("text").mapInArrow(pack, PACK).groupBy("bucket").applyInArrow(count, schema)
+    partial = docs.select("text", "component").mapInArrow(pack, PACK).groupBy("bucket").applyInArrow(count, schema)
     found = partial.groupBy("a", "b").agg(F.first("need").alias("need"), *(F.sum(f"c{k}").alias(f"c{k}") for k in range(orders)))
     for k in range(orders):
         found = found.where(F.col(f"c{k}") >= F.col("need"))
@@ -241,8 +272,8 @@ def components(pairs: DataFrame) -> DataFrame:
     return stars.union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
-def _sets(docs: DataFrame, n: int, with_grams: bool) -> DataFrame:
-    """(doc_id, set_hash[, grams]) of documents with words."""
+def _sets(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, key, set_hash, bands) of documents with words; bands: BANDS hashes of BAND_ROWS min-hashes each."""
 
     def run(batches):
         for whole in batches:
@@ -250,67 +281,87 @@ def _sets(docs: DataFrame, n: int, with_grams: bool) -> DataFrame:
                 g, at = shingles(*word_hashes(b.column("text")), n)
                 s = set_hashes(g, at)
                 full = np.flatnonzero(np.diff(at))
-                out = [b.column("doc_id").take(pa.array(full)), pa.array(s[full].view(np.int64))]
-                if with_grams:
-                    out.append(pa.array([g[at[i] : at[i + 1]].tobytes() for i in full], pa.binary()))
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "set_hash", "grams"][: len(out)])
+                bands = np.zeros((len(full), BANDS), U64)
+                for k in range(BANDS * BAND_ROWS if len(full) else 0):
+                    low = np.minimum.reduceat(mix(g ^ U64((k + 17) * 0xC2B2AE3D27D4EB4F % (1 << 64))), at[full])
+                    bands[:, k // BAND_ROWS] = mix(bands[:, k // BAND_ROWS] * U64(0x9FB21C651E98DF25) + low)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(full)) for c in ("doc_id", "key")), pa.array(s[full].view(np.int64)), lists], names=["doc_id", "key", "set_hash", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, set_hash long" + ", grams binary" * with_grams)
+    return docs.mapInArrow(run, "doc_id long, key long, set_hash long, bands array<long>")
 
 
 def _verify(threshold: float):
+    """Pairs of sets of one group, and those given, that have the similarity."""
+
     def run(key, pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        names, grams = sets.column("set_hash").to_numpy(), sets.column("grams").to_pylist()
-        at = {int(k): i for i, k in enumerate(names)}
-        own = [np.frombuffer(x, U64) for x in grams]
-        a, b = pairs.column("a").to_pylist(), pairs.column("b").to_pylist()
-        out, order = [], np.argsort(np.array(a, np.int64), kind="stable").tolist()
-        vocabulary = np.unique(np.concatenate(own))
+        names, one = np.unique(sets.column("set_hash").to_numpy(), return_index=True)  # rows that repeat: once
+        sets = sets.take(pa.array(one))
+        groups = sets.column("component").to_pylist()
+        own = [np.frombuffer(x.as_buffer(), U64) for x in sets.column("grams")]
+        vocabulary = np.unique(np.concatenate(own)) if own else np.empty(0, U64)
         ids = [np.searchsorted(vocabulary, x) for x in own]
-        flag, last = np.zeros(len(vocabulary), bool), None
-        for i in order:
-            x, y = at[a[i]], at[b[i]]
-            if x != last:
-                if last is not None:
-                    flag[ids[last]] = False
-                flag[ids[x]] = True
-                last = x
-            both = int(np.count_nonzero(flag[ids[y]]))
-            j = both / (len(ids[x]) + len(ids[y]) - both)
-            if j >= threshold:
-                out.append((a[i], b[i], j))
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "jaccard": pa.array([x[2] for x in out], pa.float64())})
+        size = np.array([len(x) for x in ids])
+        at = {int(k): i for i, k in enumerate(names)}
+        partners: dict[int, list[int]] = {}
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            partners.setdefault(at[a], []).append(at[b])
+        by: dict[int, list[int]] = {}
+        for i, c in enumerate(groups):
+            if c is not None:
+                by.setdefault(c, []).append(i)
+        for members in by.values():
+            for k, i in enumerate(members):
+                partners.setdefault(i, []).extend(members[k + 1 :])
+        flag, a, b, j = np.zeros(len(vocabulary), bool), [], [], []
+        for i, others in partners.items():
+            flag[ids[i]] = True
+            for k in others:
+                if min(size[i], size[k]) >= threshold * max(size[i], size[k]) - 1e-9:
+                    both = int(np.count_nonzero(flag[ids[k]]))
+                    if both >= threshold * (size[i] + size[k] - both):
+                        a.append(min(names[i], names[k]))
+                        b.append(max(names[i], names[k]))
+                        j.append(both / int(size[i] + size[k] - both))
+            flag[ids[i]] = False
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "jaccard": pa.array(j, pa.float64())})
 
     return run
 
 
-def similar_sets(docs: DataFrame, *, n: int, threshold: float, orders: int, shared: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(sets, pairs, folders to drop): (doc_id, set_hash) of all documents with words, and verified (a, b, jaccard)."""
+def similar_sets(docs: DataFrame, *, n: int, threshold: float, orders: int, shared: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, set_hash) of all documents with words, and verified (a, b, jaccard) of sets."""
     spark = docs.sparkSession
     made = [shared_path(spark, x) for x in ("sets", "candidates", "similar")]
-    _sets(docs, n, False).write.parquet(made[0])
+    _sets(docs, n).write.parquet(made[0])
     sets = spark.read.parquet(made[0])
-    candidates(docs, n=n, threshold=threshold, orders=orders, shared=shared).write.parquet(made[1])
+    band = sets.select("set_hash", F.posexplode("bands").alias("k", "band")).groupBy("k", "band")
+    hub = band.agg(F.min("set_hash").alias("a"), F.collect_set("set_hash").alias("all")).where("size(all) > 1")
+    stars = hub.select("a", F.explode("all").alias("b")).where("a <> b")
+    groups = components(stars).withColumnRenamed("node", "set_hash")
+    label = counted(sets.join(groups, "set_hash").groupBy("key").agg(F.first("component").alias("component")))
+    candidates(docs.join(label, "key", "left"), n=n, threshold=threshold, orders=orders, shared=shared).write.parquet(made[1])
     pairs = spark.read.parquet(made[1])
-    nodes = components(pairs).withColumnRenamed("node", "set_hash")
-    first = sets.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id")).join(nodes, "set_hash")
-    wanted = docs.join(counted(first.select("doc_id", "component")), "doc_id")
+    linked = components(pairs.union(groups.select("set_hash", "component"))).select(F.col("node").alias("set_hash"), F.col("component").alias("graph"))
+    first = sets.groupBy("set_hash").agg(F.min(F.struct("doc_id", "key")).alias("d")).join(linked, "set_hash").join(groups, "set_hash", "left")
+    wanted = docs.join(counted(first.select("d.doc_id", "d.key", "graph", "component", "set_hash")), ["doc_id", "key"])
 
     def grams(batches):
         for whole in batches:
             for b in text_batches(whole, "text"):
                 g, at = shingles(*word_hashes(b.column("text")), n)
-                s = set_hashes(g, at)
-                yield pa.RecordBatch.from_arrays([b.column("component"), pa.array(s.view(np.int64)), pa.array([g[at[i] : at[i + 1]].tobytes() for i in range(len(s))], pa.binary())], names=["component", "set_hash", "grams"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("graph", "component", "set_hash")), pa.array([g[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], names=["graph", "component", "set_hash", "grams"])
 
-    blobs = wanted.select("text", "component").mapInArrow(grams, "component long, set_hash long, grams binary").dropDuplicates(["component", "set_hash"])
-    labelled = pairs.join(nodes.select(F.col("set_hash").alias("a"), "component"), "a")
-    labelled.groupBy("component").cogroup(blobs.groupBy("component")).applyInArrow(_verify(threshold), "a long, b long, jaccard double").write.parquet(made[2])
-    return sets, spark.read.parquet(made[2]), made
+    blobs = wanted.select("text", "graph", "component", "set_hash").mapInArrow(grams, "graph long, component long, set_hash long, grams binary")
+    known = pairs.join(linked.select(F.col("set_hash").alias("a"), "graph"), "a")
+    known.groupBy("graph").cogroup(blobs.groupBy("graph")).applyInArrow(_verify(threshold), "a long, b long, jaccard double").write.parquet(made[2])
+    return sets.select("doc_id", "set_hash"), spark.read.parquet(made[2])
 
 
 def _plain(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    """(doc_id, text, key): key stands for the text, so that rows that repeat an id with other texts keep apart."""
+    docs = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).cast("string").alias("text"))
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("key", F.xxhash64("text"))
 
 
 def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, orders: int = ORDERS, shared: int = SHARED) -> DataFrame:
@@ -324,7 +375,7 @@ def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     as one document if their texts agree; an id with different texts is a document of each. Other columns, whatever their names, are not read. An
     empty table gives an empty result. Ties don't arise: all pairs at or above the threshold are given.
     """
-    sets, pairs, _ = similar_sets(_plain(docs, doc_id, text), n=n, threshold=threshold, orders=orders, shared=shared)
+    sets, pairs = similar_sets(_plain(docs, doc_id, text), n=n, threshold=threshold, orders=orders, shared=shared)
     rep = sets.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
     copies = sets.join(rep, "set_hash").where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
     near = pairs.join(rep.select(F.col("set_hash").alias("a"), F.col("rep").alias("x")), "a").join(rep.select(F.col("set_hash").alias("b"), F.col("rep").alias("y")), "b")
@@ -335,7 +386,7 @@ def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, orders: int = ORDERS, shared: int = SHARED) -> DataFrame:
     """docs with one document, that of the least id, of each group that ``jaccard_join`` links. All columns stay;
     rows without a partner stay, also those with null id or null or wordless text."""
-    sets, pairs, _ = similar_sets(_plain(docs, doc_id, text), n=n, threshold=threshold, orders=orders, shared=shared)
+    sets, pairs = similar_sets(_plain(docs, doc_id, text), n=n, threshold=threshold, orders=orders, shared=shared)
     nodes = components(pairs).withColumnRenamed("node", "set_hash")
     member = sets.join(nodes, "set_hash", "left").withColumn("g", F.coalesce("component", "set_hash"))
     # least of component and own hash: a component's name is one of its hashes, so names don't mix
