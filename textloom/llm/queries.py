@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import arrowseq, decontaminate, jaccard, langid, mixing, sharding
+from . import ann, arrowseq, decontaminate, jaccard, langid, mixing, pii, sharding, urlfilter, warc
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +106,55 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"))
 
 
+@query(f"""
+WITH h AS (SELECT page_id, url, coalesce(hex(encode(html)), '') AS h FROM pages),
+c AS (SELECT *, length(h) // 2 AS n, unnest(range(greatest(1, ceil(length(h) / 2 / {warc.CHUNK})::BIGINT))) AS k FROM h)
+SELECT '<urn:page:' || coalesce(page_id::VARCHAR, '') || '>' AS record_id, page_id, 'resource' AS warc_type, url AS target_uri, k::INTEGER AS chunk_no,
+       k * {warc.CHUNK} AS "offset", least({warc.CHUNK}, n - k * {warc.CHUNK})::INTEGER AS length, unhex(substr(h, k * {2 * warc.CHUNK} + 1, {2 * warc.CHUNK})) AS payload,
+       sha256(unhex(substr(h, 1, (k + 1) * {2 * warc.CHUNK}))) AS digest, (k + 1) * {warc.CHUNK} >= n AS is_last,
+       CASE WHEN (k + 1) * {warc.CHUNK} >= n THEN true END AS digest_ok, NULL::VARCHAR AS error FROM c
+""")
+def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives the pages as WARC files and reads these as the chunk table."""
+    chunks = warc.read_chunks(warc.archive(spark, load(spark, sf_dir, "pages")))
+    page = F.expr("try_cast(regexp_extract(record_id, '^<urn:page:(.*)>$', 1) AS BIGINT)")
+    return chunks.withColumn("page_id", page).drop("path", "record_no")
+
+
+@query()
+def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(load(spark, sf_dir, "documents"), PII_KEY)
+
+
+#: A key for tests and checks; in production it comes from a secret store.
+PII_KEY = b"not a secret: replace me"
+URL_RULES = [
+    ("example.net", "block"), ("www.example.net", "allow"), ("example.net/en", "allow"), ("spam-farm.example.org", "block"), ("spam-farm.example.org/en", "allow"), ("cheap-pills.example.com", "block"),
+    ("blog.example.com", "block"), ("example.org/de", "block"), ("example.org/es/1", "block"), ("thther.example.org", "allow"), ("example.com/fr", "block"), ("org", "allow"), ("therha.example.com/en", "block"), ("therha.example.com/en", "allow"),
+]
+_RULES = ", ".join(f"('{p}', '{a}')" for p, a in URL_RULES)
+_HOST = r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)"
+
+
+@query(f"""
+WITH r0(pattern, action) AS (VALUES {_RULES}),
+r AS (SELECT pattern AS key, max(action) AS action, len(string_split(split_part(pattern, '/', 1), '.')) AS labels, len(string_split(pattern, '/')) - 1 AS segments FROM r0 GROUP BY pattern),
+u AS (SELECT page_id, url, string_split(lower(trim(regexp_extract(url, '{_HOST}', 1), '. ')), '.') AS host, list_filter(string_split(regexp_extract(url, '{_HOST}', 2), '/'), lambda s: s <> '') AS path FROM pages),
+k AS (SELECT *, unnest(range(1, len(host) + 1)) AS i FROM u), k2 AS (SELECT *, unnest(range(0, len(path) + 1)) AS j FROM k),
+m AS (SELECT page_id, url, arg_max(struct_pack(a := action, k := r.key), i * 1000 + j) AS best FROM k2 JOIN r
+      ON r.key = array_to_string(list_concat([array_to_string(host[len(host) - i + 1 :], '.')], path[1 : j]), '/') GROUP BY page_id, url)
+SELECT p.page_id, p.url, coalesce(m.best.a, 'allow') AS url_action, m.best.k AS url_rule FROM pages p LEFT JOIN m ON m.page_id = p.page_id AND m.url = p.url
+""")
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "pattern string, action string")
+    return urlfilter.decide(load(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
+@query()
+def op10_multi_index_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(load(spark, sf_dir, "embeddings"))
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
