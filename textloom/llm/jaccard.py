@@ -15,10 +15,11 @@ Plan. Texts are shingled in numpy where they are read, as often as needed, which
 1. counts for the sketch; set hashes, by which equal sets become one; and min-hash bands, whose collisions give
    first groups. All pairs within a group are verified, so the filters have to find pairs across groups only:
    a thousand near copies don't meet again at each of the n-grams that they share.
-2. prefix entries, 7 bytes each, packed by hash range (``bucket``): one shuffle. In each bucket pairs of sets of
-   different groups are counted, and summed up over the buckets: the intersection of the filters.
-3. only sets in groups or candidate pairs are shingled again and sent, once each, to the connected component that
-   they belong to; pairs are verified there.
+2. entries of the prefix under the first order, 6 bytes each, packed by hash range (``bucket``): one shuffle. In
+   each bucket pairs of sets of different groups are counted, and summed up over the buckets.
+3. only sets in groups or in pairs that the first filter leaves are shingled again and sent, once each, to the
+   connected component that they belong to. There a pair goes through the filters of the other orders, and those
+   that all leave are verified.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import U64, col, counted, drop_ids, mix, selected_hashes, shared_dir, shared_path, text_batches, word_hashes
 
 NGRAM, THRESHOLD, ORDERS, SHARED = 3, 0.5, 3, 6
-SKETCH_BITS = 20
-PACK = "bucket int, tokens binary, docs binary, flags binary, sets binary, sizes binary, groups binary"
+SKETCH_BITS = 22
+PACK = "bucket int, tokens binary, docs binary, sets binary, sizes binary, groups binary"
 BANDS, BAND_ROWS = 6, 2
 
 
@@ -72,6 +73,9 @@ def set_hashes(g: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+_KINDS = (np.uint8, np.uint16, np.uint32, np.uint64)
+
+
 def _sketch(docs: DataFrame, n: int) -> np.ndarray:
     """How often n-grams of each of 2**SKETCH_BITS hash classes occur, over all documents (equal ones too)."""
     parts, width = 16, 1 << (SKETCH_BITS - 4)
@@ -83,16 +87,18 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
                 g, _ = shingles(*word_hashes(b.column("text")), n)
                 total += np.bincount((g >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
         for k in range(parts if total.any() else 0):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k * width : (k + 1) * width].astype(np.uint32 if total.max() < 2**32 else np.int64).astype("<i8").tobytes()], pa.binary())], names=["part", "counts"])
+            own = total[k * width : (k + 1) * width]
+            own = own.astype(next(t for t in _KINDS if own.max() <= np.iinfo(t).max))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.dtype.itemsize], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["part", "bytes", "counts"])
 
     def add(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.int64)
         for t in groups:
-            for x in t.column("counts").to_pylist():
-                total += np.frombuffer(x, "<i8")
+            for size, x in zip(t.column("bytes").to_pylist(), t.column("counts").to_pylist(), strict=True):
+                total += np.frombuffer(x, f"u{size}").astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
 
-    rows = docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
+    rows = docs.select("text").mapInArrow(count, "part int, bytes int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
     out = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in rows:
         out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
@@ -100,13 +106,13 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
-    """0 for hash classes with about the mean count or less; else one more for each doubling of what is above it."""
+    """0 for hash classes with about the mean count or less; above that steps of a quarter of a doubling."""
     mean = counts.mean()
-    over = np.maximum(counts - mean - 4 * math.sqrt(mean + 1), 1)
-    return np.floor(np.log2(over)).astype(np.uint64)
+    over = np.maximum(counts - mean - 2 * math.sqrt(mean), 1)
+    return np.minimum(np.floor(4 * np.log2(over)), 63).astype(np.uint8)
 
 
-def prefix_flags(g: np.ndarray, at: np.ndarray, level: np.ndarray, threshold: float, orders: int, shared: int) -> np.ndarray:
+def prefix_flags(g: np.ndarray, at: np.ndarray, level: np.ndarray, threshold: float, orders: range, shared: int) -> np.ndarray:
     """Bit k of an entry: it is in its document's prefix under order k."""
     size = np.diff(at)
     row = np.repeat(np.arange(len(size)), size)
@@ -114,18 +120,18 @@ def prefix_flags(g: np.ndarray, at: np.ndarray, level: np.ndarray, threshold: fl
     length = size - need + np.minimum(need, shared)
     rank = np.arange(len(g)) - np.repeat(at[:-1], size)
     inside = rank < np.repeat(length, size)
-    own = level[(g >> U64(64 - SKETCH_BITS)).astype(np.int64)] << U64(58)
+    own = level[(g >> U64(64 - SKETCH_BITS)).astype(np.int64)].astype(U64) << U64(58)
     flags = np.zeros(len(g), np.uint8)
-    for k in range(orders):
+    for k in orders:
         h = mix(g ^ U64((k + 1) * 0x8CB92BA72F3D8DD7 % (1 << 64)))
         order = np.lexsort((own | (h >> U64(6)), row))
         flags[order[inside]] |= np.uint8(1 << k)
     return flags
 
 
-def _pairs_of(tokens: np.ndarray, group: np.ndarray, doc: np.ndarray, flags: np.ndarray, orders: int, chunk: int = 1 << 20):
-    """Pairs of entries with equal tokens and unequal groups: how many tokens lie in both prefixes, by order.
-    Entries come sorted by (token, group, doc). Yields keys (a << 32 | b, a < b) and counts: partial sums."""
+def _pairs_of(tokens: np.ndarray, group: np.ndarray, doc: np.ndarray, chunk: int = 1 << 20):
+    """Pairs of entries with equal tokens and unequal groups, and how many tokens they share. Entries come sorted
+    by (token, group, doc). Yields keys (a << 32 | b, a < b) and counts: partial sums."""
     n = len(tokens)
     new = np.ones(n, bool)
     new[1:] = tokens[1:] != tokens[:-1]
@@ -148,31 +154,25 @@ def _pairs_of(tokens: np.ndarray, group: np.ndarray, doc: np.ndarray, flags: np.
         m = left[i]
         x = np.repeat(i, m)
         y = np.repeat(begin[i], m) + np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
-        both = flags[x] & flags[y]
-        some = both > 0
-        x, y, both = doc[x[some]], doc[y[some]], both[some]
-        key, inv = np.unique((np.minimum(x, y) << 32) | np.maximum(x, y), return_inverse=True)
+        x, y = doc[x], doc[y]
+        key, count = np.unique((np.minimum(x, y) << 32) | np.maximum(x, y), return_counts=True)
         keys.append(key)
-        counts.append(np.stack([np.bincount(inv, weights=(both >> k) & 1, minlength=len(key)) for k in range(orders)], axis=1).astype(np.int32))
+        counts.append(count)
         held += len(key)
         at = stop
-        if held > 2 << 20 or at >= len(keep):
+        if held > 1 << 20 or at >= len(keep):
             key, inv = np.unique(np.concatenate(keys), return_inverse=True)
-            sums = np.zeros((len(key), orders), np.int32)
-            np.add.at(sums, inv, np.concatenate(counts))
+            sums = np.bincount(inv, np.concatenate(counts)).astype(np.int32)
             keys, counts, held = [key], [sums], len(key)
-            if held > 1 << 20 or at >= len(keep):
+            if held > 1 << 19 or at >= len(keep):
                 yield key, sums
                 keys, counts, held = [], [], 0
 
 
-def candidates(docs: DataFrame, *, n: int, threshold: float, orders: int, shared: int) -> DataFrame:
-    """(a, b): set hashes (as long) of pairs across groups that pass the filters of all orders.
-    docs: (text, component), the group or null of a set that has none."""
-    spark = docs.sparkSession
-    counts = _sketch(docs, n)
-    buckets = max(4, math.ceil(counts.sum() / 4_000_000))
-    level = spark.sparkContext.broadcast(_levels(counts))
+def candidates(docs: DataFrame, level, total: int, *, n: int, threshold: float, shared: int) -> DataFrame:
+    """(a, b): set hashes (as long) of pairs across groups that pass the filter of the first order.
+    docs: (text, component), the group or null of a set that has none; level: broadcast; total: n-grams in all."""
+    buckets = max(4, math.ceil(total / 2_500_000))
 
     def pack(batches):
         for whole in batches:
@@ -187,26 +187,25 @@ def candidates(docs: DataFrame, *, n: int, threshold: float, orders: int, shared
                 pick = np.repeat(one, size)
                 g, size, s, c = g[pick], size[one], s[one], c[one]
                 at = np.concatenate([[0], np.cumsum(size)])
-                f = prefix_flags(g, at, level.value, threshold, orders, shared)
+                f = prefix_flags(g, at, level.value, threshold, range(1), shared)
                 row = np.repeat(np.arange(len(size)), size)
                 in_any = f > 0
-                g, f, row = g[in_any], f[in_any], row[in_any]
+                g, row = g[in_any], row[in_any]
                 own = ((g >> U64(32)) * U64(buckets)) >> U64(32)
                 order = np.argsort(own, kind="stable")
-                g, f, row, own = g[order].astype(np.uint32), f[order], row[order], own[order]
+                g, row, own = g[order].astype(np.uint32), row[order], own[order]
                 cut = np.searchsorted(own, np.arange(buckets + 1))
                 for k in np.flatnonzero(np.diff(cut)):
                     part = slice(cut[k], cut[k + 1])
                     have, local = np.unique(row[part], return_inverse=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (g[part], local.astype(np.uint32 if len(have) > 65535 else np.uint16), f[part], s[have], size[have].astype(np.int32), c[have]))], names=["bucket", "tokens", "docs", "flags", "sets", "sizes", "groups"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (g[part], local.astype(np.uint32 if len(have) > 65535 else np.uint16), s[have], size[have].astype(np.int32), c[have]))], names=["bucket", "tokens", "docs", "sets", "sizes", "groups"])
 
     def count(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sets, flags, known, sizes, groups_of = [], [], [], [], [], []
+        tokens, sets, known, sizes, groups_of = [], [], [], [], []
         for t in groups:
             for r in range(t.num_rows):
-                part = {k: np.frombuffer(t.column(k)[r].as_buffer(), d) for k, d in (("tokens", np.uint32), ("flags", np.uint8), ("sets", U64), ("sizes", np.int32), ("groups", np.int64))}
+                part = {k: np.frombuffer(t.column(k)[r].as_buffer(), d) for k, d in (("tokens", np.uint32), ("sets", U64), ("sizes", np.int32), ("groups", np.int64))}
                 tokens.append(part["tokens"])
-                flags.append(part["flags"])
                 sets.append(np.frombuffer(t.column("docs")[r].as_buffer(), np.uint16 if len(part["sets"]) <= 65535 else np.uint32).astype(np.int32) + sum(map(len, known)))
                 known.append(part["sets"])
                 sizes.append(part["sizes"])
@@ -220,17 +219,14 @@ def candidates(docs: DataFrame, *, n: int, threshold: float, orders: int, shared
         u, size, label = u[np.argsort(rank)], size[np.argsort(rank)], label[np.argsort(rank)]
         doc = rank[place][np.concatenate(sets)]
         order = (np.concatenate(tokens).astype(np.uint64) << U64(32)) | doc.astype(np.uint64)
-        f = np.concatenate(flags)
-        del sets, tokens, flags, doc
-        by = np.argsort(order, kind="stable")
-        order, f = order[by], f[by]
-        del by
+        del sets, tokens, doc
+        order.sort()
         keep = np.ones(len(order), bool)
         keep[1:] = order[1:] != order[:-1]
-        order, f = order[keep], f[keep]
+        order = order[keep]
         t, doc = (order >> U64(32)).astype(np.uint32), (order & U64(0xFFFFFFFF)).astype(np.int64)
         del order
-        for keys, counts in _pairs_of(t, label[doc], doc, f, orders):
+        for keys, counts in _pairs_of(t, label[doc], doc):
             a, b = keys >> 32, keys & 0xFFFFFFFF
             small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
             fits = small >= np.ceil(threshold * large - 1e-9)  # else even one within the other is too small
@@ -241,14 +237,10 @@ def candidates(docs: DataFrame, *, n: int, threshold: float, orders: int, shared
             x, y = np.minimum(x, y), np.maximum(x, y)
             for i in range(0, len(a), 200_000):
                 s = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x[s]), pa.array(y[s]), pa.array(need[s], pa.int32()), *(pa.array(counts[s, k], pa.int32()) for k in range(orders))], names=["a", "b", "need", *(f"c{k}" for k in range(orders))])
+                yield pa.RecordBatch.from_arrays([pa.array(x[s]), pa.array(y[s]), pa.array(need[s], pa.int32()), pa.array(counts[s], pa.int32())], names=["a", "b", "need", "n"])
 
-    schema = "a long, b long, need int" + "".join(f", c{k} int" for k in range(orders))
-    partial = docs.select("text", "component").mapInArrow(pack, PACK).groupBy("bucket").applyInArrow(count, schema)
-    found = partial.groupBy("a", "b").agg(F.first("need").alias("need"), *(F.sum(f"c{k}").alias(f"c{k}") for k in range(orders)))
-    for k in range(orders):
-        found = found.where(F.col(f"c{k}") >= F.col("need"))
-    return found.select("a", "b")
+    partial = docs.select("text", "component").mapInArrow(pack, PACK).groupBy("bucket").applyInArrow(count, "a long, b long, need int, n int")
+    return partial.groupBy("a", "b").agg(F.first("need").alias("need"), F.sum("n").alias("n")).where("n >= need").select("a", "b")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -291,8 +283,8 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key long, set_hash long, bands array<long>")
 
 
-def _verify(threshold: float):
-    """Pairs of sets of one group, and those given, that have the similarity."""
+def _verify(level, threshold: float, orders: int, shared: int):
+    """Pairs of sets of one group, and those given, that pass the filters and have the similarity."""
 
     def run(key, pairs: pa.Table, sets: pa.Table) -> pa.Table:
         names, one = np.unique(sets.column("set_hash").to_numpy(), return_index=True)  # rows that repeat: once
@@ -301,7 +293,12 @@ def _verify(threshold: float):
         own = [np.frombuffer(x.as_buffer(), U64) for x in sets.column("grams")]
         vocabulary = np.unique(np.concatenate(own)) if own else np.empty(0, U64)
         ids = [np.searchsorted(vocabulary, x) for x in own]
-        size = np.array([len(x) for x in ids])
+        size = np.array([len(x) for x in ids], np.int64)
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        flags = prefix_flags(np.concatenate(own), bounds, level.value, threshold, range(orders), shared) if own else np.empty(0, np.uint8)
+        prefix = [[ids[i][(flags[bounds[i] : bounds[i + 1]] >> k) & 1 > 0] for i in range(len(ids))] for k in range(orders)]
+        need = np.minimum(np.ceil(threshold * size - 1e-9), shared)
+        del own, flags
         at = {int(k): i for i, k in enumerate(names)}
         partners: dict[int, list[int]] = {}
         for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
@@ -313,17 +310,22 @@ def _verify(threshold: float):
         for members in by.values():
             for k, i in enumerate(members):
                 partners.setdefault(i, []).extend(members[k + 1 :])
-        flag, a, b, j = np.zeros(len(vocabulary), bool), [], [], []
+        flag, a, b, j = np.zeros(len(vocabulary), np.uint8), [], [], []
         for i, others in partners.items():
-            flag[ids[i]] = True
-            for k in others:
-                if min(size[i], size[k]) >= threshold * max(size[i], size[k]) - 1e-9:
-                    both = int(np.count_nonzero(flag[ids[k]]))
-                    if both >= threshold * (size[i] + size[k] - both):
-                        a.append(min(names[i], names[k]))
-                        b.append(max(names[i], names[k]))
-                        j.append(both / int(size[i] + size[k] - both))
-            flag[ids[i]] = False
+            flag[ids[i]] = 1 << orders
+            for k in range(orders):
+                flag[prefix[k][i]] |= 1 << k
+            for o in others:
+                if min(size[i], size[o]) < threshold * max(size[i], size[o]) - 1e-9:
+                    continue
+                least = min(need[i], need[o])
+                if all(np.count_nonzero(flag[prefix[k][o]] & (1 << k)) >= least for k in range(orders)):
+                    both = int(np.count_nonzero(flag[ids[o]]))
+                    if both >= threshold * (size[i] + size[o] - both):
+                        a.append(min(names[i], names[o]))
+                        b.append(max(names[i], names[o]))
+                        j.append(both / int(size[i] + size[o] - both))
+            flag[ids[i]] = 0
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "jaccard": pa.array(j, pa.float64())})
 
     return run
@@ -340,7 +342,9 @@ def similar_sets(docs: DataFrame, *, n: int, threshold: float, orders: int, shar
     stars = hub.select("a", F.explode("all").alias("b")).where("a <> b")
     groups = components(stars).withColumnRenamed("node", "set_hash")
     label = counted(sets.join(groups, "set_hash").groupBy("key").agg(F.first("component").alias("component")))
-    candidates(docs.join(label, "key", "left"), n=n, threshold=threshold, orders=orders, shared=shared).write.parquet(made[1])
+    counts = _sketch(docs, n)
+    level = spark.sparkContext.broadcast(_levels(counts))
+    candidates(docs.join(label, "key", "left"), level, int(counts.sum()), n=n, threshold=threshold, shared=shared).write.parquet(made[1])
     pairs = spark.read.parquet(made[1])
     linked = components(pairs.union(groups.select("set_hash", "component"))).select(F.col("node").alias("set_hash"), F.col("component").alias("graph"))
     first = sets.groupBy("set_hash").agg(F.min(F.struct("doc_id", "key")).alias("d")).join(linked, "set_hash").join(groups, "set_hash", "left")
@@ -354,7 +358,7 @@ def similar_sets(docs: DataFrame, *, n: int, threshold: float, orders: int, shar
 
     blobs = wanted.select("text", "graph", "component", "set_hash").mapInArrow(grams, "graph long, component long, set_hash long, grams binary")
     known = pairs.join(linked.select(F.col("set_hash").alias("a"), "graph"), "a")
-    known.groupBy("graph").cogroup(blobs.groupBy("graph")).applyInArrow(_verify(threshold), "a long, b long, jaccard double").write.parquet(made[2])
+    known.groupBy("graph").cogroup(blobs.groupBy("graph")).applyInArrow(_verify(level, threshold, orders, shared), "a long, b long, jaccard double").write.parquet(made[2])
     return sets.select("doc_id", "set_hash"), spark.read.parquet(made[2])
 
 
