@@ -1,0 +1,362 @@
+"""Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeats and extra columns."""
+
+import glob
+import random
+import tempfile
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from textloom.llm import ann, arrowseq, decontaminate, jaccard, langid, mixing, pii, sharding, urlfilter, warc
+from textloom.llm.common import drop_ids, word_hashes
+
+WORDS = "the of and in to a er on th nd ing re thea onat erth wht shan ble edou estr liko mura tevo sani poru dela vixo".split()
+
+
+def text(rng, n):
+    return " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n))
+
+
+def frame(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def rows(df):
+    return {tuple(r) for r in df.collect()}
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = random.Random(5)
+    bench = [(i, text(rng, rng.randint(10, 40))) for i in range(6)] + [(6, None), (7, ""), (8, "two words")]
+    docs = []
+    for i in range(60):
+        t = text(rng, rng.randint(0, 120))
+        if i % 10 == 3:
+            w = bench[i // 10][1].split()
+            w[4] = "changed"
+            t += ". " + " ".join(w).upper() + "! " + text(rng, 5)
+        docs.append((i, t))
+    for i in range(60, 90):
+        w = docs[i % 7][1].split() or ["x"]
+        for _ in range(i % 5):
+            w[rng.randrange(len(w))] = rng.choice(WORDS)
+        docs.append((i, " ".join(w)))
+    docs += [(100, None), (None, "x y z"), (101, ""), (102, "!!! ..."), (103, "one two"), (104, "One, two"), (5, docs[5][1]), (6, text(rng, 30)), (105, "w" * 3_000_000), (106, text(rng, 30_000))]
+    return docs, bench
+
+
+def with_extras(spark, docs):
+    """Columns whose names clash with those that the operators use inside or give."""
+    df = frame(spark, docs, "doc_id long, text string")
+    return df.selectExpr("doc_id", "text", "'x' AS key", "1 AS component", "2 AS shard", "'k' AS pii_kinds", "doc_id AS item_id", "'s' AS source", "'en' AS lang", "'q' AS `a.b`", "0 AS rank", "3 AS slot")
+
+
+def test_word_hashes_do_not_depend_on_windows(monkeypatch):
+    from textloom.llm import common
+
+    texts = pa.array(["Aa bb\ncc", None, "", "ß-é 12", "x" * 5000, "a b"])
+    h, off = word_hashes(texts)
+    assert np.diff(off).tolist() == [3, 0, 0, 2 + 1, 1, 2]
+    assert h[0] == word_hashes(pa.array(["aa"]))[0][0]
+    monkeypatch.setattr(common, "WINDOW", 7)
+    h2, off2 = word_hashes(texts)
+    assert (h == h2).all() and (off == off2).all()
+
+
+def test_contamination(spark, corpus):
+    docs, bench = corpus
+    short = [d for d in docs if len(d[1] or "") < 5000]
+    got = rows(decontaminate.contamination(with_extras(spark, short), frame(spark, bench, "item_id long, text string")))
+    assert got == decontaminate.brute_force(short, bench)
+    assert {d for d, *_ in got} >= {3, 13, 23, 33, 43, 53}
+    sliced = decontaminate.contamination(frame(spark, short, "doc_id long, text string"), frame(spark, bench, "item_id long, text string"), broadcast_bytes=20_000)
+    assert rows(sliced) == got
+    left = decontaminate.decontaminate(with_extras(spark, docs), frame(spark, bench, "item_id long, text string"))
+    assert {r.doc_id for r in left.collect()} == {d for d, _ in docs} - {d for d, *_ in got} and left.columns == with_extras(spark, []).columns
+    empty = frame(spark, [], "item_id long, text string")
+    assert decontaminate.contamination(with_extras(spark, docs), empty).count() == 0
+    assert decontaminate.contamination(with_extras(spark, []), frame(spark, bench, "item_id long, text string")).count() == 0
+
+
+def test_jaccard_join(spark, corpus):
+    docs, _ = corpus
+    got = rows(jaccard.jaccard_join(with_extras(spark, docs)))
+    assert got == jaccard.brute_force(docs)
+    assert len(got) > 20
+    kept = jaccard.deduplicate(with_extras(spark, docs))
+    parent = {d: d for d, _ in docs if d is not None}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b, _ in got:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    ids = sorted((r.doc_id for r in kept.collect()), key=str)
+    assert ids == sorted((d for d, _ in docs if d is None or find(d) == d), key=str)
+    assert kept.columns == with_extras(spark, []).columns
+    assert jaccard.jaccard_join(with_extras(spark, [])).count() == 0
+
+
+def test_jaccard_filters_alone_find_all_pairs(spark, corpus, monkeypatch):
+    """Without first groups every pair has to come through the filters of all orders."""
+    docs, _ = corpus
+    monkeypatch.setattr(jaccard, "BANDS", 1)
+    monkeypatch.setattr(jaccard, "BAND_ROWS", 12)
+    for threshold in (0.3, 0.7):
+        assert rows(jaccard.jaccard_join(with_extras(spark, docs), threshold=threshold)) == jaccard.brute_force(docs, threshold=threshold)
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (7, 5), (5, 6), (9, 9), (3, 1), (20, 21), (21, 22), (22, 23), (23, 24)]
+    assert rows(jaccard.components(frame(spark, edges, "a long, b long"))) == {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5), (7, 5), *((i, 20) for i in range(20, 25))}
+
+
+def test_language_models_match_definition(spark):
+    train = [(1, "The cat and the hat.", "en"), (2, "Der Hund und die Katze", "de"), (3, "the end", "en"), (4, None, "en"), (5, "x", None), (6, "", "de")]
+    df = frame(spark, train, "doc_id long, text string, lang string")
+    counts: dict = {}
+    for r in langid.ngram_counts(df).collect():
+        g = "".join(chr((r.gram >> s) & 65535) for s in (48, 32, 16, 0))
+        counts.setdefault(r.lang, {})[g] = r.n
+    model = langid.train(df)
+    for t in ("the hund", "Katze, cat!", "ÉÉ 77 zz", "", "q"):
+        want = langid.brute_force(counts, t)
+        h = model.entropies(pa.array([t]))[0][0]
+        assert dict(zip(model.langs, h, strict=True)) == pytest.approx(want, rel=1e-5)
+
+
+def test_language_held_out_accuracy(spark):
+    rng = random.Random(1)
+    syllables = {"aa": "ka ro mi te lu".split(), "bb": "sch pf ung ich ach".split(), "cc": "eau oui tré que ais".split()}
+    make = lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    train = [(i, make(lang, 40), lang) for i, lang in enumerate("aa bb cc".split() * 20)]
+    test = [(i, make(lang, 12), lang) for i, lang in enumerate("aa bb cc".split() * 30)] + [(900, "xyz wvq jjj 0123", None), (901, None, "aa"), (902, "", "bb"), (903, "123 %", "cc")]
+    schema = "doc_id long, text string, lang string"
+    model = langid.train(frame(spark, train, schema))
+    got = {r.doc_id: r for r in langid.identify(frame(spark, test, schema), model).collect()}
+    assert all(got[i].language == lang and got[i].accepted for i, _, lang in test[:90])
+    assert not any(got[i].accepted for i in (900, 901, 902, 903)) and got[901].language is None
+    kept = langid.accepted(frame(spark, test, schema), model)
+    assert {r.doc_id for r in kept.collect()} == set(range(90)) and kept.columns == ["doc_id", "text", "lang"]
+    assert langid.identify(frame(spark, [], schema), model).count() == 0
+    none = langid.train(frame(spark, [], schema))
+    assert [r.accepted for r in langid.identify(frame(spark, test[:2], schema), none).collect()] == [False, False]
+
+
+def test_long_text_is_scored_whole(spark):
+    schema = "doc_id long, text string, lang string"
+    model = langid.train(frame(spark, [(1, "the cat sat on the mat", "en")], schema))
+    t = "the cat sat " * 120_000
+    h, size, _ = model.entropies(pa.array([t, "mat"]))
+    k = langid.grams(langid.symbols(pa.array([t]))[0])[4:]
+    assert size[0] == len(k) - 3 and h[0, 0] == pytest.approx(-model.gram_scores(k[: size[0]]).astype(float).mean(), rel=1e-6)
+
+
+def test_sharding(spark):
+    docs = [(i, f"t{i}") for i in range(500)] + [(None, "n"), (3, "again")]
+    out = sharding.reshard(with_extras(spark, docs), "doc_id", 10, 11)
+    for r in out.collect():
+        assert r.shard == sharding.brute_force(r.doc_id, 10) and r.new_shard == sharding.brute_force(r.doc_id, 11)
+        assert r.moved in (None, False) or r.new_shard == 10
+    assert out.columns.count("shard") == 1 and out.count() == 502
+    assert 20 < out.where("moved").count() < 80
+    assert sharding.assign(with_extras(spark, []), "doc_id").count() == 0
+    assert rows(sharding.assign(with_extras(spark, docs[:5]), "doc_id", 1).select("shard")) == {(0,)}
+
+
+def test_mixing(spark):
+    rng = random.Random(3)
+    docs = [(i, text(rng, rng.randint(0, 60)), None, rng.choice(["a", "a", "a", "b", "c", None]), 0) for i in range(200)]
+    docs += [(500, None, None, "a", 0), (None, "x y", None, "a", 0), (501, "  ", None, "b", 0), (502, text(rng, 3000), None, "b", 0), (7, "twice", None, "a", 0)]
+    df = frame(spark, docs, DOCS)
+    short = [(d, t, s) for d, t, _, s, _ in docs]
+    for weights in (None, {"a": 1, "b": 5, "c": 0}):
+        got = rows(mixing.mix(df, weights=weights, block_tokens=100, range_rows=20).select("slot", "source", "epoch", "block", "offset", "doc_id", "token_from", "token_to"))
+        assert got == mixing.brute_force(short, weights, 100)
+    assert mixing.mix(frame(spark, [], DOCS)).count() == 0
+    whole = mixing.mixed_documents(df.where("doc_id <> 7"), block_tokens=100)
+    assert {r.doc_id for r in whole.collect()} == {d for d, t, *_ in docs if d not in (None, 7) and (t or "").split()} and whole.columns == df.columns
+
+
+def test_schedule_meets_targets():
+    own = [1, 2, 5]
+    upper = mixing.bounds(own)
+    n = [0, 0, 0]
+    for t in range(4000):
+        p = t * mixing.GOLDEN % mixing.ONE
+        n[next(k for k, u in enumerate(upper) if p < u)] += 1
+        assert t < 100 or all(abs(n[k] - (t + 1) * own[k] / 8) < 6 for k in range(3))
+
+
+def test_arrow_sequences_round_trip(spark, tmp_path):
+    docs = [(1, "Hello world, it's  fine.\n\nYes"), (2, None), (3, ""), (None, "ß é 漢字 🎉"), (4, "word " * 3000), (4, "word " * 3000)]
+    files = arrowseq.sequences(with_extras(spark, docs).coalesce(1), length=64, rows_per_file=16)
+    table = sorted(files.collect(), key=lambda r: r.file_id)
+    encode = arrowseq.encoder().encode_ordinary
+    want = [x for _, t in docs if t is not None for x in [*encode(t), arrowseq.EOT]]
+    got, listed = [], []
+    for r in table:
+        ids, mask = arrowseq.open_sequences(r.arrow)
+        assert ids.shape == mask.shape == (r.sequences, 64) and mask.sum() == r.tokens and r.sequences * 64 - r.tokens == r.padding
+        got += ids.reshape(-1)[mask.reshape(-1) == 1].tolist()
+        listed += [d for d, s in zip(r.doc_ids, r.doc_starts, strict=True) if s >= 0]
+    assert got == want and sorted(listed, key=str) == sorted([1, 3, None, 4, 4], key=str)
+    saved = arrowseq.save(files, str(tmp_path / "out")).collect()
+    assert len(glob.glob(str(tmp_path / "out/*.arrow"))) == len(saved) == len(table)
+    ids, mask = arrowseq.open_sequences(saved[0].path)
+    assert not ids.flags.owndata and not mask.flags.owndata
+    assert arrowseq.sequences(with_extras(spark, [])).count() == 0
+
+
+def test_long_text_has_the_tokens_of_the_whole():
+    rng = random.Random(2)
+    t = " ".join(text(rng, 9) + rng.choice([".\n", "  ", "!", " 12 ", "é"]) for _ in range(300))
+    encode = arrowseq.encoder().encode_ordinary
+    assert arrowseq._encode(encode, t, 500) == encode(t)
+
+
+def test_warc(spark):
+    big = "é" * 50_000
+    pages = [(1, "http://a/b\nc", "<p>x</p>"), (2, None, None), (None, "u", ""), (3, "v", big), (3, "v", big)]
+    files = warc.archive(spark, frame(spark, pages, "page_id long, url string, html string").coalesce(2))
+    out = warc.read_chunks(files, chunk_bytes=1000).collect()
+    by: dict = {}
+    for r in out:
+        by.setdefault((r.path, r.record_no), []).append(r)
+    whole = []
+    for chunks in by.values():
+        chunks.sort(key=lambda r: r.chunk_no)
+        data, import_hash = b"", __import__("hashlib")
+        for c in chunks:
+            assert c.offset == len(data) and c.length == len(c.payload) <= 1000
+            data += c.payload
+            assert c.digest == import_hash.sha256(data).hexdigest() and c.is_last == (c is chunks[-1])
+        assert chunks[-1].digest_ok and chunks[0].record_id.startswith("<urn:page:")
+        whole.append((chunks[0].target_uri, data.decode()))
+    assert sorted(whole, key=str) == sorted([("http://a/b%0Ac", "<p>x</p>"), (None, ""), ("u", ""), ("v", big), ("v", big)], key=str)
+
+
+def test_warc_damaged(spark):
+    good = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <a>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    cases = {"cut": good + good[:-6], "junk": good + b"junk\r\n", "nolen": b"WARC/1.0\r\nA: b\r\n\r\n", "none": b"", "wrong": good.replace(b"<a>", b"<a>\r\nWARC-Block-Digest: sha256:00")}
+    folder = tempfile.mkdtemp()
+    for name, data in cases.items():
+        with open(f"{folder}/{name}.warc", "wb") as f:
+            f.write(data)
+    paths = [(f"{folder}/{n}.warc",) for n in cases] + [(f"{folder}/absent.warc",), (None,), (f"{folder}/cut.warc",)]
+    got: dict = {}
+    for r in warc.read_chunks(frame(spark, paths, "path string")).collect():
+        got.setdefault(r.path.split("/")[-1][:-5], []).append(r)
+    assert [r.error for r in sorted(got["cut"], key=lambda r: r.record_no)] == [None, "truncated"]
+    assert [r.error for r in sorted(got["junk"], key=lambda r: r.record_no)] == [None, "not a record"]
+    assert got["nolen"][0].error == "no length" and "none" not in got and got["wrong"][0].digest_ok is False and got["absent"][0].error
+    assert warc.read_chunks(frame(spark, [], "path string")).count() == 0
+
+
+def test_pii(spark):
+    key = b"k1"
+    a = "card 4111 1111 1111 1111, 4111111111111111; on 2024-02-29, ssn 078-05-1120 DE89 3704 0044 0532 0130 00 +49 30 901820 +1 (249) 555-6835 8.8.8.8 bob.05@x.org token = \"2494638875ad0abf3d57c0\""
+    docs = [(1, a), (2, None), (3, ""), (4, "no numbers"), (5, "4111111111111112 999.1.1.1 2023-02-30 000-12-1234 v1.2 3.14"), (6, "again 4111-1111-1111-1111 2024-02-29"), (6, "again 4111-1111-1111-1111 2024-02-29")]
+    out = pii.pseudonymise(with_extras(spark, docs), key)
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[1].pii_kinds == ["card", "card", "date", "ssn", "iban", "phone", "phone", "ip", "email", "secret"]
+    assert got[2].text is None and got[2].pii_kinds is None and got[3].text == "" and got[3].pii_kinds == []
+    assert got[4].text == docs[3][1] and got[5].text == docs[4][1]
+    new = got[1].text.replace(",", " ").replace(";", " ").split()
+    card = "".join(new[1:5])
+    assert card == new[5] and pii.luhn(card[:-1]) == int(card[-1]) and card != "4" + "1" * 15
+    assert got[6].text.split()[1].replace("-", "") == card and got[6].text.split()[2] == new[7]
+    assert all(len(x) == len(y) for x, y in zip(a.split(), got[1].text.split(), strict=True))
+    assert out.count() == 7 and out.columns == [c for c in with_extras(spark, []).columns if c != "pii_kinds"] + ["pii_kinds"]
+    assert pii.pseudonymise(with_extras(spark, []), key).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000])
+def test_feistel_is_a_permutation(size):
+    assert sorted(pii.permute(x, size, b"k", "t") for x in range(size)) == list(range(size))
+
+
+def test_pii_formats_are_bijections():
+    days = {pii.date(f"{y}-{m:02d}-{d:02d}", b"k") for y in (1999, 2000) for m in range(1, 13) for d in range(1, 29)}
+    assert len(days) == 2 * 12 * 28
+    assert len({pii.ssn(f"665-{g:02d}-{s:04d}", b"k") for g in range(1, 20) for s in range(1, 50)}) == 19 * 49
+
+
+def test_url_filter(spark):
+    rules = [("example.org", "block"), ("www.example.org", "allow"), ("example.org/a", "allow"), ("example.org/a/b", "block"), ("example.org/a/b", "allow"), (None, "block"), ("x.net", "other"), ("org", "allow"), ("org", "allow"), ("Net/Q", "block")]
+    urls = ["http://example.org/", "https://user:p@a.b.EXAMPLE.org:80/a?x=/b#c", "example.org/a//b/c", "www.example.org/a/b", "other.org", "http://x.net/Q/1", "x.net/q", None, "", "///", "mailto:", "notexample.org", "example.org"]
+    pages = [(i, u, "body") for i, u in enumerate(urls)] + [(0, urls[0], "body")]
+    df = frame(spark, pages, "page_id long, url string, html string").selectExpr("*", "'x' AS url_rule", "1 AS u", "2 AS key")
+    rule = frame(spark, rules, "pattern string, action string")
+    want = sorted((i, *urlfilter.brute_force(u, [r for r in rules if r[0] and r[1] != "other"])) for i, u, _ in pages)
+    for limit in (100, 0):
+        out = urlfilter.decide(df, rule, broadcast_rules=limit)
+        assert sorted(((r.page_id, r.url_action, r.url_rule) for r in out.collect()), key=str) == sorted(want, key=str)
+    assert urlfilter.decide(df.where("false"), rule).count() == 0
+    assert rows(urlfilter.decide(df, rule.where("false")).select("url_action")) == {("allow",)}
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 6)).astype(np.float32)
+    x[7] = x[8] = x[9]
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    odd = [(None, [0.0] * 6), (900, None), (901, [1.0]), (902, [float("nan")] * 6), (903, [None] * 6), (3, data[3][1])]
+    df = frame(spark, data + odd, "vec_id long, embedding array<float>").selectExpr("*", "1 AS part", "2 AS id", "'l' AS label")
+    exact = ann.brute_force(data, 5)
+    got: dict = {}
+    for r in ann.neighbours(df, k=5, visit=1.0, part_rows=150).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.neighbour_id
+    assert {q: [n[i] for i in sorted(n)] for q, n in got.items()} == exact
+    near: dict = {}
+    for r in ann.neighbours(df, k=5).collect():
+        near.setdefault(r.query_id, set()).add(r.neighbour_id)
+    assert np.mean([len(near[q] & set(exact[q])) / 5 for q in exact]) >= 0.9
+    assert ann.neighbours(df.where("false")).count() == 0
+    assert ann.neighbours(df.where("vec_id = 1")).count() == 0
+    assert rows(ann.neighbours(df.where("vec_id IN (1, 2)")).select("query_id", "neighbour_id")) == {(1, 2), (2, 1)}
+
+
+def test_traversal_takes_cells_by_summed_distance():
+    rng = np.random.default_rng(1)
+    d1, d2, sizes = rng.random(5), rng.random(7), rng.integers(0, 4, 35).tolist()
+    cells = ann.traverse(d1, d2, sizes, 10**9)
+    want = [c for c in sorted(range(35), key=lambda c: d1[c // 7] + d2[c % 7]) if sizes[c]]
+    assert cells == want
+    few = ann.traverse(d1, d2, sizes, 10)
+    assert few == want[: len(few)] and sum(sizes[c] for c in few) >= 10 > sum(sizes[c] for c in few[:-1])
+
+
+def test_drop_ids(spark):
+    df = frame(spark, [(1, "a"), (None, "b"), (2, "c")], "doc_id long, text string")
+    assert rows(drop_ids(df, "doc_id", frame(spark, [(1,), (None,)], "x long"))) == {(2, "c")}
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    bench = [(i, text(rng, 30)) for i in range(3)]
+    docs = [(i, text(rng, 60) + "\n" + text(rng, 40), "en", f"s{i % 3}", 0) for i in range(40)]
+    docs += [(50, docs[0][1] + " end", "en", "s0", 0), (51, docs[1][1], "en", "s1", 0), (52, text(rng, 30) + " " + bench[1][1], "en", "s2", 0), (53, "Ж" * 40, None, "s1", 0), (54, None, "en", "s1", 0), (55, "", "en", "s1", 0)]
+    frame(spark, docs, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    frame(spark, bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    want = [set(range(40)) | {50, 51, 52}, set(range(40)) | {52}, set(range(40)), set(range(40))]
+    for (_, stage), ids in zip(corpus_pipeline.STAGES[:4], want, strict=True):
+        out = stage(spark, at, str(tmp_path))
+        assert out.columns == at.columns
+        path = str(tmp_path / stage.__name__)
+        out.write.parquet(path)
+        at = spark.read.parquet(path)
+        assert {r.doc_id for r in at.collect()} == ids
+    final = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {d for r in final for d in r.doc_ids} == set(range(40))

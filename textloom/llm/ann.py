@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import col
 
-NEIGHBOURS, VISIT, ROUNDS, PART_ROWS, CELL_ROWS = 10, 0.55, 6, 25_000, 50
+NEIGHBOURS, VISIT, ROUNDS, PART_ROWS, CELL_ROWS = 10, 0.55, 6, 25_000, 12
 
 
 def vectors(batch: pa.RecordBatch, name: str = "embedding") -> np.ndarray:

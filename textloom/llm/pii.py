@@ -5,7 +5,7 @@ values of that format, permuted there by a keyed Feistel network and written bac
 length and validity stay, and equal values get equal pseudonyms in all documents, however they are written.
 Kinds: payment cards (Luhn), IBAN (mod 97), US social security numbers, phone numbers, IPv4 addresses, dates;
 also the local part of e-mail addresses and hexadecimal secrets, whose letters and digits are numbers to bases
-26, 10 and 16.
+26, 10 and 16, and cloud access keys.
 
 Plan: one narrow pass; a byte test leaves all texts without a digit or an @ alone.
 """
@@ -19,6 +19,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import buffers, text_batches, without
 
@@ -186,11 +187,16 @@ def secret(m: str, key: bytes) -> str | None:
     return _mixed(m, key, "hex", ("0123456789abcdef",) if m == m.lower() else ("0123456789ABCDEF",) if m == m.upper() else ("0123456789", "abcdef", "ABCDEF"))
 
 
+def access_key(m: str, key: bytes) -> str | None:
+    return m[:4] + _mixed(m[4:], key, "access key")
+
+
 #: In order of precedence where several begin at one place.
 KINDS = {
     "email": (r"(?<![\w.+\-])[A-Za-z0-9_.+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w\-])", email),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
     "secret": (r"(?i:(?<=token)|(?<=secret)|(?<=key)|(?<=password))(?P<lead>[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>(?:[0-9a-f]{16,128}|[0-9A-F]{16,128}))(?![0-9A-Za-z])", secret),
+    "access_key": (r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", access_key),
     "phone": (r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)", phone),
     "ip": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", address),
     "ssn": (r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)", ssn),
@@ -240,8 +246,6 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text") -> DataFram
     keep = without(docs, "pii_kinds")
     docs = docs.select(*("`" + c.replace("`", "``") + "`" for c in keep))
     at = keep.index(text)
-    from pyspark.sql import types as T
-
     schema = T.StructType([*docs.schema.fields, T.StructField("pii_kinds", T.ArrayType(T.StringType()))])
 
     def run(batches):
