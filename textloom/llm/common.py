@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 #: Bytes that numpy works on at once; the temporaries are about 40 times this.
@@ -186,3 +187,10 @@ def drop_ids(docs: DataFrame, doc_id: str, ids: DataFrame) -> DataFrame:
     rows with a null id."""
     ids = counted(ids.select(F.col(ids.columns[0]).alias("__drop_id")))
     return docs.join(ids, docs[quoted(doc_id)].eqNullSafe(ids["__drop_id"]), "left_anti")
+
+
+def map_rows(df: DataFrame, run, extra: list[T.StructField]) -> DataFrame:
+    """df through mapInArrow with all its columns, which run gets as c0, c1, ... whatever their names (mapInArrow
+    itself can't take a name with a dot), and the columns in extra after them."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in plain.schema.fields), *extra])).toDF(*df.columns, *(f.name for f in extra))

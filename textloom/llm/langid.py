@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, col, mix, text_batches
+from .common import U64, col, map_rows, mix, text_batches
 
 ORDER = 4
 _TABLE: np.ndarray | None = None
@@ -301,4 +301,4 @@ def accepted(docs: DataFrame, model: Model, *, text: str = "text", lang: str = "
                 columns[target] = pa.array([m.langs[x] if y else None for x, y in zip(best, ok, strict=True)], columns[target].type)
                 yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(ok))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, [])

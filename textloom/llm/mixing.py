@@ -125,14 +125,14 @@ def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", **kw) -> DataFra
     """Whole documents in the order of the schedule: a row of docs comes once for each slot that has its first
     token, so documents of sources that go through several epochs repeat. Rows without words or id are not in
     any block and go; an id that repeats must have one text. All columns stay."""
-    order = mix(docs, doc_id=doc_id, **kw).where("token_from = 0").select("slot", "offset", F.col("doc_id").alias("__id"))
+    order = mix(docs, doc_id=doc_id, **kw).where("token_from = 0").select(F.col("slot").alias("__slot"), F.col("offset").alias("__offset"), F.col("doc_id").alias("__id"))
     order = counted(order)
     both = docs.join(order, col(doc_id).cast("long") == F.col("__id"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slots = (order.agg(F.max("slot")).first()[0] or 0) + 1
+    slots = (order.agg(F.max("__slot")).first()[0] or 0) + 1
     # the part of the schedule is computed, so that no sampling pass runs all this twice
-    placed = both.repartitionById(parts, F.floor(F.col("slot") * parts / F.lit(slots)).cast("int"))
-    return placed.sortWithinPartitions("slot", "offset").select(*(col(c) for c in docs.columns))
+    placed = both.repartitionById(parts, F.floor(F.col("__slot") * parts / F.lit(slots)).cast("int"))
+    return placed.sortWithinPartitions("__slot", "__offset").select(*(col(c) for c in docs.columns))
 
 
 def brute_force(rows: list[tuple], weights: dict[str, int] | None, block_tokens: int, seed: str = SEED) -> set[tuple]:

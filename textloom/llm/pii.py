@@ -2,7 +2,7 @@
 
 What looks personal is validated (check digits, calendar, ranges), turned into its number within the set of all
 values of that format, permuted there by a keyed Feistel network and written back in its format: separators,
-length and validity stay, and equal values get equal pseudonyms in all documents, however they are written.
+length (of IP addresses: the form) and validity stay, and equal values get equal pseudonyms in all documents, however they are written.
 Kinds: payment cards (Luhn), IBAN (mod 97), US social security numbers, phone numbers, IPv4 addresses, dates;
 also the local part of e-mail addresses and hexadecimal secrets, whose letters and digits are numbers to bases
 26, 10 and 16, and cloud access keys.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import buffers, text_batches, without
+from .common import buffers, col, map_rows, text_batches, without
 
 ROUNDS = 10
 
@@ -244,10 +244,8 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text") -> DataFram
     if not 1 <= len(key) <= 64:
         raise ValueError("the key has 1 to 64 bytes")
     keep = without(docs, "pii_kinds")
-    docs = docs.select(*("`" + c.replace("`", "``") + "`" for c in keep))
+    docs = docs.select(*(col(c) for c in keep))
     at = keep.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField("pii_kinds", T.ArrayType(T.StringType()))])
-
     def run(batches):
         for whole in batches:
             for b in text_batches(whole, whole.schema.names[at]):
@@ -265,4 +263,4 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text") -> DataFram
                 columns[at] = texts
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(kinds, pa.list_(pa.string()))], names=[*b.schema.names, "pii_kinds"])
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, [T.StructField("pii_kinds", T.ArrayType(T.StringType()))])
