@@ -25,7 +25,7 @@ class Token(NamedTuple):
     self_closing: bool = False
 
 
-_TEXT = re.compile(r"[^\n|\[\]{}'<=_*#;:!\-]+")
+_TEXT = re.compile(r"[\s\S][^\n|\[\]{}'<=_*#;:!\-]*")
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s[^<>]*|/)?)>")
 _NOWIKI = re.compile(r"<nowiki\s*/>|<nowiki>(.*?)(?:</nowiki>|\Z)", re.S)
 _MAGIC = re.compile(r"__[A-Za-z0-9]+__")
@@ -228,8 +228,7 @@ def tokens(text: str, *, preserve_comments: bool = False, recognize_redirects: b
             yield Token("MagicWord", m.group(), at)
             at = m.end()
         else:
-            m = _TEXT.match(text, at)
-            end = m.end() if m else at + 1
+            end = _TEXT.match(text, at).end()
             yield Token("Text", text[at:end], at)
             at = end
     yield Token("EndOfInput", "", n)

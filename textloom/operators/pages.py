@@ -40,7 +40,7 @@ def filter_pages(pages: DataFrame, by: PageFilter) -> DataFrame:
 
 
 def latest_revision(revisions="revisions") -> Column:
-    return F.try_element_at(F.col(revisions), F.lit(-1))
+    return F.get(F.col(revisions), F.size(revisions) - 1)
 
 
 def content(revisions="revisions") -> Column:
