@@ -66,17 +66,23 @@ def assign(df: DataFrame, key: str, shards: int = SHARDS, *, name: str = "shard"
 def reshard(df: DataFrame, key: str, before: int = SHARDS, after: int = MORE, *, clustered: bool = True) -> DataFrame:
     """df with shard (among before), new_shard (among after, which is no less) and moved. Rows that move go to
     appended shards only. If clustered, the rows of a new shard are brought together, ready to be written by
-    shard: one shuffle, whose partitions are even as the shards are. Rules as for ``assign``."""
+    shard: one shuffle, in which a shard has as many parts, by the key's hash, as there are shuffle partitions for
+    it, so that no task grows with the shard. Rules as for ``assign``."""
     if after < before:
         raise ValueError("shards can only be appended")
     out = df.select(*(col(c) for c in without(df, "shard", "new_shard", "moved")), shard_of(col(key), before).alias("shard"), shard_of(col(key), after).alias("new_shard"))
     out = out.withColumn("moved", F.col("shard") != F.col("new_shard"))
-    return out.repartition("new_shard") if clustered else out
+    return out.repartition("new_shard", F.pmod(F.xxhash64(col(key)), F.lit(_parts(df, after)))) if clustered else out
+
+
+def _parts(df: DataFrame, shards: int) -> int:
+    """Tasks for each shard."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
 
 
 def write_shards(df: DataFrame, path: str, key: str, shards: int = SHARDS) -> None:
     """One folder ``shard=k`` a shard, as Parquet."""
-    assign(df, key, shards).repartition("shard").write.partitionBy("shard").parquet(path)
+    assign(df, key, shards).repartition("shard", F.pmod(F.xxhash64(col(key)), F.lit(_parts(df, shards)))).write.partitionBy("shard").parquet(path)
 
 
 def brute_force(key, shards: int) -> int | None:
