@@ -12,9 +12,10 @@ documents share doesn't make all of them candidates of each other, and unrelated
 order part under another.
 
 Plan. Texts are shingled in numpy where they are read, as often as needed, which is cheaper than to store the sets:
-1. counts for the sketch; set hashes, by which equal sets become one; and min-hash bands, whose collisions give
-   first groups. All pairs within a group are verified, so the filters have to find pairs across groups only:
-   a thousand near copies don't meet again at each of the n-grams that they share.
+1. counts for the sketch; set hashes, by which equal sets become one; and min-hash bands. Sets that collide in a
+   band are compared, by one-byte signatures, with one set of them, and those alike make up first groups. All
+   pairs within a group are verified, so the filters have to find pairs across groups only: a thousand near
+   copies don't meet again at each of the n-grams that they share.
 2. entries of the prefix under the first order, 6 bytes each, packed by hash range (``bucket``): one shuffle. In
    each bucket pairs of sets of different groups are counted, and summed up over the buckets.
 3. only sets in groups or in pairs that the first filter leaves are shingled again and sent, once each, to the
@@ -28,17 +29,19 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from .common import U64, col, counted, drop_ids, mix, selected_hashes, shared_dir, shared_path, text_batches, word_hashes
 
 NGRAM, THRESHOLD, ORDERS, SHARED = 3, 0.5, 3, 6
 SKETCH_BITS = 22
 PACK = "bucket int, tokens binary, docs binary, sets binary, sizes binary, groups binary"
-BANDS, BAND_ROWS = 6, 2
+BANDS, BAND_ROWS, BINS, ALIKE = 4, 2, 64, 0.6
 
 
 def shingles(words: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -265,7 +268,8 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, key, set_hash, bands) of documents with words; bands: BANDS hashes of BAND_ROWS min-hashes each."""
+    """(doc_id, key, set_hash, bands, signature) of documents with words; bands: BANDS hashes of BAND_ROWS
+    min-hashes each; signature: a byte of the least hash in each of BINS ranges, 0 where there is none."""
 
     def run(batches):
         for whole in batches:
@@ -277,10 +281,25 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 for k in range(BANDS * BAND_ROWS if len(full) else 0):
                     low = np.minimum.reduceat(mix(g ^ U64((k + 17) * 0xC2B2AE3D27D4EB4F % (1 << 64))), at[full])
                     bands[:, k // BAND_ROWS] = mix(bands[:, k // BAND_ROWS] * U64(0x9FB21C651E98DF25) + low)
+                row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                cell = row * BINS + (g >> U64(64 - int(math.log2(BINS)))).astype(np.int64)
+                first = np.flatnonzero(np.diff(cell, prepend=-1))
+                marks = np.zeros((len(at) - 1) * BINS, np.uint8)
+                marks[cell[first]] = 1 + (mix(g[first].copy()) % U64(255)).astype(np.uint8)
+                marks = marks.reshape(-1, BINS)[full]
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(full)) for c in ("doc_id", "key")), pa.array(s[full].view(np.int64)), lists], names=["doc_id", "key", "set_hash", "bands"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(full)) for c in ("doc_id", "key")), pa.array(s[full].view(np.int64)), lists, pa.array([m.tobytes() for m in marks], pa.binary())], names=["doc_id", "key", "set_hash", "bands", "signature"])
+
+    return docs.mapInArrow(run, "doc_id long, key long, set_hash long, bands array<long>, signature binary")
+
 
-    return docs.mapInArrow(run, "doc_id long, key long, set_hash long, bands array<long>")
+@pandas_udf(T.BooleanType())
+def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Whether signatures agree in a share ALIKE of the ranges that either has."""
+    if not len(a):
+        return pd.Series([], dtype=bool)
+    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
+    return pd.Series(((x == y) & (x > 0)).sum(1) >= ALIKE * ((x > 0) | (y > 0)).sum(1))
 
 
 def _verify(level, threshold: float, orders: int, shared: int):
@@ -337,9 +356,10 @@ def similar_sets(docs: DataFrame, *, n: int, threshold: float, orders: int, shar
     made = [shared_path(spark, x) for x in ("sets", "candidates", "similar")]
     _sets(docs, n).write.parquet(made[0])
     sets = spark.read.parquet(made[0])
-    band = sets.select("set_hash", F.posexplode("bands").alias("k", "band")).groupBy("k", "band")
-    hub = band.agg(F.min("set_hash").alias("a"), F.collect_set("set_hash").alias("all")).where("size(all) > 1")
-    stars = hub.select("a", F.explode("all").alias("b")).where("a <> b")
+    band = sets.select("set_hash", "signature", F.posexplode("bands").alias("k", "band")).distinct()
+    hub = F.min(F.struct("set_hash", "signature")).over(Window.partitionBy("k", "band"))
+    near = band.withColumn("hub", hub).where("set_hash <> hub.set_hash").select("set_hash", "signature", "hub").distinct()
+    stars = near.where(_alike("signature", "hub.signature")).select(F.col("hub.set_hash").alias("a"), F.col("set_hash").alias("b"))
     groups = components(stars).withColumnRenamed("node", "set_hash")
     label = counted(sets.join(groups, "set_hash").groupBy("key").agg(F.first("component").alias("component")))
     counts = _sketch(docs, n)
