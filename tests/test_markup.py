@@ -13,7 +13,7 @@ def kinds(text, **options):
 @pytest.mark.parametrize(
     "line, expected",
     [
-        ("=header=", (1, "header")), ("==header==", (2, "header")), ("======header======", (6, "header")), ("===header=", (1, "==header")), ("=header===", (1, "header==")),
+        ("=header=", (1, "header")), ("==header==", (2, "header")), ("=" * 6 + "x" + "=" * 6, (6, "x")), ("===header=", (1, "==header")), ("=header===", (1, "header==")),
         ("===abc==", (2, "=abc")), ("==header==  ", (2, "header")), ("==header==  abc", None), (" ==header==", None), ("=header==header=", (1, "header==header")),
         ("", None), ("=", None), ("==", None), ("===", (1, "=")), ("====", (2, "")),
     ],

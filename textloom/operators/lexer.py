@@ -6,12 +6,17 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
-HTML_TAGS = frozenset(
-    "abbr b bdi bdo big blockquote br caption center cite code col colgroup data dd del dfn div dl dt em font h1 h2 h3 h4 h5 h6 hr i ins "
-    "kbd li link mark meta ol p pre q rb rp rt ruby s samp small span strike strong sub sup table td th time tr tt u ul var wbr".split()
-)
+_TAG_GROUPS = {
+    "blocks": "p div center blockquote pre h6 h5 h4 h3 h2 h1 hr",
+    "lists": "li ol ul dd dt dl",
+    "tables": "td th tr colgroup col caption table",
+    "phrases": "i b u s tt em strong code kbd samp var cite dfn abbr q small big sub sup mark strike del ins font span",
+    "scripts": "bdo bdi ruby rt rp rb",
+    "other": "wbr br time data link meta",
+}
+HTML_TAGS = frozenset(t for g in _TAG_GROUPS.values() for t in g.split())
 CATEGORY_PREFIXES = ("Category:", "category:", "Kategoria:", "kategoria:")
-MARKERS = ("[[", "]]", "{{", "}}", "'''", "''", "{|", "|}", "==", "<ref", "</ref>", "#REDIRECT")
+MARKERS = ("#REDIRECT", "</ref>", "<ref", *(ch * 2 for ch in "='}{]["), "|}", "{|", "'" * 3)
 REDIRECT = re.compile(r"[ \t\n\r]*#REDIRECT.*?\[\[(.*?)\]\]", re.I | re.S)
 VOID_TAGS = frozenset("br hr wbr col link meta".split())
 

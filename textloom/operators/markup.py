@@ -126,7 +126,7 @@ def strip_formatting(text) -> Column:
     return _udf("string", pa.string(), lambda t: _pruned(t, "Formatting", True))(_c(text))
 
 
-# relations over the node table -----------------------------------------------------------------------------------
+# relations over the node table
 def node_table(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """keys and a row for each node."""
     return df.select(*keys, F.explode(parse_nodes(text)).alias("n")).select(*keys, "n.*")
@@ -266,7 +266,7 @@ def leaves(df: DataFrame, text: str, kind: str, *keys: str) -> DataFrame:
     return extract(df, text, list(keys), [kind], {"text": lambda a, n: n["text"]})
 
 
-# templates -----------------------------------------------------------------------------------------------------
+# templates
 _INVOCATION = "name:string, params:array<struct<name:string, value:string>>, begin:long, end:long"
 _INVOCATION_ARROW = pa.struct([("name", pa.string()), ("params", pa.list_(_PAIR)), ("begin", pa.int64()), ("end", pa.int64())])
 

@@ -63,7 +63,7 @@ class Parser:
         self._unwind(0)
         return root
 
-    # stack ---------------------------------------------------------------
+    # stack
     def _add(self, node: Node) -> Node:
         top = self.stack[-1]
         node.role = top.part if top.part != "content" else node.role
@@ -139,7 +139,7 @@ class Parser:
         lists = next((i for i, n in enumerate(self.stack) if n.type == "List"), None)
         self._unwind(lists + 1 if lists is not None else 1, at)
 
-    # tokens --------------------------------------------------------------
+    # tokens
     def _token(self, t: Token, skip: int) -> int:
         kind, top = t.type, self.stack[-1]
         if kind == "EndOfInput":

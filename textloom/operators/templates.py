@@ -9,9 +9,9 @@ import re
 from .lexer import matched, redirect_target, strip_comments
 
 PARSER_FUNCTIONS = frozenset(
-    "if ifeq ifexist ifexpr switch expr time titleparts invoke tag language rel2abs filepath urlencode anchorencode ns nse localurl fullurl canonicalurl formatnum grammar gender plural bidi padleft padright".split()
+    "anchorencode bidi canonicalurl expr filepath formatnum fullurl gender grammar if ifeq ifexist ifexpr invoke language localurl ns nse padleft padright plural rel2abs switch tag time titleparts urlencode".split()
 )
-EVALUATED = ("if", "ifeq", "ifexist", "ifexpr", "switch", "expr", "time", "titleparts", "invoke", "tag", "language")
+EVALUATED = tuple("expr if ifeq ifexist ifexpr invoke language switch tag time titleparts".split())
 _BLANK = " \t\n"
 _NOINCLUDE = re.compile(r"<noinclude>(.*?)(?:</noinclude>|\Z)", re.S)
 

@@ -41,7 +41,7 @@ _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PAD = "concat(chr(9), ' ', t, ' ', chr(10))"
 _pad = lambda f: lambda c: f(F.concat(F.lit("\t "), F.col(c), F.lit(" \n")))
 
-# text ------------------------------------------------------------------------------------------------------------
+# text
 _docs("text_trim", _pad(fn.trim), f"trim({_PAD}, {_TRIM})")
 _docs("text_trim_left", _pad(fn.trim_left), f"ltrim({_PAD}, {_TRIM})")
 _docs("text_trim_right", _pad(fn.trim_right), f"rtrim({_PAD}, {_TRIM})")
@@ -74,7 +74,7 @@ add("parse_error_format", lambda s, d: s.read.parquet(f"{d}/orders.parquet").sel
 add("source_range", lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", fn.range_contains("l_suppkey", "l_partkey", "l_orderkey").alias("c"), fn.range_length("l_suppkey", "l_partkey").alias("n")),
     "SELECT l_orderkey, l_linenumber, l_suppkey <= l_orderkey AND l_orderkey < l_partkey AS c, l_partkey - l_suppkey AS n FROM lineitem")
 
-# unicode ---------------------------------------------------------------------------------------------------------
+# unicode
 _docs("uni_codepoints", fn.count_codepoints, "length(t)::INTEGER")
 _docs("uni_valid_utf8", lambda c: fn.is_valid_utf8(F.col(c).cast("binary")), "true")
 _docs("uni_lower", fn.to_lower, "lower(t)")
@@ -89,7 +89,7 @@ _docs("uni_utf8_lengths", lambda c: F.aggregate(fn.utf8_length(c), F.lit(0), lam
 _docs("uni_iterate", lambda c: F.size(fn.codepoints(c)), "length(t)::INTEGER")
 
 
-# titles ----------------------------------------------------------------------------------------------------------
+# titles
 def _named(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.concat(F.lit(" _"), F.lower("c_mktsegment"), F.lit("__"), F.col("c_name"), F.lit("_ *~é")).alias("t"))
 
@@ -106,7 +106,7 @@ for _n, _f, _s in (
 _pages("url_decode_urls", fn.url_to_title, "replace(t, '_', ' ')", "url")
 _pages("page_names", lambda c: F.concat_ws("|", fn.base_page_name(c), fn.sub_page_name(c), fn.root_page_name(c), fn.full_title(F.lit("Talk"), c)), r"concat_ws('|', regexp_replace(t, '/[^/]*$', ''), string_split(t, '/')[-1], string_split(t, '/')[1], 'Talk:' || t)", "url")
 
-# pages -----------------------------------------------------------------------------------------------------------
+# pages
 _P = f"(SELECT p_partkey AS page_id, {corpus.NS} AS ns, {corpus.TITLE} AS title, {corpus.REDIRECT} AS redirect_target, p_partkey FROM part)"
 _KEYS = ["page_id", "ns", "title", "redirect_target"]
 for _n, _b, _w in (
@@ -127,7 +127,7 @@ add("page_templates_only", lambda s, d: pg.template_pages(corpus.wiki_pages(s, d
 add("page_kinds", lambda s, d: corpus.wiki_pages(s, d).select("page_id", pg.is_main().alias("main"), pg.is_template().alias("template"), pg.is_module().alias("module"), pg.is_redirect().alias("redirect")), f"SELECT page_id, ns = 0 AS main, ns = 10 AS template, ns = 828 AS module, redirect_target IS NOT NULL AS redirect FROM {_P}")
 add("revision_is_wikitext", lambda s, d: corpus.wiki_pages(s, d).select("page_id", F.explode("revisions").alias("r")).select("page_id", F.col("r.id").alias("id"), F.col("r.model").alias("model")).withColumn("v", pg.is_wikitext()), "SELECT p_partkey AS page_id, p_partkey * 10 + r AS id, CASE WHEN p_partkey % 7 > 0 THEN 'wikitext' END AS model, true AS v FROM part, (VALUES (1), (2)) t(r)")
 
-# index -----------------------------------------------------------------------------------------------------------
+# index
 _I = f"(SELECT seq, string_split(value, ':')[1]::BIGINT AS \"offset\", string_split(value, ':')[2]::BIGINT AS page_id, array_to_string(string_split(value, ':')[3:], ':') AS title FROM (SELECT o_orderkey AS seq, {corpus.INDEX_LINE} AS value FROM orders) WHERE contains(value, ':'))"
 _idx = lambda s, d: ix.parse_index(corpus.index_lines(s, d))
 _LAST = f"(SELECT * FROM {_I} QUALIFY row_number() OVER (PARTITION BY title ORDER BY seq DESC) = 1)"
@@ -158,7 +158,7 @@ add("terms_coverage", lambda s, d: ix.coverage(_terms(s, d), _tidx(s, d)), f"SEL
 add("terms_missing", lambda s, d: ix.missing(_terms(s, d), _tidx(s, d)), f"SELECT * FROM {_TERMS} WHERE starts_with(title, 'No such')")
 add("extract_pages", lambda s, d: ix.extract_pages(_terms(s, d), _tidx(s, d), corpus.wiki_texts(s, d)), f"SELECT ordinal, title, p_partkey IS NOT NULL AS found, p_partkey AS page_id, coalesce({corpus.CONTENT.replace('p_partkey', 'p.p_partkey')}, '') AS content FROM {_TERMS} t LEFT JOIN part p ON t.title = {corpus.TITLE}".replace("coalesce(concat", "coalesce(CASE WHEN p.p_partkey IS NOT NULL THEN concat").replace("]]'), '')", "]]') END, '')"))
 
-# markup ----------------------------------------------------------------------------------------------------------
+# markup
 _SIZE, _KEY, _PRICE = "cast(p_size AS string)", "cast(p_partkey AS string)", corpus.PRICE
 _wiki = corpus.wiki_texts
 _BR, _AN = "string_split(p_brand, '#')[1]", "string_split(p_brand, '#')[2]"
@@ -209,7 +209,7 @@ add("first_paragraph", lambda s, d: _wiki(s, d).select("page_id", mk.first_parag
 add("summary", lambda s, d: corpus.part(s, d).select("p_partkey", mk.summary(F.concat(F.col("p_name"), F.lit(" is here. "), F.repeat(F.lit("word "), 30)), 40).alias("v")), "SELECT p_partkey, CASE WHEN n - 2 > 20 THEN concat(p_name, ' is here.') ELSE concat(left(concat(p_name, ' is here. ', repeat('word ', 30)), n + 4 + 5 * ((36 - n) // 5)), '...') END AS v FROM (SELECT *, length(p_name) + 10 AS n FROM part)")
 add("flagship_counts", lambda s, d: totals(parsed_pages(corpus.wiki_pages(s, d), pg.PageFilter(namespaces=(0,), include_redirects=False))), f"SELECT count(*) AS pages, (count(*) * 3)::BIGINT AS links, (count(*) * 2)::BIGINT AS templates FROM {_P} WHERE ns = 0 AND redirect_target IS NULL")
 
-# templates -------------------------------------------------------------------------------------------------------
+# templates
 _inv = lambda s, d: _wiki(s, d).select("page_id", F.explode(mk.find_invocations("content")).alias("i"))
 add("invocations", lambda s, d: _inv(s, d).select("page_id", F.col("i.name").alias("name"), F.size("i.params").alias("n"), F.col("i.params")[1]["value"].alias("price")), f"SELECT p_partkey AS page_id, 'Infobox part' AS name, 3::INTEGER AS n, '{{{{fmt|' || {_PRICE} || '}}}}' AS price FROM part")
 add("invocation_get", lambda s, d: _inv(s, d).select("page_id", mk.invocation_get(F.col("i"), "size").alias("size"), mk.invocation_get(F.col("i"), 1).alias("first"), mk.invocation_get(F.col("i"), 2).alias("second")), f"SELECT p_partkey AS page_id, {_SIZE} AS size, p_name AS first, NULL::VARCHAR AS second FROM part")
@@ -252,7 +252,7 @@ _expand("magic_page_names", ["{{PAGENAME}}|{{BASEPAGENAME}}|{{SUBPAGENAME}}|{{RO
 _expand("magic_constants", ["{{SITENAME}} {{SERVER}} {{CONTENTLANG}} {{CURRENTYEAR}} {{CURRENTTIMESTAMP}} {{NUMBEROFPAGES}} ", "<p_name>"], "concat('Wikipedia //en.wikipedia.org en 2026 20260304050607 0 ', p_name)")
 add("template_closure", lambda s, d: mk.template_closure(corpus.part(s, d).where("p_partkey % 5 > 0").select(F.col("p_partkey").alias("template"), (F.col("p_partkey") - 1).alias("uses"))), "SELECT a.p_partkey AS template, a.p_partkey - k AS uses FROM part a, (VALUES (1), (2), (3), (4)) t(k) WHERE a.p_partkey % 5 >= k")
 
-# sinks, catalog, names -------------------------------------------------------------------------------------------
+# sinks, catalog, names
 add("json_page", lambda s, d: corpus.wiki_pages(s, d).select("page_id", sinks.page_json(content=False).alias("j")).select("page_id", F.get_json_object("j", "$.title").alias("title"), F.get_json_object("j", "$.redirect").alias("redirect"), F.get_json_object("j", "$.revisions[1].id").cast("long").alias("revision")), f"SELECT p_partkey AS page_id, {corpus.TITLE} AS title, {corpus.REDIRECT} AS redirect, p_partkey * 10 + 2 AS revision FROM part")
 add("json_ast", lambda s, d: _wiki(s, d).select("page_id", mk.to_json("content").alias("j")).select("page_id", F.get_json_object("j", "$.type").alias("type"), F.get_json_object("j", "$.content[0].content[0].text").alias("bold")), "SELECT p_partkey AS page_id, 'Document' AS type, p_name AS bold FROM part")
 add("jsonl_count", lambda s, d: corpus.wiki_pages(s, d).select(sinks.page_json().alias("j")).agg(F.count("*").alias("n"), F.count_if(F.contains("j", F.lit("\n"))).alias("broken")), "SELECT count(*) AS n, 0::BIGINT AS broken FROM part")
