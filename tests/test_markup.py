@@ -105,7 +105,7 @@ def test_round_trip(text):
 
 
 def test_invocations():
-    assert templates.parse_invocation("{{Template|first|name=value|second}}") == ("Template", [("", "first"), ("name", "value"), ("", "second")])
+    assert templates.parse_invocation("{{T|u|k=v|w}}") == ("T", [("", "u"), ("k", "v"), ("", "w")])
     assert templates.parse_invocation("{{a|b={{c|d=e}}|[[f|g]]|h=}}") == ("a", [("b", "{{c|d=e}}"), ("", "[[f|g]]"), ("h", "")])
     assert templates.parse_invocation("text") is None and templates.parse_invocation("{{}}") is None
     assert [i["name"] for i in templates.find_invocations("{{a|{{b}}}} {{{c}}} {{d}}")] == ["a", "d"]
