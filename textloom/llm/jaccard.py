@@ -42,6 +42,7 @@ NGRAM, THRESHOLD, ORDERS, SHARED = 3, 0.5, 3, 6
 SKETCH_BITS = 22
 PACK = "bucket int, tokens binary, docs binary, sets binary, sizes binary, groups binary"
 BANDS, BAND_ROWS, BINS, ALIKE = 4, 2, 64, 0.6
+BATCH = 4 << 20  # bytes of text shingled at once
 
 
 def shingles(words: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +87,7 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for whole in batches:
-            for b in text_batches(whole, "text"):
+            for b in text_batches(whole, "text", BATCH):
                 g, _ = shingles(*word_hashes(b.column("text")), n)
                 total += np.bincount((g >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
         for k in range(parts if total.any() else 0):
@@ -179,7 +180,7 @@ def candidates(docs: DataFrame, level, total: int, *, n: int, threshold: float,
 
     def pack(batches):
         for whole in batches:
-            for b in text_batches(whole, "text"):
+            for b in text_batches(whole, "text", BATCH):
                 g, at = shingles(*word_hashes(b.column("text")), n)
                 s = set_hashes(g, at)
                 c = b.column("component")
@@ -273,7 +274,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for b in text_batches(whole, "text"):
+            for b in text_batches(whole, "text", BATCH):
                 g, at = shingles(*word_hashes(b.column("text")), n)
                 s = set_hashes(g, at)
                 full = np.flatnonzero(np.diff(at))
@@ -356,10 +357,13 @@ def similar_sets(docs: DataFrame, *, n: int, threshold: float, orders: int, shar
     made = [shared_path(spark, x) for x in ("sets", "candidates", "similar")]
     _sets(docs, n).write.parquet(made[0])
     sets = spark.read.parquet(made[0])
-    band = sets.select("set_hash", "signature", F.posexplode("bands").alias("k", "band")).distinct()
-    hub = F.min(F.struct("set_hash", "signature")).over(Window.partitionBy("k", "band"))
-    near = band.withColumn("hub", hub).where("set_hash <> hub.set_hash").select("set_hash", "signature", "hub").distinct()
-    stars = near.where(_alike("signature", "hub.signature")).select(F.col("hub.set_hash").alias("a"), F.col("set_hash").alias("b"))
+    one = sets.groupBy("set_hash").agg(F.first("bands").alias("bands"))  # all rows of a set have the same
+    band = one.select("set_hash", F.posexplode("bands").alias("k", "band"))
+    hub = F.min("set_hash").over(Window.partitionBy("k", "band"))
+    near = band.select(F.col("set_hash").alias("b"), hub.alias("a")).where("a <> b").distinct()
+    marks = near.select("a").union(near.select("b")).distinct().join(sets.select("set_hash", "signature"), F.col("a") == F.col("set_hash")).groupBy("set_hash").agg(F.first("signature").alias("s"))
+    both = near.join(marks.select(F.col("set_hash").alias("a"), F.col("s").alias("x")), "a").join(marks.select(F.col("set_hash").alias("b"), F.col("s").alias("y")), "b")
+    stars = both.where(_alike("x", "y")).select("a", "b")
     groups = components(stars).withColumnRenamed("node", "set_hash")
     label = counted(sets.join(groups, "set_hash").groupBy("key").agg(F.first("component").alias("component")))
     counts = _sketch(docs, n)
@@ -372,7 +376,7 @@ def similar_sets(docs: DataFrame, *, n: int, threshold: float, orders: int, shar
 
     def grams(batches):
         for whole in batches:
-            for b in text_batches(whole, "text"):
+            for b in text_batches(whole, "text", BATCH):
                 g, at = shingles(*word_hashes(b.column("text")), n)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("graph", "component", "set_hash")), pa.array([g[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], names=["graph", "component", "set_hash", "grams"])
 
