@@ -6,8 +6,9 @@ entries; those are reranked by exact distance.
 
 Plan. Codebooks: Lloyd rounds over all vectors, in which tasks send sums (2 * k rows), not vectors. The only table
 on the driver is that of the k * k cell sizes. Entries are divided by cell into parts of some ``part_rows``; a
-query goes once to each part that has one of its cells, with a bitmap of them, and is compared there by matrix
-products; parts' best are merged. Which share must be visited for a recall depends on the data: in embeddings
+query goes once to each part that has one of its cells, with a bitmap of them. Queries are divided into as many
+blocks as there are parts; each block meets each part in a task of bounded size, by matrix products; the parts'
+best are merged. Which share must be visited for a recall depends on the data: in embeddings
 without cluster structure, as in high-dimensional random ones, half of them for a recall of 0.9 and more.
 """
 
@@ -191,9 +192,9 @@ def neighbours(df: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embed
             out[2].append(exact[top])
         return pa.table([np.concatenate(x) if x else np.empty(0, t) for x, t in zip(out, (np.int64, np.int64, np.float64), strict=True)], names=["query_id", "neighbour_id", "distance"])
 
-    index = rows.mapInArrow(entries, "part int, id long, cell int, v binary")
-    asked = rows.mapInArrow(queries, "part int, id long, bits binary, v binary")
-    best = asked.groupBy("part").cogroup(index.groupBy("part")).applyInArrow(compare, "query_id long, neighbour_id long, distance double")
+    index = rows.mapInArrow(entries, "part int, id long, cell int, v binary").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = rows.mapInArrow(queries, "part int, id long, bits binary, v binary").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    best = asked.groupBy("part", "block").cogroup(index.groupBy("part", "block")).applyInArrow(compare, "query_id long, neighbour_id long, distance double")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbour_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "neighbour_id", "distance")
 
