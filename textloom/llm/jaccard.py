@@ -80,8 +80,9 @@ def set_hashes(g: np.ndarray, at: np.ndarray) -> np.ndarray:
 _KINDS = (np.uint8, np.uint16, np.uint32, np.uint64)
 
 
-def _sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """How often n-grams of each of 2**SKETCH_BITS hash classes occur, over all documents (equal ones too)."""
+def _sketch(docs: DataFrame, n: int) -> list[np.ndarray]:
+    """How often n-grams of each of 2**SKETCH_BITS hash classes occur, over all documents (equal ones too); in
+    parts, each of the smallest type that holds it."""
     parts, width = 16, 1 << (SKETCH_BITS - 4)
 
     def count(batches):
@@ -100,20 +101,19 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
         for t in groups:
             for size, x in zip(t.column("bytes").to_pylist(), t.column("counts").to_pylist(), strict=True):
                 total += np.frombuffer(x, f"u{size}").astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+        total = total.astype(next(t for t in _KINDS if total.max() <= np.iinfo(t).max))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.dtype.itemsize], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "bytes", "counts"])
 
-    rows = docs.select("text").mapInArrow(count, "part int, bytes int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in rows:
-        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
-    return out
+    rows = docs.select("text").mapInArrow(count, "part int, bytes int, counts binary").groupBy("part").applyInArrow(add, "part int, bytes int, counts binary").collect()
+    out = {r["part"]: np.frombuffer(r["counts"], f"u{r['bytes']}") for r in rows}
+    return [out.get(k, np.zeros(width, np.uint8)) for k in range(parts)]
 
 
-def _levels(counts: np.ndarray) -> np.ndarray:
+def _levels(counts: list[np.ndarray]) -> np.ndarray:
     """0 for hash classes with about the mean count or less; above that steps of a quarter of a doubling."""
-    mean = counts.mean()
-    over = np.maximum(counts - mean - 2 * math.sqrt(mean), 1)
-    return np.minimum(np.floor(4 * np.log2(over)), 63).astype(np.uint8)
+    mean = sum(int(c.sum(dtype=np.uint64)) for c in counts) / (1 << SKETCH_BITS)
+    low = mean + 2 * math.sqrt(mean)
+    return np.concatenate([np.minimum(np.floor(4 * np.log2(np.maximum(c - low, 1))), 63).astype(np.uint8) for c in counts])
 
 
 def prefix_flags(g: np.ndarray, at: np.ndarray, level: np.ndarray, threshold: float, orders: range, shared: int) -> np.ndarray:
@@ -368,7 +368,7 @@ def similar_sets(docs: DataFrame, *, n: int, threshold: float, orders: int, shar
     label = counted(sets.join(groups, "set_hash").groupBy("key").agg(F.first("component").alias("component")))
     counts = _sketch(docs, n)
     level = spark.sparkContext.broadcast(_levels(counts))
-    candidates(docs.join(label, "key", "left"), level, int(counts.sum()), n=n, threshold=threshold, shared=shared).write.parquet(made[1])
+    candidates(docs.join(label, "key", "left"), level, sum(int(c.sum(dtype=np.uint64)) for c in counts), n=n, threshold=threshold, shared=shared).write.parquet(made[1])
     pairs = spark.read.parquet(made[1])
     linked = components(pairs.union(groups.select("set_hash", "component"))).select(F.col("node").alias("set_hash"), F.col("component").alias("graph"))
     first = sets.groupBy("set_hash").agg(F.min(F.struct("doc_id", "key")).alias("d")).join(linked, "set_hash").join(groups, "set_hash", "left")
