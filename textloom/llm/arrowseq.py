@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import col, text_batches
+from .common import col, release, text_batches
 
 LENGTH, ROWS_PER_FILE, EOT = 2048, 512, 50256
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -120,6 +120,7 @@ def sequences(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vo
                         yield _batch(row)
         if packer.fill:
             yield _batch(packer.take())
+        release()
 
     return docs.mapInArrow(run, SCHEMA)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 
@@ -62,6 +63,16 @@ def col(name: str):
     return F.col(quoted(name))
 
 
+def release() -> None:
+    """Gives memory that is free back to the system. Python workers outlive their tasks, and what they keep lies
+    beside the executor's heap; called at a task's end."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A finaliser that spreads 64 bits; in place."""
     h ^= h >> U64(30)

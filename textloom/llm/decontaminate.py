@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, col, drop_ids, selected_hashes, text_batches, word_hashes
+from .common import U64, col, drop_ids, release, selected_hashes, text_batches, word_hashes
 
 #: Offsets that a seed looks at; all others up to the last are ignored.
 MASKS = ((0, 1, 3, 6, 8, 9), (0, 2, 3, 7, 8, 10), (0, 1, 4, 5, 9, 11), (0, 3, 5, 6, 7, 11))
@@ -143,6 +143,7 @@ def contamination(
                         if item.type != pa.int64():  # ids with nulls come as floats
                             item = pa.array([None if x != x else int(x) for x in index.ids[q]], pa.int64())
                         yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(d)), item, pa.array(best, pa.int32()), pa.array(total, pa.int32())], names=["doc_id", "item_id", "window_matches", "overlap_words"])
+            release()
 
         found.append(docs.mapInArrow(scan, HITS))
     out = found[0]

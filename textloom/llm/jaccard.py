@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .common import U64, col, counted, drop_ids, mix, selected_hashes, shared_dir, shared_path, text_batches, word_hashes
+from .common import U64, col, counted, drop_ids, mix, release, selected_hashes, shared_dir, shared_path, text_batches, word_hashes
 
 NGRAM, THRESHOLD, ORDERS, SHARED = 3, 0.5, 3, 6
 SKETCH_BITS = 22
@@ -95,6 +95,8 @@ def _sketch(docs: DataFrame, n: int) -> list[np.ndarray]:
             own = total[k * width : (k + 1) * width]
             own = own.astype(next(t for t in _KINDS if own.max() <= np.iinfo(t).max))
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.dtype.itemsize], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["part", "bytes", "counts"])
+        del total
+        release()
 
     def add(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.int64)
@@ -176,7 +178,7 @@ def _pairs_of(tokens: np.ndarray, group: np.ndarray, doc: np.ndarray, chunk: int
 def candidates(docs: DataFrame, level, total: int, *, n: int, threshold: float, shared: int) -> DataFrame:
     """(a, b): set hashes (as long) of pairs across groups that pass the filter of the first order.
     docs: (text, component), the group or null of a set that has none; level: broadcast; total: n-grams in all."""
-    buckets = max(4, math.ceil(total / 2_500_000))
+    buckets = max(4, math.ceil(total / 1_500_000))
 
     def pack(batches):
         for whole in batches:
@@ -203,6 +205,7 @@ def candidates(docs: DataFrame, level, total: int, *, n: int, threshold: float,
                     part = slice(cut[k], cut[k + 1])
                     have, local = np.unique(row[part], return_inverse=True)
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (g[part], local.astype(np.uint32 if len(have) > 65535 else np.uint16), s[have], size[have].astype(np.int32), c[have]))], names=["bucket", "tokens", "docs", "sets", "sizes", "groups"])
+        release()
 
     def count(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, sets, known, sizes, groups_of = [], [], [], [], []
@@ -242,6 +245,8 @@ def candidates(docs: DataFrame, level, total: int, *, n: int, threshold: float,
             for i in range(0, len(a), 200_000):
                 s = slice(i, i + 200_000)
                 yield pa.RecordBatch.from_arrays([pa.array(x[s]), pa.array(y[s]), pa.array(need[s], pa.int32()), pa.array(counts[s], pa.int32())], names=["a", "b", "need", "n"])
+        del t, doc, u, size, label
+        release()
 
     partial = docs.select("text", "component").mapInArrow(pack, PACK).groupBy("bucket").applyInArrow(count, "a long, b long, need int, n int")
     return partial.groupBy("a", "b").agg(F.first("need").alias("need"), F.sum("n").alias("n")).where("n >= need").select("a", "b")
@@ -290,6 +295,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 marks = marks.reshape(-1, BINS)[full]
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(full)) for c in ("doc_id", "key")), pa.array(s[full].view(np.int64)), lists, pa.array([m.tobytes() for m in marks], pa.binary())], names=["doc_id", "key", "set_hash", "bands", "signature"])
+        release()
 
     return docs.mapInArrow(run, "doc_id long, key long, set_hash long, bands array<long>, signature binary")
 
@@ -379,6 +385,7 @@ def similar_sets(docs: DataFrame, *, n: int, threshold: float, orders: int, shar
             for b in text_batches(whole, "text", BATCH):
                 g, at = shingles(*word_hashes(b.column("text")), n)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("graph", "component", "set_hash")), pa.array([g[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], names=["graph", "component", "set_hash", "grams"])
+        release()
 
     blobs = wanted.select("text", "graph", "component", "set_hash").mapInArrow(grams, "graph long, component long, set_hash long, grams binary")
     known = pairs.join(linked.select(F.col("set_hash").alias("a"), "graph"), "a")

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, col, map_rows, mix, text_batches
+from .common import U64, col, map_rows, mix, release, text_batches
 
 ORDER = 4
 _TABLE: np.ndarray | None = None
@@ -85,7 +85,7 @@ def ngram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Dat
             total[name] = k, np.bincount(inv, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
 
         for whole in batches:
-            for b in text_batches(whole, "text", 4 << 20):
+            for b in text_batches(whole, "text", 2 << 20):
                 s, begin, end = symbols(b.column("text"))
                 k = grams(s)
                 names = b.column("lang").to_numpy(zero_copy_only=False)
@@ -101,6 +101,8 @@ def ngram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Dat
             for i in range(0, len(k), 100_000):
                 part = slice(i, i + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(k[part])), pa.array(k[part].view(np.int64)), pa.array(n[part], pa.int64())], names=["lang", "gram", "n"])
+        total.clear()
+        release()
 
     return docs.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -241,12 +243,13 @@ def _scorer(docs: DataFrame, model: Model):
     def run(batches):
         m = shared.value
         for whole in batches:
-            for b in text_batches(whole, "text", 4 << 20):
+            for b in text_batches(whole, "text", 2 << 20):
                 best, low, lead, limit, ok, lettered = m.decide(b.column("text"))
                 void = ~lettered
                 names = [None if v or not m.langs else m.langs[x] for x, v in zip(best, void, strict=True)]
                 number = lambda x: pa.array(x, pa.float64(), mask=void | ~np.isfinite(x))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.string()), number(low), number(lead), number(limit), pa.array(ok)], names=["doc_id", "language", "cross_entropy", "lead", "threshold", "accepted"])
+        release()
 
     return run
 
@@ -295,10 +298,11 @@ def accepted(docs: DataFrame, model: Model, *, text: str = "text", lang: str = "
     def run(batches):
         m = shared.value
         for whole in batches:
-            for b in text_batches(whole, whole.schema.names[at], 4 << 20):
+            for b in text_batches(whole, whole.schema.names[at], 2 << 20):
                 best, _, _, _, ok, _ = m.decide(b.column(at))
                 columns = list(b.columns)
                 columns[target] = pa.array([m.langs[x] if y else None for x, y in zip(best, ok, strict=True)], columns[target].type)
                 yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(ok))
+        release()
 
     return map_rows(docs, run, [])

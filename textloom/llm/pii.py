@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import buffers, col, map_rows, text_batches, without
+from .common import buffers, col, map_rows, release, text_batches, without
 
 ROUNDS = 10
 
@@ -262,5 +262,6 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text") -> DataFram
                 columns = list(b.columns)
                 columns[at] = texts
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(kinds, pa.list_(pa.string()))], names=[*b.schema.names, "pii_kinds"])
+        release()
 
     return map_rows(docs, run, [T.StructField("pii_kinds", T.ArrayType(T.StringType()))])
