@@ -7,6 +7,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm import ann, arrowseq, decontaminate, jaccard, langid, mixing, pii, sharding, urlfilter, warc
 from textloom.llm.common import drop_ids, word_hashes
@@ -196,6 +197,16 @@ def test_schedule_meets_targets():
         assert t < 100 or all(abs(n[k] - (t + 1) * own[k] / 8) < 6 for k in range(3))
 
 
+def test_small_source_beside_hot_one_is_served(spark):
+    sizes = {**{f"n{i}": 10_000_000 for i in range(8)}, "hot": 400_000_000, "m": 500}
+    sources = [{"source": s, "tokens": n, "blocks": -(-n // mixing.BLOCK_TOKENS)} for s, n in sorted(sizes.items())]
+    plan = mixing.schedule(spark.range(1), sources, mixing.weights_of(sources, None))
+    served = {r.source: r.n for r in plan.groupBy("source").agg(F.max("rank").alias("n")).collect()}
+    assert set(served) == set(sizes) and all(served[s["source"]] >= s["blocks"] - 1 for s in sources)
+    assert plan.count() == mixing.last_slot(mixing.bounds(mixing.weights_of(sources, None)), [s["blocks"] for s in sources]) + 1
+    assert mixing.bounds([1, 10**12, 1, 1]) == [1, mixing.ONE - 2, mixing.ONE - 1, mixing.ONE]
+
+
 def test_arrow_sequences_round_trip(spark, tmp_path):
     docs = [(1, "Hello world, it's  fine.\n\nYes"), (2, None), (3, ""), (None, "ß é 漢字 🎉"), (4, "word " * 3000), (4, "word " * 3000)]
     files = arrowseq.sequences(with_extras(spark, docs).coalesce(1), length=64, rows_per_file=16)

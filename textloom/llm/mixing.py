@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,25 +70,39 @@ def weights_of(sources: list[dict], weights: dict[str, int] | None) -> list[int]
 
 
 def bounds(own: list[int]) -> list[int]:
-    """Upper ends of the sources' shares of 2**31."""
+    """Upper ends of the sources' shares of 2**31. Each source of weight above 0 has a width of 1 at least."""
     total, at, out = sum(own), 0, []
     for w in own:
         at += w
-        out.append(at * ONE // total)
+        out.append(max(at * ONE // total, (out[-1] if out else 0) + (w > 0)))
+    end = ONE
+    for i in reversed(range(len(own))):  # what the least widths have pushed beyond the end
+        out[i] = min(out[i], end)
+        end = out[i] - (own[i] > 0)
     return out
 
 
+def last_slot(upper: list[int], blocks: list[int], step: int = 1 << 20) -> int:
+    """The slot by which each source has had its blocks once. A narrow share's first point may come long after
+    1 / share slots, so slots are counted, ``step`` at a time, rather than estimated."""
+    left, at = np.array(blocks), 0
+    while True:
+        source = np.searchsorted(upper, np.arange(at, at + step) % ONE * GOLDEN % ONE, side="right")
+        n = np.bincount(source, minlength=len(left))
+        if (n >= left).all():
+            return at + max(int(np.flatnonzero(source == j)[b - 1]) for j, b in enumerate(left) if b > 0)
+        left, at = np.maximum(left - n, 0), at + step
+
+
 def schedule(docs: DataFrame, sources: list[dict], own: list[int]) -> DataFrame:
     """(slot, source, rank), up to the slot by which each source (of weight above 0) has had its blocks once."""
     spark = docs.sparkSession
     live = [(s, w) for s, w in zip(sources, own, strict=True) if w > 0]
     if not live:
         return spark.createDataFrame([], "slot long, source string, rank long")
-    total = sum(w for _, w in live)
-    need = max(s["blocks"] * total / w for s, w in live)
-    slots = math.ceil(need * 1.02) + 64 + 8 * len(live) * math.ceil(math.log2(need + 2))
     upper = bounds([w for _, w in live])
-    point = F.pmod(F.col("id") * F.lit(GOLDEN), F.lit(ONE))
+    slots = last_slot(upper, [s["blocks"] for s, _ in live]) + 1
+    point = F.pmod(F.pmod(F.col("id"), F.lit(ONE)) * F.lit(GOLDEN), F.lit(ONE))
     pick = F.lit(live[-1][0]["source"])
     for (s, _), u in reversed(list(zip(live[:-1], upper[:-1], strict=True))):
         pick = F.when(point < u, F.lit(s["source"])).otherwise(pick)
@@ -95,9 +110,7 @@ def schedule(docs: DataFrame, sources: list[dict], own: list[int]) -> DataFrame:
     sums = base.groupBy("source", "range").agg(F.count("*").alias("s"))
     before = sums.select("source", "range", (F.sum("s").over(Window.partitionBy("source").orderBy("range")) - F.col("s")).alias("before"))
     ranked = base.withColumn("own", F.row_number().over(Window.partitionBy("source", "range").orderBy("slot"))).join(before, ["source", "range"])
-    ranked = ranked.select("slot", "source", (F.col("before") + F.col("own") - 1).alias("rank"))
-    last = ranked.join(F.broadcast(spark.createDataFrame([(s["source"], s["blocks"]) for s, _ in live], "source string, blocks long")), "source").where("rank = blocks - 1").agg(F.max("slot").alias("last"))
-    return ranked.crossJoin(F.broadcast(last)).where("slot <= last").select("slot", "source", "rank")
+    return ranked.select("slot", "source", (F.col("before") + F.col("own") - 1).alias("rank"))
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: dict[str, int] | None = None, block_tokens: int = BLOCK_TOKENS, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
