@@ -134,6 +134,18 @@ def test_language_models_match_definition(spark):
         assert dict(zip(model.langs, h, strict=True)) == pytest.approx(want, rel=1e-5)
 
 
+def test_language_model_keeps_all_ngrams(spark):
+    docs = [(1, "the cat sat on the mat", "en"), (2, "the then the hat that", "en"), (3, "le chat est sur le tapis çà", "fr"), (4, "x", "nl"), (5, "猫坐在垫子上", "zh")]
+    df = frame(spark, docs, "doc_id long, text string, lang string")
+    whole, apart = langid.train(df), langid.train(df, model_ngrams=3)
+    texts = pa.array([d[1] for d in docs] + ["zzz qqq", "the hat est 猫", "ж"])
+    np.testing.assert_allclose(apart.entropies(texts)[0], whole.entropies(texts)[0], rtol=1e-5)
+    assert apart.langs == whole.langs
+    np.testing.assert_allclose([apart.mean, apart.deviation], [whole.mean, whole.deviation], rtol=1e-9)
+    assert all(a.tolist() == b.tolist() for a, b in zip(apart.decide(texts)[::4], whole.decide(texts)[::4], strict=True))
+    assert sum(len(p.tables[-1][0]) for p in apart.parts) == langid.ngram_counts(df).count()
+
+
 def test_language_held_out_accuracy(spark):
     rng = random.Random(1)
     syllables = {"aa": "ka ro mi te lu".split(), "bb": "sch pf ung ich ach".split(), "cc": "eau oui tré que ais".split()}

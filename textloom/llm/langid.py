@@ -7,7 +7,8 @@ language of the lowest cross-entropy per character, unless that is above what te
 language have (calibrated rejection).
 
 Plan: one pass counts the 4-grams of all labelled texts (map-side sums, then one small shuffle); lower orders
-follow from them. The model is broadcast: ``model_ngrams`` bounds its size. A second narrow pass scores; no
+follow from them. All counted 4-grams are in the model, which is broadcast: where they are many, each language
+has arrays of its own rather than a column in a matrix over the 4-grams of all. A second narrow pass scores; no
 shuffle.
 """
 
@@ -16,7 +17,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, col, map_rows, mix, release, text_batches
@@ -108,9 +110,10 @@ def ngram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Dat
 
 
 class Model:
-    """Built from each language's 4-gram counts: {language: (packed grams, counts)}."""
+    """Built from each language's 4-gram counts: {language: (packed grams, counts)}. symbols: how many all
+    languages have, where counts has some of these only."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], slack: float = 0.35, z: float = 4.0):
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], slack: float = 0.35, z: float = 4.0, symbols: int | None = None):
         self.langs = sorted(counts)
         self.slack, self.z = slack, z
         n_lang = len(self.langs)
@@ -123,7 +126,7 @@ class Model:
                 low, n = np.unique(levels[order + 1][name][0] & U64((1 << (16 * order)) - 1), return_counts=True)
                 levels[order][name] = low, n.astype(np.float64)
         union = [np.empty(0, U64)] + [np.unique(np.concatenate([levels[o][x][0] for x in self.langs])) if n_lang else np.empty(0, U64) for o in range(1, ORDER + 1)]
-        size = len(union[1]) + 1
+        size = (len(union[1]) if symbols is None else symbols) + 1
         self.floor = np.full(n_lang, -np.log(size))  # of a symbol that no language has: uniform
         lower = np.full((1, n_lang), 1 / size)
         self.tables, self.contexts, probability = [], [], []
@@ -214,14 +217,36 @@ class Model:
         return best, low, lead, limit, (low <= limit) & (letters > 0), letters > 0
 
 
+class Parts(Model):
+    """A model for each language, with the scores of one model of all."""
+
+    def __init__(self, parts: list[Model], slack: float = 0.35, z: float = 4.0):
+        self.parts, self.slack, self.z = parts, slack, z
+        self.langs = [x for p in parts for x in p.langs]
+        self.mean, self.deviation = (np.concatenate([getattr(p, a) for p in parts]) for a in ("mean", "deviation"))
+
+    def gram_scores(self, k: np.ndarray) -> np.ndarray:
+        return np.concatenate([p.gram_scores(k) for p in self.parts], axis=1)
+
+
 def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", model_ngrams: int = 2_000_000, slack: float = 0.35, z: float = 4.0) -> Model:
-    """The model of all languages that label rows of docs. A language with more than model_ngrams distinct
-    4-grams keeps the most frequent (ties: the lower code), so that the model, which is broadcast, has a bound."""
-    counts = ngram_counts(docs, text, lang)
-    w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    table = counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= model_ngrams).select("lang", "gram", "n").toArrow()
-    names, k, n = table.column("lang").to_numpy(), table.column("gram").to_numpy().view(U64), table.column("n").to_numpy()
-    return Model({x: (k[names == x], n[names == x]) for x in sorted(set(names))}, slack, z)
+    """The model of all languages that label rows of docs, with all their 4-grams. Where a language has more than
+    model_ngrams distinct ones, languages are collected and built one by one, in arrays of their own."""
+    counts = ngram_counts(docs, text, lang).persist(StorageLevel.DISK_ONLY)
+    try:
+        sizes = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}
+
+        def collected(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+            table = rows.select("lang", "gram", "n").toArrow()
+            names, k, n = table.column("lang").to_numpy(), table.column("gram").to_numpy().view(U64), table.column("n").to_numpy()
+            return {x: (k[names == x], n[names == x]) for x in sorted(set(names))}
+
+        if max(sizes.values(), default=0) <= model_ngrams:
+            return Model(collected(counts), slack, z)
+        symbols = counts.select(F.col("gram").bitwiseAND(0xFFFF)).distinct().count()
+        return Parts([Model(collected(counts.where(F.col("lang") == x)), slack, z, symbols) for x in sorted(sizes)], slack, z)
+    finally:
+        counts.unpersist()
 
 
 def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
