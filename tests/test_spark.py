@@ -133,3 +133,14 @@ def test_query_against_sql(spark, name):
     assert sorted(names) == columns
     want = sorted((repr([row[names.index(k)] for k in columns]) for row in r.fetchall()))
     assert sorted(repr([row[k] for k in columns]) for row in got.collect()) == want
+
+
+@pytest.mark.parametrize("name", ["uni_capitalize_first_whole", "uni_char_class_counts"])
+def test_whole_texts_against_sql(spark, name):
+    test_query_against_sql(spark, name)
+    texts = spark.read.parquet(f"{SF}/documents.parquet")
+    got = QUERIES[name](spark, SF).join(texts, "doc_id")
+    if name == "uni_capitalize_first_whole":
+        assert got.where("substring(v, 2) <> substring(text, 2) OR length(v) <> length(text)").count() == 0
+    else:
+        assert got.where(r"cast(split(v, ' ')[0] AS int) <> regexp_count(text, '\\p{L}')").count() == 0

@@ -85,6 +85,8 @@ _docs("uni_nfd_nfc", lambda c: fn.normalize(fn.normalize(c, "NFD"), "NFC"), "nfc
 _docs("uni_nfkc", lambda c: fn.count_codepoints(fn.normalize(c, "NFKC")), "length(t)::INTEGER")
 _docs("uni_title_case", lambda c: fn.to_title_case(F.regexp_replace(F.col(c), "[^a-zA-Z ]", "")), "array_to_string(list_transform(string_split(regexp_replace(t, '[^a-zA-Z ]', '', 'g'), ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ')")
 _docs("uni_char_class", lambda c: F.concat_ws("", *(f(F.left(F.col(c), F.lit(1))).cast("string") for f in (fn.is_letter, fn.is_digit, fn.is_whitespace, fn.is_alphanumeric, fn.is_punctuation))), r"concat(regexp_matches(left(t, 1), '^\p{L}$'), regexp_matches(left(t, 1), '^\p{Nd}$'), left(t, 1) IN (' ', chr(10)), regexp_matches(left(t, 1), '^[\p{L}\p{Nd}]$'), regexp_matches(left(t, 1), '^\p{P}$'))")
+_docs("uni_capitalize_first_whole", fn.capitalize_first, "CASE WHEN left(t, 1) = 'ß' THEN t ELSE upper(left(t, 1)) || substr(t, 2) END")
+_docs("uni_char_class_counts", lambda c: F.concat_ws(" ", *(F.size(F.filter(fn.codepoints(c), f)).cast("string") for f in (fn.is_letter, fn.is_digit, fn.is_whitespace, fn.is_alphanumeric, fn.is_punctuation))), r"concat_ws(' ', len(regexp_extract_all(t, '\p{L}')), len(regexp_extract_all(t, '\p{Nd}')), len(regexp_extract_all(t, '[\s\x0B]')), len(regexp_extract_all(t, '[\p{L}\p{Nd}]')), len(regexp_extract_all(t, '\p{P}')))")
 _docs("uni_utf8_lengths", lambda c: F.aggregate(fn.utf8_length(c), F.lit(0), lambda a, x: a + x), "octet_length(encode(t))::INTEGER")
 _docs("uni_iterate", lambda c: F.size(fn.codepoints(c)), "length(t)::INTEGER")
 
@@ -158,6 +160,7 @@ add("terms_coverage", lambda s, d: ix.coverage(_terms(s, d), _tidx(s, d)), f"SEL
 add("terms_missing", lambda s, d: ix.missing(_terms(s, d), _tidx(s, d)), f"SELECT * FROM {_TERMS} WHERE starts_with(title, 'No such')")
 add("extract_pages", lambda s, d: ix.extract_pages(_terms(s, d), _tidx(s, d), corpus.wiki_texts(s, d)), f"SELECT ordinal, title, p_partkey IS NOT NULL AS found, p_partkey AS page_id, coalesce({corpus.CONTENT.replace('p_partkey', 'p.p_partkey')}, '') AS content FROM {_TERMS} t LEFT JOIN part p ON t.title = {corpus.TITLE}".replace("coalesce(concat", "coalesce(CASE WHEN p.p_partkey IS NOT NULL THEN concat").replace("]]'), '')", "]]') END, '')"))
 
+
 # markup
 _SIZE, _KEY, _PRICE = "cast(p_size AS string)", "cast(p_partkey AS string)", corpus.PRICE
 _wiki = corpus.wiki_texts
