@@ -144,3 +144,16 @@ def test_whole_texts_against_sql(spark, name):
         assert got.where("substring(v, 2) <> substring(text, 2) OR length(v) <> length(text)").count() == 0
     else:
         assert got.where(r"cast(split(v, ' ')[0] AS int) <> regexp_count(text, '\\p{L}')").count() == 0
+
+
+@pytest.mark.parametrize("name", ["template_closure_whole", "terms_coverage_whole", "terms_missing_whole", "extract_pages_whole"])
+def test_whole_table_against_sql(spark, name):
+    test_query_against_sql(spark, name)
+
+
+def test_closure_stops_at_its_bound(spark):
+    from textloom.operators.graph import closure
+
+    chain = spark.range(50).selectExpr("id AS a", "id + 1 AS b")
+    for most in (1, 5, 40):
+        assert closure(chain, "a", "b", most).selectExpr("max(b - a) AS d", "count(*) AS n").first() == (most, sum(51 - k for k in range(1, most + 1)))

@@ -10,11 +10,15 @@ def closure(edges: DataFrame, a: str, b: str, most: int = 40) -> DataFrame:
     """Pairs (a, b) with a path of at most ``most`` edges; cycles are fine. Paths double each round."""
     known = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).distinct()
     length, n = 1, known.count()
+    levels = [(length, known)]
     while length < most:
-        step = known.alias("l").join(known.alias("r"), F.col("l.y") == F.col("r.x")).select(F.col("l.x").alias("x"), F.col("r.y").alias("y"))
+        # the longest level that doesn't lead beyond the bound
+        more, level = next(x for x in reversed(levels) if x[0] <= most - length)
+        step = known.alias("l").join(level.alias("r"), F.col("l.y") == F.col("r.x")).select(F.col("l.x").alias("x"), F.col("r.y").alias("y"))
         known = known.union(step).distinct().persist()
         m = known.count()
         if m == n:
             break
-        n, length = m, length * 2
+        n, length = m, length + more
+        levels.append((length, known))
     return known.select(F.col("x").alias(a), F.col("y").alias(b))

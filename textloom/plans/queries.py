@@ -161,6 +161,18 @@ add("terms_missing", lambda s, d: ix.missing(_terms(s, d), _tidx(s, d)), f"SELEC
 add("extract_pages", lambda s, d: ix.extract_pages(_terms(s, d), _tidx(s, d), corpus.wiki_texts(s, d)), f"SELECT ordinal, title, p_partkey IS NOT NULL AS found, p_partkey AS page_id, coalesce({corpus.CONTENT.replace('p_partkey', 'p.p_partkey')}, '') AS content FROM {_TERMS} t LEFT JOIN part p ON t.title = {corpus.TITLE}".replace("coalesce(concat", "coalesce(CASE WHEN p.p_partkey IS NOT NULL THEN concat").replace("]]'), '')", "]]') END, '')"))
 
 
+def _all_terms(s: SparkSession, d: str) -> DataFrame:
+    """All titles, all again, and as many that aren't there."""
+    p = corpus.part(s, d)
+    one = p.select(F.col("p_partkey").alias("ordinal"), F.expr(corpus.TITLE).alias("title"))
+    return one.union(one.select(F.col("ordinal") + 1000000000, "title")).union(p.select(F.col("p_partkey") + 2000000000, F.expr("concat('No such ', cast(p_partkey AS string))")))
+
+
+_ALL_TERMS = f"(SELECT p_partkey::BIGINT AS ordinal, {corpus.TITLE} AS title FROM part UNION ALL SELECT p_partkey::BIGINT + 1000000000, {corpus.TITLE} FROM part UNION ALL SELECT p_partkey::BIGINT + 2000000000, concat('No such ', cast(p_partkey AS string)) FROM part)"
+add("terms_coverage_whole", lambda s, d: ix.coverage(_all_terms(s, d), _tidx(s, d)), f"SELECT * FROM {_ALL_TERMS} WHERE NOT starts_with(title, 'No such')")
+add("terms_missing_whole", lambda s, d: ix.missing(_all_terms(s, d), _tidx(s, d)), f"SELECT * FROM {_ALL_TERMS} WHERE starts_with(title, 'No such')")
+add("extract_pages_whole", lambda s, d: ix.extract_pages(_all_terms(s, d), _tidx(s, d), corpus.wiki_texts(s, d)), f"SELECT ordinal, title, p_partkey IS NOT NULL AS found, p_partkey AS page_id, coalesce({corpus.CONTENT.replace('p_partkey', 'p.p_partkey')}, '') AS content FROM {_ALL_TERMS} t LEFT JOIN part p ON t.title = {corpus.TITLE}".replace("coalesce(concat", "coalesce(CASE WHEN p.p_partkey IS NOT NULL THEN concat").replace("]]'), '')", "]]') END, '')"))
+
 # markup
 _SIZE, _KEY, _PRICE = "cast(p_size AS string)", "cast(p_partkey AS string)", corpus.PRICE
 _wiki = corpus.wiki_texts
@@ -254,6 +266,7 @@ _expand("pf_time", ["{{#time:Y-m-d H:i:s}} ", "<p_name>"], "concat('2026-03-04 0
 _expand("magic_page_names", ["{{PAGENAME}}|{{BASEPAGENAME}}|{{SUBPAGENAME}}|{{ROOTPAGENAME}}|{{TALKPAGENAME}}"], "concat(p_name, '/', p_type, '/', p_size, '|', p_name, '/', p_type, '|', p_size, '|', p_name, '|Talk:', p_name, '/', p_type, '/', p_size)", "concat(p_name, '/', p_type, '/', p_size)")
 _expand("magic_constants", ["{{SITENAME}} {{SERVER}} {{CONTENTLANG}} {{CURRENTYEAR}} {{CURRENTTIMESTAMP}} {{NUMBEROFPAGES}} ", "<p_name>"], "concat('Wikipedia //en.wikipedia.org en 2026 20260304050607 0 ', p_name)")
 add("template_closure", lambda s, d: mk.template_closure(corpus.part(s, d).where("p_partkey % 5 > 0").select(F.col("p_partkey").alias("template"), (F.col("p_partkey") - 1).alias("uses"))), "SELECT a.p_partkey AS template, a.p_partkey - k AS uses FROM part a, (VALUES (1), (2), (3), (4)) t(k) WHERE a.p_partkey % 5 >= k")
+add("template_closure_whole", lambda s, d: mk.template_closure(corpus.part(s, d).select(F.col("p_partkey").alias("template"), F.expr("p_partkey div 2").alias("uses"))), "WITH RECURSIVE c AS (SELECT p_partkey AS template, p_partkey // 2 AS uses FROM part UNION SELECT c.template, p.p_partkey // 2 FROM c JOIN part p ON p.p_partkey = c.uses) SELECT template, uses FROM c")
 
 # sinks, catalog, names
 add("json_page", lambda s, d: corpus.wiki_pages(s, d).select("page_id", sinks.page_json(content=False).alias("j")).select("page_id", F.get_json_object("j", "$.title").alias("title"), F.get_json_object("j", "$.redirect").alias("redirect"), F.get_json_object("j", "$.revisions[1].id").cast("long").alias("revision")), f"SELECT p_partkey AS page_id, {corpus.TITLE} AS title, {corpus.REDIRECT} AS redirect, p_partkey * 10 + 2 AS revision FROM part")
