@@ -302,6 +302,17 @@ def test_pii(spark):
     assert pii.pseudonymise(with_extras(spark, []), key).count() == 0
 
 
+def test_card_beside_short_numbers():
+    plain = "4111 1111 1111 1111"
+    own = pii.card(plain, b"k")
+    for before, after in [("", " 123"), ("", "-123"), ("", " 12/27"), ("", " 12 x"), ("12 ", ""), ("12 ", " 123"), ("7 ", " 9 x")]:
+        assert pii.replace(before + plain + after, b"k") == (before + own + after, ["card"])
+    joined = plain.replace(" ", "")
+    assert pii.replace(joined + " 12 x", b"k") == (pii.card(joined, b"k") + " 12 x", ["card"])
+    for near in ("x4111 1111 1111 1112 123", "4111 1111 1111 1112 123", "1234567890123456789"):
+        assert pii.replace(near, b"k") == (near, [])
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000])
 def test_feistel_is_a_permutation(size):
     assert sorted(pii.permute(x, size, b"k", "t") for x in range(size)) == list(range(size))

@@ -85,6 +85,18 @@ def card(m: str, key: bytes) -> str | None:
     return _refill(m, body + str(luhn(body)))
 
 
+def _card_within(m: str, key: bytes) -> tuple[int, int, str] | None:
+    """(begin, end, pseudonym) of the first card within a longer run of groups of digits, of those that begin at
+    one place the longest. It begins and ends at separators, so that 13 digits of any longer number don't count."""
+    groups = [g.span() for g in re.finditer(r"\d+", m, re.ASCII)]
+    for i in range(len(groups)):
+        for j in range(len(groups) - 1, i - 1, -1):
+            first, last = groups[i][0], groups[j][1]
+            if (i or j < len(groups) - 1) and (new := card(m[first:last], key)) is not None:
+                return first, last, new
+    return None
+
+
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
@@ -220,6 +232,12 @@ def replace(text: str, key: bytes) -> tuple[str, list[str]]:
                 if other != kind and other != "secret" and (n := _ALONE[other].match(text, m.start())) and (new := f(n.group(), key)) is not None:
                     kind, m = other, n
                     break
+        if new is None and (n := _ALONE["card"].match(text, m.start())) and (part := _card_within(n.group(), key)):
+            first, last, new = part
+            out += [text[at : m.start() + first], new]
+            found.append("card")
+            at = pos = m.start() + last
+            continue
         if new is None:
             pos = m.start() + 1
             continue
