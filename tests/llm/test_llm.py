@@ -267,6 +267,16 @@ def test_warc(spark):
     assert sorted(whole, key=str) == sorted([("http://a/b%0Ac", "<p>x</p>"), (None, ""), ("u", ""), ("v", big), ("v", big)], key=str)
 
 
+def test_warc_long_header_lines():
+    import io
+
+    for n in (65_500, 65_517, 65_518, 65_519, 200_000):  # around the size of a piece, 64 KiB
+        url = "http://a/" + "x" * n
+        record = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: {url}\r\nWARC-Record-ID: <a>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n".encode()
+        got = list(warc.read_records(io.BytesIO(record * 2)))
+        assert [(r[1], r[3], r[7], r[-1]) for r in got] == [("<a>", url, b"hello", None)] * 2
+
+
 def test_warc_damaged(spark):
     good = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <a>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     cases = {"cut": good + good[:-6], "junk": good + b"junk\r\n", "nolen": b"WARC/1.0\r\nA: b\r\n\r\n", "none": b"", "wrong": good.replace(b"<a>", b"<a>\r\nWARC-Block-Digest: sha256:00")}

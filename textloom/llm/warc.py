@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import col, shared_path
 
 CHUNK = 16 << 10
-LINE = 64 << 10  # longest header line
+LINE = 64 << 10  # bytes of a header line read at a time
 CHUNKS = "path string, record_no long, record_id string, warc_type string, target_uri string, chunk_no int, offset long, length int, payload binary, digest string, is_last boolean, digest_ok boolean, error string"
 WRITTEN = "path string, records long, bytes long"
 
@@ -79,6 +79,14 @@ def write_pages(pages: DataFrame, folder: str, *, page_id: str = "page_id", url:
     return pages.mapInArrow(run, WRITTEN)
 
 
+def _read_line(stream) -> bytes:
+    """A line of any length, read a piece at a time."""
+    parts = [stream.readline(LINE)]
+    while len(parts[-1]) == LINE and not parts[-1].endswith(b"\n"):
+        parts.append(stream.readline(LINE))
+    return b"".join(parts)
+
+
 def read_records(stream, chunk_bytes: int = CHUNK):
     """Rows (as tuples without the path) of an open, decompressed WARC stream.
 
@@ -97,7 +105,7 @@ def read_records(stream, chunk_bytes: int = CHUNK):
             yield number, None, None, None, 0, 0, 0, b"", hashlib.sha256().hexdigest(), True, None, "not a record"
             return
         head: dict[str, str] = {}
-        while (line := stream.readline(LINE)) not in (b"\r\n", b"\n", b""):
+        while (line := _read_line(stream)) not in (b"\r\n", b"\n", b""):
             name, _, value = line.partition(b":")
             head.setdefault(name.strip().lower().decode("latin-1"), value.strip().decode("utf-8", "replace"))
         own = number, head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri")
