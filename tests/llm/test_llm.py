@@ -356,19 +356,42 @@ def test_neighbours(spark):
     odd = [(None, [0.0] * 6), (900, None), (901, [1.0]), (902, [float("nan")] * 6), (903, [None] * 6), (3, data[3][1])]
     df = frame(spark, data + odd, "vec_id long, embedding array<float>").selectExpr("*", "1 AS part", "2 AS id", "'l' AS label")
     exact = ann.brute_force(data, 5)
-    got: dict = {}
-    for r in ann.neighbours(df, k=5, visit=1.0, part_rows=150).collect():
-        got.setdefault(r.query_id, {})[r["rank"]] = r.neighbour_id
-    assert {q: [n[i] for i in sorted(n)] for q, n in got.items()} == exact
-    near: dict = {}
-    for r in ann.neighbours(df, k=5).collect():
-        near.setdefault(r.query_id, set()).add(r.neighbour_id)
-    assert np.mean([len(near[q] & set(exact[q])) / 5 for q in exact]) >= 0.9
+
+    def found(**kw):
+        got: dict = {}
+        for r in ann.neighbours(df, k=5, **kw).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = r.neighbour_id
+        return {q: [n[i] for i in sorted(n)] for q, n in got.items()}
+
+    assert found(visit=10**9, part_bytes=6 * 4 * 256, block=100) == exact
+    near = found(every=5)
+    assert set(near) == set(range(0, 400, 5)) and np.mean([len(set(near[q]) & set(exact[q])) / 5 for q in near]) >= 0.9
+    few = found(visit=20)
+    assert set(few) == set(exact) and all(len(n) == 5 for n in few.values())  # a smaller share is visited
     assert ann.neighbours(df.where("false")).count() == 0
     assert ann.neighbours(df.where("vec_id = 1")).count() == 0
     assert rows(ann.neighbours(df.where("vec_id IN (1, 2)")).select("query_id", "neighbour_id")) == {(1, 2), (2, 1)}
 
 
+def test_neighbours_of_clusters(spark):
+    """One cluster holds a third of the rows, so its cells are divided into several parts."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 8)) * 20
+    own = np.where(rng.random(6000) < 0.33, 0, rng.integers(0, 60, 6000))
+    data = [(i, v.tolist()) for i, v in enumerate((centres[own] + rng.normal(size=(6000, 8))).astype(np.float32))]
+    exact = ann.brute_force(data, 5)
+    got: dict = {}
+    for r in ann.neighbours(frame(spark, data, "vec_id long, embedding array<float>"), k=5, every=50, part_bytes=8 * 4 * 256).collect():
+        got.setdefault(r.query_id, set()).add(r.neighbour_id)
+    assert np.mean([len(got[q] & set(exact[q])) / 5 for q in got]) >= 0.9 and len(got) == 120
+
+
+def test_parts_are_bounded():
+    held = np.array([0, 5, 4, 30, 0, 1, 9, 2])
+    part, split, n = ann.parts_of(held, 10)
+    assert split.tolist() == [1, 1, 1, 3, 1, 1, 1, 1] and part.tolist() == [0, 0, 0, 1, 4, 4, 4, 5] and n == 6
+
+
 def test_traversal_takes_cells_by_summed_distance():
     rng = np.random.default_rng(1)
     d1, d2, sizes = rng.random(5), rng.random(7), rng.integers(0, 4, 35).tolist()

@@ -1,89 +1,76 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
-A vector's two halves are quantised separately with ``k`` centroids each, so there are k * k cells. A query goes
-through the pairs of centroids by summed distance with a heap, until the cells that it took hold ``visit`` of all
-entries; those are reranked by exact distance.
-
-Plan. Codebooks: Lloyd rounds over all vectors, in which tasks send sums (2 * k rows), not vectors. The only table
-on the driver is that of the k * k cell sizes. Entries are divided by cell into parts of some ``part_rows``; a
-query goes once to each part that has one of its cells, with a bitmap of them. Queries are divided into as many
-blocks as there are parts; each block meets each part in a task of bounded size, by matrix products; the parts'
-best are merged. Which share must be visited for a recall depends on the data: in embeddings
-without cluster structure, as in high-dimensional random ones, half of them for a recall of 0.9 and more.
+A vector's two halves are quantised separately with ``size`` centroids each, so there are size * size cells. A
+query goes through the pairs of centroids by summed distance with a heap, until the cells that it took hold
+``visit`` entries; those, and no others, are compared with it.
+
+``visit`` is measured, not guessed: the true neighbours of some PROBES queries are found by comparing them with
+all entries, and it becomes the number of entries within which the traversal has met the share ``recall`` of them.
+It is small where vectors cluster, whatever the table's size; where they have no structure, as random ones in many
+dimensions, no index can do without a large share of the table.
+
+Plan. The vectors are written once, compactly, in the shared folder. Codebooks are fitted on a sample of FIT_BYTES.
+One pass counts the entries of the cells, of which there are MOST_CELLS at most. The index is a table in the shared
+folder in parts of some PART_BYTES, each of consecutive cells; a cell that is larger has several parts. Queries are
+divided into blocks; a task goes through the parts that its queries visit, one at a time, and keeps the k best of
+each query, so that neither entries nor candidates are shuffled, nothing grows with the table but the number of
+parts, and a lost task reads the index again.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import U64, col, counted, file_system, mix, release, shared_path
 
-NEIGHBOURS, VISIT, ROUNDS, PART_ROWS, CELL_ROWS = 10, 0.55, 6, 25_000, 12
+NEIGHBOURS, RECALL, ROUNDS, PROBES, BLOCK = 10, 0.95, 8, 256, 1024
+CELL_ROWS, MOST_CELLS = 48, 1 << 16
+FIT_BYTES, PART_BYTES = 16 << 20, 8 << 20
+RESULT = "query_id long, rank int, neighbour_id long, distance double"
 
 
-def vectors(batch: pa.RecordBatch, name: str = "embedding") -> np.ndarray:
-    values = batch.column(name)
-    return values.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, 1), np.float32)
+def vectors(batch: pa.RecordBatch | pa.Table, dim: int, name: str = "v") -> np.ndarray:
+    """The rows of a binary column of float32."""
+    column = batch.column(name)
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(batch.num_rows, dim)
 
 
 def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * (x @ c.T) + (c * c).sum(1), 0)
 
 
-def codebooks(rows: DataFrame, dim: int, k: int, rounds: int = ROUNDS) -> list[np.ndarray]:
-    """Two arrays of centroids. They begin at the k vectors of the lowest hash, apart from equal ones; a centroid
-    that loses all its vectors stays."""
-    half = dim // 2
-    seeds = rows.select("embedding").distinct().orderBy(F.xxhash64("embedding"), "embedding").limit(k).toArrow()
-    start = np.array(seeds.column("embedding").to_pylist(), np.float32)
-    books = [start[:, :half].copy(), start[:, half:].copy()]
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([distances(x[i : i + 8192], c).argmin(1) for i in range(0, len(x), 8192)] or [np.empty(0, np.int64)])
+
+
+def codebook(x: np.ndarray, size: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Centroids by Lloyd's rounds, from the first size distinct vectors on; one that loses all its vectors stays."""
+    _, first = np.unique(x, axis=0, return_index=True)
+    book = x[np.sort(first)[:size]].copy()
     for _ in range(rounds):
-        shared = rows.sparkSession.sparkContext.broadcast(books)
-
-        def sums(batches, shared=shared):
-            total = [np.zeros((len(b), b.shape[1] + 1)) for b in shared.value]
-            for b in batches:
-                x = vectors(b)
-                for s, part, book in zip(total, (x[:, :half], x[:, half:]), shared.value, strict=True):
-                    for at in range(0, len(part), 8192):
-                        p = part[at : at + 8192]
-                        a = distances(p, book).argmin(1)
-                        order = np.argsort(a, kind="stable")
-                        first = np.flatnonzero(np.diff(a[order], prepend=-1))
-                        s[a[order][first], :-1] += np.add.reduceat(p[order].astype(np.float64), first, axis=0)
-                        s[:, -1] += np.bincount(a, minlength=len(book))
-            yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([t.tobytes() for t in total], pa.binary())], names=["half", "sums"])
-
-        def add(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for t in parts:
-                for x in t.column("sums").to_pylist():
-                    x = np.frombuffer(x, np.float64)
-                    total = x.copy() if total is None else total + x
-            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["half", "sums"])
-
-        new = rows.select("embedding").mapInArrow(sums, "half int, sums binary").groupBy("half").applyInArrow(add, "half int, sums binary").collect()
-        for r in new:
-            s = np.frombuffer(r["sums"], np.float64).reshape(len(books[r["half"]]), -1)
-            own = s[:, -1] > 0
-            books[r["half"]] = books[r["half"]].copy()
-            books[r["half"]][own] = (s[own, :-1] / s[own, -1:]).astype(np.float32)
-    return books
-
-
-def traverse(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, want: int) -> list[int]:
+        a = nearest(x, book)
+        order = np.argsort(a, kind="stable")
+        own, at = np.unique(a[order], return_index=True)
+        n = np.diff(np.append(at, len(a)))
+        book[own] = (np.add.reduceat(x[order].astype(np.float64), at, axis=0) / n[:, None]).astype(np.float32)
+    return book
+
+
+def traverse(d1: np.ndarray, d2: np.ndarray, sizes: list[int], want: int) -> list[int]:
     """Cells (i * k + j) in order of d1[i] + d2[j] until they hold want entries: the multi-sequence algorithm."""
     o1, o2, k = np.argsort(d1, kind="stable").tolist(), np.argsort(d2, kind="stable").tolist(), len(d2)
     a, b = [float(d1[i]) for i in o1], [float(d2[j]) for j in o2]
-    heap, nxt, out, held = [(a[0] + b[0], 0, 0)], [0] * len(a), [], 0
-    # row r's next column is nxt[r]; row r + 1 begins once row r has given its first
+    heap, out, held = [(a[0] + b[0], 0, 0)], [], 0
+    # a row begins once the row before it has given its first
     while heap and held < want:
         _, r, c = heapq.heappop(heap)
         cell = o1[r] * k + o2[c]
@@ -97,106 +84,208 @@ def traverse(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, want: int) -> li
     return out
 
 
-def neighbours(df: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = NEIGHBOURS, visit: float = VISIT, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """(query_id, rank, neighbour_id, distance): for each row of df its k nearest others, by Euclidean distance.
+def parts_of(held: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first part, number of parts) of each cell, and the number of parts in all, each of some ``most`` entries."""
+    part, split, at, fill = np.zeros(len(held), np.int64), np.ones(len(held), np.int64), -1, most + 1
+    for c, n in enumerate(held.tolist()):
+        if n > most:
+            part[c], split[c] = at + 1, -(-n // most)
+            at, fill = at + int(split[c]), most + 1
+            continue
+        if fill + n > most:
+            at, fill = at + 1, 0
+        part[c], fill = at, fill + n
+    return part, split, at + 1
+
+
+class Best:
+    """The k best entries of each query: by exact distance, ties by the lower id."""
+
+    def __init__(self, q: np.ndarray, ids: np.ndarray, k: int):
+        self.q, self.ids, self.k = q, ids, k
+        self.norm = (q * q).sum(1)
+        self.row, self.id, self.d = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.limit = np.full(len(q), np.inf, np.float32)  # squared, a little too large rather than too small
+        self.waiting: list[tuple] = []
+        self.held = 0
+
+    def add(self, rows: np.ndarray, e: np.ndarray, ids: np.ndarray) -> None:
+        """Compares the queries in rows with entries."""
+        norm = (e * e).sum(1)
+        d = self.norm[rows][:, None] - 2 * (self.q[rows] @ e.T) + norm
+        d -= 1e-5 * (self.norm[rows][:, None] + norm)  # what rounding may add
+        a, b = np.nonzero(d <= self.limit[rows][:, None])
+        a = rows[a]
+        other = self.ids[a] != ids[b]
+        a, b = a[other], b[other]
+        if len(a):
+            self.waiting.append((a, ids[b], ((self.q[a].astype(np.float64) - e[b].astype(np.float64)) ** 2).sum(1)))
+            self.held += len(a)
+            if self.held > 50_000:
+                self.merge()
+
+    def merge(self) -> None:
+        row, ids, d = (np.concatenate([x, *(w[i] for w in self.waiting)]) for i, x in enumerate((self.row, self.id, self.d)))
+        order = np.lexsort((ids, d, row))
+        row, ids, d = row[order], ids[order], d[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank < self.k
+        self.row, self.id, self.d, rank = row[keep], ids[keep], d[keep], rank[keep]
+        last = rank == self.k - 1
+        self.limit[self.row[last]] = np.nextafter(self.d[last].astype(np.float32), np.float32(np.inf))
+        self.waiting, self.held = [], 0
+
+    def rows(self) -> tuple[np.ndarray, ...]:
+        """(query row, rank from 1, id, distance)."""
+        self.merge()
+        return self.row, np.arange(len(self.row)) - np.searchsorted(self.row, self.row) + 1, self.id, np.sqrt(self.d)
+
+
+def _clean(df: DataFrame, vec_id: str, embedding: str, path: str) -> int | None:
+    """Writes (id, v) of the rows that count; their dimension, None if there are none."""
+    rows = df.select(col(vec_id).cast("long").alias("id"), col(embedding).cast("array<float>").alias("e"))
+    rows = rows.where("id IS NOT NULL AND size(e) > 0 AND forall(e, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < float('inf'))")
+    common = rows.groupBy(F.size("e").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    if common is None:
+        return None
+    rows = rows.where(F.size("e") == common["dim"])
+    again = counted(rows.groupBy("id").count().where("count > 1").select("id"))  # only ids that repeat are shuffled with their vectors
+    rows = rows.join(again, "id", "left_anti").unionByName(rows.join(again, "id", "left_semi").groupBy("id").agg(F.min("e").alias("e")))
+
+    def pack(batches):
+        for b in batches:
+            e = b.column("e").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(b.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in e], pa.binary())], names=["id", "v"])
+
+    rows.mapInArrow(pack, "id long, v binary").write.parquet(path)
+    return common["dim"]
+
+
+def _probe(rows: DataFrame, q: np.ndarray, ids: np.ndarray, k: int, dim: int, cell) -> list:
+    """(query row, cell) of the true k nearest of each query, by comparing all."""
+    shared = rows.sparkSession.sparkContext.broadcast((q, ids))
+
+    def run(batches):
+        best, cells = Best(*shared.value, k), {}
+        for b in batches:
+            e, own = vectors(b, dim), b.column("id").to_numpy()
+            for at in range(0, len(e), 8192):
+                best.add(np.arange(len(best.q)), e[at : at + 8192], own[at : at + 8192])
+            best.merge()
+            near = np.flatnonzero(np.isin(own, best.id))
+            cells.update(zip(own[near].tolist(), cell(e[near]).tolist(), strict=True))
+        row, _, near, d = best.rows()
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(near), pa.array(d), pa.array([cells[x] for x in near.tolist()], pa.int32())], names=["q", "id", "d", "cell"])
+
+    found = rows.mapInArrow(run, "q long, id long, d double, cell int")
+    top = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "cell"))), 1, k).alias("top"))  # k of each task
+    return [(r["q"], x["cell"]) for r in top.collect() for x in r["top"]]
+
+
+def neighbours(df: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 1, k: int = NEIGHBOURS, recall: float = RECALL, visit: int | None = None, part_bytes: int = PART_BYTES, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+    """(query_id, rank, neighbour_id, distance): for each row of df whose id is divisible by ``every`` its k nearest
+    others among all rows, by Euclidean distance.
+
+    visit: how many entries a query is compared with at least; None: measured for the recall, as above.
 
     Ties of distance go to the lower id. A row is never its own neighbour; other rows of equal vectors are.
     Rows with a null id, a null vector, a null, NaN or infinite element or another length than most vectors have
-    (of equally many, the shorter) are left out. Rows that repeat an id are one: the least vector. Where there are fewer than
-    k others, all are given. Other columns aren't read. An empty table gives no rows.
+    (of equally many, the shorter) are left out. Rows that repeat an id are one: the least vector. Where there are
+    fewer than k others, all are given. Other columns, whatever their names, aren't read. An empty table gives no
+    rows.
     """
     spark = df.sparkSession
-    result = "query_id long, rank int, neighbour_id long, distance double"
-    rows = df.select(col(vec_id).cast("long").alias("id"), col(embedding).cast("array<float>").alias("embedding"))
-    rows = rows.where("id IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < float('inf'))")
-    common = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    if common is None:
-        return spark.createDataFrame([], result)
-    dim = common["dim"]
-    rows = rows.where(F.size("embedding") == dim).groupBy("id").agg(F.min("embedding").alias("embedding"))
-    if dim == 1:  # the second half of a single number is nothing: a zero
-        rows, dim = rows.withColumn("embedding", F.array(F.col("embedding")[0], F.lit(0.0).cast("float"))), 2
-    size = max(2, 2 ** round(math.log2(max(4, common["n"] / CELL_ROWS)) / 2))
-    books = codebooks(rows, dim, size, rounds)
-    k1, k2 = len(books[0]), len(books[1])
-    half, shared = dim // 2, spark.sparkContext.broadcast(books)
-
-    def cells(batches):
+    raw, index = shared_path(spark, "vectors"), shared_path(spark, "index")
+    dim = _clean(df, vec_id, embedding, raw)
+    if dim is None:
+        return spark.createDataFrame([], RESULT)
+    rows = spark.read.parquet(raw)
+    total = rows.count()
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(max(1024, FIT_BYTES // (4 * dim))).select("v").toArrow()
+    x = vectors(sample, dim)
+    half = dim // 2 if dim > 1 else 1  # of a single number the second half is nothing
+    size = 2 ** max(1, round(math.log2(min(MOST_CELLS, max(4, total / CELL_ROWS))) / 2))
+    books = [codebook(np.ascontiguousarray(p), size, rounds) for p in (x[:, :half], x[:, half:] if dim > 1 else np.zeros((len(x), 1), np.float32))]
+    k1, k2 = map(len, books)
+    shared = spark.sparkContext.broadcast(books)
+
+    def halves(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return v[:, :half], v[:, half:] if dim > 1 else np.zeros((len(v), 1), np.float32)
+
+    def cell(v: np.ndarray) -> np.ndarray:
+        a, b = halves(v)
+        return (nearest(a, shared.value[0]) * k2 + nearest(b, shared.value[1])).astype(np.int32)
+
+    def count(batches):
+        n = np.zeros(k1 * k2, np.int64)
         for b in batches:
-            x = vectors(b)
-            own = np.concatenate([distances(x[i : i + 8192, :half], shared.value[0]).argmin(1) * k2 + distances(x[i : i + 8192, half:], shared.value[1]).argmin(1) for i in range(0, len(x), 8192)] or [np.empty(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int32())], names=["id", "embedding", "cell"])
+            n += np.bincount(cell(vectors(b, dim)), minlength=len(n))
+        own = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(n[own])], names=["cell", "n"])
 
-    placed = rows.mapInArrow(cells, "id long, embedding array<float>, cell int")
     held = np.zeros(k1 * k2, np.int64)
-    for r in placed.groupBy("cell").count().collect():
-        held[r["cell"]] = r["count"]
-    total = int(held.sum())
-    parts = max(1, math.ceil(total / part_rows))
-    part_of = np.minimum((np.cumsum(held) - held) * parts // max(1, total), parts - 1).astype(np.int32)
-    want = min(total, math.ceil(visit * total) + k + 1)
-    table = spark.sparkContext.broadcast((held, part_of))
+    for r in rows.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        held[r["cell"]] = r["n"]
+    asked = rows.where(F.col("id") % every == 0) if every > 1 else rows
+    if visit is None:
+        some = asked.orderBy(F.xxhash64("id"), "id").limit(PROBES).toArrow()
+        q = vectors(some, dim)
+        d1, d2 = (distances(a, b) for a, b in zip(halves(q), books, strict=True))
+        met = []
+        order, seen = None, None
+        for at, c in sorted(_probe(rows, q, some.column("id").to_numpy(), k, dim, cell)):
+            if seen != at:
+                near = np.argsort((d1[at][:, None] + d2[at]).ravel(), kind="stable")
+                order, seen = np.empty(len(near), np.int64), at
+                order[near] = np.cumsum(held[near])
+            met.append(order[c])
+        visit = int(np.quantile(met, recall, method="higher")) if met else 0
+    want = min(total, max(visit, k + 1))
+
+    most = max(256, part_bytes // (4 * dim))
+    part, split, parts = parts_of(held, most)
+    table = spark.sparkContext.broadcast((held, part, split))
 
     def entries(batches):
-        for b in cells(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(table.value[1][b.column("cell").to_numpy()]), b.column("id"), b.column("cell"), pa.array([v.tobytes() for v in vectors(b)], pa.binary())], names=["part", "id", "cell", "v"])
+        _, part, split = table.value
+        for b in batches:
+            v = vectors(b, dim)
+            c, ids = cell(v), b.column("id").to_numpy()
+            own = part[c] + (mix(ids.view(U64).copy()) % split[c].astype(U64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(c), b.column("id"), b.column("v")], names=["part", "cell", "id", "v"])
+
+    rows.mapInArrow(entries, "part int, cell int, id long, v binary").repartition(parts, "part").sortWithinPartitions("part", "cell").write.partitionBy("part").parquet(index)
 
-    def queries(batches):
-        held, part_of = table.value
+    def search(batches):
+        held, part, split = table.value
         sizes = held.tolist()
-        for b in batches:
-            x = vectors(b)
-            out: list[list] = [[], [], [], []]
-            for at in range(0, len(x), 1024):
-                q = x[at : at + 1024]
-                d1, d2 = distances(q[:, :half], shared.value[0]), distances(q[:, half:], shared.value[1])
+        system, base = file_system(index)
+        for whole in batches:
+            for at in range(0, whole.num_rows, block):
+                b = whole.slice(at, block)
+                q, ids = vectors(b, dim), b.column("id").to_numpy()
+                d1, d2 = (distances(a, c) for a, c in zip(halves(q), shared.value, strict=True))
+                cells = np.zeros((len(held), len(q)), bool)
                 for i in range(len(q)):
-                    bits = np.zeros(k1 * k2, bool)
-                    bits[traverse(d1[i], d2[i], sizes, want)] = True
-                    for p in np.unique(part_of[bits]):
-                        out[0].append(int(p))
-                        out[1].append(at + i)
-                        out[2].append(np.packbits(bits).tobytes())
-                        out[3].append(q[i].tobytes())
-                if len(out[0]) > 4000 or at + 1024 >= len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), b.column("id").take(pa.array(out[1], pa.int64())), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["part", "id", "bits", "v"])
-                    out = [[], [], [], []]
-
-    def compare(key, qs: pa.Table, es: pa.Table) -> pa.Table:
-        e = np.frombuffer(b"".join(es.column("v").to_pylist()), np.float32).reshape(es.num_rows, dim)
-        ids, cell = es.column("id").to_numpy(), es.column("cell").to_numpy()
-        order = np.argsort(ids, kind="stable")  # of equal distance: the lower id first
-        e, ids, cell = e[order], ids[order], cell[order]
-        out: list[list] = [[], [], []]
-        for at in range(0, qs.num_rows, 256):
-            part = qs.slice(at, 256)
-            q = np.frombuffer(b"".join(part.column("v").to_pylist()), np.float32).reshape(part.num_rows, dim)
-            qid = part.column("id").to_numpy()
-            bits = np.unpackbits(np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1)
-            d = distances(q, e) if len(e) else np.empty((len(q), 0), np.float32)
-            d[bits[:, cell] == 0] = np.inf
-            d[qid[:, None] == ids[None, :]] = np.inf
-            if d.shape[1] > k:
-                limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-                near = d <= limit * (1 + 1e-5) + 1e-6  # exact distances decide among these
-            else:
-                near = np.ones(d.shape, bool)
-            a, b = np.nonzero(near & np.isfinite(d))
-            exact = np.sqrt(((q[a].astype(np.float64) - e[b].astype(np.float64)) ** 2).sum(1))
-            by = np.lexsort((ids[b], exact, a))
-            a, b, exact = a[by], b[by], exact[by]
-            first = np.searchsorted(a, a)
-            top = np.arange(len(a)) - first < k
-            out[0].append(qid[a[top]])
-            out[1].append(ids[b[top]])
-            out[2].append(exact[top])
-        return pa.table([np.concatenate(x) if x else np.empty(0, t) for x, t in zip(out, (np.int64, np.int64, np.float64), strict=True)], names=["query_id", "neighbour_id", "distance"])
-
-    index = rows.mapInArrow(entries, "part int, id long, cell int, v binary").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asked = rows.mapInArrow(queries, "part int, id long, bits binary, v binary").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    best = asked.groupBy("part", "block").cogroup(index.groupBy("part", "block")).applyInArrow(compare, "query_id long, neighbour_id long, distance double")
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbour_id"))).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "neighbour_id", "distance")
+                    cells[traverse(d1[i], d2[i], sizes, want), i] = True
+                visited = np.flatnonzero(cells.any(1))
+                best = Best(q, ids, k)
+                for p in sorted({int(x) for c in visited for x in range(part[c], part[c] + split[c])}):
+                    for f in sorted(f.path for f in system.get_file_info(fs.FileSelector(f"{base}/part={p}", allow_not_found=True)) if f.path.endswith(".parquet")):
+                        t = pq.read_table(f, filesystem=system, columns=["cell", "id", "v"], partitioning=None)
+                        e, own, c = vectors(t, dim), t.column("id").to_numpy(), t.column("cell").to_numpy()
+                        cut = np.append(np.flatnonzero(np.diff(c, prepend=-1)), len(c))
+                        for s, stop in zip(cut[:-1], cut[1:], strict=True):
+                            who = np.flatnonzero(cells[c[s]])
+                            for m in range(s, stop, 4096) if len(who) else ():
+                                best.add(who, e[m : min(stop, m + 4096)], own[m : min(stop, m + 4096)])
+                row, rank, near, d = best.rows()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(rank, pa.int32()), pa.array(near), pa.array(d)], names=["query_id", "rank", "neighbour_id", "distance"])
+        release()
+
+    n = asked.count()
+    tasks = max(1, math.ceil(n / block), min(2 * spark.sparkContext.defaultParallelism, math.ceil(n / 64)))
+    return asked.repartition(tasks).mapInArrow(search, RESULT)
 
 
 def brute_force(rows: list[tuple], k: int) -> dict[int, list[int]]:

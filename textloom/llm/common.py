@@ -9,6 +9,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +49,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """For Python workers: the file system of a URI or local path, and the path within it."""
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+
+
 def without(df: DataFrame, *names: str) -> list[str]:
     """The columns of df but for those named as a result column (case doesn't count): an operator's result
     replaces a column of the same name."""
