@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import ann, arrowseq, decontaminate, jaccard, langid, mixing, pii, sharding, urlfilter, warc
-from textloom.llm.common import drop_ids, word_hashes
+from textloom.llm.common import keep_rows, word_hashes
 
 WORDS = "the of and in to a er on th nd ing re thea onat erth wht shan ble edou estr liko mura tevo sani poru dela vixo".split()
 
@@ -84,35 +84,63 @@ def test_contamination(spark, corpus):
     assert decontaminate.contamination(with_extras(spark, []), frame(spark, bench, "item_id long, text string")).count() == 0
 
 
+def test_jaccard_groups(spark, corpus):
+    docs, _ = corpus
+    want = jaccard.brute_force_groups(docs)
+    got = jaccard.jaccard_groups(with_extras(spark, docs))
+    assert sorted(tuple(r) for r in got.collect()) == want and got.columns == ["doc_id", "class_id", "links"]
+    assert sum(k > 0 for *_, k in want) > 20 and max(k for *_, k in want) > 3
+    parted = jaccard.jaccard_groups(with_extras(spark, docs), unit=300)  # components are divided into blocks
+    assert sorted(tuple(r) for r in parted.collect()) == want
+    assert jaccard.jaccard_groups(with_extras(spark, [])).count() == 0
+    assert jaccard.jaccard_groups(with_extras(spark, docs[:1])).count() == 1
+
+
 def test_jaccard_join(spark, corpus):
     docs, _ = corpus
     got = rows(jaccard.jaccard_join(with_extras(spark, docs)))
     assert got == jaccard.brute_force(docs)
     assert len(got) > 20
-    kept = jaccard.deduplicate(with_extras(spark, docs))
-    parent = {d: d for d, _ in docs if d is not None}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b, _ in got:
-        a, b = sorted((find(a), find(b)))
-        parent[b] = a
+    kept = jaccard.deduplicate(with_extras(spark, docs), doc_id="doc_id")
+    least = {d: c for d, c, _ in sorted(jaccard.brute_force_groups(docs), key=lambda r: -r[1])}
     ids = sorted((r.doc_id for r in kept.collect()), key=str)
-    assert ids == sorted((d for d, _ in docs if d is None or find(d) == d), key=str)
-    assert kept.columns == with_extras(spark, []).columns
+    stay = {d for d, c in least.items() if d == c} | {d for d, t in docs if not any(ch.isalnum() for ch in t or "")}
+    assert set(ids) - {None, 6} == stay - {6} and kept.columns == with_extras(spark, []).columns
+    assert kept.where("doc_id IS NULL").count() == 1
     assert jaccard.jaccard_join(with_extras(spark, [])).count() == 0
 
 
+def test_deduplicate_by_id_and_text(spark):
+    """Another text under the id of a copy stays; rows that repeat id and text are one."""
+    a, b = "the quick brown fox jumps over it", "an unrelated text of other words here"
+    docs = [(1, a), (5, a), (5, b), (7, b + " too"), (7, b + " too"), (9, None), (9, None), (None, a), (11, "x y z"), (11, "x y z")]
+    kept = jaccard.deduplicate(with_extras(spark, docs))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (5, b), (9, None), (9, None), (None, a), (11, "x y z")], key=str)
+
+
 def test_jaccard_filters_alone_find_all_pairs(spark, corpus, monkeypatch):
     """Without first groups every pair has to come through the filters of all orders."""
     docs, _ = corpus
-    monkeypatch.setattr(jaccard, "BANDS", 1)
-    monkeypatch.setattr(jaccard, "BAND_ROWS", 12)
+    monkeypatch.setattr(jaccard, "ALIKE", 2.0)
     for threshold in (0.3, 0.7):
         assert rows(jaccard.jaccard_join(with_extras(spark, docs), threshold=threshold)) == jaccard.brute_force(docs, threshold=threshold)
+    monkeypatch.setattr(jaccard, "UNIT", 300)
+    got = jaccard.jaccard_groups(with_extras(spark, docs), unit=300)
+    assert sorted(tuple(r) for r in got.collect()) == jaccard.brute_force_groups(docs)
+
+
+def test_jaccard_counts_colliding_tokens():
+    """n-grams that agree in all bits that a bucket keeps are counted at least as often as they are shared."""
+    rng = np.random.default_rng(4)
+    sets = [rng.choice(200, rng.integers(5, 40), replace=False) for _ in range(12)]  # a set's n-grams; 4 bits of each are kept
+    t = np.concatenate(sets).astype(np.uint32) & np.uint32(15)
+    row = np.repeat(np.arange(12), [len(x) for x in sets])
+    o = np.lexsort((row, t))
+    shared: dict = {}
+    for keys, n in jaccard._pairs_of(t[o], row[o], row[o], chunk=50):
+        for key, k in zip(keys.tolist(), n.tolist(), strict=True):
+            shared[key >> 32, key & 0xFFFFFFFF] = shared.get((key >> 32, key & 0xFFFFFFFF), 0) + k
+    assert all(shared.get((i, j), 0) >= len(set(sets[i]) & set(sets[j])) for j in range(12) for i in range(j))
 
 
 def test_components(spark):
@@ -402,9 +430,13 @@ def test_traversal_takes_cells_by_summed_distance():
     assert few == want[: len(few)] and sum(sizes[c] for c in few) >= 10 > sum(sizes[c] for c in few[:-1])
 
 
-def test_drop_ids(spark):
-    df = frame(spark, [(1, "a"), (None, "b"), (2, "c")], "doc_id long, text string")
-    assert rows(drop_ids(df, "doc_id", frame(spark, [(1,), (None,)], "x long"))) == {(2, "c")}
+def test_keep_rows(spark):
+    df = frame(spark, [(1, "a", 0), (None, "b", 1), (None, "c", 2), (2, "c", 3), (2, "d", 4), (3, None, 5), (2, "c", 6)], "doc_id long, text string, __key int").withColumnRenamed("doc_id", "a.b")
+    keyed = lambda r: frame(spark, r, "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("key"))
+    out = keep_rows(df, "a.b", "text", keyed([(None, "b"), (2, "d"), (1, "zz")]))
+    assert sorted(r[2] for r in out.collect()) == [0, 2, 3, 5, 6] and out.columns == df.columns
+    out = keep_rows(df, "a.b", "text", keyed([(None, "b")]), keyed([(2, "c")]))
+    assert sorted(r[2] for r in out.collect() if r[2] not in (3, 6)) == [0, 2, 4, 5] and out.count() == 5
 
 
 def test_pipeline(spark, tmp_path):

@@ -199,11 +199,31 @@ def counted(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.count() <= limit else small
 
 
-def drop_ids(docs: DataFrame, doc_id: str, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in ids, a table of one column of distinct ids; a null there drops
-    rows with a null id."""
-    ids = counted(ids.select(F.col(ids.columns[0]).alias("__drop_id")))
-    return docs.join(ids, docs[quoted(doc_id)].eqNullSafe(ids["__drop_id"]), "left_anti")
+def row_key(docs: DataFrame, doc_id: str, text: str) -> tuple:
+    """Columns that tell documents apart, though an id may repeat or be null: (id, hash of the text)."""
+    return col(doc_id).cast("long"), F.xxhash64(col(text).cast("string"))
+
+
+def keep_rows(docs: DataFrame, doc_id: str, text: str, gone: DataFrame, single: DataFrame | None = None) -> DataFrame:
+    """docs without the rows whose (id, hash of the text) is in gone, a table of distinct (doc_id, key) in which a
+    null id stands for a null id; of rows in single, a table likewise, one of each stays."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # no name of docs can clash
+    own = row_key(plain, *(f"c{docs.columns.index(n)}" for n in (doc_id, text)))
+    plain = plain.withColumns({"__id": own[0], "__key": own[1]})
+
+    def names(small: DataFrame) -> DataFrame:
+        return counted(small.select(F.col("doc_id").alias("__a"), F.col("key").alias("__b")))
+
+    def same(small: DataFrame):
+        return plain["__id"].eqNullSafe(small["__a"]) & (plain["__key"] == small["__b"])
+
+    gone = names(gone)
+    out = plain.join(gone, same(gone), "left_anti")
+    if single is not None and (single := names(single)).count():
+        # only rows that repeat are brought together, by id and key: salted would be of no use, as partial sums leave one a task
+        some = out.join(single, out["__id"].eqNullSafe(single["__a"]) & (out["__key"] == single["__b"]), "left_semi")
+        out = out.join(single, out["__id"].eqNullSafe(single["__a"]) & (out["__key"] == single["__b"]), "left_anti").unionByName(some.dropDuplicates(["__id", "__key"]))
+    return out.drop("__id", "__key").toDF(*docs.columns)
 
 
 def map_rows(df: DataFrame, run, extra: list[T.StructField]) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, col, drop_ids, release, selected_hashes, text_batches, word_hashes
+from .common import U64, col, keep_rows, release, selected_hashes, text_batches, word_hashes
 
 #: Offsets that a seed looks at; all others up to the last are ignored.
 MASKS = ((0, 1, 3, 6, 8, 9), (0, 2, 3, 7, 8, 10), (0, 1, 4, 5, 9, 11), (0, 3, 5, 6, 7, 11))

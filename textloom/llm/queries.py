@@ -51,17 +51,22 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) < {jaccard.NGRAM} THEN [array_to_string(ws, ' ')]
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(ws) < {jaccard.NGRAM} THEN [array_to_string(ws, ' ')]
       ELSE list_transform(range(len(ws) - {jaccard.NGRAM - 1}), lambda i: array_to_string(ws[i + 1 : i + {jaccard.NGRAM}], ' ')) END)) AS grams FROM w WHERE len(ws) > 0),
-r AS (SELECT grams, min(doc_id) AS rep, len(grams) AS n FROM s GROUP BY grams),
-g AS (SELECT rep, n, unnest(grams) AS gram FROM r),
-p AS (SELECT x.rep AS doc_a, y.rep AS doc_b, count(*) AS common, any_value(x.n) AS nx, any_value(y.n) AS ny FROM g x JOIN g y ON x.gram = y.gram AND x.rep < y.rep GROUP BY 1, 2)
-SELECT doc_a, doc_b, common::DOUBLE / (nx + ny - common) AS jaccard FROM p WHERE common::DOUBLE / (nx + ny - common) >= {jaccard.THRESHOLD}
-UNION ALL SELECT rep, doc_id, 1.0::DOUBLE FROM s JOIN r USING (grams) WHERE doc_id <> rep
+r AS (SELECT grams, row_number() OVER (ORDER BY min(doc_id), grams) AS rep, min(doc_id) AS least, count(*) AS copies, len(grams) AS n FROM s GROUP BY grams),
+g AS (SELECT rep, n, copies, unnest(grams) AS gram FROM r),
+p AS (SELECT x.rep AS a, y.rep AS b, count(*) AS common, any_value(x.n) AS nx, any_value(y.n) AS ny, any_value(y.copies) AS copies FROM g x JOIN g y ON x.gram = y.gram AND x.rep <> y.rep GROUP BY 1, 2),
+e AS (SELECT a, b, copies FROM p WHERE common::DOUBLE / (nx + ny - common) >= {jaccard.THRESHOLD}),
+c(rep, root) AS (SELECT rep, rep FROM r UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.rep AND e.b > c.root),
+k AS (SELECT rep, min(root) AS root FROM c GROUP BY rep),
+l AS (SELECT a, sum(copies) AS links FROM e GROUP BY a),
+m AS (SELECT k.root, min(r.least) AS class_id FROM k JOIN r USING (rep) GROUP BY k.root)
+SELECT s.doc_id, m.class_id, (r.copies - 1 + coalesce(l.links, 0))::BIGINT AS links FROM s JOIN r USING (grams) JOIN k USING (rep) JOIN m USING (root) LEFT JOIN l ON l.a = r.rep
 """)
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_join(load(spark, sf_dir, "documents"))
+    """A row a document with its class and its number of links."""
+    return jaccard.jaccard_groups(load(spark, sf_dir, "documents"))
 
 
 @query()
