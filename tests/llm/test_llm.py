@@ -69,19 +69,52 @@ def test_word_hashes_do_not_depend_on_windows(monkeypatch):
     assert (h == h2).all() and (off == off2).all()
 
 
-def test_contamination(spark, corpus):
+ITEMS = "item_id long, text string"
+
+
+def test_masks_avoid_all_substitutions():
+    import itertools
+
+    for words in range(1, 14):
+        masks = decontaminate.masks_for(words)
+        assert all(m[0] == 0 and m[-1] < words for m in masks) and len(masks) <= 12
+        for wrong in itertools.combinations(range(words), decontaminate.allowed(words)):
+            assert any(not set(wrong) & {o + i for o in m} for m in masks for i in range(words - m[-1]))
+    assert decontaminate.masks_for(13)[:4] == decontaminate.MASKS
+
+
+def test_contamination(spark, corpus, monkeypatch):
     docs, bench = corpus
+    bench = bench + [(2**60 + 1, "sani poru dela vixo liko"), (None, text(random.Random(8), 12))]
+    words = bench[-1][1].split()
+    words[3] = words[9] = "other"
+    docs = docs + [(200, "x sani poru tevo vixo liko y"), (201, text(random.Random(7), 9) + " " + " ".join(words))]
     short = [d for d in docs if len(d[1] or "") < 5000]
-    got = rows(decontaminate.contamination(with_extras(spark, short), frame(spark, bench, "item_id long, text string")))
+    got = rows(decontaminate.contamination(with_extras(spark, short), frame(spark, bench, ITEMS)))
     assert got == decontaminate.brute_force(short, bench)
-    assert {d for d, *_ in got} >= {3, 13, 23, 33, 43, 53}
-    sliced = decontaminate.contamination(frame(spark, short, "doc_id long, text string"), frame(spark, bench, "item_id long, text string"), broadcast_bytes=20_000)
+    assert {d for d, *_ in got} >= {3, 13, 23, 33, 43, 53} and {(200, 2**60 + 1, 4, 4), (201, None, 10, 10), (104, 8, 1, 1)} - got == {(104, 8, 1, 1)}
+    monkeypatch.setattr(decontaminate, "CHUNK", 3)
+    index = decontaminate.SeedIndex(pa.array([b[0] for b in bench], pa.int64()), pa.array([b[1] for b in bench]))
+    d, q, best, total = index.hits(*word_hashes(pa.array([t for _, t in short])))
+    assert {(short[i][0], bench[j][0], int(x), int(y)) for i, j, x, y in zip(d, q, best, total, strict=True)} >= got
+    monkeypatch.undo()
+    sliced = decontaminate.contamination(frame(spark, short, "doc_id long, text string"), frame(spark, bench, ITEMS), broadcast_bytes=60_000)
     assert rows(sliced) == got
-    left = decontaminate.decontaminate(with_extras(spark, docs), frame(spark, bench, "item_id long, text string"))
-    assert {r.doc_id for r in left.collect()} == {d for d, _ in docs} - {d for d, *_ in got} and left.columns == with_extras(spark, []).columns
-    empty = frame(spark, [], "item_id long, text string")
+    left = decontaminate.decontaminate(with_extras(spark, docs), frame(spark, bench, ITEMS))
+    dirty = {(d, t) for d, t in docs for x in decontaminate.brute_force([(d, t)] if len(t or "") < 5000 else [], bench)}
+    long = [(d, t) for d, t in docs if len(t or "") >= 5000]
+    assert sorted(((r.doc_id, r.text) for r in left.collect() if (r.doc_id, r.text) not in long), key=str) == sorted((x for x in docs if x not in dirty and x not in long), key=str)
+    assert left.columns == with_extras(spark, []).columns
+    empty = frame(spark, [], ITEMS)
     assert decontaminate.contamination(with_extras(spark, docs), empty).count() == 0
-    assert decontaminate.contamination(with_extras(spark, []), frame(spark, bench, "item_id long, text string")).count() == 0
+    assert decontaminate.contamination(with_extras(spark, []), frame(spark, bench, ITEMS)).count() == 0
+
+
+def test_decontaminate_tells_rows_apart(spark):
+    item = text(random.Random(1), 20)
+    docs = [(None, "see " + item), (None, "clean one"), (None, "clean two"), (7, "clean"), (8, item), (8, "also clean")]
+    left = decontaminate.decontaminate(with_extras(spark, docs), frame(spark, [(2**60 + 1, item), (None, item)], ITEMS))
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([docs[1], docs[2], docs[3], docs[5]], key=str)
 
 
 def test_jaccard_groups(spark, corpus):

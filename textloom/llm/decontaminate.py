@@ -3,7 +3,10 @@
 Each mask is a set of token offsets; the tokens between them are ignored, so that a seed survives substituted
 words there. Hashes of the benchmark's seeds are joined with those of the training texts. Around each hit the
 two texts are laid over each other and compared word by word: a document is contaminated by an item if some
-``window`` consecutive words of the item agree with the document in at least ``min_matches`` places.
+``window`` consecutive words of the item agree with the document in at least ``min_matches`` places. The masks
+are fixed; together they are lossless: wherever the allowed number of substitutions lies in a window, one mask at
+one place in it has none of them. Items of fewer words than the window, whose threshold is in proportion, have
+masks for their own length.
 
 Plan: the benchmark's seed table is measured, then broadcast as sorted arrays if it fits ``broadcast_bytes``;
 a larger benchmark is divided by a hash of its rows into as many slices as needed, each with a pass of its own,
@@ -13,6 +16,8 @@ only the hits, which are few, are aggregated.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 
 import numpy as np
@@ -25,50 +30,94 @@ from .common import U64, col, keep_rows, release, selected_hashes, text_batches,
 #: Offsets that a seed looks at; all others up to the last are ignored.
 MASKS = ((0, 1, 3, 6, 8, 9), (0, 2, 3, 7, 8, 10), (0, 1, 4, 5, 9, 11), (0, 3, 5, 6, 7, 11))
 WINDOW_WORDS, MIN_MATCHES = 13, 10
-HITS = "doc_id long, item_id long, window_matches int, overlap_words int"
+CHUNK = 2_000_000  # hits of one mask that are held at once
+HITS = "doc_id long, key long, item_id long, window_matches int, overlap_words int"
+
+
+def allowed(words: int, window: int = WINDOW_WORDS, min_matches: int = MIN_MATCHES) -> int:
+    """Substitutions that a window of so many words may have."""
+    return words - math.ceil(min_matches * words / window)
+
+
+@functools.cache
+def masks_for(words: int, window: int = WINDOW_WORDS, min_matches: int = MIN_MATCHES) -> tuple[tuple[int, ...], ...]:
+    """Masks of which one, at one place, avoids any allowed substitutions in a window of so many words: first MASKS
+    as far as they fit, then those, with fewer offsets if need be, that avoid most of the patterns that are left."""
+    wrong = allowed(words, window, min_matches)
+    left = {frozenset(c) for c in itertools.combinations(range(words), wrong)}
+    out: list[tuple[int, ...]] = []
+
+    def avoided(mask):
+        places = [{o + i for o in mask} for i in range(words - mask[-1])]
+        return {c for c in left if any(not c & p for p in places)}
+
+    for mask in MASKS:
+        if mask[-1] < words and (hit := avoided(mask)):
+            out.append(mask)
+            left -= hit
+    weight = min(6, words - wrong)
+    tries = 0
+    while left:
+        best = max((m for m in ((0, *rest) for rest in itertools.combinations(range(1, words), weight - 1))), key=lambda m: len(avoided(m)))
+        hit = avoided(best)
+        out.append(best)
+        left -= hit
+        tries += 1
+        if tries == 4 and left and weight > 3:  # fewer offsets rather than many masks
+            weight, tries = weight - 1, 0
+    return tuple(out)
 
 
 class SeedIndex:
     """The benchmark's words and its seeds, sorted by hash."""
 
-    def __init__(self, ids: pa.Array, texts: pa.Array, masks=MASKS, window=WINDOW_WORDS, min_matches=MIN_MATCHES):
-        self.ids = ids.to_numpy(zero_copy_only=False)
+    def __init__(self, ids: pa.Array, texts: pa.Array, window=WINDOW_WORDS, min_matches=MIN_MATCHES):
+        self.ids = ids.cast(pa.int64())
         self.words, self.off = word_hashes(texts)
-        self.masks, self.window, self.min_matches = masks, window, min_matches
-        row = np.repeat(np.arange(len(self.ids)), np.diff(self.off))
-        self.tables = []
-        for k, mask in enumerate(masks):
-            h = selected_hashes(self.words, mask, k + 1)
-            at = np.flatnonzero(row[: len(h)] == row[mask[-1] : mask[-1] + len(h)]) if len(h) else np.empty(0, np.int64)
-            h = h[at]
-            order = np.argsort(h, kind="stable")
-            h, at = h[order], at[order]
-            bits = max(16, 4 + int(len(h)).bit_length())
-            seen = np.zeros(1 << bits, bool)
-            seen[(h >> U64(64 - bits)).astype(np.int64)] = True
-            self.tables.append((h, at, bits, seen))
-        self.row = row
+        self.window, self.min_matches = window, min_matches
+        size = np.diff(self.off)
+        self.row = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        self.tables = []  # (mask, hashes, places, bits, which hash classes occur)
+        for words in np.unique(np.minimum(size, window)).tolist():
+            own = np.minimum(size, window)[self.row] == words
+            for mask in masks_for(words, window, min_matches) if words else ():
+                h = selected_hashes(self.words, mask)
+                at = np.flatnonzero((self.row[: len(h)] == self.row[mask[-1] : mask[-1] + len(h)]) & own[: len(h)]) if len(h) else np.empty(0, np.int64)
+                order = np.argsort(h[at], kind="stable")
+                h, at = h[at][order], at[order].astype(np.int32)
+                bits = max(16, 3 + int(len(h)).bit_length())
+                seen = np.zeros(1 << bits, bool)
+                seen[(h >> U64(64 - bits)).astype(np.int64)] = True
+                self.tables.append((mask, h, at, bits, seen))
 
     def hits(self, words: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         """(document row, item row, best window's matches, matches in all) of the contaminated pairs."""
         doc_row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-        found = []
-        for k, (mask, (h, at, bits, seen)) in enumerate(zip(self.masks, self.tables, strict=True)):
-            g = selected_hashes(words, mask, k + 1)
+        found = [np.empty((3, 0), np.int64)]
+        for mask, h, at, bits, seen in self.tables:
+            g = selected_hashes(words, mask)
             if not len(g) or not len(h):
                 continue
             pos = np.flatnonzero(seen[(g >> U64(64 - bits)).astype(np.int64)])
             pos = pos[doc_row[pos] == doc_row[pos + mask[-1]]]
             g = g[pos]
-            lo, hi = np.searchsorted(h, g, "left"), np.searchsorted(h, g, "right")
-            n = hi - lo
-            p = np.repeat(pos, n)
-            i = at[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            d, q = doc_row[p], self.row[i]
-            found.append(np.stack([d, q, (p - off[d]) - (i - self.off[q])]))
-        if not found or not sum(x.shape[1] for x in found):
-            return (np.empty(0, np.int64),) * 4
+            lo, n = np.searchsorted(h, g, "left"), np.searchsorted(h, g, "right")
+            n -= lo
+            total, step = np.cumsum(n), 0
+            while step < len(n):  # a seed that many items share, in many texts, is merged by diagonal as it goes
+                end = max(step + 1, int(np.searchsorted(total, (total[step - 1] if step else 0) + CHUNK, side="right")))
+                s = slice(step, end)
+                m = n[s]
+                p = np.repeat(pos[s], m)
+                i = at[np.repeat(lo[s], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+                d, q = doc_row[p], self.row[i]
+                found.append(np.unique(np.stack([d, q, (p - off[d]) - (i - self.off[q])]), axis=1))
+                if sum(x.shape[1] for x in found) > CHUNK:
+                    found = [np.unique(np.concatenate(found, axis=1), axis=1)]
+                step = end
         d, q, shift = np.unique(np.concatenate(found, axis=1), axis=1)
+        if not len(d):
+            return (np.empty(0, np.int64),) * 4
         best, total = np.empty(len(d), np.int64), np.empty(len(d), np.int64)
         size = np.diff(self.off)[q]
         step = 0
@@ -99,39 +148,18 @@ class SeedIndex:
         return d[one], q[one], best[one], np.maximum.reduceat(total, group) if len(group) else total[one]
 
 
-def contamination(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    *,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    item_id: str = "item_id",
-    item_text: str = "text",
-    masks=MASKS,
-    window: int = WINDOW_WORDS,
-    min_matches: int = MIN_MATCHES,
-    broadcast_bytes: int = 256 << 20,
-) -> DataFrame:
-    """(doc_id, item_id, window_matches, overlap_words), a row for each contaminated pair.
-
-    window_matches is the highest count of agreeing words in ``window`` consecutive words of the item (all of
-    a shorter item, whose threshold is in proportion); overlap_words the highest count over the whole item.
-
-    Null or empty text on either side matches nothing; a null id is kept as null. Items with fewer words than
-    a mask spans have no seed of that mask. Rows that repeat give one row per (doc_id, item_id). Other columns
-    of either table, whatever their names, are not read. Empty tables give an empty result.
-    """
-    docs = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).cast("string").alias("text"))
+def _found(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, window: int, min_matches: int, broadcast_bytes: int) -> DataFrame:
+    """HITS; key: the hash of the document's text."""
+    docs = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     items = benchmark.select(col(item_id).cast("long").alias("item_id"), col(item_text).cast("string").alias("text")).where("length(text) > 0")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # a word of about 3 bytes at least has its hash (8) and, for each mask, a hash, a place and 16 to 32 flags
-    slices = max(1, math.ceil(size / 3 * (16 + 48 * len(masks)) / broadcast_bytes))
+    words = items.agg(F.sum(F.regexp_count("text", F.lit(r"[A-Za-z0-9\x{80}-\x{10FFFF}]+")))).first()[0] or 0
+    # a word has its hash (8 bytes), its row (4) and, for each mask, a hash (8), a place (4) and up to 16 flags
+    slices = max(1, math.ceil(words * (12 + 28 * max(len(masks_for(w, window, min_matches)) for w in range(1, window + 1))) / broadcast_bytes))
     sc, found = docs.sparkSession.sparkContext, []
     for k in range(slices):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k) if slices > 1 else items
         table = part.toArrow().combine_chunks()
-        index = SeedIndex(table.column("item_id").combine_chunks(), table.column("text").combine_chunks(), masks, window, min_matches)
-        shared = sc.broadcast(index)
+        shared = sc.broadcast(SeedIndex(table.column("item_id").combine_chunks(), table.column("text").combine_chunks(), window, min_matches))
 
         def scan(batches, shared=shared):
             index = shared.value
@@ -139,27 +167,37 @@ def contamination(
                 for b in text_batches(whole, "text"):
                     d, q, best, total = index.hits(*word_hashes(b.column("text")))
                     if len(d):
-                        item = pa.array(index.ids[q]) if index.ids.dtype != object else pa.array([index.ids[x] for x in q], pa.int64())
-                        if item.type != pa.int64():  # ids with nulls come as floats
-                            item = pa.array([None if x != x else int(x) for x in index.ids[q]], pa.int64())
-                        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(d)), item, pa.array(best, pa.int32()), pa.array(total, pa.int32())], names=["doc_id", "item_id", "window_matches", "overlap_words"])
+                        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(d)), b.column("key").take(pa.array(d)), index.ids.take(pa.array(q)), pa.array(best, pa.int32()), pa.array(total, pa.int32())], names=["doc_id", "key", "item_id", "window_matches", "overlap_words"])
             release()
 
         found.append(docs.mapInArrow(scan, HITS))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW_WORDS, min_matches: int = MIN_MATCHES, broadcast_bytes: int = 256 << 20) -> DataFrame:
+    """(doc_id, item_id, window_matches, overlap_words), a row for each contaminated pair.
+
+    window_matches is the highest count of agreeing words in ``window`` consecutive words of the item (all of
+    a shorter item, whose threshold is in proportion); overlap_words the highest count over the whole item.
+
+    Null or empty text on either side matches nothing; a null id is kept as null. Rows that repeat give one row
+    per (doc_id, item_id). Other columns of either table, whatever their names, are not read. Empty tables give
+    an empty result.
+    """
+    out = _found(docs, benchmark, doc_id, text, item_id, item_text, window, min_matches, broadcast_bytes)
     return out.groupBy("doc_id", "item_id").agg(F.max("window_matches").alias("window_matches"), F.max("overlap_words").alias("overlap_words"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", **kw) -> DataFrame:
-    """docs without the contaminated documents; all columns stay. A row whose id is null stays, unless a
-    row with a null id is contaminated, as such rows can't be told apart."""
-    return drop_ids(docs, doc_id, contamination(docs, benchmark, doc_id=doc_id, **kw).select("doc_id").distinct())
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW_WORDS, min_matches: int = MIN_MATCHES, broadcast_bytes: int = 256 << 20) -> DataFrame:
+    """docs without the contaminated documents; all columns stay. A document is known by its id and text, so a
+    clean text stays though another under the same id, or with a null id too, goes. Other rules as for
+    ``contamination``."""
+    found = _found(docs, benchmark, doc_id, text, item_id, item_text, window, min_matches, broadcast_bytes)
+    return keep_rows(docs, doc_id, text, found.select("doc_id", "key").distinct())
 
 
-def brute_force(docs: list[tuple], items: list[tuple], masks=MASKS, window=WINDOW_WORDS, min_matches=MIN_MATCHES) -> set[tuple]:
-    """The same in plain Python, for tests."""
+def brute_force(docs: list[tuple], items: list[tuple], window=WINDOW_WORDS, min_matches=MIN_MATCHES) -> set[tuple]:
+    """The rule itself, without any mask, in plain Python, for tests."""
     import re
 
     split = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
@@ -173,8 +211,6 @@ def brute_force(docs: list[tuple], items: list[tuple], masks=MASKS, window=WINDO
             w = min(window, len(b))
             for shift in range(-len(b), len(a)):
                 same = [0 <= shift + j < len(a) and a[shift + j] == b[j] for j in range(len(b))]
-                if not any(all(i + o < len(b) and 0 <= shift + i and same[i + o] for o in m) for m in masks for i in range(len(b)) if i + m[-1] < len(b)):
-                    continue
                 best = max(sum(same[i : i + w]) for i in range(len(b) - w + 1))
                 if best * window >= min_matches * w:
                     have = out.setdefault((doc, item), [0, 0])

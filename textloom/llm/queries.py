@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import ann, arrowseq, decontaminate, jaccard, langid, mixing, pii, sharding, urlfilter, warc
 from .common import load
 
@@ -27,19 +25,11 @@ def query(sql: str | None = None):
     return add
 
 
-def _seeds(column: str, n: int) -> str:
-    parts = [
-        f"SELECT id, {k} AS mask, i AS p, concat_ws(' ', {', '.join(f'ws[i + {o + 1}]' for o in m)}) AS seed FROM (SELECT id, ws, unnest(range(len(ws) - {m[-1]})) AS i FROM {column})"
-        for k, m in enumerate(decontaminate.MASKS)
-    ]
-    return " UNION ALL ".join(parts)
-
-
 @query(f"""
 WITH d AS (SELECT doc_id AS id, {WORDS} AS ws FROM documents WHERE text IS NOT NULL),
 b AS (SELECT item_id AS id, {WORDS} AS ws FROM benchmark WHERE text IS NOT NULL),
-ds AS ({_seeds('d', 0)}), bs AS ({_seeds('b', 0)}),
-hit AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.p - bs.p AS shift FROM ds JOIN bs USING (mask, seed)),
+dw AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d), bw AS (SELECT id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS j FROM b),
+hit AS (SELECT dw.id AS doc_id, bw.id AS item_id, dw.i - bw.j AS shift FROM dw JOIN bw USING (w) GROUP BY ALL HAVING count(*) * {decontaminate.WINDOW_WORDS} >= {decontaminate.MIN_MATCHES} * least({decontaminate.WINDOW_WORDS}, any_value(n))),
 laid AS (SELECT doc_id, item_id, list_transform(range(len(b.ws)), lambda j: CASE WHEN shift + j >= 0 AND d.ws[shift + j + 1] = b.ws[j + 1] THEN 1 ELSE 0 END) AS same,
          least({decontaminate.WINDOW_WORDS}, len(b.ws)) AS w FROM hit JOIN d ON d.id = doc_id JOIN b ON b.id = item_id),
 best AS (SELECT doc_id, item_id, w, list_sum(same) AS total, list_max(list_transform(range(len(same) - w + 1), lambda i: list_sum(same[i + 1 : i + w]))) AS best FROM laid)
@@ -159,8 +149,3 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_multi_index_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries: every row whose id is divisible by 50, against all rows."""
     return ann.neighbours(load(spark, sf_dir, "embeddings"), every=50)
-
-
-@query(corpus_pipeline.ORACLE_SQL)
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
