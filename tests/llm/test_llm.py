@@ -256,8 +256,20 @@ def test_mixing(spark):
         got = rows(mixing.mix(df, weights=weights, block_tokens=100, range_rows=20).select("slot", "source", "epoch", "block", "offset", "doc_id", "token_from", "token_to"))
         assert got == mixing.brute_force(short, weights, 100)
     assert mixing.mix(frame(spark, [], DOCS)).count() == 0
-    whole = mixing.mixed_documents(df.where("doc_id <> 7"), block_tokens=100)
-    assert {r.doc_id for r in whole.collect()} == {d for d, t, *_ in docs if d not in (None, 7) and (t or "").split()} and whole.columns == df.columns
+    whole = mixing.mixed_documents(df, block_tokens=100)
+    assert {(r.doc_id, r.text) for r in whole.collect()} == {(d, t) for d, t, *_ in docs if d is not None and (t or "").split()} and whole.columns == df.columns
+    assert mixing.mixed_documents(frame(spark, [], DOCS)).count() == 0
+
+
+def test_mixed_documents_of_repeated_rows(spark):
+    """Each row comes as often as its first token does, whatever repeats."""
+    docs = [(1, "a b c", "x", 1), (1, "a b c", "x", 1), (1, "a b c", "x", 2), (1, "other", "x", 3), (2, "d e f", "x", 4), (3, "g h", None, 5), (3, "g h", "y", 6), (None, "no id", "x", 7), (4, None, "x", 8), (5, " ", "x", 9)]
+    df = frame(spark, docs, "doc_id long, text string, source string, slot int").selectExpr("*", "'q' AS `a.b`", "1 AS offset", "2 AS copy", "3 AS __c")
+    out = [(r.doc_id, r.text, r.source, r.slot) for r in mixing.mixed_documents(df, weights={"x": 4, "y": 1, "": 1}, block_tokens=1000).collect()]
+    epochs = {s: max(1, len([r for r in out if r[2] == s])) for s in ("x",)}
+    one = [d for d in docs if d[3] < 5]
+    assert sorted(r for r in out if r[2] == "x") == sorted(one * (epochs["x"] // len(one))) and {r[3] for r in out} == {1, 2, 3, 4, 5, 6}
+    assert [r for r in out if r[2] == "x"][:4].count((1, "a b c", "x", 1)) == 2  # copies side by side
 
 
 def test_schedule_meets_targets():

@@ -7,9 +7,10 @@ keyed hash, laid end to end and cut each ``block_tokens``, within a document whe
 with the slot by which each source has served all its blocks once; until then a source that is through begins
 again (another epoch), so nothing is dropped.
 
-Plan: only (source, hash, id, tokens) is shuffled, never the text. The position of a document is a running sum
+Plan: texts are read once; (source, hash, id, hash of the text, tokens), rows that repeat as one with their number,
+are written in the shared folder, and all else follows from that table. The position of a document is a running sum
 in two steps, within hash ranges of some ``range_rows`` documents and over the ranges, so that a source that
-holds most of the corpus doesn't end up in one task. Slots are ranked likewise.
+holds most of the corpus doesn't end up in one task. Slots are ranked likewise. The driver holds a row a source.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from .common import col, counted
+from .common import col, counted, shared_path
 
 BLOCK_TOKENS, SEED = 65_536, "mix-1"
 GOLDEN, ONE = 1327217885, 1 << 31  # 2**31 / 1.618...
@@ -37,29 +40,33 @@ def shuffle_key(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), doc_id.cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def pieces(docs: DataFrame, *, doc_id: str, text: str, source: str, block_tokens: int, seed: str, range_rows: int) -> tuple[DataFrame, list[dict]]:
-    """(piece rows: source, block, doc_id, token_from, token_to; sources: name, tokens, blocks)."""
-    base = docs.select(F.coalesce(col(source).cast("string"), F.lit("")).alias("source"), col(doc_id).cast("long").alias("doc_id"), tokens(col(text).cast("string")).alias("n"))
-    base = base.where("n > 0 AND doc_id IS NOT NULL").withColumn("key", shuffle_key(F.col("doc_id"), seed))
-    stats = base.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows")).orderBy("source").collect()
+def pieces(docs: DataFrame, *, doc_id: str, text: str, source: str, block_tokens: int, seed: str, range_rows: int) -> tuple[DataFrame, list[dict], DataFrame]:
+    """(piece rows: source, block, doc_id, text_key, copy, token_from, token_to, offset; sources: name, tokens, blocks;
+    the documents: source, doc_id, text_key, n, copies, ...). copy numbers rows that repeat source, id and text."""
+    spark, path = docs.sparkSession, shared_path(docs.sparkSession, "lengths")
+    own = F.coalesce(col(source).cast("string"), F.lit("")).alias("source"), col(doc_id).cast("long").alias("doc_id"), F.xxhash64(col(text).cast("string")).alias("text_key"), tokens(col(text).cast("string")).alias("n")
+    base = docs.select(*own).where("n > 0 AND doc_id IS NOT NULL").groupBy("source", "doc_id", "text_key", "n").agg(F.count("*").alias("copies"))
+    base.withColumn("key", shuffle_key(F.col("doc_id"), seed)).write.parquet(path)
+    base = spark.read.parquet(path)
+    stats = base.groupBy("source").agg(F.sum(F.col("n") * F.col("copies")).alias("tokens"), F.count("*").alias("rows")).orderBy("source").collect()
     sources = [{"source": r["source"], "tokens": r["tokens"], "blocks": -(-r["tokens"] // block_tokens)} for r in stats]
     most = max((r["rows"] for r in stats), default=1)
     bits = max(0, math.ceil(math.log2(max(1, most / range_rows))))
-    base = base.withColumn("range", F.shiftright("key", 60 - bits).cast("int") if bits else F.lit(0))
-    sums = base.groupBy("source", "range").agg(F.sum("n").alias("s"))
+    ranged = base.withColumn("range", F.shiftright("key", 60 - bits).cast("int") if bits else F.lit(0)).withColumn("all", F.col("n") * F.col("copies"))
+    sums = ranged.groupBy("source", "range").agg(F.sum("all").alias("s"))
     before = sums.select("source", "range", (F.sum("s").over(Window.partitionBy("source").orderBy("range")) - F.col("s")).alias("before"))
-    w = Window.partitionBy("source", "range").orderBy("key", "doc_id", "n")
-    laid = base.withColumn("own", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).join(before, ["source", "range"])
-    laid = laid.withColumn("start", F.col("before") + F.col("own"))
+    w = Window.partitionBy("source", "range").orderBy("key", "doc_id", "n", "text_key")
+    laid = ranged.withColumn("own", F.sum("all").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("all")).join(before, ["source", "range"])
+    laid = laid.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("start", F.col("before") + F.col("own") + F.col("copy") * F.col("n"))
     size = F.lit(block_tokens)
     cut = laid.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("n") - 1) / size))))
     out = cut.select(
-        "source", F.col("block").cast("long").alias("block"), "doc_id",
+        "source", F.col("block").cast("long").alias("block"), "doc_id", "text_key", "copy",
         F.greatest(F.lit(0), F.col("block") * size - F.col("start")).cast("long").alias("token_from"),
         F.least(F.col("n"), (F.col("block") + 1) * size - F.col("start")).cast("long").alias("token_to"),
         (F.col("start") + F.greatest(F.lit(0), F.col("block") * size - F.col("start")) - F.col("block") * size).cast("long").alias("offset"),
     )
-    return out, sources
+    return out, sources, base
 
 
 def weights_of(sources: list[dict], weights: dict[str, int] | None) -> list[int]:
@@ -95,22 +102,36 @@ def last_slot(upper: list[int], blocks: list[int], step: int = 1 << 20) -> int:
 
 
 def schedule(docs: DataFrame, sources: list[dict], own: list[int]) -> DataFrame:
-    """(slot, source, rank), up to the slot by which each source (of weight above 0) has had its blocks once."""
+    """(slot, source, blocks, rank), up to the slot by which each source (of weight above 0) has had its blocks once."""
     spark = docs.sparkSession
     live = [(s, w) for s, w in zip(sources, own, strict=True) if w > 0]
     if not live:
-        return spark.createDataFrame([], "slot long, source string, rank long")
+        return spark.createDataFrame([], "slot long, source string, blocks long, rank long")
     upper = bounds([w for _, w in live])
     slots = last_slot(upper, [s["blocks"] for s, _ in live]) + 1
-    point = F.pmod(F.pmod(F.col("id"), F.lit(ONE)) * F.lit(GOLDEN), F.lit(ONE))
-    pick = F.lit(live[-1][0]["source"])
-    for (s, _), u in reversed(list(zip(live[:-1], upper[:-1], strict=True))):
-        pick = F.when(point < u, F.lit(s["source"])).otherwise(pick)
-    base = spark.range(slots).select(F.col("id").alias("slot"), pick.alias("source")).withColumn("range", F.shiftright("slot", 16))
-    sums = base.groupBy("source", "range").agg(F.count("*").alias("s"))
-    before = sums.select("source", "range", (F.sum("s").over(Window.partitionBy("source").orderBy("range")) - F.col("s")).alias("before"))
-    ranked = base.withColumn("own", F.row_number().over(Window.partitionBy("source", "range").orderBy("slot"))).join(before, ["source", "range"])
-    return ranked.select("slot", "source", (F.col("before") + F.col("own") - 1).alias("rank"))
+    names = spark.createDataFrame([(k, s["source"], s["blocks"]) for k, (s, _) in enumerate(live)], "number int, source string, blocks long")
+    shared = spark.sparkContext.broadcast(np.array(upper))
+
+    @pandas_udf("int")
+    def pick(slot: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, slot.to_numpy() % ONE * GOLDEN % ONE, side="right").astype(np.int32))
+
+    base = spark.range(slots).select(F.col("id").alias("slot"), pick("id").alias("number")).withColumn("range", F.shiftright("slot", 16))
+    sums = base.groupBy("number", "range").agg(F.count("*").alias("s"))
+    before = sums.select("number", "range", (F.sum("s").over(Window.partitionBy("number").orderBy("range")) - F.col("s")).alias("before"))
+    ranked = base.withColumn("own", F.row_number().over(Window.partitionBy("number", "range").orderBy("slot"))).join(before, ["number", "range"])
+    return ranked.join(counted(names), "number").select("slot", "source", "blocks", (F.col("before") + F.col("own") - 1).alias("rank"))
+
+
+_ROWS = "slot long, source string, epoch long, block long, offset long, doc_id long, token_from long, token_to long"
+
+
+def _mix(docs: DataFrame, doc_id: str, text: str, source: str, weights: dict[str, int] | None, block_tokens: int, seed: str, range_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(the rows of ``mix`` with text_key and copy, the documents)."""
+    parts, sources, base = pieces(docs, doc_id=doc_id, text=text, source=source, block_tokens=block_tokens, seed=seed, range_rows=range_rows)
+    plan = schedule(docs, sources, weights_of(sources, weights))
+    plan = plan.select("slot", "source", F.floor(F.col("rank") / F.col("blocks")).cast("long").alias("epoch"), F.pmod("rank", "blocks").alias("block"))
+    return parts.join(plan, ["source", "block"]), base
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: dict[str, int] | None = None, block_tokens: int = BLOCK_TOKENS, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -122,30 +143,46 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
     A null source is the source ''. Rows with null id or without words (null, empty or blank text) have no
     tokens and no piece. Rows that repeat an id are documents of their own and come one after the other, the
-    shorter first. Other columns aren't read. An empty table gives no slots.
+    shorter first. Other columns, whatever their names, aren't read. An empty table gives no slots.
     """
-    parts, sources = pieces(docs, doc_id=doc_id, text=text, source=source, block_tokens=block_tokens, seed=seed, range_rows=range_rows)
-    if not sources:
-        return docs.sparkSession.createDataFrame([], "slot long, source string, epoch long, block long, offset long, doc_id long, token_from long, token_to long")
-    plan = schedule(docs, sources, weights_of(sources, weights))
-    count = F.create_map(*(x for s in sources for x in (F.lit(s["source"]), F.lit(s["blocks"]))))
-    plan = plan.withColumn("blocks", count[F.col("source")])
-    plan = plan.select("slot", "source", F.floor(F.col("rank") / F.col("blocks")).cast("long").alias("epoch"), F.pmod("rank", "blocks").alias("block"))
-    return parts.join(plan, ["source", "block"]).select("slot", "source", "epoch", "block", "offset", "doc_id", "token_from", "token_to")
+    out, _ = _mix(docs, doc_id, text, source, weights, block_tokens, seed, range_rows)
+    return out.select(*(x.strip().split(" ")[0] for x in _ROWS.split(",")))
 
 
-def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", **kw) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: dict[str, int] | None = None, block_tokens: int = BLOCK_TOKENS, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Whole documents in the order of the schedule: a row of docs comes once for each slot that has its first
     token, so documents of sources that go through several epochs repeat. Rows without words or id are not in
-    any block and go; an id that repeats must have one text. All columns stay."""
-    order = mix(docs, doc_id=doc_id, **kw).where("token_from = 0").select(F.col("slot").alias("__slot"), F.col("offset").alias("__offset"), F.col("doc_id").alias("__id"))
+    any block and go. Rows are told apart by source, id and text; those that repeat all three come once each in
+    every epoch. All columns stay. An empty table gives no rows."""
+    pieces_, base = _mix(docs, doc_id, text, source, weights, block_tokens, seed, range_rows)
+    order = pieces_.where("token_from = 0").select(F.col("source").alias("__s"), F.col("doc_id").alias("__d"), F.col("text_key").alias("__t"), F.col("copy").alias("__c"), "slot", "offset")
     order = counted(order)
-    both = docs.join(order, col(doc_id).cast("long") == F.col("__id"))
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # no name of docs can clash
+    d, t, s = (F.col(f"c{docs.columns.index(n)}") for n in (doc_id, text, source))
+    plain = plain.withColumns({"__source": F.coalesce(s.cast("string"), F.lit("")), "__id": d.cast("long"), "__text": F.xxhash64(t.cast("string"))}).where("__id IS NOT NULL")
+    again = counted(base.where("copies > 1").select(F.col("source").alias("__ps"), F.col("doc_id").alias("__pd"), F.col("text_key").alias("__pt")))
+
+    def repeats(kind: str) -> DataFrame:
+        return plain.join(again, (F.col("__source") == F.col("__ps")) & (F.col("__id") == F.col("__pd")) & (F.col("__text") == F.col("__pt")), kind)
+
+    def same(rows: DataFrame):
+        return (rows["__source"] == order["__s"]) & (rows["__id"] == order["__d"]) & (rows["__text"] == order["__t"])
+
+    names = [*plain.columns[: len(docs.columns)], "slot", "offset"]
+    if again.count():
+        single, rows = repeats("left_anti"), repeats("left_semi")
+        # equal rows become one with their number before those of an id and text are numbered through
+        rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("__n"))
+        to = F.sum("__n").over(Window.partitionBy("__source", "__id", "__text").orderBy(F.xxhash64(*plain.columns)).rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("__to", to)
+        both = single.join(order, same(single)).select(*names).unionByName(rows.join(order, same(rows) & (order["__c"] < rows["__to"]) & (order["__c"] >= rows["__to"] - rows["__n"])).select(*names))
+    else:
+        both = plain.join(order, same(plain)).select(*names)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slots = (order.agg(F.max("__slot")).first()[0] or 0) + 1
+    slots = (order.agg(F.max("slot")).first()[0] or 0) + 1
     # the part of the schedule is computed, so that no sampling pass runs all this twice
-    placed = both.repartitionById(parts, F.floor(F.col("__slot") * parts / F.lit(slots)).cast("int"))
-    return placed.sortWithinPartitions("__slot", "__offset").select(*(col(c) for c in docs.columns))
+    placed = both.repartitionById(parts, F.floor(F.col("slot") * parts / F.lit(slots)).cast("int"))
+    return placed.sortWithinPartitions("slot", "offset").drop("slot", "offset").toDF(*docs.columns)
 
 
 def brute_force(rows: list[tuple], weights: dict[str, int] | None, block_tokens: int, seed: str = SEED) -> set[tuple]:
