@@ -113,8 +113,11 @@ class Best:
         """Compares the queries in rows with entries."""
         norm = (e * e).sum(1)
         d = self.norm[rows][:, None] - 2 * (self.q[rows] @ e.T) + norm
-        d -= 1e-5 * (self.norm[rows][:, None] + norm)  # what rounding may add
-        a, b = np.nonzero(d <= self.limit[rows][:, None])
+        slack = np.float32(1e-5) * (self.norm[rows] + norm.max(initial=0))  # what rounding may change
+        most = self.limit[rows] + slack
+        if d.shape[1] > self.k + 1:  # one may be the query itself
+            most = np.minimum(most, np.partition(d, self.k, axis=1)[:, self.k] + 2 * slack)
+        a, b = np.nonzero(d <= most[:, None])
         a = rows[a]
         other = self.ids[a] != ids[b]
         a, b = a[other], b[other]
@@ -169,8 +172,8 @@ def _probe(rows: DataFrame, q: np.ndarray, ids: np.ndarray, k: int, dim: int, ce
         best, cells = Best(*shared.value, k), {}
         for b in batches:
             e, own = vectors(b, dim), b.column("id").to_numpy()
-            for at in range(0, len(e), 8192):
-                best.add(np.arange(len(best.q)), e[at : at + 8192], own[at : at + 8192])
+            for at in range(0, len(e), 4096):
+                best.add(np.arange(len(best.q)), e[at : at + 4096], own[at : at + 4096])
             best.merge()
             near = np.flatnonzero(np.isin(own, best.id))
             cells.update(zip(own[near].tolist(), cell(e[near]).tolist(), strict=True))
