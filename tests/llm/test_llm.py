@@ -315,8 +315,13 @@ def test_arrow_sequences_round_trip(spark, tmp_path):
 def test_long_text_has_the_tokens_of_the_whole():
     rng = random.Random(2)
     t = " ".join(text(rng, 9) + rng.choice([".\n", "  ", "!", " 12 ", "é"]) for _ in range(300))
-    encode = arrowseq.encoder().encode_ordinary
-    assert arrowseq._encode(encode, t, 500) == encode(t)
+    encoding = arrowseq.encoder()
+    assert arrowseq._encode(encoding, t, 500) == encoding.encode_ordinary(t)
+    for gap in (" " * 1500, "\n" * 1200, " \n\t" * 600, "\u3000" * 1001, " " * 999 + "\n"):
+        for t in (f"a{gap}b", f"a{gap}", f"{gap}b", f"a!{gap}1 {gap}", f"x\x1c{gap}\x1cy", gap):
+            assert arrowseq._encode(encoding, t, 500) == encoding.encode_ordinary(t)
+    blanks = arrowseq._encode(encoding, "a" + " " * 2_000_000 + "b")
+    assert encoding.decode(blanks) == "a" + " " * 2_000_000 + "b" and len(arrowseq._encode(encoding, "w!" * 500_000 + "1" * 1_500_000)) > 500_000
 
 
 def test_warc(spark):
@@ -363,10 +368,46 @@ def test_warc_damaged(spark):
         got.setdefault(r.path.split("/")[-1][:-5], []).append(r)
     assert [r.error for r in sorted(got["cut"], key=lambda r: r.record_no)] == [None, "truncated"]
     assert [r.error for r in sorted(got["junk"], key=lambda r: r.record_no)] == [None, "not a record"]
-    assert got["nolen"][0].error == "no length" and "none" not in got and got["wrong"][0].digest_ok is False and got["absent"][0].error
+    assert [r.error for r in got["nolen"]] == ["no length"] and "none" not in got and got["wrong"][0].digest_ok is False and got["absent"][0].error
     assert warc.read_chunks(frame(spark, [], "path string")).count() == 0
 
 
+def test_warc_goes_on_after_damage(spark, tmp_path):
+    import gzip
+    import io
+
+    def member(n, size=3_000_000):
+        out = io.BytesIO()
+        data = random.Random(n).randbytes(size)
+        warc.write_record(out, "resource", f"<{n}>", "u", [data], size, None)
+        return out.getvalue()
+
+    a, b, c = member(1), member(2), member(3, 5)
+    bad = bytearray(b)
+    bad[len(b) // 2 : len(b) // 2 + 400] = b"\xff" * 400
+    head = lambda length: gzip.compress(f"WARC/1.1\r\nWARC-Record-ID: <l>\r\nContent-Length: {length}\r\n\r\nhello".encode())
+    cases = {"flipped": a + bytes(bad) + c, "header": a + b"\x1f\x8b\x08\xff" + b[4:] + c, "junk": gzip.compress(b"junk") + c, "length": head("²") + head("x") + c, "cut": a + b[:1000], "pad": a + b"\0" * 700 + c}
+    for name, data in cases.items():
+        (tmp_path / f"{name}.warc.gz").write_bytes(data)
+    files = frame(spark, [(str(tmp_path / f"{n}.warc.gz"), 1) for n in cases], "path string, chunk_no int")
+    got: dict = {}
+    for r in warc.read_chunks(files, chunk_bytes=1 << 20).collect():
+        got.setdefault(r.path.split("/")[-1][:-8], []).append(r)
+    whole = {n: {r.record_id for r in rs if r.is_last and r.error is None} for n, rs in got.items()}
+    assert whole == {"flipped": {"<1>", "<3>"}, "header": {"<1>", "<3>"}, "junk": {"<3>"}, "length": {"<3>"}, "cut": {"<1>"}, "pad": {"<1>", "<3>"}}
+    errors = {n: sorted(r.error.split(":")[0] for r in rs if r.error) for n, rs in got.items()}
+    assert errors == {"flipped": ["damaged"], "header": ["damaged"], "junk": ["not a record"], "length": ["no length", "no length"], "cut": ["damaged"], "pad": []}
+    assert next(r for r in got["flipped"] if r.error).record_id == "<2>"  # the open record has the error
+
+
+def test_sharding_spreads_large_shards(spark):
+    docs = [(7, f"t{i}") for i in range(400)] + [(None, "n")] * 100 + [(i, "x") for i in range(300)]
+    df = frame(spark, docs, "doc_id long, text string")
+    out = sharding.reshard(df, "doc_id", 4, 5, task_bytes=max(1, sharding.size_of(df) // 50))
+    sizes = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.countDistinct("new_shard").alias("shards")).collect()
+    assert sum(r.n for r in sizes) == 800 and max(r.n for r in sizes) < 100 and all(r.shards <= 1 for r in sizes)
+
+
 def test_pii(spark):
     key = b"k1"
     a = "card 4111 1111 1111 1111, 4111111111111111; on 2024-02-29, ssn 078-05-1120 DE89 3704 0044 0532 0130 00 +49 30 901820 +1 (249) 555-6835 8.8.8.8 bob.05@x.org token = \"2494638875ad0abf3d57c0\""

@@ -13,13 +13,15 @@ output protocol like any table; ``save`` puts them out as files.
 from __future__ import annotations
 
 import base64
+import os
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import col, release, text_batches
+from .common import col, file_system, release, text_batches
 
 LENGTH, ROWS_PER_FILE, EOT = 2048, 512, 50256
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -111,12 +113,12 @@ def sequences(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vo
 
     def run(batches):
         task = TaskContext.get()
-        encode = encoder(vocabulary, pattern).encode_ordinary
+        encoding = encoder(vocabulary, pattern)
         packer = Packer(length, rows_per_file, eot, f"part-{task.partitionId() if task else 0:06d}")
         for whole in batches:
             for b in text_batches(whole, "text", 1 << 20):
                 for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    for row in packer.add(doc, np.array(_encode(encode, t), packer.dtype)):
+                    for row in packer.add(doc, np.array(_encode(encoding, t), packer.dtype)):
                         yield _batch(row)
         if packer.fill:
             yield _batch(packer.take())
@@ -125,9 +127,26 @@ def sequences(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vo
     return docs.mapInArrow(run, SCHEMA)
 
 
-def _encode(encode, text: str, limit: int = 1 << 20) -> list[int]:
-    """A very long text is encoded in parts, cut before a blank between two letters, where the pattern always
-    begins a new piece; so the tokens are those of the whole."""
+#: The white space of the pattern.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_SPACE = re.compile(f"[{_SPACE}]{{1000,}}")
+
+
+def _encode(encoding, text: str, limit: int = 1 << 20) -> list[int]:
+    """The tokens of the whole text, though long ones are encoded in parts, each cut where the pattern begins a new
+    piece in any case: at long white space and, in what lies between, before a blank between two letters. Of white
+    space that isn't at the end all but the last character are a piece; the pattern itself, which would go back a
+    character at a time, isn't run over it."""
+    out, at = [], 0
+    for m in _LONG_SPACE.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += _in_parts(encoding.encode_ordinary, text[at : m.start()], limit)
+        out += encoding._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + _in_parts(encoding.encode_ordinary, text[at:], limit)
+
+
+def _in_parts(encode, text: str, limit: int) -> list[int]:
     if len(text) <= limit:
         return encode(text)
     out, at = [], 0
@@ -146,19 +165,19 @@ def _batch(row: tuple) -> pa.RecordBatch:
 
 
 def save(files: DataFrame, folder: str) -> DataFrame:
-    """Writes each row's Arrow file to folder/<file_id>.arrow, a path that all executors see; (path, bytes).
-    A file appears whole or not at all, also if a task runs twice."""
-    import os
+    """(path, bytes): writes each row's Arrow file to folder/<file_id>.arrow, a path or URI that all executors see.
+    A file appears whole or not at all, also if a task runs twice. A row with a null file_id or file is left out; of
+    rows that repeat a file_id the last written stays. An empty table writes nothing."""
 
     def run(batches):
-        os.makedirs(folder, exist_ok=True)
+        system, base = file_system(folder)
+        system.create_dir(base, recursive=True)
         for b in batches:
             for name, data in zip(b.column("file_id").to_pylist(), b.column("arrow"), strict=True):
-                path = f"{folder}/{name}.arrow"
-                temporary = f"{path}.{os.getpid()}.tmp"
-                with open(temporary, "wb") as f:
+                temporary = f"{base}/.{name}.{os.urandom(8).hex()}.tmp"
+                with system.open_output_stream(temporary, compression=None) as f:
                     f.write(data.as_buffer())
-                os.replace(temporary, path)
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([data.as_buffer().size], pa.int64())], names=["path", "bytes"])
+                system.move(temporary, f"{base}/{name}.arrow")
+                yield pa.RecordBatch.from_arrays([pa.array([f"{folder.rstrip('/')}/{name}.arrow"]), pa.array([data.as_buffer().size], pa.int64())], names=["path", "bytes"])
 
-    return files.select("file_id", "arrow").mapInArrow(run, "path string, bytes long")
+    return files.select("file_id", "arrow").where("file_id IS NOT NULL AND arrow IS NOT NULL").mapInArrow(run, "path string, bytes long")

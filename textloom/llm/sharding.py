@@ -7,9 +7,11 @@ compute. Only the hash (not the row) goes to the Arrow function; all else stays
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -63,26 +65,44 @@ def assign(df: DataFrame, key: str, shards: int = SHARDS, *, name: str = "shard"
     return df.select(*(col(c) for c in keep), shard_of(col(key), shards).alias(name))
 
 
-def reshard(df: DataFrame, key: str, before: int = SHARDS, after: int = MORE, *, clustered: bool = True) -> DataFrame:
+def reshard(df: DataFrame, key: str, before: int = SHARDS, after: int = MORE, *, clustered: bool = True, task_bytes: int | None = None) -> DataFrame:
     """df with shard (among before), new_shard (among after, which is no less) and moved. Rows that move go to
     appended shards only. If clustered, the rows of a new shard are brought together, ready to be written by
-    shard: one shuffle, in which a shard has as many parts, by the key's hash, as there are shuffle partitions for
-    it, so that no task grows with the shard. Rules as for ``assign``."""
+    shard: one shuffle, in which a shard has as many tasks as its share of the table's bytes needs, of some
+    task_bytes each (default: as the input's splits). A shard's rows are dealt out to its tasks in turn, so that
+    neither a large shard nor a key that many rows have makes a task large. Rows with a null key lie in tasks of
+    their own. Rules as for ``assign``."""
     if after < before:
         raise ValueError("shards can only be appended")
     out = df.select(*(col(c) for c in without(df, "shard", "new_shard", "moved")), shard_of(col(key), before).alias("shard"), shard_of(col(key), after).alias("new_shard"))
     out = out.withColumn("moved", F.col("shard") != F.col("new_shard"))
-    return out.repartition("new_shard", F.pmod(F.xxhash64(col(key)), F.lit(_parts(df, after)))) if clustered else out
+    return _clustered(df, out, "new_shard", after, task_bytes) if clustered else out
+
+
+def _clustered(df: DataFrame, out: DataFrame, shard: str, shards: int, task_bytes: int | None) -> DataFrame:
+    """out, a table of df's size, in tasks of one shard each."""
+    parts = max(1, min(math.ceil(size_of(df) / (task_bytes or split_bytes(df.sparkSession)) / shards), 1_000_000 // shards))
+    turn = F.pmod(F.monotonically_increasing_id(), F.lit(parts))
+    return out.repartitionById((shards + 1) * parts, (F.coalesce(F.col(shard), F.lit(shards)) * parts + turn).cast("int"))
+
 
+def size_of(df: DataFrame) -> int:
+    """Bytes of df by the optimizer's estimate, which of files is their size; where it has none, measured in a pass."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < 1 << 50:
+        return size
+    wide = [F.octet_length(col(f.name)) if f.dataType.typeName() in ("string", "binary") else F.lit(8) for f in df.schema.fields]
+    return int(df.agg(F.sum(sum((F.coalesce(w, F.lit(0)).cast("long") for w in wide), F.lit(8)))).first()[0] or 0)
 
-def _parts(df: DataFrame, shards: int) -> int:
-    """Tasks for each shard."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
 
+def split_bytes(spark: SparkSession) -> int:
+    return int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
 
-def write_shards(df: DataFrame, path: str, key: str, shards: int = SHARDS) -> None:
-    """One folder ``shard=k`` a shard, as Parquet."""
-    assign(df, key, shards).repartition("shard", F.pmod(F.xxhash64(col(key)), F.lit(_parts(df, shards)))).write.partitionBy("shard").parquet(path)
+
+def write_shards(df: DataFrame, path: str, key: str, shards: int = SHARDS, *, task_bytes: int | None = None) -> None:
+    """One folder ``shard=k`` a shard, as Parquet, with as many files as its size needs. Rules as for ``assign``;
+    rows with a null key are in the folder of the null shard."""
+    _clustered(df, assign(df, key, shards), "shard", shards, task_bytes).write.partitionBy("shard").parquet(path)
 
 
 def brute_force(key, shards: int) -> int | None:
@@ -97,5 +117,3 @@ def brute_force(key, shards: int) -> int | None:
         k = (k * 2862933555777941757 + 1) % (1 << 64)
         j = int((b + 1) * (float(1 << 31) / ((k >> 33) + 1)))
     return b
-
-

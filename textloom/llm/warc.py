@@ -13,13 +13,13 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import zlib
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import col, shared_path
+from .common import col, file_system, shared_path
 
 CHUNK = 16 << 10
 LINE = 64 << 10  # bytes of a header line read at a time
@@ -27,10 +27,6 @@ CHUNKS = "path string, record_no long, record_id string, warc_type string, targe
 WRITTEN = "path string, records long, bytes long"
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "/", 1) if path.startswith("file:/") else "file://" + path)
-
-
 def write_record(out, kind: str, record_id: str, uri: str | None, payload, size: int, digest: str | None, content_type: str = "text/html") -> None:
     """One record, compressed as a gzip member of its own; payload: an iterable of bytes, size in all."""
     head = [b"WARC/1.1", b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: " + _line(record_id), b"WARC-Date: 1970-01-01T00:00:00Z"]
@@ -61,7 +57,7 @@ def write_pages(pages: DataFrame, folder: str, *, page_id: str = "page_id", url:
 
     def run(batches):
         task = TaskContext.get()
-        system, base = _open(folder)
+        system, base = file_system(folder)
         system.create_dir(base, recursive=True)
         path = f"{base}/part-{task.partitionId():06d}.warc.gz"
         temporary, records = f"{path}.{task.taskAttemptId()}.tmp", 0
@@ -90,48 +86,61 @@ def _read_line(stream) -> bytes:
 def read_records(stream, chunk_bytes: int = CHUNK):
     """Rows (as tuples without the path) of an open, decompressed WARC stream.
 
-    A record without a Content-Length, or a line that isn't WARC where a record should begin, ends the file with
-    a row whose error says so; a payload that the file's end cuts off ends with error 'truncated'. An empty
-    payload has one row of length 0.
+    What can't be read has a row whose error says so, and reading goes on with the next record that can be found:
+    in compressed files at the next member, else at the next line that begins a record. A payload that the file's
+    end, or damage, cuts off ends with that error. An empty payload has one row of length 0.
     """
-    number = 0
+    number, lost = 0, False
+    empty = hashlib.sha256().hexdigest()
+    none = (None, None, None)
     while True:
-        line = stream.readline(LINE)
-        while line in (b"\r\n", b"\n"):
+        own, k, at, digest = (number, *none), 0, 0, hashlib.sha256()
+        try:
             line = stream.readline(LINE)
-        if not line:
-            return
-        if not line.startswith(b"WARC/"):
-            yield number, None, None, None, 0, 0, 0, b"", hashlib.sha256().hexdigest(), True, None, "not a record"
-            return
-        head: dict[str, str] = {}
-        while (line := _read_line(stream)) not in (b"\r\n", b"\n", b""):
-            name, _, value = line.partition(b":")
-            head.setdefault(name.strip().lower().decode("latin-1"), value.strip().decode("utf-8", "replace"))
-        own = number, head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri")
-        if not head.get("content-length", "").isdigit():
-            yield *own, 0, 0, 0, b"", hashlib.sha256().hexdigest(), True, None, "no length"
-            return
-        left, at, k, digest = int(head["content-length"]), 0, 0, hashlib.sha256()
-        expected = head.get("warc-block-digest", "")
-        while True:
-            want, part = min(left, chunk_bytes), b""
-            while len(part) < want and (more := stream.read(want - len(part))):
-                part = part + more if part else more
-            digest.update(part)
-            left -= len(part)
-            cut = len(part) < want
-            last = cut or not left
-            ok = None
-            if last and expected.startswith("sha256:"):
-                ok = expected[7:].lower() == digest.hexdigest() and not cut
-            yield *own, k, at, len(part), part, digest.hexdigest(), last, ok, "truncated" if cut else None
-            at += len(part)
-            k += 1
-            if cut:
+            while line in (b"\r\n", b"\n") or lost and line and not line.startswith(b"WARC/"):
+                line = stream.readline(LINE)
+            if not line:
+                return
+            if not line.startswith(b"WARC/"):
+                lost = not stream.skip()
+                yield *own, 0, 0, 0, b"", empty, True, None, "not a record"
+                number += 1
+                continue
+            lost = False
+            head: dict[str, str] = {}
+            while (line := _read_line(stream)) not in (b"\r\n", b"\n", b""):
+                name, _, value = line.partition(b":")
+                head.setdefault(name.strip().lower().decode("latin-1"), value.strip().decode("utf-8", "replace"))
+            own = number, head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri")
+            length = head.get("content-length", "")
+            if not (length.isascii() and length.isdigit()):
+                lost = not stream.skip()
+                yield *own, 0, 0, 0, b"", empty, True, None, "no length"
+                number += 1
+                continue
+            left, expected = int(length[-18:]), head.get("warc-block-digest", "")
+            while True:
+                want, part = min(left, chunk_bytes), b""
+                while len(part) < want and (more := stream.read(want - len(part))):
+                    part = part + more if part else more
+                digest.update(part)
+                left -= len(part)
+                cut = len(part) < want
+                last = cut or not left
+                ok = None
+                if last and expected.startswith("sha256:"):
+                    ok = expected[7:].lower() == digest.hexdigest() and not cut
+                yield *own, k, at, len(part), part, digest.hexdigest(), last, ok, "truncated" if cut else None
+                at += len(part)
+                k += 1
+                if cut:
+                    return
+                if last:
+                    break
+        except (zlib.error, EOFError) as e:  # of the compression
+            yield *own, k, at, 0, b"", digest.hexdigest(), True, None, f"damaged: {e}"[:200]
+            if not stream.skip():
                 return
-            if last:
-                break
         number += 1
 
 
@@ -139,10 +148,11 @@ def read_chunks(files: DataFrame, *, path: str = "path", chunk_bytes: int = CHUN
     """The chunk table of the files named in a column of files: (path, record_no, record_id, warc_type,
     target_uri, chunk_no, offset, length, payload, digest, is_last, digest_ok, error).
 
-    Files ending in .gz are decompressed as they are read, member by member. A null path is left out, a path
-    that comes twice is read once, a file that can't be opened has one row with its error. Other columns aren't
-    read. digest is the SHA-256 of the payload up to the chunk's end; digest_ok is null but in the last chunk of
-    a record with a sha256 block digest. An empty table gives no rows.
+    Files ending in .gz are decompressed as they are read, member by member; after a damaged one reading goes on
+    with the next. A null path is left out, a path that comes twice is read once, a file that can't be opened has
+    one row with its error. Other columns, whatever their names, aren't read. digest is the SHA-256 of the payload
+    up to the chunk's end; digest_ok is null but in the last chunk of a record with a sha256 block digest. An empty
+    table gives no rows.
     """
     files = files.select(col(path).cast("string").alias("path")).where("path IS NOT NULL").distinct()
     parts = max(1, min(files.count(), 100_000))
@@ -158,26 +168,85 @@ def read_chunks(files: DataFrame, *, path: str = "path", chunk_bytes: int = CHUN
             for p in b.column("path").to_pylist():
                 rows, size = [], 0
                 try:
-                    system, at = _open(p)
+                    system, at = file_system(p)
                     with system.open_input_stream(at, compression=None, buffer_size=1 << 20) as raw:
-                        stream = gzip.GzipFile(fileobj=raw) if p.endswith(".gz") else pa.PythonFile(raw) if not hasattr(raw, "readline") else raw
-                        for r in read_records(_Lines(stream), chunk_bytes):
+                        for r in read_records(_Lines(_Members(raw) if p.endswith(".gz") else raw), chunk_bytes):
                             rows.append((p, *r))
                             size += r[6] + 500
                             if size > 4 << 20:
                                 yield batch(rows)
                                 rows, size = [], 0
-                except (OSError, EOFError) as e:
+                except OSError as e:
                     rows.append((p, -1, None, None, None, 0, 0, 0, b"", None, True, None, f"{type(e).__name__}: {e}"[:200]))
                 if rows:
                     yield batch(rows)
 
-    return files.repartition(parts, "path").mapInArrow(run, CHUNKS)
+    return files.repartition(parts).mapInArrow(run, CHUNKS)
+
+
+class _Members:
+    """What gzip members hold; a read never goes beyond a member's end."""
+
+    def __init__(self, raw):
+        self.raw, self.data, self.z = raw, b"", None
+
+    def _more(self) -> bool:
+        more = self.raw.read(1 << 16)
+        self.data += more
+        return bool(more)
+
+    def read(self, n: int) -> bytes:
+        while True:
+            if self.z is None:
+                self.data = self.data.lstrip(b"\0")  # padding between members
+                if not self.data:
+                    if self._more():
+                        continue
+                    return b""
+                self.z = zlib.decompressobj(31)
+            if not self.data and not self._more():
+                self.z = None
+                raise EOFError("the file ends within a member")
+            try:
+                out = self.z.decompress(self.data, n)
+            except zlib.error:
+                self.data, self.z = self.data[1:], None
+                raise
+            self.data = self.z.unconsumed_tail
+            if self.z.eof:
+                self.data, self.z = self.z.unused_data, None
+            if out:
+                return out
+
+    def skip(self) -> bool:
+        """Goes to the next member that begins with a record; False if there is none."""
+        self.z = None
+        while True:
+            at = self.data.find(b"\x1f\x8b\x08")
+            if at < 0:
+                self.data = self.data[-2:]
+                if not self._more():
+                    return False
+                continue
+            self.data = self.data[at:]
+            while len(self.data) < 1 << 15 and self._more():
+                pass
+            try:
+                if zlib.decompressobj(31).decompress(self.data, 5) == b"WARC/":
+                    return True
+            except zlib.error:
+                pass
+            self.data = self.data[1:]
 
 
 class _Lines:
     """read and bounded readline over any stream with read."""
 
+    def skip(self) -> bool:
+        """After damage: whether the stream could go to where a record begins."""
+        self.buffer, self.at = (b"", 0) if hasattr(self.raw, "skip") else (self.buffer, self.at)
+        return hasattr(self.raw, "skip") and self.raw.skip()
+
     def __init__(self, raw):
         self.raw, self.buffer, self.at = raw, b"", 0
 
@@ -194,6 +263,8 @@ class _Lines:
         out = b""
         while len(out) < limit:
             if self.at >= len(self.buffer):
+                if out and getattr(self.raw, "z", self) is None:
+                    break  # a line doesn't go on in the next member
                 self.buffer, self.at = self.raw.read(1 << 16), 0
                 if not self.buffer:
                     break
@@ -207,7 +278,8 @@ class _Lines:
 
 
 def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None, **names) -> DataFrame:
-    """Writes pages as WARC files in folder (default: a new one in the shared folder) and gives their list."""
+    """(path, records, bytes): writes pages as WARC files in folder (default: a new one in the shared folder). Rules
+    for nulls and so on as for ``write_pages``; an empty table gives no files."""
     folder = folder or shared_path(spark, "warc")
     listed = shared_path(spark, "warc-list")
     write_pages(pages, folder, **names).write.parquet(listed)
