@@ -61,6 +61,11 @@ def without(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in out]
 
 
+def position(names: list[str], name: str) -> int:
+    """Of the column called so; if none is, of one whose name differs in case only, as in Spark itself."""
+    return names.index(name) if name in names else [n.lower() for n in names].index(name.lower())
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -208,7 +213,7 @@ def keep_rows(docs: DataFrame, doc_id: str, text: str, gone: DataFrame, single:
     """docs without the rows whose (id, hash of the text) is in gone, a table of distinct (doc_id, key) in which a
     null id stands for a null id; of rows in single, a table likewise, one of each stays."""
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # no name of docs can clash
-    own = row_key(plain, *(f"c{docs.columns.index(n)}" for n in (doc_id, text)))
+    own = row_key(plain, *(f"c{position(docs.columns, n)}" for n in (doc_id, text)))
     plain = plain.withColumns({"__id": own[0], "__key": own[1]})
 
     def names(small: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import col, counted, shared_path
+from .common import col, counted, position, shared_path
 
 BLOCK_TOKENS, SEED = 65_536, "mix-1"
 GOLDEN, ONE = 1327217885, 1 << 31  # 2**31 / 1.618...
@@ -158,7 +158,7 @@ def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     order = pieces_.where("token_from = 0").select(F.col("source").alias("__s"), F.col("doc_id").alias("__d"), F.col("text_key").alias("__t"), F.col("copy").alias("__c"), "slot", "offset")
     order = counted(order)
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # no name of docs can clash
-    d, t, s = (F.col(f"c{docs.columns.index(n)}") for n in (doc_id, text, source))
+    d, t, s = (F.col(f"c{position(docs.columns, n)}") for n in (doc_id, text, source))
     plain = plain.withColumns({"__source": F.coalesce(s.cast("string"), F.lit("")), "__id": d.cast("long"), "__text": F.xxhash64(t.cast("string"))}).where("__id IS NOT NULL")
     again = counted(base.where("copies > 1").select(F.col("source").alias("__ps"), F.col("doc_id").alias("__pd"), F.col("text_key").alias("__pt")))
 

@@ -2,10 +2,12 @@
 
 What looks personal is validated (check digits, calendar, ranges), turned into its number within the set of all
 values of that format, permuted there by a keyed Feistel network and written back in its format: separators,
-length (of IP addresses: the form) and validity stay, and equal values get equal pseudonyms in all documents, however they are written.
-Kinds: payment cards (Luhn), IBAN (mod 97), US social security numbers, phone numbers, IPv4 addresses, dates;
-also the local part of e-mail addresses and hexadecimal secrets, whose letters and digits are numbers to bases
-26, 10 and 16, and cloud access keys.
+length (of IP addresses and months by name: the form) and validity stay, and equal values get equal pseudonyms in all
+documents, however they are written.
+Kinds: payment cards (issuer's prefix and length, Luhn), IBAN (mod 97), US social security numbers, phone numbers, IPv4
+addresses but for multicast and reserved ones, IPv6 addresses that are global unicast, dates of the years 1 to 9999 in
+numbers or with an English month; also the local part of e-mail addresses, secrets (hexadecimal, or letters and
+digits, behind a word like token), whose letters and digits are numbers to bases 26, 10 and 16, and cloud access keys.
 
 Plan: one narrow pass; a byte test leaves all texts without a digit or an @ alone.
 """
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 
 import numpy as np
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import buffers, col, map_rows, release, text_batches, without
+from .common import buffers, col, map_rows, position, release, text_batches, without
 
 ROUNDS = 10
 
@@ -36,8 +39,6 @@ def permute(x: int, size: int, key: bytes, tweak: str) -> int:
     a = 1
     while a * a < size:
         a *= 2
-        if a * a >= size:
-            break
     b = -(-size // a)
     width = (max(a, b).bit_length() + 7) // 8 + 8
     while True:
@@ -52,6 +53,27 @@ def permute(x: int, size: int, key: bytes, tweak: str) -> int:
             return x
 
 
+def restore(x: int, size: int, key: bytes, tweak: str) -> int:
+    """The number that ``permute`` takes to x."""
+    if size < 2:
+        return x
+    a = 1
+    while a * a < size:
+        a *= 2
+    b = -(-size // a)
+    width = (max(a, b).bit_length() + 7) // 8 + 8
+    while True:
+        left, right = x % a, x // a
+        for k in reversed(range(ROUNDS)):
+            if k % 2 == 0:
+                left = (left - _round(right, k, size, key, tweak, width)) % a
+            else:
+                right = (right - _round(left, k, size, key, tweak, width)) % b
+        x = right * a + left
+        if x < size:
+            return x
+
+
 def _round(half: int, k: int, size: int, key: bytes, tweak: str, width: int) -> int:
     text = f"{tweak}|{size:x}|{k}|{half:x}".encode()
     out, i = b"", 0
@@ -76,12 +98,21 @@ def _refill(shape: str, symbols: str) -> str:
     return "".join(next(it) if ch.isalnum() else ch for ch in shape)
 
 
+#: Issuers' first digits and the lengths of their numbers.
+_ISSUERS = re.compile(
+    r"(?P<a>4)(?:\d{12}|\d{15}|\d{18})|(?P<b>5[1-5])\d{14}|(?P<c>222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|(?P<d>3[47])\d{13}|(?P<e>6011|64[4-9]|65)\d{12,17}"
+    r"|(?P<f>30[0-5]|3[689])\d{11,17}|(?P<g>35(?:2[89]|[3-8]\d))\d{12,15}|(?P<h>62)\d{14,17}|(?P<i>50|5[6-9]|6[0137])\d{11,17}", re.ASCII
+)
+
+
 def card(m: str, key: bytes) -> str | None:
+    """The issuer's prefix stays."""
     d = re.sub(r"\D", "", m)
-    if not 13 <= len(d) <= 19 or len(set(d)) == 1 or luhn(d[:-1]) != int(d[-1]):
+    if not 13 <= len(d) <= 19 or not (own := _ISSUERS.fullmatch(d)) or luhn(d[:-1]) != int(d[-1]):
         return None
-    n = len(d) - 2
-    body = d[0] + str(permute(int(d[1:-1]), 10**n, key, "card")).zfill(n)
+    lead = own.group(own.lastgroup)
+    n = len(d) - 1 - len(lead)
+    body = lead + str(permute(int(d[len(lead) : -1]), 10**n, key, "card")).zfill(n)
     return _refill(m, body + str(luhn(body)))
 
 
@@ -168,7 +199,30 @@ def address(m: str, key: bytes) -> str | None:
     return f"{(x >> 24) + 1}.{x >> 16 & 255}.{x >> 8 & 255}.{x & 255}"
 
 
+def address6(m: str, key: bytes) -> str | None:
+    """Global unicast (2000::/3) only; written in full or short as it was."""
+    try:
+        x = int(ipaddress.IPv6Address(m))
+    except ValueError:
+        return None
+    if x >> 125 != 1:
+        return None
+    new = ipaddress.IPv6Address((1 << 125) + permute(x - (1 << 125), 1 << 125, key, "ipv6"))
+    out = str(new) if "::" in m else new.exploded if all(len(g) == 4 for g in m.split(":")) else ":".join(f"{int(g, 16):x}" for g in new.exploded.split(":"))
+    return out.upper() if m != m.lower() else out
+
+
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+_MONTHS = "January February March April May June July August September October November December".split()
+
+
+def _moved(day: int, key: bytes) -> datetime.date:
+    """Days of 1900 to 2099 among themselves, and all others among themselves."""
+    width = _LAST - _FIRST + 1
+    if _FIRST <= day <= _LAST:
+        return datetime.date.fromordinal(_FIRST + permute(day - _FIRST, width, key, "date"))
+    x = permute(day - 1 if day < _FIRST else day - 1 - width, datetime.date.max.toordinal() - width, key, "date-rest")
+    return datetime.date.fromordinal(x + 1 if x + 1 < _FIRST else x + 1 + width)
 
 
 def date(m: str, key: bytes) -> str | None:
@@ -179,24 +233,42 @@ def date(m: str, key: bytes) -> str | None:
     for order in orders:
         part = dict(zip(order, p, strict=True))
         try:
-            day = datetime.date(int(part["y"]), int(part["m"]), int(part["d"])).toordinal()
+            new = _moved(datetime.date(int(part["y"]), int(part["m"]), int(part["d"])).toordinal(), key)
         except ValueError:
             continue
-        if not _FIRST <= day <= _LAST:
-            return None
-        new = datetime.date.fromordinal(_FIRST + permute(day - _FIRST, _LAST - _FIRST + 1, key, "date"))
         own = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
         return sep.join(own[k] for k in order)
     return None
 
 
+_SPELT = re.compile(r"(?:(\d{1,2})( ))?([A-Z][a-z]+)(\.? )(?:(\d{1,2})(, ?| ))?(\d{4})", re.ASCII)
+
+
+def spelt_date(m: str, key: bytes) -> str | None:
+    """12 March 2024 or March 12, 2024; the month may be cut to three letters."""
+    g = _SPELT.fullmatch(m)
+    if g is None or (g[1] is None) == (g[5] is None):
+        return None
+    month = next((i for i, x in enumerate(_MONTHS, 1) if g[3] in (x, x[:3])), 0)
+    try:
+        new = _moved(datetime.date(int(g[7]), month, int(g[1] or g[5])).toordinal(), key)
+    except ValueError:
+        return None
+    name = _MONTHS[new.month - 1]
+    name = name[:3] if len(g[3]) == 3 and g[3] != "May" else name
+    return f"{new.day} {name}{g[4]}{new.year:04d}" if g[1] else f"{name}{g[4]}{new.day}{g[6]}{new.year:04d}"
+
+
 def email(m: str, key: bytes) -> str | None:
     local, _, domain = m.partition("@")
     return _mixed(local, key, "email") + "@" + domain if any(ch in c for ch in local for c in _CLASSES) else None
 
 
 def secret(m: str, key: bytes) -> str | None:
-    return _mixed(m, key, "hex", ("0123456789abcdef",) if m == m.lower() else ("0123456789ABCDEF",) if m == m.upper() else ("0123456789", "abcdef", "ABCDEF"))
+    """Hexadecimal, or with letters as well as digits: a long word isn't one."""
+    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", m):
+        return _mixed(m, key, "hex", ("0123456789abcdef",) if m == m.lower() else ("0123456789ABCDEF",))
+    return _mixed(m, key, "secret") if re.search(r"\d", m) and re.search(r"[A-Za-z]", m) else None
 
 
 def access_key(m: str, key: bytes) -> str | None:
@@ -207,12 +279,14 @@ def access_key(m: str, key: bytes) -> str | None:
 KINDS = {
     "email": (r"(?<![\w.+\-])[A-Za-z0-9_.+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w\-])", email),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
-    "secret": (r"(?i:(?<=token)|(?<=secret)|(?<=key)|(?<=password))(?P<lead>[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>(?:[0-9a-f]{16,128}|[0-9A-F]{16,128}))(?![0-9A-Za-z])", secret),
+    "secret": (r"(?i:(?<=token)|(?<=secret)|(?<=key)|(?<=password))(?P<lead>[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>[0-9A-Za-z+/_\-]{16,128})(?![0-9A-Za-z+/_\-])", secret),
     "access_key": (r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", access_key),
     "phone": (r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)", phone),
     "ip": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", address),
+    "ip6": (r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|:)(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{0,4}(?![\w:])", address6),
     "ssn": (r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)", ssn),
     "date": (r"(?<![\w.\-/])(?:\d{4}(?P<s>[\-/.])\d{2}(?P=s)\d{2}|\d{2}(?P<r>[\-/.])\d{2}(?P=r)\d{4})(?![\w]|[\-/.]\d)", date),
+    "spelt_date": (r"(?<![\w.\-/])(?:\d{1,2} (?:Jan|Feb|Ma[ry]|Apr|Ju[nl]|Aug|Sep|Oct|Nov|Dec)[a-z]{0,6}\.? \d{4}|(?:Jan|Feb|Ma[ry]|Apr|Ju[nl]|Aug|Sep|Oct|Nov|Dec)[a-z]{0,6}\.? \d{1,2}(?:, ?| )\d{4})(?![\w]|[\-/.]\d)", spelt_date),
     "card": (r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w]|[\-.]\d)", card),
 }
 _PATTERN = re.compile("|".join(f"(?P<k_{k}>{p})" for k, (p, _) in KINDS.items()), re.ASCII)
@@ -263,7 +337,8 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text") -> DataFram
         raise ValueError("the key has 1 to 64 bytes")
     keep = without(docs, "pii_kinds")
     docs = docs.select(*(col(c) for c in keep))
-    at = keep.index(text)
+    at = position(keep, text)
+
     def run(batches):
         for whole in batches:
             for b in text_batches(whole, whole.schema.names[at]):
@@ -283,3 +358,29 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text") -> DataFram
         release()
 
     return map_rows(docs, run, [T.StructField("pii_kinds", T.ArrayType(T.StringType()))])
+
+
+def brute_force(text: str | None, key: bytes) -> tuple[str | None, list[str] | None]:
+    """``replace`` place by place: each kind in order of precedence, then cards within longer runs, for tests."""
+    if text is None:
+        return None, None
+    out, found, i = "", [], 0
+    while i < len(text):
+        for kind, (_, f) in KINDS.items():
+            m = _ALONE[kind].match(text, i)
+            own = m and (m.group("secret") if kind == "secret" else m.group())
+            if m and (new := f(own, key)) is not None:
+                out += text[i : m.start("secret") if kind == "secret" else i] + new
+                found.append(kind)
+                i = m.end()
+                break
+        else:
+            m = _ALONE["card"].match(text, i)
+            if m and (part := _card_within(m.group(), key)):
+                out += text[i : i + part[0]] + part[2]
+                found.append("card")
+                i += part[1]
+            else:
+                out += text[i]
+                i += 1
+    return out, found
