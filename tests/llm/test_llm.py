@@ -182,14 +182,14 @@ def test_components(spark):
 
 
 def test_language_models_match_definition(spark):
-    train = [(1, "The cat and the hat.", "en"), (2, "Der Hund und die Katze", "de"), (3, "the end", "en"), (4, None, "en"), (5, "x", None), (6, "", "de")]
+    train = [(1, "The cat and the hat.", "en"), (2, "Der Hund und die Katze", "de"), (3, "the end", "en"), (4, None, "en"), (5, "x", None), (6, "", "de"), (7, "𐐨𐐩𐐪 𐐀𐐨", "en")]
     df = frame(spark, train, "doc_id long, text string, lang string")
     counts: dict = {}
     for r in langid.ngram_counts(df).collect():
         g = "".join(chr((r.gram >> s) & 65535) for s in (48, 32, 16, 0))
         counts.setdefault(r.lang, {})[g] = r.n
     model = langid.train(df)
-    for t in ("the hund", "Katze, cat!", "ÉÉ 77 zz", "", "q"):
+    for t in ("the hund", "Katze, cat!", "ÉÉ 77 zz", "", "q", "𐐨𐐩 the 𐐨"):
         want = langid.brute_force(counts, t)
         h = model.entropies(pa.array([t]))[0][0]
         assert dict(zip(model.langs, h, strict=True)) == pytest.approx(want, rel=1e-5)
@@ -198,7 +198,7 @@ def test_language_models_match_definition(spark):
 def test_language_model_keeps_all_ngrams(spark):
     docs = [(1, "the cat sat on the mat", "en"), (2, "the then the hat that", "en"), (3, "le chat est sur le tapis çà", "fr"), (4, "x", "nl"), (5, "猫坐在垫子上", "zh")]
     df = frame(spark, docs, "doc_id long, text string, lang string")
-    whole, apart = langid.train(df), langid.train(df, model_ngrams=3)
+    whole, apart = langid.train(df), langid.train(df, matrix_cells=3)
     texts = pa.array([d[1] for d in docs] + ["zzz qqq", "the hat est 猫", "ж"])
     np.testing.assert_allclose(apart.entropies(texts)[0], whole.entropies(texts)[0], rtol=1e-5)
     assert apart.langs == whole.langs
@@ -225,6 +225,41 @@ def test_language_held_out_accuracy(spark):
     assert [r.accepted for r in langid.identify(frame(spark, test[:2], schema), none).collect()] == [False, False]
 
 
+def test_language_rejection_is_calibrated(spark):
+    """Of texts of a language that the model hasn't seen few are rejected, of other texts nearly all; limits follow
+    from the fold's losses by a model without it."""
+    rng = random.Random(6)
+    syllables = {"aa": "ka ro mi te lu sa".split(), "bb": "sch pf ung ich ach".split()}
+    make = lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    train = [(i, make(("aa", "bb")[i % 2], rng.randint(1, 40)), ("aa", "bb")[i % 2], 1.0, "en") for i in range(3000)] + [(1, None, "aa", 0.0, "en"), (1, "12 34", "aa", 0.0, "en"), (2, "", None, 0.0, "en")]
+    df = frame(spark, train, "doc_id long, text string, lang string, x double, language string").withColumns({"held": F.lit(1), "gram": F.lit(2)})
+    model = langid.train(df, alpha=0.05)
+    held = {r.text for r in langid._labelled(df, "text", "lang").where("held").collect()}
+    counts: dict = {}
+    for _, t, lang, *_ in train:
+        if t and lang and t not in held:
+            s, begin, end = langid.symbols(pa.array([t]))
+            for g in langid.grams(s)[begin[0] : end[0]].tolist():
+                counts.setdefault(lang, {}).setdefault(g, 0)
+                counts[lang][g] += 1
+    unseen = langid.Model({x: (np.array(list(c), np.uint64), np.array(list(c.values()))) for x, c in counts.items()})
+    for j, lang in enumerate(model.langs):
+        own = pa.array([t for _, t, x, *_ in train if t in held and x == lang and any(ch.isalpha() for ch in t)])
+        h, size, _ = unseen.entropies(own)
+        x = (h[:, j] - model.mean[j]) / (model.deviation[j] * (langid.FLAT + 1 / np.sqrt(size)))
+        reach, sure = model.reach[lang]
+        assert sure and reach == pytest.approx(np.quantile(x, 0.95, method="inverted_cdf"), abs=0.05)
+    fresh = pa.array([make(x, n) for x in ("aa", "bb") for n in (1, 3, 10, 40) for _ in range(100)])
+    ok = model.decide(fresh)[4]
+    assert 0.9 < ok.mean() < 0.98
+    other = pa.array(["".join(rng.choice("qwxyzjv") for _ in range(n)) for n in (5, 40, 300) for _ in range(50)])
+    assert model.decide(other)[4].mean() < 0.05
+    twice = langid.identify(df.where("doc_id < 4").union(df.where("doc_id < 4")), model)
+    assert twice.count() == 2 * df.where("doc_id < 4").count() and twice.columns[0] == "doc_id"
+    kept = langid.accepted(df, model, text="TEXT")
+    assert kept.columns == df.columns and kept.where("text IS NULL OR text IN ('', '12 34')").count() == 0
+
+
 def test_long_text_is_scored_whole(spark):
     schema = "doc_id long, text string, lang string"
     model = langid.train(frame(spark, [(1, "the cat sat on the mat", "en")], schema))

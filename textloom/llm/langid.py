@@ -4,12 +4,15 @@ Each language has a model of order 4 over lower-case letters, all else being one
 languages lie in one sorted array of 64-bit hashes per order, beside a matrix of each language's interpolated
 log-probabilities; a second sorted array per order has the back-off weights of the contexts. A text gets the
 language of the lowest cross-entropy per character, unless that is above what texts of that length in that
-language have (calibrated rejection).
-
-Plan: one pass counts the 4-grams of all labelled texts (map-side sums, then one small shuffle); lower orders
-follow from them. All counted 4-grams are in the model, which is broadcast: where they are many, each language
-has arrays of its own rather than a column in a matrix over the 4-grams of all. A second narrow pass scores; no
-shuffle.
+language have (calibrated rejection): the limit is mean + reach * deviation * (FLAT + 1 / sqrt(symbols)), mean and
+deviation of the language's own 4-grams, and reach such that ALPHA of the language's texts that a model hasn't seen
+lie above it. For that the texts are divided by a hash into ten folds; a model without one of them scores it. The
+final model is of all texts.
+
+Plan: one pass counts the 4-grams of all labelled texts and of the fold (map-side sums, then one small shuffle);
+lower orders follow from them. All counted 4-grams are in the model, which is broadcast: where they are many, each
+language has arrays of its own rather than a column in a matrix over the 4-grams of all. A narrow pass over the fold
+calibrates, and a last one over all scores.
 """
 
 from __future__ import annotations
@@ -21,18 +24,23 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, col, map_rows, mix, release, text_batches
+from .common import U64, col, map_rows, mix, position, release, text_batches
 
 ORDER = 4
+ALPHA, FOLDS, FLAT = 0.001, 10, 0.05
 _TABLE: np.ndarray | None = None
 
 
+def symbol(code: int) -> int:
+    """A letter is itself; letters beyond the basic plane share the 8,448 places of surrogates and private use; all
+    else is a space."""
+    return 32 if not chr(code).isalpha() else code if code < 65536 else 0xD800 + code % 0x2100
+
+
 def _table() -> np.ndarray:
-    """Code point to symbol: a letter is itself, all else (and what lies beyond the basic plane) is a space."""
     global _TABLE
     if _TABLE is None:
-        _TABLE = np.array([i if chr(i).isalpha() else 32 for i in range(65536)], np.uint16)
-        _TABLE[65535] = 32
+        _TABLE = np.array([symbol(i) for i in range(0x110000)], np.uint16)
     return _TABLE
 
 
@@ -42,7 +50,7 @@ def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     texts = pc.fill_null(pc.utf8_lower(texts), "")
     size = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     code = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = _table()[np.minimum(code, 65535)]
+    s = _table()[code]
     at = np.concatenate([[0], np.cumsum(size)])
     s = np.insert(s, at, 0)
     keep = s != 32
@@ -71,13 +79,18 @@ def _inside(n: int, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size), row
 
 
-def ngram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, gram, n) over all rows with a language and a text."""
+def _labelled(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """(lang, text, held): held is whether the text is in the fold kept for calibration; equal texts go together."""
     docs = docs.select(col(lang).cast("string").alias("lang"), col(text).cast("string").alias("text")).where("lang IS NOT NULL AND length(text) > 0")
+    return docs.withColumn("held", F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0)
+
+
+def ngram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, gram, n, held) over all rows with a language and a text; held: how many of the n are in the fold."""
 
     def count(batches):
-        total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        waiting: dict[str, list] = {}
+        total: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        waiting: dict[tuple, list] = {}
 
         def merge(name):
             parts = waiting.pop(name, [])
@@ -90,32 +103,38 @@ def ngram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Dat
             for b in text_batches(whole, "text", 2 << 20):
                 s, begin, end = symbols(b.column("text"))
                 k = grams(s)
-                names = b.column("lang").to_numpy(zero_copy_only=False)
-                for name in set(names):
-                    own = np.flatnonzero(names == name)
+                names = list(zip(b.column("lang").to_pylist(), b.column("held").to_pylist(), strict=True))
+                kinds = {n: i for i, n in enumerate(dict.fromkeys(names))}
+                which = np.array([kinds[n] for n in names])
+                for name, i in kinds.items():
+                    own = np.flatnonzero(which == i)
                     at, _ = _inside(len(s), begin[own], end[own])
                     waiting.setdefault(name, []).append(np.unique(k[at], return_counts=True))
                     if len(waiting[name]) >= 16:
                         merge(name)
         for name in list(waiting):
             merge(name)
-        for name, (k, n) in total.items():
+        for (name, held), (k, n) in total.items():
             for i in range(0, len(k), 100_000):
                 part = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(k[part])), pa.array(k[part].view(np.int64)), pa.array(n[part], pa.int64())], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(k[part])), pa.array(k[part].view(np.int64)), pa.array(n[part], pa.int64()), pa.array(n[part] * held, pa.int64())], names=["lang", "gram", "n", "held"])
         total.clear()
         release()
 
-    return docs.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return _labelled(docs, text, lang).mapInArrow(count, "lang string, gram long, n long, held long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
 
 
 class Model:
     """Built from each language's 4-gram counts: {language: (packed grams, counts)}. symbols: how many all
-    languages have, where counts has some of these only."""
+    languages have, where counts has some of these only. reach: set by calibration; until then, and for a language
+    of which the fold has no more than 1 / alpha texts, a limit of mean * (1 + slack) + z * deviation / sqrt(symbols)
+    is the least."""
+
+    slack, z = 0.35, 4.0
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], slack: float = 0.35, z: float = 4.0, symbols: int | None = None):
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], symbols: int | None = None):
         self.langs = sorted(counts)
-        self.slack, self.z = slack, z
+        self.reach: dict[str, tuple[float, bool]] = {}
         n_lang = len(self.langs)
         levels: list[dict] = [{} for _ in range(ORDER + 1)]  # by order and language: (keys, counts)
         for name in self.langs:
@@ -204,6 +223,13 @@ class Model:
         size = end - begin
         return -total / size[:, None], size, letters
 
+    def limits(self, best: np.ndarray, size: np.ndarray) -> np.ndarray:
+        least = self.mean[best] * (1 + self.slack) + self.z * self.deviation[best] / np.sqrt(size)
+        reach = np.array([self.reach.get(x, (0.0, False))[0] for x in self.langs])
+        sure = np.array([self.reach.get(x, (0.0, False))[1] for x in self.langs], bool)
+        limit = self.mean[best] + reach[best] * self.deviation[best] * (FLAT + 1 / np.sqrt(size))
+        return np.where(sure[best], limit, np.maximum(limit, least))
+
     def decide(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
         """(language number, cross-entropy, lead over the next language, limit, accepted, has letters) of each text."""
         h, size, letters = self.entropies(texts)
@@ -213,15 +239,15 @@ class Model:
         best = h.argmin(1)
         low = h[np.arange(len(h)), best]
         lead = np.partition(h, 1, axis=1)[:, 1] - low if len(self.langs) > 1 else np.full(len(h), np.inf)
-        limit = self.mean[best] * (1 + self.slack) + self.z * self.deviation[best] / np.sqrt(size)
+        limit = self.limits(best, size)
         return best, low, lead, limit, (low <= limit) & (letters > 0), letters > 0
 
 
 class Parts(Model):
     """A model for each language, with the scores of one model of all."""
 
-    def __init__(self, parts: list[Model], slack: float = 0.35, z: float = 4.0):
-        self.parts, self.slack, self.z = parts, slack, z
+    def __init__(self, parts: list[Model]):
+        self.parts, self.reach = parts, {}
         self.langs = [x for p in parts for x in p.langs]
         self.mean, self.deviation = (np.concatenate([getattr(p, a) for p in parts]) for a in ("mean", "deviation"))
 
@@ -229,32 +255,65 @@ class Parts(Model):
         return np.concatenate([p.gram_scores(k) for p in self.parts], axis=1)
 
 
-def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", model_ngrams: int = 2_000_000, slack: float = 0.35, z: float = 4.0) -> Model:
-    """The model of all languages that label rows of docs, with all their 4-grams. Where a language has more than
-    model_ngrams distinct ones, languages are collected and built one by one, in arrays of their own."""
+def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", matrix_cells: int = 8_000_000, alpha: float = ALPHA) -> Model:
+    """The model of all languages that label rows of docs, with all their 4-grams, calibrated so that alpha of a
+    language's texts are rejected. Where a matrix of 4-grams and languages would have more than matrix_cells cells,
+    languages are collected and built one by one, in arrays of their own.
+
+    Rows with a null language, or a null or empty text, don't count; rows that repeat count each. Other columns,
+    whatever their names, aren't read. An empty table gives a model without languages, which rejects all.
+    """
     counts = ngram_counts(docs, text, lang).persist(StorageLevel.DISK_ONLY)
     try:
         sizes = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}
+        apart = sum(sizes.values()) * len(sizes) > matrix_cells
+        symbols = counts.select(F.col("gram").bitwiseAND(0xFFFF)).distinct().count() if apart else None
+
+        def built(n) -> Model:
+            rows = counts.select("lang", "gram", n.alias("n")).where("n > 0")
+
+            def collected(part: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+                table = part.toArrow()
+                names, k, c = table.column("lang").to_numpy(), table.column("gram").to_numpy().view(U64), table.column("n").to_numpy()
+                return {x: (k[names == x], c[names == x]) for x in sorted(set(names))}
 
-        def collected(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-            table = rows.select("lang", "gram", "n").toArrow()
-            names, k, n = table.column("lang").to_numpy(), table.column("gram").to_numpy().view(U64), table.column("n").to_numpy()
-            return {x: (k[names == x], n[names == x]) for x in sorted(set(names))}
+            return Parts([Model(collected(rows.where(F.col("lang") == x)), symbols) for x in sorted(sizes)]) if apart else Model(collected(rows))
 
-        if max(sizes.values(), default=0) <= model_ngrams:
-            return Model(collected(counts), slack, z)
-        symbols = counts.select(F.col("gram").bitwiseAND(0xFFFF)).distinct().count()
-        return Parts([Model(collected(counts.where(F.col("lang") == x)), slack, z, symbols) for x in sorted(sizes)], slack, z)
+        model = built(F.col("n"))
+        _calibrate(docs, text, lang, model, built(F.col("n") - F.col("held")), alpha)
+        return model
     finally:
         counts.unpersist()
 
 
+def _calibrate(docs: DataFrame, text: str, lang: str, model: Model, unseen: Model, alpha: float) -> None:
+    """Sets model.reach from the texts of the fold, which unseen hasn't counted."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, unseen))
+
+    def run(batches):
+        model, unseen = shared.value
+        place, other = ({x: i for i, x in enumerate(m.langs)} for m in (model, unseen))
+        for whole in batches:
+            whole = whole.filter(pa.array([x in other for x in whole.column("lang").to_pylist()], pa.bool_()))
+            for b in text_batches(whole, "text", 2 << 20) if whole.num_rows else ():
+                names = b.column("lang").to_pylist()
+                h, size, letters = unseen.entropies(b.column("text"))
+                which = np.array([place[x] for x in names])
+                own = h[np.arange(len(h)), [other[x] for x in names]]
+                x = (own - model.mean[which]) / (np.maximum(model.deviation[which], 1e-9) * (FLAT + 1 / np.sqrt(size)))
+                yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(x)], names=["lang", "x"]).filter(pa.array(letters > 0))
+        release()
+
+    rows = _labelled(docs, text, lang).where("held").select("lang", "text").mapInArrow(run, "lang string, x double")
+    for r in rows.groupBy("lang").agg(F.percentile_approx("x", 1 - alpha, 100_000).alias("x"), F.count("*").alias("n")).collect():
+        model.reach[r["lang"]] = r["x"], r["n"] * alpha > 1
+
+
 def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, language, cross_entropy, lead, threshold, accepted), a row for each row of docs.
 
     language is that of the lowest cross-entropy (nats a symbol; ties: the first by name), also where the text
-    is rejected. It is rejected above threshold = mean * (1 + slack) + z * deviation / sqrt(symbols), both of
-    the language's own 4-grams under its model. lead is how far the next language is behind (null if there is
+    is rejected. It is rejected above threshold, the language's calibrated limit for its length. lead is how far the next language is behind (null if there is
     one language only). Null and empty texts and those without letters are rejected, with language null. A null
     id stays null; rows that repeat get a row each; other columns aren't read. An empty table gives no rows.
     """
@@ -285,7 +344,7 @@ def brute_force(counts: dict[str, dict[str, int]], text: str) -> dict[str, float
 
     vocabulary = {g[-1] for c in counts.values() for g in c}
     out = {}
-    clean = "".join(ch if ch.isalpha() and ord(ch) < 65535 else " " for ch in text.lower())
+    clean = "".join(chr(symbol(ord(ch))) for ch in text.lower())
     s = [32, 32, 32]
     for ch in clean:
         if ch != " " or (len(s) == 3 or s[-1] != 32):
@@ -315,9 +374,9 @@ def brute_force(counts: dict[str, dict[str, int]], text: str) -> dict[str, float
 
 def accepted(docs: DataFrame, model: Model, *, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs whose language is accepted, all columns as they are but lang, which becomes the language
-    found. Rules as in ``identify``."""
-    names = docs.columns
-    at, target = names.index(text), names.index(lang)
+    found. Null, empty and letterless texts go, as ``identify`` rejects them; rows that repeat stay as often as they
+    are, a null id stays. An empty table gives no rows."""
+    at, target = position(docs.columns, text), position(docs.columns, lang)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
