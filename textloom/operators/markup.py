@@ -1,15 +1,20 @@
-"""Markup operators on DataFrames: one parse a text, then Catalyst over its flat node table."""
+"""Markup operators on DataFrames: one parse a text, in Arrow batches.
+
+Each relation (links, cells, sections, ...) is made where the text is parsed, so that only its own rows leave the
+Python worker; ``node_table`` gives all nodes for whatever else is asked. Texts are spread over all cores first,
+as a dump or a small table comes in few partitions while a parse costs much more than a shuffle of its text.
+"""
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..functions.text import _c, trim
 from . import lexer, render, templates
-from .parser import FIELDS, Parser, parse
+from .parser import Node, Parser, parse
 
 NODE = (
     "id:int, parent:int, depth:int, role:string, type:string, text:string, target:string, anchor:string, url:string, name:string, sort_key:string, "
@@ -32,18 +37,72 @@ def _udf(kind: str, arrow: pa.DataType, f):
     return run
 
 
+def _lists(fields: str, f):
+    """An Arrow function of one text column that gives a list of tuples of the fields; null gives null. The columns are
+    built whole, without a dict a row."""
+    kinds = [(n, _KINDS[t]) for n, t in (x.strip().split(":") for x in fields.split(","))]
+
+    @arrow_udf(f"array<struct<{fields}>>")
+    def run(texts: pa.Array) -> pa.Array:
+        rows, ends, void = [], [0], []
+        for t in texts.to_pylist():
+            void.append(t is None)
+            if t is not None:
+                rows += f(t)
+            ends.append(len(rows))
+        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        inner = pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner, mask=pa.array(void, pa.bool_()))
+
+    return run
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, if its files are so small that it comes in fewer; else as it is."""
+    spark = df.sparkSession
+    cores, split = spark.sparkContext.defaultParallelism, int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if not df.isStreaming and size < cores * split else df
+
+
 _TOKEN = "type:string, text:string, begin:long, level:int, tag_name:string, self_closing:boolean"
 _PAIR = pa.struct([("name", pa.string()), ("value", pa.string())])
 
 
 def parse_nodes(text, **options) -> Column:
     """The node table of a text as an array, in document order."""
-    names = FIELDS
-    return _udf(f"array<struct<{NODE}>>", pa.list_(_arrow(NODE)), lambda t: [dict(zip(names, r, strict=True)) for r in parse(t, **options)])(_c(text))
+    return _lists(NODE, lambda t: parse(t, **options))(_c(text))
+
+
+def parse_inline(text, **options) -> Column:
+    """The node table of a fragment: no tables and lists."""
+    return parse_nodes(text, tables=False, lists=False, **options)
 
 
 def tokenize(text, **options) -> Column:
-    return _udf(f"array<struct<{_TOKEN}>>", pa.list_(_arrow(_TOKEN)), lambda t: [x._asdict() for x in lexer.tokens(t, **options)])(_c(text))
+    return _lists(_TOKEN, lambda t: list(lexer.tokens(t, **options)))(_c(text))
+
+
+_FORMATTING, _LIST, _TABLE = ("Bold", "Italic", "BoldItalic"), ("BulletList", "NumberedList", "DefinitionTerm", "Indent"), ("TableStart", "TableEnd", "TableRowStart", "TableCaption", "TableHeaderCell", "TableDataCell")
+
+
+def is_formatting(token: Column) -> Column:
+    return token["type"].isin(*_FORMATTING)
+
+
+def is_list_marker(token: Column) -> Column:
+    return token["type"].isin(*_LIST)
+
+
+def is_table_mark(token: Column) -> Column:
+    return token["type"].isin(*_TABLE)
+
+
+def position(text, offset) -> Column:
+    """struct(line, column, offset), both from 1, of an offset in code points."""
+    before = F.substring(_c(text), F.lit(1), _c(offset).cast("int"))
+    line = F.regexp_count(before, F.lit("\n")) + 1
+    return F.struct(line.cast("int").alias("line"), (F.length(F.substring_index(before, "\n", -1)) + 1).cast("int").alias("column"), _c(offset).cast("long").alias("offset"))
 
 
 def token_plain_text(text) -> Column:
@@ -103,33 +162,66 @@ def to_json(text, **options) -> Column:
     return _udf("string", pa.string(), lambda t: render.to_json(t, **options))(_c(text))
 
 
-def _pruned(text: str, drop: str, splice: bool) -> str:
-    root = Parser().parse(text)
-    todo = [root]
-    while todo:
-        n = todo.pop()
-        if splice:
-            while any(k.type == drop for k in n.children):
-                n.children = [x for k in n.children for x in (k.children if k.type == drop else [k])]
-        else:
-            n.children = [k for k in n.children if k.type != drop]
-        todo += n.children
-    return render.to_wikitext(root)
+def rewrite(text, visit) -> Column:
+    """The markup after visit has gone over its tree: a function of a node that gives the nodes to stand in its place
+    (the node itself, others, or none), called for parents first; what it gives isn't visited again, but their
+    children are."""
+
+    def one(t: str) -> str:
+        root = Parser().parse(t)
+        todo = [root]
+        while todo:
+            n = todo.pop()
+            n.children = [x for k in n.children for x in visit(k)]
+            todo += n.children
+        return render.to_wikitext(root)
+
+    return _udf("string", pa.string(), one)(_c(text))
 
 
 def remove_templates(text) -> Column:
-    return _udf("string", pa.string(), lambda t: _pruned(t, "Template", False))(_c(text))
+    return rewrite(text, lambda n: [] if n.type == "Template" else [n])
 
 
 def strip_formatting(text) -> Column:
     """Quotes of bold and italic go, what they hold stays."""
-    return _udf("string", pa.string(), lambda t: _pruned(t, "Formatting", True))(_c(text))
+
+    def inner(n: Node) -> list[Node]:
+        out, todo = [], [n]
+        while todo:
+            k = todo.pop()
+            if k.type == "Formatting":
+                todo += reversed(k.children)
+            else:
+                out.append(k)
+        return out
+
+    return rewrite(text, inner)
 
 
 # relations over the node table
 def node_table(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """keys and a row for each node."""
-    return df.select(*keys, F.explode(parse_nodes(text)).alias("n")).select(*keys, "n.*")
+    return spread(df.select(*keys, F.col(text).alias("__text"))).select(*keys, F.explode(parse_nodes("__text")).alias("n")).select(*keys, "n.*")
+
+
+def node_counts(text, *kinds: str) -> Column:
+    """A struct of how many nodes of each of kinds a text has."""
+
+    @arrow_udf(f"struct<{', '.join(k + ':int' for k in kinds)}>")
+    def run(texts: pa.Array) -> pa.Array:
+        counts = [[0] * len(texts) for _ in kinds]
+        place = {k: c for k, c in zip(kinds, counts, strict=True)}
+        for i, t in enumerate(texts.to_pylist()):
+            todo = [] if t is None else [Parser().parse(t)]
+            while todo:
+                n = todo.pop()
+                if n.type in place:
+                    place[n.type][i] += 1
+                todo += n.children
+        return pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in counts], names=list(kinds))
+
+    return run(_c(text))
 
 
 def label(nodes: DataFrame, of: DataFrame, *keys: str) -> DataFrame:
@@ -142,70 +234,118 @@ def label(nodes: DataFrame, of: DataFrame, *keys: str) -> DataFrame:
     return joined.select(*of.columns, F.array_join(F.transform("__t", lambda x: x["__text"]), "").alias("label"))
 
 
-def _with_label(nodes: Column, n) -> Column:
-    inside = F.filter(nodes, lambda k: k["type"].isin("Text", "NoWiki") & (k["id"] > n["id"]) & (k["id"] <= n["last_desc"]))
-    return F.array_join(F.transform(inside, lambda k: k["text"]), "")
+class Seen:
+    """A node in its tree: its number in document order, its parent, whether it is within a template, and by pieces of
+    text the part that is within it."""
+
+    __slots__ = ("node", "id", "parent", "in_template", "first", "last", "pieces")
+
+    def __init__(self, node: Node, number: int, parent: Seen | None, first: int, pieces: list[str]):
+        self.node, self.id, self.parent, self.first, self.last, self.pieces = node, number, parent, first, first, pieces
+        self.in_template = parent is not None and (parent.in_template or parent.node.type == "Template")
+
+    @property
+    def label(self) -> str:
+        return "".join(self.pieces[self.first : self.last])
+
+
+def walk(text: str) -> list[Seen]:
+    """All nodes of a text in document order."""
+    pieces: list[str] = []
+    out: list[Seen] = []
+    todo: list[tuple] = [(Parser().parse(text), None)]
+    while todo:
+        n, parent = todo.pop()
+        if n is None:
+            parent.last = len(pieces)
+            continue
+        if n.type in ("Text", "NoWiki"):
+            pieces.append(n.text or "")
+        x = Seen(n, len(out), parent, len(pieces), pieces)
+        out.append(x)
+        if n.children:
+            todo.append((None, x))
+            todo += [(k, x) for k in reversed(n.children) if k.type not in ("Bar", "Equal")]
+    return out
 
 
-def extract(df: DataFrame, text: str, keys: list[str], kinds: list[str], fields: dict) -> DataFrame:
-    """keys and fields of each node of the kinds; a field is a function of (all nodes, the node)."""
-    parsed = df.select(*keys, parse_nodes(text).alias("__nodes"))
-    rows = parsed.select(*keys, "__nodes", F.explode(F.filter("__nodes", lambda n: n["type"].isin(*kinds))).alias("__n"))
-    return rows.select(*keys, *(f(F.col("__nodes"), F.col("__n")).alias(name) for name, f in fields.items()))
+def extract(df: DataFrame, text: str, keys: list[str], fields: str, rows) -> DataFrame:
+    """keys and fields ("name:type, ..."): rows is a function of a text that gives tuples of the fields."""
+    few = spread(df.select(*keys, F.col(text).alias("__text")))
+    return few.select(*keys, F.explode(_lists(fields, rows)("__text")).alias("__n")).select(*keys, "__n.*")
 
 
-def _in_template(nodes: Column, n: Column) -> Column:
-    return F.exists(nodes, lambda t: (t["type"] == "Template") & (t["id"] < n["id"]) & (n["id"] <= t["last_desc"]))
+def _each(kind: str, f):
+    return lambda text: [f(x) for x in walk(text) if x.node.type == kind]
 
 
 def links(df: DataFrame, text: str, *keys: str, include_template_args: bool = False) -> DataFrame:
     """(keys, target, anchor, display, begin): links to pages; without a label the target is displayed. Those in
     template arguments don't count unless asked for."""
-    full = lambda n: F.concat(n["target"], F.when(n["anchor"] != "", F.concat(F.lit("#"), n["anchor"])).otherwise(F.lit("")))
-    out = extract(df, text, list(keys), ["Link"], {
-        "target": lambda a, n: n["target"], "anchor": lambda a, n: n["anchor"],
-        "display": lambda a, n: F.when(n["flag"], _with_label(a, n)).otherwise(full(n)), "begin": lambda a, n: n["begin"], "__in": lambda a, n: _in_template(a, n),
-    })
-    return (out if include_template_args else out.where(~F.col("__in"))).drop("__in")
+
+    def rows(t: str) -> list[tuple]:
+        found = (x for x in walk(t) if x.node.type == "Link" and (include_template_args or not x.in_template))
+        return [(x.node.target, x.node.anchor, x.label if x.node.flag else x.node.target + ("#" + x.node.anchor if x.node.anchor else ""), x.node.begin) for x in found]
+
+    return extract(df, text, list(keys), "target:string, anchor:string, display:string, begin:long", rows)
 
 
 def external_links(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """(keys, url, display)."""
-    return extract(df, text, list(keys), ["ExternalLink"], {"url": lambda a, n: n["url"], "display": lambda a, n: F.when(n["id"] < n["last_desc"], _with_label(a, n)).otherwise(n["url"])})
+    return extract(df, text, list(keys), "url:string, display:string", _each("ExternalLink", lambda x: (x.node.url, x.label if x.node.children else x.node.url)))
 
 
 def categories(df: DataFrame, text: str, *keys: str) -> DataFrame:
-    return extract(df, text, list(keys), ["Category"], {"category": lambda a, n: n["name"], "sort_key": lambda a, n: n["sort_key"]})
+    return extract(df, text, list(keys), "category:string, sort_key:string", _each("Category", lambda x: (x.node.name, x.node.sort_key)))
 
 
 def templates_used(df: DataFrame, text: str, *keys: str) -> DataFrame:
-    """(keys, name, n_params), also of templates in arguments of others; parser functions don't count."""
-    return extract(df, text, list(keys), ["Template"], {
-        "name": lambda a, n: n["name"], "is_function": lambda a, n: n["flag"], "n_params": lambda a, n: F.size(F.filter(a, lambda p: (p["type"] == "TemplateParameter") & (p["parent"] == n["id"]))),
-    })
+    """(keys, name, is_function, n_params), also of templates in arguments of others."""
+    count = lambda n: sum(k.type == "TemplateParameter" for k in n.children)
+    return extract(df, text, list(keys), "name:string, is_function:boolean, n_params:int", _each("Template", lambda x: (x.node.name, x.node.flag, count(x.node))))
 
 
 def template_params(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """(keys, template, param, value): values as plain text, param '' where it has no name."""
-    return extract(df, text, list(keys), ["TemplateParameter"], {
-        "template": lambda a, n: F.get(a, n["parent"])["name"], "param": lambda a, n: n["name"], "value": lambda a, n: trim(_with_label(a, n)),
-    })
+    return extract(df, text, list(keys), "template:string, param:string, value:string", _each("TemplateParameter", lambda x: (x.parent.node.name, x.node.name, x.label.strip(_BLANKS))))
+
+
+_BLANKS = " \t\n\r\x0b\x0c"
 
 
 def headings(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """(keys, pos, level, title): title as it is written, without blanks around it."""
-    return extract(df, text, list(keys), ["Heading"], {"pos": lambda a, n: n["id"], "level": lambda a, n: n["level"], "title": lambda a, n: trim(n["text"])})
+    return extract(df, text, list(keys), "pos:int, level:int, title:string", _each("Heading", lambda x: (x.id, x.node.level, x.node.text.strip(_BLANKS))))
+
+
+def sections(text: str) -> list[tuple]:
+    """(section_no, parent_no, level, title, content_count, total_sections, total_content_count) of a text's sections:
+    the parent is the last earlier heading of a lower level, 0 the text's root. Contents are what lies between
+    headings at the top of the tree; totals are of a section and all below it."""
+    out, last, total = [], [0] * 7, []
+    for n in Parser().parse(text).children:
+        if n.type == "Heading":
+            parent = max(last[: n.level])
+            out.append([len(out) + 1, parent, n.level, n.text.strip(_BLANKS), 0])
+            last[n.level] = len(out)
+        elif out:
+            out[-1][4] += 1
+    total = [[1, r[4]] for r in out]
+    for r in reversed(out):
+        if r[1]:
+            for k in (0, 1):
+                total[r[1] - 1][k] += total[r[0] - 1][k]
+    return [(*r, *t) for r, t in zip(out, total, strict=True)]
 
 
 def section_tree(df: DataFrame, text: str, *keys: str) -> DataFrame:
-    """(keys, section_no, parent_no, level, title): the parent is the last earlier heading of a lower level, 0
-    the text's root. Section numbers are in order from 1."""
-    h = headings(df, text, *keys)
-    w = Window.partitionBy(*keys).orderBy("pos")
-    h = h.withColumn("section_no", F.row_number().over(w))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.col("section_no")), ignorenulls=True).over(before)) for k in range(1, 6)]
-    return h.select(*keys, "section_no", F.coalesce(F.greatest(*last), F.lit(0)).alias("parent_no"), "level", "title")
+    """(keys, section_no, parent_no, level, title): section numbers are in order from 1."""
+    return extract(df, text, list(keys), "section_no:int, parent_no:int, level:int, title:string", lambda t: [r[:4] for r in sections(t)])
+
+
+def section_contents(df: DataFrame, text: str, *keys: str) -> DataFrame:
+    """(keys, section_no, title, content_count, total_sections, total_content_count)."""
+    return extract(df, text, list(keys), "section_no:int, title:string, content_count:int, total_sections:int, total_content_count:int", lambda t: [(r[0], *r[3:]) for r in sections(t)])
 
 
 def section_totals(tree: DataFrame, *keys: str) -> DataFrame:
@@ -245,25 +385,43 @@ def section_outline(tree: DataFrame, *keys: str) -> DataFrame:
 
 
 def list_items(df: DataFrame, text: str, *keys: str) -> DataFrame:
-    return extract(df, text, list(keys), ["ListItem"], {"marker": lambda a, n: n["name"], "level": lambda a, n: n["level"], "item": lambda a, n: trim(_with_label(a, n))})
+    return extract(df, text, list(keys), "marker:string, level:int, item:string", _each("ListItem", lambda x: (x.node.name, x.node.level, x.label.strip(_BLANKS))))
 
 
 def table_cells(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """(keys, row_id, is_header, attributes, cell)."""
-    return extract(df, text, list(keys), ["TableCell"], {"row_id": lambda a, n: n["parent"], "is_header": lambda a, n: n["flag"], "attributes": lambda a, n: n["attrs"], "cell": lambda a, n: trim(_with_label(a, n))})
+    return extract(df, text, list(keys), "row_id:int, is_header:boolean, attributes:string, cell:string", _each("TableCell", lambda x: (x.parent.id, x.node.flag, x.node.attrs, x.label.strip(_BLANKS))))
 
 
 def formatted(df: DataFrame, text: str, *keys: str) -> DataFrame:
-    return extract(df, text, list(keys), ["Formatting"], {"style": lambda a, n: n["style"], "content": lambda a, n: _with_label(a, n)})
+    return extract(df, text, list(keys), "style:string, content:string", _each("Formatting", lambda x: (x.node.style, x.label)))
 
 
 def html_tags(df: DataFrame, text: str, *keys: str) -> DataFrame:
-    return extract(df, text, list(keys), ["HtmlTag"], {"tag": lambda a, n: n["name"], "attributes": lambda a, n: n["attrs"], "content": lambda a, n: _with_label(a, n)})
+    return extract(df, text, list(keys), "tag:string, attributes:string, content:string", _each("HtmlTag", lambda x: (x.node.name, x.node.attrs, x.label)))
+
+
+def tag_attributes(attributes) -> Column:
+    """map of name (lower case) to value of a tag's attributes as they are written: in quotes, bare, or without a value
+    (''); of a name that repeats the first."""
+    found = F.regexp_extract_all(_c(attributes), F.lit(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?"), F.lit(0))
+    pair = F.transform(found, lambda a: F.struct(F.lower(F.trim(F.regexp_extract(a, r"^([^=\s]+)", 1))).alias("key"), F.regexp_replace(F.regexp_extract(a, r"(?s)^[^=]*=\s*(.*)$", 1), r"^[\"']|[\"']$", "").alias("value")))
+    names = F.array_distinct(F.transform(pair, lambda p: p["key"]))
+    return F.map_from_entries(F.transform(names, lambda n: F.struct(n.alias("key"), F.get(F.filter(pair, lambda p: p["key"] == n), F.lit(0))["value"].alias("value"))))
+
+
+def get_attribute(attributes, name: str) -> Column:
+    return F.element_at(tag_attributes(attributes), name.lower())
 
 
 def leaves(df: DataFrame, text: str, kind: str, *keys: str) -> DataFrame:
     """(keys, text) of comments, nowiki or magic words."""
-    return extract(df, text, list(keys), [kind], {"text": lambda a, n: n["text"]})
+    return extract(df, text, list(keys), "text:string", _each(kind, lambda x: (x.node.text,)))
+
+
+def parameters(df: DataFrame, text: str, *keys: str) -> DataFrame:
+    """(keys, name, has_default, default_text) of {{{name|default}}} in a text, the default as plain text."""
+    return extract(df, text, list(keys), "name:string, has_default:boolean, default_text:string", _each("Parameter", lambda x: (x.node.name, x.node.flag, x.label)))
 
 
 # templates

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.markup import parse_nodes
+from ..operators.markup import node_counts, spread
 from ..operators.pages import PageFilter, content
 
 
 def parsed_pages(pages: DataFrame, by: PageFilter = PageFilter()) -> DataFrame:
-    """(page_id, title, n_links, n_templates) of a batch or streaming DataFrame of pages; no state is kept."""
-    kept = pages.where(by.condition()).select("page_id", "title", parse_nodes(content()).alias("nodes"))
-    count = lambda kind: F.size(F.filter("nodes", lambda n: n["type"] == kind))
-    return kept.select("page_id", "title", count("Link").alias("n_links"), count("Template").alias("n_templates"))
+    """(page_id, title, n_links, n_templates) of a batch or streaming DataFrame of pages; no state is kept. Only the
+    counts leave the parse."""
+    kept = spread(pages.where(by.condition()).select("page_id", "title", content().alias("text")))
+    return kept.select("page_id", "title", node_counts("text", "Link", "Template").alias("n")).select("page_id", "title", F.col("n.Link").alias("n_links"), F.col("n.Template").alias("n_templates"))
 
 
 def totals(parsed: DataFrame) -> DataFrame:
