@@ -91,3 +91,12 @@ def is_alphanumeric(s) -> Column:
 
 def is_punctuation(s) -> Column:
     return _is(s, r"\p{P}")
+
+
+def decode_utf8(b) -> Column:
+    """Text of bytes; what isn't valid becomes U+FFFD."""
+    return F.make_valid_utf8(F.col(b) if isinstance(b, str) else b).cast("string")
+
+
+def encode_utf8(s) -> Column:
+    return F.encode(_c(s), "UTF-8")

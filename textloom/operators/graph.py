@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 def closure(edges: DataFrame, a: str, b: str, most: int = 40) -> DataFrame:
-    """Pairs (a, b) with a path of at most ``most`` edges; cycles are fine. Paths double each round."""
-    known = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).distinct()
-    length, n = 1, known.count()
-    levels = [(length, known)]
-    while length < most:
-        # the longest level that doesn't lead beyond the bound
-        more, level = next(x for x in reversed(levels) if x[0] <= most - length)
-        step = known.alias("l").join(level.alias("r"), F.col("l.y") == F.col("r.x")).select(F.col("l.x").alias("x"), F.col("r.y").alias("y"))
-        known = known.union(step).distinct().persist()
-        m = known.count()
-        if m == n:
-            break
-        n, length = m, length + more
-        levels.append((length, known))
+    """Pairs (a, b) with a path of one to ``most`` edges; cycles are fine, rows with a null are left out. Lengths
+    double, then those powers of two that make up the rest of ``most`` are added; each step is cut off from its
+    lineage. It ends as soon as doubling finds nothing new."""
+
+    def joined(x: DataFrame, y: DataFrame) -> DataFrame:
+        more = x.withColumnRenamed("y", "m").join(y.withColumnRenamed("x", "m"), "m").select("x", "y")
+        return cut(x.union(more).distinct())
+
+    powers = [cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL").distinct())]
+    n = powers[0].count()
+    whole = False
+    while 2 ** len(powers) <= most and not whole:
+        powers.append(joined(powers[-1], powers[-1]))
+        m = powers[-1].count()
+        whole, n = m == n, m
+    known, left = powers[-1], most - 2 ** (len(powers) - 1)
+    for k in reversed(range(len(powers))) if not whole else ():
+        if left >= 2**k:
+            known, left = joined(known, powers[k]), left - 2**k
     return known.select(F.col("x").alias(a), F.col("y").alias(b))

@@ -45,22 +45,43 @@ def unique_offsets(index: DataFrame) -> DataFrame:
     return index.select("offset").distinct().orderBy("offset")
 
 
-def chunks(index: DataFrame, eof: int | Column | None = None, *, file: str | None = None, seq: str = "seq") -> DataFrame:
-    """(start, end, entries) for each run of consecutive lines with one offset; the last ends at eof.
+#: Lines of an index that one task numbers.
+RUN_LINES = 1_000_000
 
-    With file, a column that names the file, runs are found in each file by itself and in parallel; a single
-    index file is a single window partition, as its order is a single sequence.
+
+def chunks(index: DataFrame, eof: int | Column | None = None, *, file: str | None = None, seq: str = "seq", run_lines: int = RUN_LINES) -> DataFrame:
+    """(start, end, entries) for each run of consecutive lines with one offset; the last ends at eof. With file, a
+    column that names the file, runs are found in each file by itself, and it is the first column.
+
+    Runs are numbered in two steps, within stretches of ``run_lines`` of seq and over these, so that a large file
+    isn't a single task.
     """
     keys = [file] if file else []
-    w = Window.partitionBy(*keys).orderBy(seq)
-    runs = index.withColumn("__new", F.when(F.col("offset") == F.lag("offset").over(w), 0).otherwise(1)).withColumn("__run", F.sum("__new").over(w))
+    part = [*keys, "__part"]
+    rows = index.withColumn("__part", F.floor(F.col(seq) / run_lines))
+    w = Window.partitionBy(*part).orderBy(seq)
+    over = Window.partitionBy(*keys).orderBy("__part")
+    last = rows.groupBy(*part).agg(F.max_by("offset", seq).alias("__last")).withColumn("__before", F.lag("__last").over(over)).drop("__last")
+
+    def to(x: DataFrame, y: DataFrame, *on: str) -> DataFrame:
+        """x with what y has for it; a null file is a file."""
+        y = y.select(*(F.col(k).alias("__r_" + k) for k in on), *(c for c in y.columns if c not in on))
+        same = F.lit(True)
+        for k in on:
+            same &= F.col(k).eqNullSafe(F.col("__r_" + k))
+        return x.join(y, same, "left").drop(*("__r_" + k for k in on))
+
+    new = F.when(F.col("offset") == F.coalesce(F.lag("offset").over(w), F.col("__before")), 0).otherwise(1)
+    runs = to(rows, last, *part).withColumn("__new", new)
+    sums = runs.groupBy(*part).agg(F.sum("__new").alias("__s")).withColumn("__sum", F.sum("__s").over(over) - F.col("__s")).drop("__s")
+    runs = to(runs, sums, *part).withColumn("__run", F.col("__sum") + F.sum("__new").over(w))
     out = runs.groupBy(*keys, "__run").agg(
         F.first("offset").alias("start"),
         F.transform(F.array_sort(F.collect_list(F.struct(seq, "page_id", "title"))), lambda e: F.struct(e["page_id"].alias("page_id"), e["title"].alias("title"))).alias("entries"),
     )
-    w = Window.partitionBy(*keys).orderBy("__run")
-    end = F.coalesce(F.lead("start").over(w), eof if isinstance(eof, Column) else F.lit(eof).cast("long"))
-    return out.withColumn("end", end).select(*keys, "start", "end", "entries")
+    after = out.select(*keys, (F.col("__run") - 1).alias("__run"), F.col("start").alias("__end"))
+    end = F.coalesce(F.col("__end"), eof if isinstance(eof, Column) else F.lit(eof).cast("long"))
+    return to(out, after, *keys, "__run").withColumn("end", end).select(*keys, "start", "end", "entries")
 
 
 def chunk_of_title(chunked: DataFrame, title: str) -> DataFrame:

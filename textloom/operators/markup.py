@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..functions.text import _c, trim
+from ..sources.shared import cut
 from . import lexer, render, templates
 from .parser import Node, Parser, parse
 
@@ -60,9 +61,11 @@ def _lists(fields: str, f):
 def spread(df: DataFrame) -> DataFrame:
     """df over as many tasks as there are cores, if its files are so small that it comes in fewer; else as it is."""
     spark = df.sparkSession
+    if df.isStreaming:
+        return df
     cores, split = spark.sparkContext.defaultParallelism, int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if not df.isStreaming and size < cores * split else df
+    return df.repartition(cores) if size < cores * split else df
 
 
 _TOKEN = "type:string, text:string, begin:long, level:int, tag_name:string, self_closing:boolean"
@@ -163,17 +166,25 @@ def to_json(text, **options) -> Column:
 
 
 def rewrite(text, visit) -> Column:
-    """The markup after visit has gone over its tree: a function of a node that gives the nodes to stand in its place
-    (the node itself, others, or none), called for parents first; what it gives isn't visited again, but their
-    children are."""
+    """The markup after visit has gone over its tree: a function of a node that gives the nodes to stand in its place:
+    the node itself, none, or others, such as its children, which are visited in turn. Parents come first; children
+    of nodes that stay are visited too."""
 
     def one(t: str) -> str:
         root = Parser().parse(t)
         todo = [root]
         while todo:
             n = todo.pop()
-            n.children = [x for k in n.children for x in visit(k)]
-            todo += n.children
+            kept, rest = [], list(reversed(n.children))
+            while rest:
+                k = rest.pop()
+                new = visit(k)
+                if len(new) == 1 and new[0] is k:
+                    kept.append(k)
+                else:
+                    rest += reversed(new)
+            n.children = kept
+            todo += kept
         return render.to_wikitext(root)
 
     return _udf("string", pa.string(), one)(_c(text))
@@ -185,18 +196,7 @@ def remove_templates(text) -> Column:
 
 def strip_formatting(text) -> Column:
     """Quotes of bold and italic go, what they hold stays."""
-
-    def inner(n: Node) -> list[Node]:
-        out, todo = [], [n]
-        while todo:
-            k = todo.pop()
-            if k.type == "Formatting":
-                todo += reversed(k.children)
-            else:
-                out.append(k)
-        return out
-
-    return rewrite(text, inner)
+    return rewrite(text, lambda n: n.children if n.type == "Formatting" else [n])
 
 
 # relations over the node table
@@ -483,22 +483,85 @@ def parser_function(name) -> Column:
     return F.when(t.isin(*templates.EVALUATED), F.concat(F.lit("#"), t)).otherwise(F.lit("Unknown"))
 
 
-def expand(df: DataFrame, definitions: DataFrame, text: str, *, title: str | None = None, now=None, name: str = "name", content: str = "content", out: str = "expanded", most_bytes: int = 256 << 20, **options) -> DataFrame:
-    """df with the column out, its text expanded with definitions. These are broadcast; a set that is larger than
-    most_bytes is an error, as its names would have to be resolved by joins."""
-    size = definitions.agg(F.sum(F.octet_length(F.col(content)) + F.octet_length(F.col(name)))).first()[0] or 0
-    if size > most_bytes:
-        raise ValueError(f"{size} bytes of templates; at most {most_bytes} are broadcast")
-    known = df.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in definitions.select(name, content).where(F.col(content).isNotNull()).collect()})
+_STATS = "expanded:int, functions:int, max_depth:int, cache_hits:int, errors:int"
 
-    @arrow_udf("string")
-    def run(texts: pa.Array, titles: pa.Array) -> pa.Array:
-        done = []
-        for t, n in zip(texts.to_pylist(), titles.to_pylist(), strict=True):
-            done.append(None if t is None else templates.Expander(known.value, title=n or "", now=now, **options).expand(t))
-        return pa.array(done, pa.string())
 
-    return df.withColumn(out, run(F.col(text), F.col(title) if title else F.lit("")))
+def expand(df: DataFrame, definitions: DataFrame, text: str, *, title: str | None = None, namespace: str | None = None, now=None, name: str = "name", content: str = "content", out: str = "expanded", stats: str | None = None, most_bytes: int = 64 << 20, **options) -> DataFrame:
+    """df with the column out, its text expanded with definitions (name, content; of a name that repeats the last by
+    content), and with stats, a struct of counters, if a name is given for it. title and namespace: columns.
+
+    Definitions of up to most_bytes are broadcast. Of more, each text gets those that it asks for, by joins: the
+    names that it asked for in vain are looked up and it is expanded again, until it asks for none that exists.
+    """
+    own = definitions.where(F.col(content).isNotNull() & F.col(name).isNotNull()).groupBy(F.col(name).alias("n")).agg(F.max(content).alias("c"))
+    size = own.agg(F.sum(F.octet_length("c") + F.octet_length("n") + 100)).first()[0] or 0
+    known = df.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in own.collect()}) if size <= most_bytes else None
+    kind = f"struct<text:string, stats:struct<{_STATS}>, asked:array<string>>"
+    arrow = pa.struct([("text", pa.string()), ("stats", _arrow(_STATS)), ("asked", pa.list_(pa.string()))])
+
+    def one(t: str | None, n: str | None, ns: str | None, given: dict) -> dict | None:
+        if t is None:
+            return None
+        e = templates.Expander(given, title=n or "", namespace=ns or "", now=now, **options)
+        return {"text": e.expand(t), "stats": e.stats, "asked": sorted(given.missed) if isinstance(given, Asked) else []}
+
+    names = [F.col(title) if title else F.lit(""), F.col(namespace) if namespace else F.lit("")]
+    if known is not None:
+
+        @arrow_udf(kind)
+        def run(texts: pa.Array, titles: pa.Array, spaces: pa.Array) -> pa.Array:
+            return pa.array([one(*r, known.value) for r in zip(texts.to_pylist(), titles.to_pylist(), spaces.to_pylist(), strict=True)], arrow)
+
+        done = spread(df).withColumn("__x", run(F.col(text), *names))
+        return done.withColumns({out: F.col("__x.text"), **({stats: F.col("__x.stats")} if stats else {})}).drop("__x")
+
+    @arrow_udf(kind)
+    def again(texts: pa.Array, titles: pa.Array, spaces: pa.Array, given: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), titles.to_pylist(), spaces.to_pylist(), given.to_pylist(), strict=True)
+        return pa.array([one(t, n, ns, Asked({d["n"]: d["c"] for d in g})) for t, n, ns, g in rows], arrow)
+
+    own = cut(own)
+    todo = cut(df.select("*", F.monotonically_increasing_id().alias("__id"), F.array().cast("array<struct<n:string,c:string>>").alias("__given")))
+    finished = None
+    while True:
+        todo = cut(todo.withColumn("__x", again(F.col(text), *names, F.col("__given"))))
+        asked = todo.select("__id", F.explode("__x.asked").alias("n")).join(own, "n").groupBy("__id").agg(F.collect_list(F.struct("n", "c")).alias("__more"))
+        both = cut(todo.join(asked, "__id", "left"))
+        ready = both.where("__more IS NULL").drop("__more")
+        finished = ready if finished is None else finished.unionByName(ready)
+        todo = both.where("__more IS NOT NULL").withColumn("__given", F.concat("__given", "__more")).drop("__more", "__x")
+        if todo.isEmpty():
+            break
+    return finished.withColumns({out: F.col("__x.text"), **({stats: F.col("__x.stats")} if stats else {})}).drop("__x", "__id", "__given")
+
+
+class Asked(dict):
+    """Definitions, and in ``missed`` the names that were looked up in vain."""
+
+    def __init__(self, known: dict[str, str]):
+        super().__init__(known)
+        self.missed: set[str] = set()
+
+    def get(self, key, default=None):
+        if key not in self:
+            return default
+        return self[key]
+
+    def __contains__(self, key) -> bool:
+        if super().__contains__(key):
+            return True
+        self.missed.add(key)
+        return False
+
+
+def page_provider(pages: DataFrame, *, namespace: int = 10, title: str = "title", content: str = "content") -> DataFrame:
+    """(name, content) of a namespace's pages, without the namespace's name before the title: templates (10) or
+    modules (828)."""
+    return pages.where(F.col("ns") == namespace).select(F.regexp_replace(F.col(title), r"^[^:]*:", "").alias("name"), F.col(content).alias("content"))
+
+
+def invocation_get_or(invocation: Column, key: str | int, default) -> Column:
+    return F.coalesce(invocation_get(invocation, key), default if isinstance(default, Column) else F.lit(default))
 
 
 def template_closure(uses: DataFrame, most: int = 40) -> DataFrame:

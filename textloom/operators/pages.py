@@ -72,6 +72,11 @@ def count_pages(pages: DataFrame, by: PageFilter = PageFilter()) -> DataFrame:
     return filter_pages(pages, by).agg(F.count("*").alias("n"))
 
 
+def first_pages(pages: DataFrame, n: int) -> DataFrame:
+    """Some n pages, reading no more than is needed: what a scan that stops early sees."""
+    return pages.limit(n)
+
+
 def find_page(pages: DataFrame, title: str) -> DataFrame:
     return pages.where(F.col("title") == title).limit(1)
 

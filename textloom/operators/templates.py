@@ -340,7 +340,7 @@ def magic_value(kind: str, title: str, namespace: str, now: datetime.datetime) -
     url = lambda t: quote(t.replace(" ", "_"), safe="-_.~")
     return {
         "PageName": title, "PageNameE": url(title), "FullPageName": full, "FullPageNameE": url(full), "BasePageName": title.rpartition("/")[0] if "/" in title else title,
-        "SubPageName": title.rpartition("/")[2], "RootPageName": title.partition("/")[0], "TalkPageName": "Talk:" + title, "SubjectPageName": title, "NameSpace": "", "NameSpaceE": "",
+        "SubPageName": title.rpartition("/")[2], "RootPageName": title.partition("/")[0], "TalkPageName": "Talk:" + title, "SubjectPageName": title, "NameSpace": namespace, "NameSpaceE": url(namespace),
         "TalkSpace": "Talk", "SubjectSpace": "", "CurrentYear": f"{now.year}", "CurrentMonth": f"{now.month:02d}", "CurrentDay": f"{now.day:02d}", "CurrentTime": f"{now:%H:%M}",
         "CurrentTimestamp": f"{now:%Y%m%d%H%M%S}", "NumberOfPages": "0", "NumberOfArticles": "0", "NumberOfFiles": "0", "SiteName": "Wikipedia", "Server": "//en.wikipedia.org",
         "ServerName": "en.wikipedia.org", "ContentLanguage": "en",

@@ -79,3 +79,31 @@ TEMPLATES = {
 
 def template_pages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TEMPLATES.items()), "name string, content string")
+
+
+#: Texts of other shapes, one a row, by p_partkey % 11: definition lists, a table within a table, parameters, a redirect,
+#: mixed lists, tags with attributes, what isn't closed, sections that leave levels out, parser functions and nested
+#: templates, nested quotes, and leaves of all kinds.
+SHAPES = (
+    "; {n}\n: {t}\n:: {s}\n",
+    "{|\n|+ Cap {s}\n|-\n| a {n}\n|\n{|\n| inner {s}\n|}\n|}\nend",
+    "{{{p|{n}}}} and {{{q}}}",
+    "#REDIRECT [[{t}#{s}]]",
+    "* {n}\n*# {s}\n*#; x\n# {t}\nend",
+    "<span class=\"a\" id='{k}'>{n}</span><br/><ref name=r>{t}</ref>",
+    "[[{n} and {{x {t} ''it",
+    "lead\n== A {s} ==\n==== B ====\n=== C ===\ntext\n== D ==\n",
+    "{{#if:{s}|{{a|{n}}}|n}} {{b|k={{c}}|{t}}}",
+    "'''''{n}''''' ''{t} '''{s}''' end''",
+    "text <nowiki>''{n}''</nowiki> <!-- {s} --> [http://x.org/{k}] [[File:{t}|{n}]] [[:Category:{t}]] __TOC__",
+)
+
+
+def shaped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, content)."""
+    text = F.lit(None).cast("string")
+    for k, shape in enumerate(SHAPES):
+        text = F.when(F.col("p_partkey") % len(SHAPES) == k, F.lit(shape)).otherwise(text)
+    for mark, column in (("{n}", F.col("p_name")), ("{t}", F.col("p_type")), ("{s}", F.col("p_size").cast("string")), ("{k}", F.col("p_partkey").cast("string"))):
+        text = F.replace(text, F.lit(mark), column)
+    return spread(part(spark, sf_dir)).select(F.col("p_partkey").alias("page_id"), text.alias("content"))

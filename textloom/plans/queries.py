@@ -12,7 +12,8 @@ from .. import functions as fn
 from ..operators import index as ix
 from ..operators import markup as mk
 from ..operators import pages as pg
-from ..sources import catalog, sinks
+from ..sources import catalog, dump, sinks
+from ..sources.shared import shared_path
 from ..streaming import parsed_pages, totals
 from . import corpus
 
@@ -48,7 +49,7 @@ _docs("text_trim_right", _pad(fn.trim_right), f"rtrim({_PAD}, {_TRIM})")
 _docs("text_collapse_ws", fn.collapse_whitespace, rf"regexp_replace(t, '[{_WS}]+', ' ', 'g')")
 _docs("text_ascii_lower", fn.ascii_lower, f"translate(t, '{_UP}', '{_LOW}')")
 _docs("text_ascii_upper", fn.ascii_upper, f"translate(t, '{_LOW}', '{_UP}')")
-_docs("text_eq_ignore_case", lambda c: fn.equals_ignore_case(fn.ascii_upper(c), c), "true")
+add("text_eq_ignore_case", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", fn.equals_ignore_case(fn.ascii_upper("text"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit("é")))).alias("v")), "SELECT doc_id, doc_id % 2 = 0 AS v FROM documents")
 _docs("text_starts_ends", lambda c: fn.starts_with(c, F.lit("The")) | fn.ends_with(c, F.lit("the.")) | fn.starts_with_ignore_case(c, F.lit("ON")), "starts_with(t, 'The') OR ends_with(t, 'the.') OR starts_with(lower(left(t, 2)), 'on')")
 _docs("text_split", lambda c: fn.split(c, "."), "string_split(t, '.')")
 _docs("text_split_str", lambda c: fn.split(c, ". "), "string_split(t, '. ')")
@@ -76,17 +77,17 @@ add("source_range", lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").select(
 
 # unicode
 _docs("uni_codepoints", fn.count_codepoints, "length(t)::INTEGER")
-_docs("uni_valid_utf8", lambda c: fn.is_valid_utf8(F.col(c).cast("binary")), "true")
+_bytes = lambda: F.concat(F.col("text").cast("binary"), F.when(F.col("doc_id") % 2 == 0, F.lit("é".encode())).otherwise(F.lit(b"\xc0\x80")))
+add("uni_valid_utf8", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", fn.is_valid_utf8(_bytes()).alias("v")), "SELECT doc_id, doc_id % 2 = 0 AS v FROM documents")
+add("uni_decode_utf8", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", fn.decode_utf8(_bytes()).alias("v"), fn.encode_utf8("text").alias("b")), "SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN 'é' ELSE chr(65533) || chr(65533) END AS v, encode(text) AS b FROM documents")
 _docs("uni_lower", fn.to_lower, "lower(t)")
-add("uni_upper", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", fn.to_upper(F.replace(F.col("text"), F.lit("ß"), F.lit("ss"))).alias("v")), "SELECT doc_id, upper(replace(text, 'ß', 'ss')) AS v FROM documents")
-_docs("uni_capitalize_first", lambda c: fn.capitalize_first(F.substring(F.col(c), 3, 20)), "CASE WHEN substr(t, 3, 1) = 'ß' THEN substr(t, 3, 20) ELSE upper(substr(t, 3, 1)) || substr(t, 4, 19) END")
+_docs("uni_upper", fn.to_upper, "upper(replace(t, 'ß', 'ss'))")
+_docs("uni_capitalize_first", fn.capitalize_first, "CASE WHEN left(t, 1) = 'ß' THEN t ELSE upper(left(t, 1)) || substr(t, 2) END")
 _docs("uni_nfc", lambda c: fn.normalize(c, "NFC"), "nfc_normalize(t)")
 _docs("uni_nfd_nfc", lambda c: fn.normalize(fn.normalize(c, "NFD"), "NFC"), "nfc_normalize(t)")
-_docs("uni_nfkc", lambda c: fn.count_codepoints(fn.normalize(c, "NFKC")), "length(t)::INTEGER")
+_docs("uni_nfkc", lambda c: fn.normalize(F.concat(F.lit("ﬁ² "), F.col(c)), "NFKC"), "'fi2 ' || nfc_normalize(t)")
 _docs("uni_title_case", lambda c: fn.to_title_case(F.regexp_replace(F.col(c), "[^a-zA-Z ]", "")), "array_to_string(list_transform(string_split(regexp_replace(t, '[^a-zA-Z ]', '', 'g'), ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ')")
-_docs("uni_char_class", lambda c: F.concat_ws("", *(f(F.left(F.col(c), F.lit(1))).cast("string") for f in (fn.is_letter, fn.is_digit, fn.is_whitespace, fn.is_alphanumeric, fn.is_punctuation))), r"concat(regexp_matches(left(t, 1), '^\p{L}$'), regexp_matches(left(t, 1), '^\p{Nd}$'), left(t, 1) IN (' ', chr(10)), regexp_matches(left(t, 1), '^[\p{L}\p{Nd}]$'), regexp_matches(left(t, 1), '^\p{P}$'))")
-_docs("uni_capitalize_first_whole", fn.capitalize_first, "CASE WHEN left(t, 1) = 'ß' THEN t ELSE upper(left(t, 1)) || substr(t, 2) END")
-_docs("uni_char_class_counts", lambda c: F.concat_ws(" ", *(F.size(F.filter(fn.codepoints(c), f)).cast("string") for f in (fn.is_letter, fn.is_digit, fn.is_whitespace, fn.is_alphanumeric, fn.is_punctuation))), r"concat_ws(' ', len(regexp_extract_all(t, '\p{L}')), len(regexp_extract_all(t, '\p{Nd}')), len(regexp_extract_all(t, '[\s\x0B]')), len(regexp_extract_all(t, '[\p{L}\p{Nd}]')), len(regexp_extract_all(t, '\p{P}')))")
+_docs("uni_char_class", lambda c: F.concat_ws(" ", *(F.size(F.filter(fn.codepoints(c), f)).cast("string") for f in (fn.is_letter, fn.is_digit, fn.is_whitespace, fn.is_alphanumeric, fn.is_punctuation))), r"concat_ws(' ', len(regexp_extract_all(t, '\p{L}')), len(regexp_extract_all(t, '\p{Nd}')), len(regexp_extract_all(t, '[\s\x0B]')), len(regexp_extract_all(t, '[\p{L}\p{Nd}]')), len(regexp_extract_all(t, '\p{P}')))")
 _docs("uni_utf8_lengths", lambda c: F.aggregate(fn.utf8_length(c), F.lit(0), lambda a, x: a + x), "octet_length(encode(t))::INTEGER")
 _docs("uni_iterate", lambda c: F.size(fn.codepoints(c)), "length(t)::INTEGER")
 
@@ -99,7 +100,7 @@ def _named(s: SparkSession, d: str) -> DataFrame:
 _NAMED = "(SELECT c_custkey, concat(' _', lower(c_mktsegment), '__', c_name, '_ *~é') AS t FROM customer)"
 for _n, _f, _s in (
     ("title_normalize", fn.normalize_title, r"upper(left(x, 1)) || substr(x, 2) AS v FROM (SELECT c_custkey, trim(string_split(regexp_replace(replace(t, '_', ' '), '\s+', ' ', 'g'), '#')[1]) AS x FROM " + _NAMED + ")"),
-    ("title_for_comparison", lambda c: fn.normalize_for_comparison(F.substring(c, 3, 99)), "lower(substr(t, 3, 1)) || substr(t, 4, 98) AS v FROM " + _NAMED),
+    ("title_for_comparison", lambda c: fn.normalize_for_comparison(F.concat(F.upper(F.substring(c, 3, 1)), F.col(c))), "lower(substr(t, 3, 1)) || replace(t, '_', '_') AS v FROM " + _NAMED),
     ("title_to_url", fn.title_to_url, "url_encode(replace(t, ' ', '_')) AS v FROM " + _NAMED),
     ("url_to_title", lambda c: fn.url_to_title(fn.title_to_url(c)), "replace(t, '_', ' ') AS v FROM " + _NAMED),
     ("title_safe_file_name", lambda c: fn.safe_file_name(c), "replace(t, '*', '_') AS v FROM " + _NAMED),
@@ -148,31 +149,19 @@ add("index_chunk_of_title", lambda s, d: ix.chunk_of_title(ix.chunks(_idx(s, d),
 
 
 def _terms(s: SparkSession, d: str) -> DataFrame:
-    """Requested titles: some twice, some that aren't there."""
+    """All titles, all again, and as many that aren't there."""
     p = corpus.part(s, d)
-    one = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("ordinal"), F.expr(f"CASE WHEN p_partkey % 2 = 0 THEN {corpus.TITLE} ELSE concat('No such ', cast(p_partkey AS string)) END").alias("title"))
-    return one.union(p.where("p_partkey % 12 = 0").select(F.col("p_partkey") + 1000000, F.expr(corpus.TITLE)))
+    one = p.select(F.col("p_partkey").alias("ordinal"), F.expr(corpus.TITLE).alias("title"))
+    return one.union(one.select(F.col("ordinal") + 1000000000, "title")).union(p.select(F.col("p_partkey") + 2000000000, F.expr("concat('No such ', cast(p_partkey AS string))")))
 
 
-_TERMS = f"(SELECT p_partkey AS ordinal, CASE WHEN p_partkey % 2 = 0 THEN {corpus.TITLE} ELSE concat('No such ', cast(p_partkey AS string)) END AS title FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey + 1000000, {corpus.TITLE} FROM part WHERE p_partkey % 12 = 0)"
+_TERMS = f"(SELECT p_partkey::BIGINT AS ordinal, {corpus.TITLE} AS title FROM part UNION ALL SELECT p_partkey::BIGINT + 1000000000, {corpus.TITLE} FROM part UNION ALL SELECT p_partkey::BIGINT + 2000000000, concat('No such ', cast(p_partkey AS string)) FROM part)"
 _tidx = lambda s, d: corpus.wiki_texts(s, d).select(F.col("page_id").alias("seq"), F.lit(0).cast("long").alias("offset"), "page_id", "title")
 add("terms_coverage", lambda s, d: ix.coverage(_terms(s, d), _tidx(s, d)), f"SELECT * FROM {_TERMS} WHERE NOT starts_with(title, 'No such')")
 add("terms_missing", lambda s, d: ix.missing(_terms(s, d), _tidx(s, d)), f"SELECT * FROM {_TERMS} WHERE starts_with(title, 'No such')")
 add("extract_pages", lambda s, d: ix.extract_pages(_terms(s, d), _tidx(s, d), corpus.wiki_texts(s, d)), f"SELECT ordinal, title, p_partkey IS NOT NULL AS found, p_partkey AS page_id, coalesce({corpus.CONTENT.replace('p_partkey', 'p.p_partkey')}, '') AS content FROM {_TERMS} t LEFT JOIN part p ON t.title = {corpus.TITLE}".replace("coalesce(concat", "coalesce(CASE WHEN p.p_partkey IS NOT NULL THEN concat").replace("]]'), '')", "]]') END, '')"))
 
 
-def _all_terms(s: SparkSession, d: str) -> DataFrame:
-    """All titles, all again, and as many that aren't there."""
-    p = corpus.part(s, d)
-    one = p.select(F.col("p_partkey").alias("ordinal"), F.expr(corpus.TITLE).alias("title"))
-    return one.union(one.select(F.col("ordinal") + 1000000000, "title")).union(p.select(F.col("p_partkey") + 2000000000, F.expr("concat('No such ', cast(p_partkey AS string))")))
-
-
-_ALL_TERMS = f"(SELECT p_partkey::BIGINT AS ordinal, {corpus.TITLE} AS title FROM part UNION ALL SELECT p_partkey::BIGINT + 1000000000, {corpus.TITLE} FROM part UNION ALL SELECT p_partkey::BIGINT + 2000000000, concat('No such ', cast(p_partkey AS string)) FROM part)"
-add("terms_coverage_whole", lambda s, d: ix.coverage(_all_terms(s, d), _tidx(s, d)), f"SELECT * FROM {_ALL_TERMS} WHERE NOT starts_with(title, 'No such')")
-add("terms_missing_whole", lambda s, d: ix.missing(_all_terms(s, d), _tidx(s, d)), f"SELECT * FROM {_ALL_TERMS} WHERE starts_with(title, 'No such')")
-add("extract_pages_whole", lambda s, d: ix.extract_pages(_all_terms(s, d), _tidx(s, d), corpus.wiki_texts(s, d)), f"SELECT ordinal, title, p_partkey IS NOT NULL AS found, p_partkey AS page_id, coalesce({corpus.CONTENT.replace('p_partkey', 'p.p_partkey')}, '') AS content FROM {_ALL_TERMS} t LEFT JOIN part p ON t.title = {corpus.TITLE}".replace("coalesce(concat", "coalesce(CASE WHEN p.p_partkey IS NOT NULL THEN concat").replace("]]'), '')", "]]') END, '')"))
-
 # markup
 _SIZE, _KEY, _PRICE = "cast(p_size AS string)", "cast(p_partkey AS string)", corpus.PRICE
 _wiki = corpus.wiki_texts
@@ -218,12 +207,37 @@ add("ast_to_wikitext", lambda s, d: corpus.part(s, d).select("p_partkey", mk.to_
 add("remove_templates", lambda s, d: corpus.part(s, d).select("p_partkey", mk.remove_templates(F.concat(F.lit("a {{x|{{y}}|z="), F.col("p_name"), F.lit("}} b "), F.col("p_type"))).alias("v")), "SELECT p_partkey, concat('a  b ', p_type) AS v FROM part")
 add("strip_formatting", lambda s, d: corpus.part(s, d).select("p_partkey", mk.strip_formatting(F.concat(F.lit("''a '''"), F.col("p_name"), F.lit("''' b'' [[c|''d'']]"))).alias("v")), "SELECT p_partkey, concat('a ', p_name, ' b [[c|d]]') AS v FROM part")
 _PLAIN = f"concat(p_name, ' is a ', p_type, ' part. ', chr(10), 'See Part ', p_size, ' and Site ', p_size, '.', chr(10), 'Details', chr(10), '• ', p_type, chr(10), '  • size ', p_size, chr(10), '• one', chr(10), 'Price', chr(10), ' [[not a link]] bold ', p_size, ' ', chr(10), 'Deep', chr(10), 'Size', chr(9), 'Price', chr(9), chr(10), p_size, chr(9), {_PRICE}, chr(9), chr(10), 'Notes', chr(10), '---', chr(10), 'End ', p_partkey, '.')"
-add("plain_text", lambda s, d: _wiki(s, d).select("page_id", fn.trim(F.regexp_replace(mk.plain_text("content"), r"[ \t\n]+", " ")).alias("v")), f"SELECT p_partkey AS page_id, trim(regexp_replace({_PLAIN}, '[ \\t\\n]+', ' ', 'g')) AS v FROM part")
+add("plain_text", lambda s, d: _wiki(s, d).select("page_id", mk.plain_text("content").alias("v")), f"SELECT p_partkey AS page_id, {_PLAIN} AS v FROM part")
 add("plain_text_targets", lambda s, d: corpus.part(s, d).select("p_partkey", mk.plain_text(F.concat(F.lit("[["), F.col("p_brand"), F.lit("|"), F.col("p_type"), F.lit("]] [http://u "), F.col("p_name"), F.lit("]")), show_link_targets=True).alias("v")), "SELECT p_partkey, concat('[', p_type, '](', p_brand, ') [', p_name, '](http://u)') AS v FROM part")
 add("first_paragraph", lambda s, d: _wiki(s, d).select("page_id", mk.first_paragraph("content").alias("v")), "SELECT p_partkey AS page_id, concat(p_name, ' is a ', p_type, ' part.') AS v FROM part")
 add("summary", lambda s, d: corpus.part(s, d).select("p_partkey", mk.summary(F.concat(F.col("p_name"), F.lit(" is here. "), F.repeat(F.lit("word "), 30)), 40).alias("v")), "SELECT p_partkey, CASE WHEN n - 2 > 20 THEN concat(p_name, ' is here.') ELSE concat(left(concat(p_name, ' is here. ', repeat('word ', 30)), n + 4 + 5 * ((36 - n) // 5)), '...') END AS v FROM (SELECT *, length(p_name) + 10 AS n FROM part)")
 add("flagship_counts", lambda s, d: totals(parsed_pages(corpus.wiki_pages(s, d), pg.PageFilter(namespaces=(0,), include_redirects=False))), f"SELECT count(*) AS pages, (count(*) * 3)::BIGINT AS links, (count(*) * 2)::BIGINT AS templates FROM {_P} WHERE ns = 0 AND redirect_target IS NULL")
 
+# texts of other shapes
+def _shaped(name: str, f, rows: str, columns: str) -> None:
+    """rows: what the shapes give, as (shape, columns of part, ...)."""
+    add(name, lambda s, d: f(corpus.shaped_texts(s, d), "content", "page_id"), f"SELECT p_partkey AS page_id, {columns} FROM (SELECT *, p_partkey % {len(corpus.SHAPES)} AS k, p_name AS n, p_type AS t, p_size AS z FROM part), LATERAL (SELECT * FROM (VALUES {rows}) v(shape, {', '.join(c.split('::')[0].split(' AS ')[0] for c in columns.split(', '))})) WHERE k = shape")
+
+
+_shaped("shape_lists", mk.list_items, "(0, ';', 1, n), (0, ':', 1, t), (0, '::', 2, z::VARCHAR), (4, '*', 1, n), (4, '*#', 2, z::VARCHAR), (4, '*#;', 3, 'x'), (4, '#', 1, t)", "marker, level, item")
+_shaped("shape_cells", lambda df, t, k: mk.table_cells(df, t, k).select(k, "is_header", "cell"), "(1, false, 'a ' || n), (1, false, 'inner ' || z), (1, false, 'inner ' || z)", "is_header, cell")
+_shaped("shape_parameters", mk.parameters, "(2, 'p', true, n), (2, 'q', false, '')", "name, has_default, default_text")
+_shaped("shape_redirects", lambda df, t, k: df.select(k, mk.redirect_target(t).alias("target")).where("target IS NOT NULL"), "(3, t || '#' || z)", "target")
+_shaped("shape_tags", lambda df, t, k: mk.html_tags(df, t, k).select(k, "tag", mk.get_attribute("attributes", "ID").alias("id"), mk.get_attribute("attributes", "name").alias("name"), "content"), "(5, 'span', p_partkey::VARCHAR, NULL, n), (5, 'br', NULL, NULL, ''), (5, 'ref', NULL, 'r', t)", "tag, id, name, content")
+_shaped("shape_sections", mk.section_tree, "(7, 1, 0, 2, 'A ' || z), (7, 2, 1, 4, 'B'), (7, 3, 1, 3, 'C'), (7, 4, 0, 2, 'D')", "section_no, parent_no, level, title")
+_shaped("shape_section_contents", mk.section_contents, "(7, 1, 'A ' || z, 0, 3, 1), (7, 2, 'B', 0, 1, 0), (7, 3, 'C', 1, 1, 1), (7, 4, 'D', 0, 1, 0)", "section_no, title, content_count, total_sections, total_content_count")
+_shaped("shape_templates", mk.templates_used, "(8, '#if:' || z, true, 2), (8, 'a', false, 1), (8, 'b', false, 2), (8, 'c', false, 0)", "name, is_function, n_params")
+_shaped("shape_formatting", mk.formatted, "(6, 'italic', 'it'), (9, 'bold_italic', n), (9, 'italic', t || ' ' || z || ' end'), (9, 'bold', z::VARCHAR)", "style, content")
+_shaped("shape_links", lambda df, t, k: mk.links(df, t, k).drop("begin"), "(10, 'File:' || t, '', n), (10, ':Category:' || t, '', ':Category:' || t)", "target, anchor, display")
+_shaped("shape_plain_text", lambda df, t, k: df.select(k, mk.plain_text(t).alias("v")),
+    "(0, '• ' || n || chr(10) || '• ' || t || chr(10) || '  • ' || z), (1, 'a ' || n || chr(9) || chr(10) || 'inner ' || z || chr(9) || chr(10) || 'end'), (2, 'and'), (3, ''), (4, '• ' || n || chr(10) || '  • ' || z || chr(10) || '    • x' || chr(10) || '• ' || t || chr(10) || 'end'), (5, n), (6, '[[' || n || ' and {{x ' || t || ' it'), (7, 'lead' || chr(10) || 'A ' || z || chr(10) || 'B' || chr(10) || 'C' || chr(10) || 'text' || chr(10) || 'D'), (8, ''), (9, n || ' ' || t || ' ' || z || ' end'), (10, 'text ''''' || n || ''''' ' || n || ' :Category:' || t)", "v")
+_shaped("shape_rewrite", lambda df, t, k: df.select(k, mk.rewrite(t, lambda n: n.children if n.type in ("HtmlTag", "Formatting") else [] if n.type in ("Template", "Comment", "Table", "List", "Heading", "Redirect", "Parameter") else [n]).alias("v")),
+    "(0, ''), (1, chr(10) || 'end'), (2, ' and '), (3, ''), (4, 'end'), (5, n || t), (6, '[[' || n || ' and {{x ' || t || ' it'), (7, 'lead' || chr(10) || 'text' || chr(10)), (8, ' '), (9, n || ' ' || t || ' ' || z || ' end'), (10, 'text <nowiki>''''' || n || '''''</nowiki>  [http://x.org/' || p_partkey || '] [[File:' || t || '|' || n || ']] [[:Category:' || t || ']] __TOC__')", "v")
+add("token_positions", lambda s, d: corpus.shaped_texts(s, d).select("page_id", "content", F.explode(mk.tokenize("content")).alias("t")).where("t.type = 'EndOfInput'").select("page_id", mk.position("content", "t.begin").alias("p")).select("page_id", "p.line", "p.column"),
+    "SELECT p_partkey AS page_id, CASE p_partkey % 11 WHEN 0 THEN 4 WHEN 1 THEN 9 WHEN 4 THEN 5 WHEN 7 THEN 7 ELSE 1 END AS line, CASE p_partkey % 11 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 4 THEN 4 WHEN 7 THEN 1 WHEN 2 THEN 21 + length(p_name) WHEN 3 THEN 16 + length(p_type) + length(p_size::VARCHAR) WHEN 5 THEN 53 + length(p_partkey::VARCHAR) + length(p_name) + length(p_type) WHEN 6 THEN 17 + length(p_name) + length(p_type) WHEN 8 THEN 33 + length(p_size::VARCHAR) + length(p_name) + length(p_type) WHEN 9 THEN 27 + length(p_name) + length(p_type) + length(p_size::VARCHAR) ELSE 87 + 2 * length(p_name) + 2 * length(p_type) + length(p_size::VARCHAR) + length(p_partkey::VARCHAR) END::INTEGER AS \"column\" FROM part")
+add("token_kinds", lambda s, d: corpus.shaped_texts(s, d).select(F.explode(mk.tokenize("content")).alias("t")).agg(F.count_if(mk.is_formatting(F.col("t"))).alias("formatting"), F.count_if(mk.is_list_marker(F.col("t"))).alias("lists"), F.count_if(mk.is_table_mark(F.col("t"))).alias("tables")),
+    "SELECT sum(CASE p_partkey % 11 WHEN 6 THEN 1 WHEN 9 THEN 6 ELSE 0 END)::BIGINT AS formatting, sum(CASE p_partkey % 11 WHEN 0 THEN 3 WHEN 4 THEN 4 ELSE 0 END)::BIGINT AS lists, sum(CASE p_partkey % 11 WHEN 1 THEN 9 ELSE 0 END)::BIGINT AS tables FROM part")
+
 # templates
 _inv = lambda s, d: _wiki(s, d).select("page_id", F.explode(mk.find_invocations("content")).alias("i"))
 add("invocations", lambda s, d: _inv(s, d).select("page_id", F.col("i.name").alias("name"), F.size("i.params").alias("n"), F.col("i.params")[1]["value"].alias("price")), f"SELECT p_partkey AS page_id, 'Infobox part' AS name, 3::INTEGER AS n, '{{{{fmt|' || {_PRICE} || '}}}}' AS price FROM part")
@@ -265,14 +279,87 @@ _expand("pf_tag", ["{{#tag:b|", "<p_name>", "}}{{#language:", "<p_type>", "}}"],
 _expand("pf_time", ["{{#time:Y-m-d H:i:s}} ", "<p_name>"], "concat('2026-03-04 05:06:07 ', p_name)")
 _expand("magic_page_names", ["{{PAGENAME}}|{{BASEPAGENAME}}|{{SUBPAGENAME}}|{{ROOTPAGENAME}}|{{TALKPAGENAME}}"], "concat(p_name, '/', p_type, '/', p_size, '|', p_name, '/', p_type, '|', p_size, '|', p_name, '|Talk:', p_name, '/', p_type, '/', p_size)", "concat(p_name, '/', p_type, '/', p_size)")
 _expand("magic_constants", ["{{SITENAME}} {{SERVER}} {{CONTENTLANG}} {{CURRENTYEAR}} {{CURRENTTIMESTAMP}} {{NUMBEROFPAGES}} ", "<p_name>"], "concat('Wikipedia //en.wikipedia.org en 2026 20260304050607 0 ', p_name)")
-add("template_closure", lambda s, d: mk.template_closure(corpus.part(s, d).where("p_partkey % 5 > 0").select(F.col("p_partkey").alias("template"), (F.col("p_partkey") - 1).alias("uses"))), "SELECT a.p_partkey AS template, a.p_partkey - k AS uses FROM part a, (VALUES (1), (2), (3), (4)) t(k) WHERE a.p_partkey % 5 >= k")
-add("template_closure_whole", lambda s, d: mk.template_closure(corpus.part(s, d).select(F.col("p_partkey").alias("template"), F.expr("p_partkey div 2").alias("uses"))), "WITH RECURSIVE c AS (SELECT p_partkey AS template, p_partkey // 2 AS uses FROM part UNION SELECT c.template, p.p_partkey // 2 FROM c JOIN part p ON p.p_partkey = c.uses) SELECT template, uses FROM c")
+add("template_closure", lambda s, d: mk.template_closure(corpus.part(s, d).select(F.col("p_partkey").alias("template"), F.expr("p_partkey div 2").alias("uses"))), "WITH RECURSIVE c AS (SELECT p_partkey AS template, p_partkey // 2 AS uses FROM part UNION SELECT c.template, p.p_partkey // 2 FROM c JOIN part p ON p.p_partkey = c.uses) SELECT template, uses FROM c")
+
+_BIG = "concat('part ', p_name)"
+add("expand_by_join", lambda s, d: mk.expand(corpus.part(s, d).select("p_partkey", F.concat(F.lit("{{outer|"), F.col("p_partkey").cast("string"), F.lit("}} {{none}}")).alias("t")), corpus.part(s, d).select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("name"), F.concat(F.col("p_name"), F.lit("/{{{1}}}")).alias("content")).union(s.createDataFrame([("outer", "<{{t{{{1}}}|x}}>")], "name string, content string")), "t", out="v", stats="st", most_bytes=1000).select("p_partkey", "v", F.col("st.expanded").alias("expanded"), F.col("st.errors").alias("errors")),
+    "SELECT p_partkey, concat('<', p_name, '/x> {{none}}') AS v, 2 AS expanded, 1 AS errors FROM part")
+add("expand_namespace", lambda s, d: mk.expand(corpus.part(s, d).select("p_partkey", F.col("p_name").alias("title"), F.lit("Help").alias("ns"), F.lit("{{FULLPAGENAME}} {{NAMESPACE}}").alias("t")), corpus.template_pages(s), "t", title="title", namespace="ns", out="v").select("p_partkey", "v"), "SELECT p_partkey, concat('Help:', p_name, ' Help') AS v FROM part")
+add("invocation_get_or", lambda s, d: _inv(s, d).select("page_id", mk.invocation_get_or(F.col("i"), "size", "?").alias("size"), mk.invocation_get_or(F.col("i"), "colour", "plain").alias("colour")), f"SELECT p_partkey AS page_id, {_SIZE} AS size, 'plain' AS colour FROM part")
+
+
+# dumps: written from the tables as files, then read
+def _dump(s: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """(folder, (dump, index, pages)): four multistream dumps with their indexes, 100 pages a stream; the page of a
+    key lies in the dump of key % 4, in order of keys."""
+    folder, listed = shared_path(s, "dumps"), shared_path(s, "dump-list")
+    own = corpus.part(s, d).select(F.col("p_partkey").alias("page_id"), F.expr("CASE WHEN p_partkey % 2 = 0 THEN 10 ELSE 0 END").alias("ns"), F.expr(corpus.TITLE).alias("title"), F.concat(F.lit(" <b>"), F.col("p_name"), F.lit("</b> & [["), F.col("p_type"), F.lit("]]\n")).alias("content"))
+    dump.write_dump(own.repartitionById(4, (F.col("page_id") % 4).cast("int")).sortWithinPartitions("page_id"), folder).write.parquet(listed)
+    return folder, s.read.parquet(listed)
+
+
+_TEXT = "concat(' <b>', p_name, '</b> & [[', p_type, ']]', chr(10))"
+_NS2 = "CASE WHEN p_partkey % 2 = 0 THEN 10 ELSE 0 END::INTEGER"
+_files = lambda s, d, kind="xml": f"{_dump(s, d)[0]}/*{'.xml.bz2' if kind == 'xml' else '-index.txt.bz2'}"
+add("dump_pages", lambda s, d: dump.read_pages(s, _files(s, d), metadata=True).select("page_id", "ns", "title", F.col("revisions")[0]["id"].alias("revision_id"), pg.content().alias("content"), F.regexp_extract("file_path", r"dump-0000(\d)\.xml\.bz2$", 1).cast("int").alias("file")), f"SELECT p_partkey AS page_id, {_NS2} AS ns, {corpus.TITLE} AS title, p_partkey + 1 AS revision_id, {_TEXT} AS content, (p_partkey % 4)::INTEGER AS file FROM part")
+add("dump_siteinfo", lambda s, d: dump.read_siteinfo(s, _files(s, d)).distinct(), "SELECT 'Test' AS site_name, 'testwiki' AS db_name, NULL::VARCHAR AS base_url, NULL::VARCHAR AS generator")
+add("dump_namespaces", lambda s, d: dump.read_namespaces(s, _files(s, d)).distinct(), "SELECT * FROM (VALUES (0::INTEGER, '', true, false), (10, 'Template', false, false)) t(ns, name, is_content, is_talk)")
+add("dump_elements", lambda s, d: dump.read_elements(s, _files(s, d), "revision", "id long, text struct<_VALUE:string,_bytes:long>").select("id", F.col("text._bytes").alias("bytes")), f"SELECT p_partkey + 1 AS id, octet_length(encode({_TEXT}))::BIGINT AS bytes FROM part")
+add("dump_index", lambda s, d: dump.read_index(s, _files(s, d, "index")).select("page_id", "title"), f"SELECT p_partkey AS page_id, {corpus.TITLE} AS title FROM part")
+add("dump_lines", lambda s, d: dump.read_lines(s, _files(s, d, "index")).agg(F.count("*").alias("lines"), F.count_if(F.col("value").rlike("^[0-9]+:[0-9]+:")).alias("well")), "SELECT count(*) AS lines, count(*) AS well FROM part")
+add("dump_chunks", lambda s, d: ix.chunks(dump.read_index(s, _files(s, d, "index")), file="file", run_lines=300).select(F.size("entries").alias("n"), F.col("entries")[0]["title"].alias("first"), F.col("entries")[F.size("entries") - 1]["page_id"].alias("last"), F.col("end").isNull().alias("open")),
+    f"SELECT count(*)::INTEGER AS n, arg_min(title, page_id) AS first, max(page_id) AS last, c = any_value(m) AS open FROM (SELECT *, max(c) OVER (PARTITION BY f) AS m FROM (SELECT p_partkey AS page_id, {corpus.TITLE} AS title, p_partkey % 4 AS f, (row_number() OVER (PARTITION BY p_partkey % 4 ORDER BY p_partkey) - 1) // 100 AS c FROM part)) GROUP BY f, c")
+add("dump_extract", lambda s, d: dump.extract_pages(_terms(s, d), dump.read_index(s, _files(s, d, "index"))), f"SELECT ordinal, title, p_partkey IS NOT NULL AS found, p_partkey AS page_id, CASE WHEN p_partkey IS NULL THEN '' ELSE {_TEXT} END AS content FROM {_TERMS} t LEFT JOIN part p ON t.title = {corpus.TITLE}")
+
+
+def _damaged(s: SparkSession, d: str) -> DataFrame:
+    """All ranges of the dumps, each second one cut off in the middle."""
+    ranges = ix.chunks(dump.read_index(s, _files(s, d, "index")).withColumn("path", dump.dump_of_index(F.col("file"))), file="path")
+    size = F.coalesce(F.col("end"), F.col("start") + 1_000_000) - F.col("start")
+    first = F.col("entries")[0]["page_id"]
+    cut = ranges.select("path", "start", F.when(F.pmod(F.floor(first / 400), F.lit(2)) == 1, F.col("start") + F.least(size, F.lit(60))).otherwise(F.col("end")).alias("end"))
+    return dump.read_chunks(cut).select("page_id", F.col("error").isNotNull().alias("failed"))
+
+
+add("dump_damaged", _damaged, "SELECT CASE WHEN c % 2 = 0 THEN page_id END AS page_id, c % 2 = 1 AS failed FROM (SELECT p_partkey AS page_id, (row_number() OVER (PARTITION BY p_partkey % 4 ORDER BY p_partkey) - 1) AS r, r // 100 AS c FROM part) WHERE c % 2 = 0 OR r % 100 = 0")
+add("dump_terms", lambda s, d: _terms_file(s, d), f"SELECT title, count(*) AS n FROM {_TERMS} GROUP BY title")
+add("dump_stream", lambda s, d: _streamed(s, d), "SELECT count(*) AS pages, count(*)::BIGINT AS links, 0::BIGINT AS templates FROM part WHERE p_partkey % 2 = 1")
+add("xml_from_strings", lambda s, d: dump.pages_from_xml(corpus.part(s, d).select("p_partkey", F.when(F.col("p_partkey") % 5 > 0, F.concat(F.lit("<page><title>"), F.col("p_name"), F.lit(" &amp; x</title><ns>0</ns><id>"), F.col("p_partkey").cast("string"), F.lit("</id><revision><id>7</id><text>"), F.col("p_type"), F.lit("</text></revision></page>"))).alias("x")), "x", "p_partkey").select("p_partkey", "page_id", "title", pg.content().alias("content")), "SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN p_partkey END AS page_id, CASE WHEN p_partkey % 5 > 0 THEN p_name || ' & x' END AS title, CASE WHEN p_partkey % 5 > 0 THEN p_type ELSE '' END AS content FROM part")
+add("bz2_columns", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text").cast("binary").alias("b")).select("doc_id", "b", dump.compress_bz2("b").alias("z")).select("doc_id", (F.concat("b", "b") == dump.decompress_bz2(F.concat("z", "z"))).alias("same"), dump.is_bz2("z").alias("packed"), dump.is_bz2("b").alias("plain"), F.length(dump.decompress_bz2("b")).alias("none")), "SELECT doc_id, true AS same, true AS packed, false AS plain, 0::INTEGER AS none FROM documents")
+
+
+def _terms_file(s: SparkSession, d: str) -> DataFrame:
+    path = shared_path(s, "terms")
+    _terms(s, d).select(F.concat(F.lit("  "), "title", F.lit(" \n \n"))).write.text(path)
+    return dump.read_terms(s, path).groupBy("title").agg(F.count("*").alias("n"))
+
+
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    """Running totals of a stream of dumps, as they are when all have arrived."""
+    folder, _ = _dump(s, d)
+    name = "totals_" + folder.rpartition("-")[2]
+    pages = dump.stream_pages(s, f"{folder}/*.xml.bz2")
+    q = totals(parsed_pages(pages, pg.PageFilter(namespaces=(0,)))).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", shared_path(s, "stream")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.table(name)
+
+
+def _page_files(s: SparkSession, d: str) -> DataFrame:
+    """Files of all pages, read again; each name is used by two pages that differ in case."""
+    folder, listed = shared_path(s, "pages"), shared_path(s, "page-list")
+    p = corpus.part(s, d).select("p_partkey", F.concat(F.lit("A/b"), (F.col("p_partkey") - F.col("p_partkey") % 2).cast("string"), F.when(F.col("p_partkey") % 2 == 0, F.lit("x")).otherwise(F.lit("X"))).alias("title"), F.col("p_name").alias("content"))
+    sinks.write_page_files(p, folder, key="p_partkey").write.parquet(listed)
+    files = s.read.option("wholetext", "true").text(folder)
+    return files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("name"), "value")
+
+
+add("page_files", _page_files, "SELECT concat('A_b', p_partkey - p_partkey % 2, CASE p_partkey % 2 WHEN 0 THEN 'x' ELSE 'X' END, CASE WHEN count(*) OVER (PARTITION BY p_partkey // 2) > 1 THEN '.' || p_partkey ELSE '' END, '.wiki') AS name, p_name AS value FROM part")
 
 # sinks, catalog, names
 add("json_page", lambda s, d: corpus.wiki_pages(s, d).select("page_id", sinks.page_json(content=False).alias("j")).select("page_id", F.get_json_object("j", "$.title").alias("title"), F.get_json_object("j", "$.redirect").alias("redirect"), F.get_json_object("j", "$.revisions[1].id").cast("long").alias("revision")), f"SELECT p_partkey AS page_id, {corpus.TITLE} AS title, {corpus.REDIRECT} AS redirect, p_partkey * 10 + 2 AS revision FROM part")
 add("json_ast", lambda s, d: _wiki(s, d).select("page_id", mk.to_json("content").alias("j")).select("page_id", F.get_json_object("j", "$.type").alias("type"), F.get_json_object("j", "$.content[0].content[0].text").alias("bold")), "SELECT p_partkey AS page_id, 'Document' AS type, p_name AS bold FROM part")
 add("jsonl_count", lambda s, d: corpus.wiki_pages(s, d).select(sinks.page_json().alias("j")).agg(F.count("*").alias("n"), F.count_if(F.contains("j", F.lit("\n"))).alias("broken")), "SELECT count(*) AS n, 0::BIGINT AS broken FROM part")
-add("json_array", lambda s, d: corpus.part(s, d).groupBy("p_brand").agg(sinks.json_array(F.to_json(F.struct("p_partkey"))).alias("j")).select("p_brand", F.size(F.from_json("j", "array<struct<p_partkey:long>>")).alias("n")), "SELECT p_brand, count(*)::INTEGER AS n FROM part GROUP BY 1")
+add("json_array", lambda s, d: corpus.part(s, d).groupBy("p_brand").agg(sinks.json_array(F.to_json(F.struct("p_partkey")), -F.col("p_partkey")).alias("j")), """SELECT p_brand, '[' || string_agg('{"p_partkey":' || p_partkey || '}', ', ' ORDER BY p_partkey DESC) || ']' AS j FROM part GROUP BY 1""")
 _names = lambda s, d: corpus.part(s, d).select("p_partkey", F.expr("CASE p_partkey % 3 WHEN 0 THEN 'wikipedia' WHEN 1 THEN 'Wiktionary' ELSE 'wikidata' END").alias("project"), F.expr("CASE p_partkey % 2 WHEN 0 THEN 'pl' ELSE 'en' END").alias("lang"), F.concat(F.lit("202601"), F.lpad((F.col("p_partkey") % 28 + 1).cast("string"), 2, "0")).alias("date"))
 _STEM = "concat(CASE p_partkey % 2 WHEN 0 THEN 'pl' ELSE 'en' END, CASE p_partkey % 3 WHEN 0 THEN 'wiki' WHEN 1 THEN 'wiktionary' ELSE 'wikidata' END, '-202601', lpad(cast(p_partkey % 28 + 1 AS string), 2, '0'))"
 add("catalog_names", lambda s, d: catalog.file_names(_names(s, d)).select("p_partkey", "dump_file", "index_file", "symbolic"), f"SELECT p_partkey, {_STEM} || '-pages-articles-multistream.xml.bz2' AS dump_file, {_STEM} || '-pages-articles-multistream-index.txt.bz2' AS index_file, {_STEM} AS symbolic FROM part")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.titles import safe_file_name
+from .shared import file_system
 
 
 def page_json(*, content: bool = True, pretty: bool = False, ascii_only: bool = False) -> Column:
@@ -18,9 +22,10 @@ def page_json(*, content: bool = True, pretty: bool = False, ascii_only: bool =
     return F.to_json(row, {"ignoreNullFields": "false", "pretty": str(pretty).lower(), "writeNonAsciiCharacterAsCodePoint": str(ascii_only).lower()})
 
 
-def json_array(values: Column) -> Column:
-    """An aggregate: the JSON texts of a (small) group as an array."""
-    return F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(values)), ", "), F.lit("]"))
+def json_array(values: Column, order: Column | None = None) -> Column:
+    """An aggregate: the JSON texts of a (small) group as an array, in the order of a column, else of the texts."""
+    rows = F.array_sort(F.collect_list(F.struct((order if order is not None else values).alias("o"), values.alias("v"))))
+    return F.concat(F.lit("["), F.array_join(F.transform(rows, lambda r: r["v"]), ", "), F.lit("]"))
 
 
 def write_json_lines(df: DataFrame, path: str, transform: Column | None = None) -> None:
@@ -32,6 +37,27 @@ def write_text(df: DataFrame, path: str, text: str = "text") -> None:
     df.select(text).write.text(path)
 
 
-def write_page_files(df: DataFrame, path: str, title: str = "title", content: str = "content") -> None:
-    """A folder for each page, named after it without the characters that file systems refuse."""
-    df.select(safe_file_name(title).alias("page"), F.col(content).alias("value")).write.partitionBy("page").text(path)
+def write_page_files(df: DataFrame, folder: str, title: str = "title", content: str = "content", *, key: str | None = None) -> DataFrame:
+    """(path, bytes): a file <title>.wiki for each page in folder, a path or URI that all executors see. Characters
+    that file systems refuse become underscores; pages whose names are then the same, but for case, have the key
+    (default: a hash of the title) behind it. Files appear whole; a null text is an empty file, a null title has
+    none."""
+    one = df.where(F.col(title).isNotNull()).select(safe_file_name(title).alias("name"), F.coalesce(F.col(content), F.lit("")).alias("text"), (F.col(key).cast("string") if key else F.hex(F.xxhash64(title))).alias("key"))
+    many = one.groupBy(F.lower("name").alias("__n")).count().where("count > 1").select("__n")
+    named = one.join(many, F.lower("name") == F.col("__n"), "left").select(F.when(F.col("__n").isNotNull(), F.concat("name", F.lit("."), "key")).otherwise(F.col("name")).alias("name"), "text")
+
+    def run(batches):
+        system, base = file_system(folder)
+        system.create_dir(base, recursive=True)
+        for b in batches:
+            names = b.column("name").to_pylist()
+            sizes = []
+            for n, t in zip(names, b.column("text").to_pylist(), strict=True):
+                data, temporary = t.encode(), f"{base}/.{os.urandom(8).hex()}.tmp"
+                with system.open_output_stream(temporary, compression=None) as f:
+                    f.write(data)
+                system.move(temporary, f"{base}/{n}.wiki")
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder.rstrip('/')}/{n}.wiki" for n in names], pa.string()), pa.array(sizes, pa.int64())], names=["path", "bytes"])
+
+    return named.mapInArrow(run, "path string, bytes long")
