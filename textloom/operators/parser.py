@@ -107,7 +107,9 @@ class Parser:
                     self._cell(n)
                 continue
             parent = self.stack[-1]
-            at = parent.children.index(n)
+            at = len(parent.children) - 1  # what is open is the last
+            if parent.children[at] is not n:
+                at = parent.children.index(n)
             mark = Node("Text", n.begin, n.role)
             mark.text, mark.end = n.raw, n.begin + len(n.raw)
             kids = n.children
@@ -142,6 +144,11 @@ class Parser:
     # tokens
     def _token(self, t: Token, skip: int) -> int:
         kind, top = t.type, self.stack[-1]
+        if kind == "Text":  # by far the most
+            if top.type == "List":
+                self._unwind(next(i for i, n in enumerate(self.stack) if n.type == "List"), t.begin)
+            self._text(t.text, t.begin)
+            return skip
         if kind == "EndOfInput":
             return skip
         at_line_start = t.begin == 0 or self.source[t.begin - 1] == "\n"

@@ -234,7 +234,7 @@ _shaped("shape_plain_text", lambda df, t, k: df.select(k, mk.plain_text(t).alias
 _shaped("shape_rewrite", lambda df, t, k: df.select(k, mk.rewrite(t, lambda n: n.children if n.type in ("HtmlTag", "Formatting") else [] if n.type in ("Template", "Comment", "Table", "List", "Heading", "Redirect", "Parameter") else [n]).alias("v")),
     "(0, ''), (1, chr(10) || 'end'), (2, ' and '), (3, ''), (4, 'end'), (5, n || t), (6, '[[' || n || ' and {{x ' || t || ' it'), (7, 'lead' || chr(10) || 'text' || chr(10)), (8, ' '), (9, n || ' ' || t || ' ' || z || ' end'), (10, 'text <nowiki>''''' || n || '''''</nowiki>  [http://x.org/' || p_partkey || '] [[File:' || t || '|' || n || ']] [[:Category:' || t || ']] __TOC__')", "v")
 add("token_positions", lambda s, d: corpus.shaped_texts(s, d).select("page_id", "content", F.explode(mk.tokenize("content")).alias("t")).where("t.type = 'EndOfInput'").select("page_id", mk.position("content", "t.begin").alias("p")).select("page_id", "p.line", "p.column"),
-    "SELECT p_partkey AS page_id, CASE p_partkey % 11 WHEN 0 THEN 4 WHEN 1 THEN 9 WHEN 4 THEN 5 WHEN 7 THEN 7 ELSE 1 END AS line, CASE p_partkey % 11 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 4 THEN 4 WHEN 7 THEN 1 WHEN 2 THEN 21 + length(p_name) WHEN 3 THEN 16 + length(p_type) + length(p_size::VARCHAR) WHEN 5 THEN 53 + length(p_partkey::VARCHAR) + length(p_name) + length(p_type) WHEN 6 THEN 17 + length(p_name) + length(p_type) WHEN 8 THEN 33 + length(p_size::VARCHAR) + length(p_name) + length(p_type) WHEN 9 THEN 27 + length(p_name) + length(p_type) + length(p_size::VARCHAR) ELSE 87 + 2 * length(p_name) + 2 * length(p_type) + length(p_size::VARCHAR) + length(p_partkey::VARCHAR) END::INTEGER AS \"column\" FROM part")
+    "SELECT p_partkey AS page_id, CASE p_partkey % 11 WHEN 0 THEN 4 WHEN 1 THEN 10 WHEN 4 THEN 5 WHEN 7 THEN 7 ELSE 1 END AS line, CASE p_partkey % 11 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 4 THEN 4 WHEN 7 THEN 1 WHEN 2 THEN 21 + length(p_name) WHEN 3 THEN 16 + length(p_type) + length(p_size::VARCHAR) WHEN 5 THEN 53 + length(p_partkey::VARCHAR) + length(p_name) + length(p_type) WHEN 6 THEN 17 + length(p_name) + length(p_type) WHEN 8 THEN 33 + length(p_size::VARCHAR) + length(p_name) + length(p_type) WHEN 9 THEN 27 + length(p_name) + length(p_type) + length(p_size::VARCHAR) ELSE 87 + 2 * length(p_name) + 2 * length(p_type) + length(p_size::VARCHAR) + length(p_partkey::VARCHAR) END::INTEGER AS \"column\" FROM part")
 add("token_kinds", lambda s, d: corpus.shaped_texts(s, d).select(F.explode(mk.tokenize("content")).alias("t")).agg(F.count_if(mk.is_formatting(F.col("t"))).alias("formatting"), F.count_if(mk.is_list_marker(F.col("t"))).alias("lists"), F.count_if(mk.is_table_mark(F.col("t"))).alias("tables")),
     "SELECT sum(CASE p_partkey % 11 WHEN 6 THEN 1 WHEN 9 THEN 6 ELSE 0 END)::BIGINT AS formatting, sum(CASE p_partkey % 11 WHEN 0 THEN 3 WHEN 4 THEN 4 ELSE 0 END)::BIGINT AS lists, sum(CASE p_partkey % 11 WHEN 1 THEN 9 ELSE 0 END)::BIGINT AS tables FROM part")
 
