@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import cut, file_system, shared_dir, shared_path  # noqa: F401
+
 U64 = np.uint64
 #: Bytes that numpy works on at once; the temporaries are about 40 times this.
 WINDOW = 1 << 20
@@ -23,37 +22,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session, else the checkpoint
-    directory already set, else (local runs and tests only) a folder made for this session."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not named and sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc._jsc.sc().getCheckpointDir().get()
-    if not named:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="textloom-")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{os.urandom(8).hex()}"
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    """For Python workers: the file system of a URI or local path, and the path within it."""
-    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-
-
 def without(df: DataFrame, *names: str) -> list[str]:
     """The columns of df but for those named as a result column (case doesn't count): an operator's result
     replaces a column of the same name."""
@@ -199,8 +173,7 @@ BROADCAST_ROWS = 1_000_000
 
 def counted(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """small, computed once into a reliable checkpoint and counted, with a broadcast hint if it has few rows."""
-    shared_dir(small.sparkSession)
-    small = small.checkpoint()
+    small = cut(small)
     return F.broadcast(small) if small.count() <= limit else small
 
 
