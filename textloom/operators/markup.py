@@ -433,6 +433,11 @@ def find_invocations(text) -> Column:
     return _udf(f"array<struct<{_INVOCATION}>>", pa.list_(_INVOCATION_ARROW), templates.find_invocations)(_c(text))
 
 
+def fragment_params(text) -> Column:
+    """array of (name, value) of what stands behind an invocation's first bar."""
+    return _lists("name:string, value:string", templates.parse_params)(_c(text))
+
+
 def invocation_get(invocation: Column, key: str | int) -> Column:
     """A parameter's value: by name, or by number (the n-th without a name or so named, whichever is first)."""
     params = invocation["params"]

@@ -97,11 +97,17 @@ def parse_invocation(text: str) -> tuple[str, list[tuple[str, str]]] | None:
     name = parts[0].strip(_BLANK)
     if not name:
         return None
-    params = []
-    for p in parts[1:]:
-        eq = _equals(p)
-        params.append((p[:eq].strip(_BLANK), p[eq + 1 :].strip(_BLANK)) if eq >= 0 else ("", p.strip(_BLANK)))
-    return name, params
+    return name, [_param(p) for p in parts[1:]]
+
+
+def _param(text: str) -> tuple[str, str]:
+    eq = _equals(text)
+    return (text[:eq].strip(_BLANK), text[eq + 1 :].strip(_BLANK)) if eq >= 0 else ("", text.strip(_BLANK))
+
+
+def parse_params(text: str) -> list[tuple[str, str]]:
+    """[(parameter or '', value)] of what stands behind an invocation's first bar."""
+    return [_param(p) for p in _split(text)]
 
 
 def find_invocations(text: str) -> list[dict]:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import datetime
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
@@ -184,7 +185,8 @@ _markup("section_totals", lambda df, t, k: mk.section_totals(mk.section_tree(df,
 _markup("section_find", lambda df, t, k: mk.find_section(mk.section_tree(df, t, k), "Deep", k), "SELECT p_partkey AS page_id, 3 AS section_no, 2 AS parent_no, 4 AS level, 'Deep' AS title FROM part")
 _markup("section_outline", lambda df, t, k: mk.section_outline(mk.section_tree(df, t, k), k), "SELECT p_partkey AS page_id, concat('├── Details', chr(10), '│   └── Price', chr(10), '│       └── Deep', chr(10), '└── Notes') AS outline FROM part")
 _markup("lists", mk.list_items, "SELECT p_partkey AS page_id, '*' AS marker, 1 AS level, '' AS item FROM part UNION ALL SELECT p_partkey, '**', 2, 'size ' || p_size FROM part UNION ALL SELECT p_partkey, '#', 1, 'one' FROM part")
-_markup("tables", lambda df, t, k: mk.table_cells(df, t, k).select("page_id", "is_header", "cell"), f"SELECT p_partkey AS page_id, true AS is_header, 'Size' AS cell FROM part UNION ALL SELECT p_partkey, true, 'Price' FROM part UNION ALL SELECT p_partkey, false, {_SIZE} FROM part UNION ALL SELECT p_partkey, false, {_PRICE} FROM part")
+_rows = Window.partitionBy("page_id").orderBy("row_id")
+_markup("tables", lambda df, t, k: mk.table_cells(df, t, k).select(k, F.dense_rank().over(_rows).alias("row"), "is_header", "attributes", "cell"), f"SELECT p_partkey AS page_id, 1::INTEGER AS row, true AS is_header, NULL::VARCHAR AS attributes, 'Size' AS cell FROM part UNION ALL SELECT p_partkey, 1, true, NULL, 'Price' FROM part UNION ALL SELECT p_partkey, 2, false, NULL, {_SIZE} FROM part UNION ALL SELECT p_partkey, 2, false, NULL, {_PRICE} FROM part")
 _markup("formatting", mk.formatted, "SELECT p_partkey AS page_id, 'bold' AS style, p_name AS content FROM part UNION ALL SELECT p_partkey, 'italic', 'part' FROM part")
 _markup("html_tags", mk.html_tags, "SELECT p_partkey AS page_id, 'b' AS tag, '' AS attributes, 'bold ' || p_size AS content FROM part")
 _markup("comments", lambda df, t, k: mk.leaves(df, t, "Comment", k), "SELECT p_partkey AS page_id, ' hidden ' || p_partkey || ' ' AS text FROM part")
@@ -238,6 +240,19 @@ add("token_positions", lambda s, d: corpus.shaped_texts(s, d).select("page_id",
 add("token_kinds", lambda s, d: corpus.shaped_texts(s, d).select(F.explode(mk.tokenize("content")).alias("t")).agg(F.count_if(mk.is_formatting(F.col("t"))).alias("formatting"), F.count_if(mk.is_list_marker(F.col("t"))).alias("lists"), F.count_if(mk.is_table_mark(F.col("t"))).alias("tables")),
     "SELECT sum(CASE p_partkey % 11 WHEN 6 THEN 1 WHEN 9 THEN 6 ELSE 0 END)::BIGINT AS formatting, sum(CASE p_partkey % 11 WHEN 0 THEN 3 WHEN 4 THEN 4 ELSE 0 END)::BIGINT AS lists, sum(CASE p_partkey % 11 WHEN 1 THEN 9 ELSE 0 END)::BIGINT AS tables FROM part")
 
+_T = lambda t: {"type": "Text", "text": t}
+_LI = lambda level, t: {"type": "ListItem", "level": level, "content": [_T(t)]}
+_TREES = {
+    2: [{"type": "Parameter", "name": "p", "content": [_T("{n}")]}, _T(" and "), {"type": "Parameter", "name": "q"}],
+    3: [{"type": "Redirect", "target": "{t}#{s}"}],
+    4: [{"type": "List", "style": "bullet", "content": [_LI(1, " {n}"), _LI(2, " {s}"), _LI(3, " x"), _LI(1, " {t}")]}, _T("end")],
+    5: [{"type": "HtmlTag", "name": "span", "attrs": "class=\"a\" id='{k}'", "self_closing": False, "content": [_T("{n}")]}, {"type": "HtmlTag", "name": "br", "attrs": "", "self_closing": True}, {"type": "HtmlTag", "name": "ref", "attrs": "name=r", "self_closing": False, "content": [_T("{t}")]}],
+    9: [{"type": "Formatting", "style": "bold_italic", "content": [_T("{n}")]}, _T(" "), {"type": "Formatting", "style": "italic", "content": [_T("{t} "), {"type": "Formatting", "style": "bold", "content": [_T("{s}")]}, _T(" end")]}],
+}
+_TREE_SQL = "CASE p_partkey % 11 " + " ".join(f"WHEN {k} THEN '" + json.dumps({"type": "Document", "content": v}).replace("'", "''") + "'" for k, v in _TREES.items()) + " END"
+add("shape_json", lambda s, d: corpus.shaped_texts(s, d).select("page_id", F.when((F.col("page_id") % 11).isin(*_TREES), mk.to_json("content")).alias("v")), f"SELECT p_partkey AS page_id, replace(replace(replace(replace({_TREE_SQL}, '{{n}}', p_name), '{{t}}', p_type), '{{s}}', p_size::VARCHAR), '{{k}}', p_partkey::VARCHAR) AS v FROM part")
+add("fragment_params", lambda s, d: corpus.part(s, d).select("p_partkey", F.explode(mk.fragment_params(F.concat(F.col("p_name"), F.lit("| size = "), F.col("p_size").cast("string"), F.lit("|{{x|a=b}} [[c|d]]|")))).alias("p")).select("p_partkey", "p.name", "p.value"), "SELECT p_partkey, '' AS name, p_name AS value FROM part UNION ALL SELECT p_partkey, 'size', p_size::VARCHAR FROM part UNION ALL SELECT p_partkey, '', '{{x|a=b}} [[c|d]]' FROM part UNION ALL SELECT p_partkey, '', '' FROM part")
+
 # templates
 _inv = lambda s, d: _wiki(s, d).select("page_id", F.explode(mk.find_invocations("content")).alias("i"))
 add("invocations", lambda s, d: _inv(s, d).select("page_id", F.col("i.name").alias("name"), F.size("i.params").alias("n"), F.col("i.params")[1]["value"].alias("price")), f"SELECT p_partkey AS page_id, 'Infobox part' AS name, 3::INTEGER AS n, '{{{{fmt|' || {_PRICE} || '}}}}' AS price FROM part")
@@ -356,7 +371,9 @@ def _page_files(s: SparkSession, d: str) -> DataFrame:
 add("page_files", _page_files, "SELECT concat('A_b', p_partkey - p_partkey % 2, CASE p_partkey % 2 WHEN 0 THEN 'x' ELSE 'X' END, CASE WHEN count(*) OVER (PARTITION BY p_partkey // 2) > 1 THEN '.' || p_partkey ELSE '' END, '.wiki') AS name, p_name AS value FROM part")
 
 # sinks, catalog, names
-add("json_page", lambda s, d: corpus.wiki_pages(s, d).select("page_id", sinks.page_json(content=False).alias("j")).select("page_id", F.get_json_object("j", "$.title").alias("title"), F.get_json_object("j", "$.redirect").alias("redirect"), F.get_json_object("j", "$.revisions[1].id").cast("long").alias("revision")), f"SELECT p_partkey AS page_id, {corpus.TITLE} AS title, {corpus.REDIRECT} AS redirect, p_partkey * 10 + 2 AS revision FROM part")
+_fields = lambda k: [F.get_json_object("j", f"$.revisions[{k}].{f}").alias(f"{f}{k}") for f in ("id", "parent_id", "timestamp", "contributor", "comment", "content", "model", "format", "sha1")]
+add("json_page", lambda s, d: corpus.wiki_pages(s, d).select("page_id", sinks.page_json().alias("j")).select("page_id", F.get_json_object("j", "$.title").alias("title"), F.get_json_object("j", "$.namespace").alias("namespace"), F.get_json_object("j", "$.redirect").alias("redirect"), *_fields(0), *_fields(1)),
+    f"SELECT p_partkey AS page_id, {corpus.TITLE} AS title, ({corpus.NS})::VARCHAR AS namespace, {corpus.REDIRECT} AS redirect, " + ", ".join(f"(p_partkey * 10 + {k + 1})::VARCHAR AS id{k}, {'NULL' if k == 0 else '(p_partkey * 10 + 1)'}::VARCHAR AS parent_id{k}, '2026-01-01T00:00:00Z' AS timestamp{k}, 'u' AS contributor{k}, NULL::VARCHAR AS comment{k}, {corpus.CONTENT if k else repr('stub')} AS content{k}, CASE WHEN p_partkey % 7 > 0 THEN 'wikitext' END AS model{k}, 'text/x-wiki' AS format{k}, NULL::VARCHAR AS sha1{k}" for k in (0, 1)) + " FROM part")
 add("json_ast", lambda s, d: _wiki(s, d).select("page_id", mk.to_json("content").alias("j")).select("page_id", F.get_json_object("j", "$.type").alias("type"), F.get_json_object("j", "$.content[0].content[0].text").alias("bold")), "SELECT p_partkey AS page_id, 'Document' AS type, p_name AS bold FROM part")
 add("jsonl_count", lambda s, d: corpus.wiki_pages(s, d).select(sinks.page_json().alias("j")).agg(F.count("*").alias("n"), F.count_if(F.contains("j", F.lit("\n"))).alias("broken")), "SELECT count(*) AS n, 0::BIGINT AS broken FROM part")
 add("json_array", lambda s, d: corpus.part(s, d).groupBy("p_brand").agg(sinks.json_array(F.to_json(F.struct("p_partkey")), -F.col("p_partkey")).alias("j")), """SELECT p_brand, '[' || string_agg('{"p_partkey":' || p_partkey || '}', ', ' ORDER BY p_partkey DESC) || ']' AS j FROM part GROUP BY 1""")
