@@ -253,6 +253,23 @@ _TREE_SQL = "CASE p_partkey % 11 " + " ".join(f"WHEN {k} THEN '" + json.dumps({"
 add("shape_json", lambda s, d: corpus.shaped_texts(s, d).select("page_id", F.when((F.col("page_id") % 11).isin(*_TREES), mk.to_json("content")).alias("v")), f"SELECT p_partkey AS page_id, replace(replace(replace(replace({_TREE_SQL}, '{{n}}', p_name), '{{t}}', p_type), '{{s}}', p_size::VARCHAR), '{{k}}', p_partkey::VARCHAR) AS v FROM part")
 add("fragment_params", lambda s, d: corpus.part(s, d).select("p_partkey", F.explode(mk.fragment_params(F.concat(F.col("p_name"), F.lit("| size = "), F.col("p_size").cast("string"), F.lit("|{{x|a=b}} [[c|d]]|")))).alias("p")).select("p_partkey", "p.name", "p.value"), "SELECT p_partkey, '' AS name, p_name AS value FROM part UNION ALL SELECT p_partkey, 'size', p_size::VARCHAR FROM part UNION ALL SELECT p_partkey, '', '{{x|a=b}} [[c|d]]' FROM part UNION ALL SELECT p_partkey, '', '' FROM part")
 
+#: (shape, options, what they give).
+_OPTIONS = (
+    (7, {"heading_underlines": True}, "'lead' || chr(10) || 'A ' || z || chr(10) || repeat('=', 2 + length(z)) || chr(10) || 'B' || chr(10) || '-' || chr(10) || 'C' || chr(10) || '-' || chr(10) || 'text' || chr(10) || 'D' || chr(10) || '='"),
+    (7, {"include_headings": False}, "'lead' || chr(10) || 'text'"),
+    (0, {"list_bullets": False}, "n || chr(10) || t || chr(10) || '  ' || z"),
+    (0, {"list_item_prefix": "- "}, "'- ' || n || chr(10) || '- ' || t || chr(10) || '  - ' || z"),
+    (0, {"include_lists": False}, "''"),
+    (1, {"include_tables": False}, "'end'"),
+    (10, {"include_links": False}, "'text ''''' || n || ''''''"),
+    (9, {"max_line_width": 200}, "n || ' ' || t || ' ' || z || ' end'"),
+    (10, {"show_link_targets": True}, "'text ''''' || n || ''''' http://x.org/' || k || ' [' || n || '](File:' || t || ') [:Category:' || t || '](:Category:' || t || ')'"),
+    (7, {"collapse_whitespace": False}, "'lead' || repeat(chr(10), 2) || 'A ' || z || repeat(chr(10), 2) || 'B' || repeat(chr(10), 2) || 'C' || repeat(chr(10), 2) || 'text' || repeat(chr(10), 2) || 'D'"),
+    (7, {"paragraph_separator": "\n"}, "'lead' || chr(10) || 'A ' || z || chr(10) || 'B' || chr(10) || 'C' || chr(10) || 'text' || chr(10) || 'D'"),
+)
+add("plain_text_options", lambda s, d: corpus.shaped_texts(s, d).select("page_id", *(F.when(F.col("page_id") % 11 == k, mk.plain_text("content", **c)).alias(f"v{i}") for i, (k, c, _) in enumerate(_OPTIONS))),
+    "SELECT p_partkey AS page_id, " + ", ".join(f"CASE WHEN p_partkey % 11 = {k} THEN {e} END AS v{i}" for i, (k, _, e) in enumerate(_OPTIONS)) + " FROM (SELECT p_partkey, p_name AS n, p_type AS t, p_size::VARCHAR AS z, p_partkey::VARCHAR AS k FROM part)")
+
 # templates
 _inv = lambda s, d: _wiki(s, d).select("page_id", F.explode(mk.find_invocations("content")).alias("i"))
 add("invocations", lambda s, d: _inv(s, d).select("page_id", F.col("i.name").alias("name"), F.size("i.params").alias("n"), F.col("i.params")[1]["value"].alias("price")), f"SELECT p_partkey AS page_id, 'Infobox part' AS name, 3::INTEGER AS n, '{{{{fmt|' || {_PRICE} || '}}}}' AS price FROM part")
