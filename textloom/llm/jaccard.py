@@ -4,12 +4,13 @@ A document is the set of its word n-grams. If two sets have a Jaccard similarity
 under *any* total order of the n-grams the first l that they share lie within the first
 ``n - ceil(threshold * n) + l`` of either (the prefix). Each of several global orders gives such a filter, and a
 pair is a candidate only if it passes all of them; only candidates are verified. Every filter is complete, so
-the join is exact.
+the join is exact. Of the smaller set of a pair the first ``n - ceil(2 * threshold / (1 + threshold) * n) + l`` do,
+as the two share at least the rest of that; in the index such entries are marked.
 
 All orders place n-grams that are frequent in the corpus last (the level comes from a count sketch of the whole
-corpus, of fixed size) and differ in how they order those of a level, so that a passage that thousands of
-documents share doesn't make all of them candidates of each other, and unrelated documents that meet under one
-order part under another.
+corpus, of fixed size) and differ in how they order those of a level, which is fine in the first order and coarse
+in the others, so that a passage that thousands of documents share doesn't make all of them candidates of each
+other, and unrelated documents that meet under one order part under another.
 
 Plan. Texts are shingled in numpy where they are read, three times, which is cheaper than to store the sets:
 1. counts for the sketch; set hashes, by which equal sets become one; and min-hash bands. Sets that collide in a
@@ -39,14 +40,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .common import U64, col, counted, keep_rows, mix, release, selected_hashes, shared_dir, shared_path, text_batches, word_hashes
+from .common import U64, col, counted, drop_path, keep_rows, mix, release, selected_hashes, shared_dir, shared_path, text_batches, word_hashes
 
 NGRAM, THRESHOLD, ORDERS, SHARED = 3, 0.5, 3, 6
 SKETCH_BITS = 22
 PACK = "bucket int, tokens binary, docs binary, sets binary, sizes binary, groups binary"
 BANDS, BAND_ROWS, BINS, ALIKE = 4, 2, 64, 0.45
 BATCH = 4 << 20  # bytes of text shingled at once
-UNIT = 2_000_000  # n-grams of a block of sets that are compared in one task
+UNIT = 500_000  # n-grams of a block of sets that are compared in one task
 
 
 def shingles(words: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +85,7 @@ def set_hashes(g: np.ndarray, at: np.ndarray) -> np.ndarray:
 _KINDS = (np.uint8, np.uint16, np.uint32, np.uint64)
 
 
-PARTS, WIDTH = 16, 1 << (SKETCH_BITS - 4)
+PARTS, WIDTH = 16, 1 << (SKETCH_BITS - 4)  # the sketch is handled in parts
 
 
 def _packed(counts: np.ndarray) -> tuple[int, bytes]:
@@ -115,32 +116,53 @@ def _sketch(rows: DataFrame) -> list[np.ndarray]:
 
 
 def _levels(counts: list[np.ndarray]) -> np.ndarray:
-    """0 for hash classes with about the mean count or less; above that steps of a quarter of a doubling."""
-    mean = sum(int(c.sum(dtype=np.uint64)) for c in counts) / (1 << SKETCH_BITS)
-    low = mean + 2 * math.sqrt(mean)
-    return np.concatenate([np.minimum(np.floor(4 * np.log2(np.maximum(c - low, 1))), 63).astype(np.uint8) for c in counts])
+    """0 to 63 by the count of a hash class: steps of an eighth of the standard deviation that unrelated n-grams
+    give around the mean, from three below it to three above, then of half a doubling. An n-gram that occurs f
+    times is in a class with f at least, so those of a class with few come first."""
+    mean = sum(int(c.sum(dtype=np.uint64)) for c in counts) / sum(map(len, counts))
+    unit = math.sqrt(max(mean, 1e-9))
+    top = mean + 3 * unit
+
+    def of(c: np.ndarray) -> np.ndarray:
+        kinds, at = np.unique(c, return_inverse=True)
+        x = kinds.astype(np.float64)
+        low = np.clip(np.floor(24 + 8 * (x - mean) / unit), 0, 47)
+        return np.where(x <= top, low, np.minimum(48 + np.floor(2 * np.log2(np.maximum(x / top, 1))), 63)).astype(np.uint8)[at]
+
+    return np.concatenate([of(c) for c in counts])
+
+
+def _shared_by_smaller(size: np.ndarray, threshold: float) -> np.ndarray:
+    """How many n-grams a set shares at least with a larger one that is similar."""
+    return np.ceil(2 * threshold / (1 + threshold) * size - 1e-9).astype(np.int64)
 
 
 def prefix_flags(g: np.ndarray, at: np.ndarray, level: np.ndarray, threshold: float, orders: range, shared: int) -> np.ndarray:
-    """Bit k of an entry: it is in its document's prefix under order k."""
+    """Bit k of an entry: it is in its document's prefix under order k; bit 7: in the shorter one of the first order
+    that does for the smaller set of a pair."""
     size = np.diff(at)
     row = np.repeat(np.arange(len(size)), size)
     need = np.ceil(threshold * size - 1e-9).astype(np.int64)
     length = size - need + np.minimum(need, shared)
     rank = np.arange(len(g)) - np.repeat(at[:-1], size)
     inside = rank < np.repeat(length, size)
-    own = level[(g >> U64(64 - SKETCH_BITS)).astype(np.int64)].astype(U64) << U64(58)
+    own = level[(g >> U64(64 - SKETCH_BITS)).astype(np.int64)].astype(U64)
     flags = np.zeros(len(g), np.uint8)
     for k in orders:
         h = mix(g ^ U64((k + 1) * 0x8CB92BA72F3D8DD7 % (1 << 64)))
-        order = np.lexsort((own | (h >> U64(6)), row))
+        fine = own if k == 0 else own >> U64(3) << U64(3)
+        order = np.lexsort((fine << U64(58) | (h >> U64(6)), row))
         flags[order[inside]] |= np.uint8(1 << k)
+        if k == 0:
+            least = _shared_by_smaller(size, threshold)
+            flags[order[rank < np.repeat(size - least + np.minimum(least, shared), size)]] |= np.uint8(128)
     return flags
 
 
-def _pairs_of(tokens: np.ndarray, group: np.ndarray, doc: np.ndarray, chunk: int = 1 << 20):
+def _pairs_of(tokens: np.ndarray, group: np.ndarray, doc: np.ndarray, chunk: int = 1 << 20, size: np.ndarray | None = None, marked: np.ndarray | None = None):
     """Pairs of entries with equal tokens and unequal groups, and how many tokens they share. Entries come sorted
-    by (token, group, doc). Yields keys (a << 32 | b, a < b) and counts: partial sums."""
+    by (token, group, doc). Yields keys (a << 32 | b, a < b) and counts: partial sums. With size and marked only
+    pairs in which the entry of the smaller document (of equal ones, the first) is marked."""
     n = len(tokens)
     new = np.ones(n, bool)
     new[1:] = tokens[1:] != tokens[:-1]
@@ -163,6 +185,10 @@ def _pairs_of(tokens: np.ndarray, group: np.ndarray, doc: np.ndarray, chunk: int
         m = left[i]
         x = np.repeat(i, m)
         y = np.repeat(begin[i], m) + np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
+        if marked is not None:
+            first = (size[doc[x]] < size[doc[y]]) | ((size[doc[x]] == size[doc[y]]) & (doc[x] < doc[y]))
+            own = np.where(first, marked[x], marked[y])
+            x, y = x[own], y[own]
         x, y = doc[x], doc[y]
         key, count = np.unique((np.minimum(x, y) << 32) | np.maximum(x, y), return_counts=True)
         keys.append(key)
@@ -182,9 +208,9 @@ def candidates(docs: DataFrame, level, total: int, *, n: int, threshold: float,
     """(a, b): set hashes (as long) of pairs across groups that pass the filter of the first order.
     docs: (text, component), the group or null of a set that has none; level: broadcast; total: n-grams in all.
 
-    In a bucket an n-gram is known by 32 bits and the bucket. Two n-grams of a set that agree there are two
+    In a bucket an n-gram is known by 31 bits and the bucket; the last bit marks the shorter prefix. Two n-grams of a set that agree there are two
     entries, so a pair is counted at least as often as it shares n-grams, and none is lost."""
-    buckets = max(4, math.ceil(total / 1_500_000))
+    buckets = max(4, math.ceil(total / 3_000_000))
 
     def pack(batches):
         for whole in batches:
@@ -202,10 +228,11 @@ def candidates(docs: DataFrame, level, total: int, *, n: int, threshold: float,
                 f = prefix_flags(g, at, level.value, threshold, range(1), shared)
                 row = np.repeat(np.arange(len(size)), size)
                 in_any = f > 0
+                mark = (f[in_any] >> 7).astype(U64)
                 g, row = g[in_any], row[in_any]
                 own = ((g >> U64(32)) * U64(buckets)) >> U64(32)
                 order = np.argsort(own, kind="stable")
-                g, row, own = g[order].astype(np.uint32), row[order], own[order]
+                g, row, own = (g << U64(1) | mark)[order].astype(np.uint32), row[order], own[order]
                 cut = np.searchsorted(own, np.arange(buckets + 1))
                 for k in np.flatnonzero(np.diff(cut)):
                     part = slice(cut[k], cut[k + 1])
@@ -234,24 +261,29 @@ def candidates(docs: DataFrame, level, total: int, *, n: int, threshold: float,
         once = np.zeros(len(place), bool)
         once[first] = True  # a set that came several times: the entries of one
         keep = once[member]
-        order = (np.concatenate(tokens)[keep].astype(np.uint64) << U64(32)) | rank[place][member[keep]].astype(np.uint64)
-        del sets, tokens, member, keep
+        t = np.concatenate(tokens)[keep].astype(np.uint64)  # into one number: token, document, mark
+        order = (t >> U64(1) << U64(33)) | (rank[place][member[keep]].astype(np.uint64) << U64(1)) | (t & U64(1))
+        del sets, tokens, member, keep, t
         order.sort()
-        t, doc = (order >> U64(32)).astype(np.uint32), (order & U64(0xFFFFFFFF)).astype(np.int64)
+        t, doc, marked = (order >> U64(33)).astype(np.uint32), (order >> U64(1) & U64(0xFFFFFFFF)).astype(np.int64), (order & U64(1)).astype(bool)
         del order
-        for keys, counts in _pairs_of(t, label[doc], doc):
+        for keys, counts in _pairs_of(t, label[doc], doc, size=size, marked=marked):
             a, b = keys >> 32, keys & 0xFFFFFFFF
             small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
             fits = small >= np.ceil(threshold * large - 1e-9)  # else even one within the other is too small
             a, b, counts, small = a[fits], b[fits], counts[fits], small[fits]
             # need is of the pair, so that partial rows of all buckets agree
-            need = np.minimum(np.ceil(threshold * small - 1e-9), shared).astype(np.int32)
+            large = large[fits]
+            first, other = _shared_by_smaller(small, threshold), np.ceil(threshold * large - 1e-9).astype(np.int64)
+            # of what a similar pair shares, all but what lies beyond one of the two prefixes
+            all_ = np.ceil(threshold / (1 + threshold) * (small + large) - 1e-9).astype(np.int64)
+            need = np.maximum(np.minimum(np.minimum(first, other), shared), all_ - np.maximum(first - np.minimum(first, shared), other - np.minimum(other, shared))).astype(np.int32)
             x, y = u[a].view(np.int64), u[b].view(np.int64)
             x, y = np.minimum(x, y), np.maximum(x, y)
             for i in range(0, len(a), 200_000):
                 s = slice(i, i + 200_000)
                 yield pa.RecordBatch.from_arrays([pa.array(x[s]), pa.array(y[s]), pa.array(need[s], pa.int32()), pa.array(counts[s], pa.int32())], names=["a", "b", "need", "n"])
-        del t, doc, u, size, label
+        del t, doc, marked, u, size, label
         release()
 
     partial = docs.select("text", "component").mapInArrow(pack, PACK).groupBy("bucket").applyInArrow(count, "a long, b long, need int, n int")
@@ -289,11 +321,12 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     names = ["doc_id", "key", "set_hash", "grams", *_BANDS, "signature"]
 
     def run(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for whole in batches:
             for b in text_batches(whole, "text", BATCH):
                 g, at = shingles(*word_hashes(b.column("text")), n)
-                total += np.bincount((g >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+                kinds, times = np.unique((g >> U64(64 - SKETCH_BITS)).astype(np.uint32), return_counts=True)
+                total[kinds] += times.astype(np.uint32)
                 s = set_hashes(g, at)
                 full = np.flatnonzero(np.diff(at))
                 bands = np.zeros((BANDS, len(full)), U64)
@@ -365,8 +398,10 @@ def _verify(level, threshold: float, orders: int, shared: int, emit: str):
         grams = np.concatenate([*own, np.empty(0, U64)])
         del own
         every = 1 << orders
-        bits = prefix_flags(grams, at, level.value, threshold, range(orders), shared) | np.uint8(every)
+        bits = prefix_flags(grams, at, level.value, threshold, range(orders), shared) & np.uint8(every - 1) | np.uint8(every)
         vocabulary, ids = np.unique(grams, return_inverse=True)
+        vocabulary, ids = len(vocabulary), ids.astype(np.int32)
+        del grams
         need = np.minimum(np.ceil(threshold * size - 1e-9), shared)
         lo, hi = _partners(group, block, key[1].as_py(), key[2].as_py())
         a, b = (np.searchsorted(names[(o := np.argsort(names))], pairs.column(c).to_numpy()) for c in ("a", "b"))
@@ -374,7 +409,7 @@ def _verify(level, threshold: float, orders: int, shared: int, emit: str):
         o = np.argsort(a, kind="stable")
         a, b = a[o], b[o]
         cut = np.searchsorted(a, np.arange(len(names) + 1))
-        flag, links, root = np.zeros(len(vocabulary), np.uint8), np.zeros(len(names), np.int64), np.arange(len(names))
+        flag, links, root = np.zeros(vocabulary, np.uint8), np.zeros(len(names), np.int64), np.arange(len(names))
         found: list[tuple] = []
         for x in np.flatnonzero((hi > lo) | (np.diff(cut) > 0)).tolist():
             flag[ids[at[x] : at[x + 1]]] = bits[at[x] : at[x + 1]]
@@ -413,6 +448,8 @@ def _verify(level, threshold: float, orders: int, shared: int, emit: str):
         lowest = np.full(len(names), np.iinfo(np.int64).max)
         np.minimum.at(lowest, root, names)
         own = np.flatnonzero(links)
+        del flag, bits, ids
+        release()
         return pa.table([names[own], links[own], lowest[root[own]], np.full(len(own), key[1].as_py() >= 0)], names=["set_hash", "links", "root", "parted"])
 
     return run
@@ -480,6 +517,7 @@ def similar_sets(docs: DataFrame, *, n: int, threshold: float, orders: int, shar
     sides = sides.select("unit", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b")
     at = ["unit", "i", "j"]
     sides.groupBy(*at).cogroup(blobs.groupBy(*at)).applyInArrow(_verify(level, threshold, orders, shared, emit), _EMIT[emit]).write.parquet(made[2])
+    drop_path(spark, made[1])
     out = spark.read.parquet(made[2])
     if emit == "links":
         whole = out.groupBy("set_hash").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
