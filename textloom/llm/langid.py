@@ -28,6 +28,7 @@ from .common import U64, col, map_rows, mix, position, release, text_batches
 
 ORDER = 4
 ALPHA, FOLDS, FLAT = 0.001, 10, 0.05
+BATCH = 1 << 19  # bytes of text at once; counting takes some 200 times that
 _TABLE: np.ndarray | None = None
 
 
@@ -100,7 +101,7 @@ def ngram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Dat
             total[name] = k, np.bincount(inv, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
 
         for whole in batches:
-            for b in text_batches(whole, "text", 2 << 20):
+            for b in text_batches(whole, "text", BATCH):
                 s, begin, end = symbols(b.column("text"))
                 k = grams(s)
                 names = list(zip(b.column("lang").to_pylist(), b.column("held").to_pylist(), strict=True))
@@ -295,7 +296,7 @@ def _calibrate(docs: DataFrame, text: str, lang: str, model: Model, unseen: Mode
         place, other = ({x: i for i, x in enumerate(m.langs)} for m in (model, unseen))
         for whole in batches:
             whole = whole.filter(pa.array([x in other for x in whole.column("lang").to_pylist()], pa.bool_()))
-            for b in text_batches(whole, "text", 2 << 20) if whole.num_rows else ():
+            for b in text_batches(whole, "text", BATCH) if whole.num_rows else ():
                 names = b.column("lang").to_pylist()
                 h, size, letters = unseen.entropies(b.column("text"))
                 which = np.array([place[x] for x in names])
@@ -327,7 +328,7 @@ def _scorer(docs: DataFrame, model: Model):
     def run(batches):
         m = shared.value
         for whole in batches:
-            for b in text_batches(whole, "text", 2 << 20):
+            for b in text_batches(whole, "text", BATCH):
                 best, low, lead, limit, ok, lettered = m.decide(b.column("text"))
                 void = ~lettered
                 names = [None if v or not m.langs else m.langs[x] for x, v in zip(best, void, strict=True)]
@@ -382,7 +383,7 @@ def accepted(docs: DataFrame, model: Model, *, text: str = "text", lang: str = "
     def run(batches):
         m = shared.value
         for whole in batches:
-            for b in text_batches(whole, whole.schema.names[at], 2 << 20):
+            for b in text_batches(whole, whole.schema.names[at], BATCH):
                 best, _, _, _, ok, _ = m.decide(b.column(at))
                 columns = list(b.columns)
                 columns[target] = pa.array([m.langs[x] if y else None for x, y in zip(best, ok, strict=True)], columns[target].type)
