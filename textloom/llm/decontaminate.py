@@ -121,8 +121,8 @@ class SeedIndex:
         best, total = np.empty(len(d), np.int64), np.empty(len(d), np.int64)
         size = np.diff(self.off)[q]
         step = 0
-        while step < len(d):  # some 4 million compared words at a time
-            end = max(step + 1, int(np.searchsorted(np.cumsum(size[step:]), 4_000_000)) + step)
+        while step < len(d):  # some 500,000 compared words at a time, 80 bytes each
+            end = max(step + 1, int(np.searchsorted(np.cumsum(size[step:]), 500_000)) + step)
             s = slice(step, end)
             m = size[s]
             first = np.cumsum(m) - m
@@ -164,7 +164,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_i
         def scan(batches, shared=shared):
             index = shared.value
             for whole in batches:
-                for b in text_batches(whole, "text"):
+                for b in text_batches(whole, "text", 2 << 20):
                     d, q, best, total = index.hits(*word_hashes(b.column("text")))
                     if len(d):
                         yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(d)), b.column("key").take(pa.array(d)), index.ids.take(pa.array(q)), pa.array(best, pa.int32()), pa.array(total, pa.int32())], names=["doc_id", "key", "item_id", "window_matches", "overlap_words"])
