@@ -1,7 +1,10 @@
 """Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeats and extra columns."""
 
 import glob
+import os
 import random
+import subprocess
+import sys
 import tempfile
 
 import numpy as np
@@ -582,6 +585,28 @@ def test_traversal_takes_cells_by_summed_distance():
     assert few == want[: len(few)] and sum(sizes[c] for c in few) >= 10 > sum(sizes[c] for c in few[:-1])
 
 
+def test_mixing_starts_few_python_workers():
+    """Workers outlive their tasks and their memory adds up: a task has one at most, and all are of one kind."""
+    pytest.importorskip("psutil")
+    code = """
+import psutil
+from pyspark.sql import SparkSession
+from textloom.llm import mixing
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+docs = spark.range(40).selectExpr("id AS doc_id", "repeat('a b ', 50) AS text", "concat('s', id % 3) AS source")
+rows = mixing.mixed_documents(docs, block_tokens=256).count()
+own = [p for p in psutil.Process().children(recursive=True) if "pyspark.daemon" in " ".join(p.cmdline())]
+daemons = [p for p in own if p.ppid() not in {q.pid for q in own}]
+print("FOUND", rows, len(daemons), len(own) - len(daemons))
+"""
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    run = subprocess.run([sys.executable, "-c", code], cwd=home, env=os.environ | {"PYTHONPATH": home, "PYSPARK_PYTHON": sys.executable}, capture_output=True, text=True, timeout=180)
+    found = [x.split()[1:] for x in run.stdout.splitlines() if x.startswith("FOUND")]
+    assert found, run.stderr[-2000:]
+    rows, daemons, workers = map(int, found[0])
+    assert rows >= 40 and daemons == 1 and workers <= 2
+
+
 def test_keep_rows(spark):
     df = frame(spark, [(1, "a", 0), (None, "b", 1), (None, "c", 2), (2, "c", 3), (2, "d", 4), (3, None, 5), (2, "c", 6)], "doc_id long, text string, __key int").withColumnRenamed("doc_id", "a.b")
     keyed = lambda r: frame(spark, r, "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("key"))

@@ -18,12 +18,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from .common import col, counted, position, shared_path
+from .common import col, counted, position, release, shared_path
 
 BLOCK_TOKENS, SEED = 65_536, "mix-1"
 GOLDEN, ONE = 1327217885, 1 << 31  # 2**31 / 1.618...
@@ -102,21 +101,28 @@ def last_slot(upper: list[int], blocks: list[int], step: int = 1 << 20) -> int:
 
 
 def schedule(docs: DataFrame, sources: list[dict], own: list[int]) -> DataFrame:
-    """(slot, source, blocks, rank), up to the slot by which each source (of weight above 0) has had its blocks once."""
+    """(slot, source, blocks, rank), up to the slot by which each source (of weight above 0) has had its blocks once.
+
+    Python workers stay for later stages, beside the executor's heap, so as few as possible are started: a task has
+    one at most (a join's filter on a UDF's result would evaluate it twice, in two), and names come as Arrow, as a list
+    of rows would be read by workers of another kind."""
     spark = docs.sparkSession
     live = [(s, w) for s, w in zip(sources, own, strict=True) if w > 0]
     if not live:
-        return spark.createDataFrame([], "slot long, source string, blocks long, rank long")
+        return spark.range(0).selectExpr("id AS slot", "'' AS source", "id AS blocks", "id AS rank")
     upper = bounds([w for _, w in live])
     slots = last_slot(upper, [s["blocks"] for s, _ in live]) + 1
-    names = spark.createDataFrame([(k, s["source"], s["blocks"]) for k, (s, _) in enumerate(live)], "number int, source string, blocks long")
+    names = pa.table([pa.array(range(len(live)), pa.int32()), pa.array([s["source"] for s, _ in live], pa.string()), pa.array([s["blocks"] for s, _ in live], pa.int64())], names=["number", "source", "blocks"])
+    names = spark.createDataFrame(names)
     shared = spark.sparkContext.broadcast(np.array(upper))
 
-    @pandas_udf("int")
-    def pick(slot: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(shared.value, slot.to_numpy() % ONE * GOLDEN % ONE, side="right").astype(np.int32))
+    def pick(batches):
+        for b in batches:
+            point = b.column("slot").to_numpy() % ONE * GOLDEN % ONE
+            yield pa.RecordBatch.from_arrays([b.column("slot"), pa.array(np.searchsorted(shared.value, point, side="right").astype(np.int32))], names=["slot", "number"])
+        release()
 
-    base = spark.range(slots).select(F.col("id").alias("slot"), pick("id").alias("number")).withColumn("range", F.shiftright("slot", 16))
+    base = spark.range(slots).select(F.col("id").alias("slot")).mapInArrow(pick, "slot long, number int").withColumn("range", F.shiftright("slot", 16))
     sums = base.groupBy("number", "range").agg(F.count("*").alias("s"))
     before = sums.select("number", "range", (F.sum("s").over(Window.partitionBy("number").orderBy("range")) - F.col("s")).alias("before"))
     ranked = base.withColumn("own", F.row_number().over(Window.partitionBy("number", "range").orderBy("slot"))).join(before, ["number", "range"])
