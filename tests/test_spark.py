@@ -150,3 +150,17 @@ def test_closure_stops_at_its_bound(spark):
         assert closure(chain, "a", "b", most).selectExpr("max(b - a) AS d", "count(*) AS n").first() == (most, sum(71 - k for k in range(1, most + 1)))
     ring = spark.range(6).selectExpr("id AS a", "(id + 1) % 6 AS b")
     assert closure(ring, "a", "b").count() == 36
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_labels_are_not_broadcast(spark):
+    df = spark.createDataFrame([(1, "* a ''b'' <nowiki>c</nowiki>\n** d"), (2, "x"), (None, "* e\n* f"), (3, "*\n")], "page_id long, content string")
+    nodes = markup.node_table(df, "content", "page_id").cache()
+    by_join = markup.label(nodes, nodes.where("type = 'ListItem'").select("page_id", "id", "last_desc"), "page_id")
+    assert "Broadcast" not in plan(by_join) and "Join" not in plan(QUERIES["node_labels"](spark, SF))
+    want = sorted((repr((r.page_id, r.id, r.label)) for r in markup.labels(df, "content", "ListItem", "page_id").collect()))
+    assert sorted(repr((r.page_id, r.id, r.label)) for r in by_join.collect()) == want and len(want) == 5
+    test_query_against_sql(spark, "node_labels")
