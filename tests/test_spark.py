@@ -164,3 +164,20 @@ def test_labels_are_not_broadcast(spark):
     want = sorted((repr((r.page_id, r.id, r.label)) for r in markup.labels(df, "content", "ListItem", "page_id").collect()))
     assert sorted(repr((r.page_id, r.id, r.label)) for r in by_join.collect()) == want and len(want) == 5
     test_query_against_sql(spark, "node_labels")
+
+
+def test_page_files_are_read_by_their_paths(spark, tmp_path):
+    titles = ["a b", "%41", "é?", "x"]
+    df = spark.createDataFrame([(t, f"{t}\r\nend") for t in titles] + [("n", None)], "title string, content string")
+    files = sinks.write_page_files(df, f"file://{tmp_path}/f")
+    files.write.parquet(str(tmp_path / "list"))
+    got = sinks.read_page_files(spark.read.parquet(str(tmp_path / "list"))).collect()
+    assert sorted((r.path.rpartition("/")[2], r.value) for r in got) == sorted([("a b.wiki", "a b\r\nend"), ("%41.wiki", "%41\r\nend"), ("é_.wiki", "é?\r\nend"), ("x.wiki", "x\r\nend"), ("n.wiki", "")])
+    assert "FileScan text" not in plan(QUERIES["page_files"](spark, SF))
+
+
+def test_texts_are_spread_once(spark):
+    df = spark.createDataFrame([(i, "x") for i in range(9)], "page_id long, content string")
+    once = markup.spread(df)
+    assert once.rdd.getNumPartitions() == 4 and markup.spread(once.where("page_id > 1").select("content")).rdd.getNumPartitions() == 4
+    assert plan(QUERIES["horizontal_rules"](spark, SF)).count("Exchange RoundRobin") == 1
