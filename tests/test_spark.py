@@ -181,3 +181,12 @@ def test_texts_are_spread_once(spark):
     once = markup.spread(df)
     assert once.rdd.getNumPartitions() == 4 and markup.spread(once.where("page_id > 1").select("content")).rdd.getNumPartitions() == 4
     assert plan(QUERIES["horizontal_rules"](spark, SF)).count("Exchange RoundRobin") == 1
+
+
+def test_classes_are_counted_without_arrays(spark):
+    texts = ["", "aé1 ,\x0b", "🎉𝒜a𝟙\u2003", "¿«x»", "\u0300 e\u0301\u0660", "a" * 5000, None, "\ud7ff\U0010ffff\x85\xa0"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    kinds = {"letter": fn.is_letter, "digit": fn.is_digit, "whitespace": fn.is_whitespace, "alphanumeric": fn.is_alphanumeric, "punctuation": fn.is_punctuation}
+    row = df.select("t", *(fn.count_class("t", k).alias(k) for k in kinds), *(F.when(F.col("t").isNotNull(), F.size(F.filter(fn.codepoints("t"), f))).alias("own_" + k) for k, f in kinds.items())).collect()
+    assert all(r[k] == r["own_" + k] for r in row for k in kinds) and [r.letter for r in row[:3]] == [0, 2, 2]
+    assert "lambda" not in plan(QUERIES["uni_char_class"](spark, SF))
