@@ -190,3 +190,8 @@ def test_classes_are_counted_without_arrays(spark):
     row = df.select("t", *(fn.count_class("t", k).alias(k) for k in kinds), *(F.when(F.col("t").isNotNull(), F.size(F.filter(fn.codepoints("t"), f))).alias("own_" + k) for k, f in kinds.items())).collect()
     assert all(r[k] == r["own_" + k] for r in row for k in kinds) and [r.letter for r in row[:3]] == [0, 2, 2]
     assert "lambda" not in plan(QUERIES["uni_char_class"](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["extract_pages", "terms_coverage", "terms_missing"])
+def test_texts_are_not_broadcast_to_be_found(spark, name):
+    assert "Broadcast" not in plan(QUERIES[name](spark, SF))
