@@ -195,3 +195,9 @@ def test_classes_are_counted_without_arrays(spark):
 @pytest.mark.parametrize("name", ["extract_pages", "terms_coverage", "terms_missing"])
 def test_texts_are_not_broadcast_to_be_found(spark, name):
     assert "Broadcast" not in plan(QUERIES[name](spark, SF))
+
+
+def test_options_are_tried_on_their_own_texts_only(spark):
+    got = QUERIES["plain_text_options"](spark, SF)
+    assert "CASE WHEN" not in plan(got).partition("ArrowEvalPython")[0]  # a text that isn't asked for is null before it leaves the JVM
+    test_query_against_sql(spark, "plain_text_options")
