@@ -201,3 +201,9 @@ def test_options_are_tried_on_their_own_texts_only(spark):
     got = QUERIES["plain_text_options"](spark, SF)
     assert "CASE WHEN" not in plan(got).partition("ArrowEvalPython")[0]  # a text that isn't asked for is null before it leaves the JVM
     test_query_against_sql(spark, "plain_text_options")
+
+
+@pytest.mark.parametrize("name", ["ast_to_wikitext", "remove_templates", "strip_formatting", "heading_parse", "summary", "template_data", "fragment_params", "plain_text_targets"])
+def test_what_is_parsed_is_spread(spark, name):
+    assert "Exchange RoundRobin" in plan(QUERIES[name](spark, SF))
+    test_query_against_sql(spark, name)
