@@ -207,3 +207,16 @@ def test_options_are_tried_on_their_own_texts_only(spark):
 def test_what_is_parsed_is_spread(spark, name):
     assert "Exchange RoundRobin" in plan(QUERIES[name](spark, SF))
     test_query_against_sql(spark, name)
+
+
+def test_histogram_is_that_of_the_node_table(spark):
+    df = spark.createDataFrame([(1, "[[a|b]] {{c|d=e}}"), (2, ""), (3, None), (4, "* x\n{|\n| s | y\n|}")], "page_id long, content string")
+    want = {r["type"]: r["count"] for r in markup.node_table(df, "content", "page_id").groupBy("type").count().collect()}
+    assert {r["type"]: r.n for r in markup.node_histogram(df, "content").collect()} == want
+    assert "Generate" not in plan(QUERIES["node_histogram"](spark, SF))
+    test_query_against_sql(spark, "node_histogram")
+
+
+def test_long_lists_are_built_in_pieces(spark):
+    df = spark.createDataFrame([(1, "[[a]] " * 30_000), (2, None), (3, ""), (4, "[[b]]"), (5, "[[c]] " * 5)], "page_id long, content string").coalesce(1)
+    assert {r.page_id: r["count"] for r in markup.links(df, "content", "page_id").groupBy("page_id").count().collect()} == {1: 30_000, 4: 1, 5: 5}
