@@ -220,3 +220,11 @@ def test_histogram_is_that_of_the_node_table(spark):
 def test_long_lists_are_built_in_pieces(spark):
     df = spark.createDataFrame([(1, "[[a]] " * 30_000), (2, None), (3, ""), (4, "[[b]]"), (5, "[[c]] " * 5)], "page_id long, content string").coalesce(1)
     assert {r.page_id: r["count"] for r in markup.links(df, "content", "page_id").groupBy("page_id").count().collect()} == {1: 30_000, 4: 1, 5: 5}
+
+
+def test_outlines_are_drawn_in_the_parse(spark):
+    df = spark.createDataFrame([(1, "== A ==\n=== B ===\n== C ==\n"), (2, "no"), (3, None), (4, "<b>\n== D ==\n</b>\n= E =\n==== F ===="), (None, "= G =")], "page_id long, content string")
+    by_tree = markup.section_outline(markup.section_tree(df, "content", "page_id"), "page_id")
+    assert sorted(map(repr, markup.section_outlines(df, "content", "page_id").collect())) == sorted(map(repr, by_tree.collect()))
+    assert "collect_list" not in plan(QUERIES["section_outline"](spark, SF))
+    test_query_against_sql(spark, "section_outline")
