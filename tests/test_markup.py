@@ -135,3 +135,18 @@ def test_function_names(name, yes, canonical):
 )
 def test_expansion(text, expected):
     assert Expander({"t": "{{{1}}} {{{x|}}} {{{y|d}}}<noinclude>doc</noinclude>", "loop": "{{loop}}"}, title="A/B").expand(text) == expected
+
+
+def test_outermost_agrees_with_the_parser():
+    from textloom.operators import markup
+
+    rng = random.Random(7)
+    marks = [*"a=*#![]|\n\n", "b ", *"'' ''' {{ }} [[ ]] {{{ }}} {| |- |} || <b> </b> <i> --> <!-- ---- <nowiki> </nowiki> __TOC__".split(), "\n== h ==\n", "\n----\n", "\n{|\n", "\n|}\n", "\n|-\n", "[[a|b]]", "{{a|b=c}}", "<b>x</b>", "<!-- c -->", "\n=== <!-- z --> y ===\n"]
+    plain = 0
+    for _ in range(600):
+        text = "".join(rng.choice(marks) for _ in range(rng.choice((4, 8, 15))))
+        assert markup.section_rows(text) == [r[:4] for r in markup.sections(text)]
+        for kind in ("HorizontalRule", "Comment", "NoWiki", "MagicWord"):
+            plain += parser.outermost(text, kind) is not None
+            assert markup.leaf_texts(text, kind) == [(x.node.text,) for x in markup.walk(text) if x.node.type == kind]
+    assert plain > 300 and parser.outermost("{{a|b}}\n----\n", "HorizontalRule") == [(0, "----")] and parser.outermost("{{a|<!--b-->}}", "Comment") is None
