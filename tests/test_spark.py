@@ -197,18 +197,18 @@ def test_texts_are_not_broadcast_to_be_found(spark, name):
     assert "Broadcast" not in plan(QUERIES[name](spark, SF))
 
 
-def test_options_are_tried_on_their_own_texts_only(spark):
-    got = QUERIES["plain_text_options"](spark, SF)
-    assert "CASE WHEN" not in plan(got).partition("ArrowEvalPython")[0]  # a text that isn't asked for is null before it leaves the JVM
-    test_query_against_sql(spark, "plain_text_options")
-
-
 @pytest.mark.parametrize("name", ["ast_to_wikitext", "remove_templates", "strip_formatting", "heading_parse", "summary", "template_data", "fragment_params", "plain_text_targets"])
 def test_what_is_parsed_is_spread(spark, name):
     assert "Exchange RoundRobin" in plan(QUERIES[name](spark, SF))
     test_query_against_sql(spark, name)
 
 
+def test_options_are_tried_on_their_own_texts_only(spark):
+    got = QUERIES["plain_text_options"](spark, SF)
+    assert "CASE WHEN" not in plan(got).partition("ArrowEvalPython")[0]  # a text that isn't asked for is null before it leaves the JVM
+    test_query_against_sql(spark, "plain_text_options")
+
+
 def test_histogram_is_that_of_the_node_table(spark):
     df = spark.createDataFrame([(1, "[[a|b]] {{c|d=e}}"), (2, ""), (3, None), (4, "* x\n{|\n| s | y\n|}")], "page_id long, content string")
     want = {r["type"]: r["count"] for r in markup.node_table(df, "content", "page_id").groupBy("type").count().collect()}
@@ -228,3 +228,31 @@ def test_outlines_are_drawn_in_the_parse(spark):
     assert sorted(map(repr, markup.section_outlines(df, "content", "page_id").collect())) == sorted(map(repr, by_tree.collect()))
     assert "collect_list" not in plan(QUERIES["section_outline"](spark, SF))
     test_query_against_sql(spark, "section_outline")
+
+
+def test_closure_finds_each_pair_of_a_tree_once(spark, monkeypatch):
+    from textloom.operators.graph import closure
+
+    edges = spark.range(1, 600).selectExpr("id AS a", "id div 2 AS b")
+    kind, rows = type(edges), []
+    whole = kind.distinct
+    monkeypatch.setattr(kind, "distinct", lambda df: rows.append((df.count(), whole(df).count())) or whole(df))
+    want = {(i, i >> k) for i in range(1, 600) for k in range(1, i.bit_length() + 1)}
+    assert {tuple(r) for r in closure(edges, "a", "b").collect()} == want
+    assert len(rows) > 6 and all(n == m for n, m in rows)
+
+
+def test_closure_of_any_graph(spark):
+    import random
+
+    from textloom.operators.graph import closure
+
+    r = random.Random(3)
+    pairs = sorted({(r.randrange(14), r.randrange(14)) for _ in range(18)})
+    df = spark.createDataFrame(pairs, "a long, b long")
+    for most in (1, 2, 3, 6, 7, 40):
+        found = step = set(pairs)
+        for _ in range(most - 1):
+            step = {(x, z) for x, y in step for w, z in pairs if w == y}
+            found = found | step
+        assert {tuple(x) for x in closure(df, "a", "b", most).collect()} == found
