@@ -256,3 +256,12 @@ def test_closure_of_any_graph(spark):
             step = {(x, z) for x, y in step for w, z in pairs if w == y}
             found = found | step
         assert {tuple(x) for x in closure(df, "a", "b", most).collect()} == found
+
+
+def test_ranges_are_read_by_all_cores(spark, written):
+    at, rows = written
+    terms = spark.createDataFrame([(1, rows[3][2]), (2, "absent"), (3, None)], "ordinal long, title string")
+    out = dump.extract_pages(terms, dump.read_index(spark, at.index_file), at.dump_file)
+    assert "Broadcast" not in plan(out).partition("MapInArrow")[0] and [r.found for r in out.orderBy("ordinal").collect()] == [True, False, False]
+    ranges = spark.createDataFrame([(at.dump_file, 0, None)], "path string, start long, end long")
+    assert dump.read_chunks(ranges).rdd.getNumPartitions() >= 16
